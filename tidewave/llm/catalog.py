@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, line_dedup, packing, pii, simhash, topk_search, url_filter
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -31,9 +31,88 @@ FROM d WINDOW g AS (PARTITION BY t)
 """
 
 
+#: The pseudonyms' key. A production run passes its own secret.
+PII_KEY = "tidewave demonstration key"
+
+
+def op4_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_documents(table(spark, sf_dir, "documents"), PII_KEY)
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes are the labels whose id is the page's: bad if of low quality or toxic."""
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int").alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '^[\\s\\S]*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (
+  SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad,
+         array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one
+  FROM p LEFT JOIN (SELECT doc_id AS page_id, (quality = 0 OR toxic = 1)::INT AS bad FROM labels) o USING (page_id) GROUP BY host),
+hd AS (SELECT host, n, bad, CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN three ELSE two END AS domain,
+              CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN two ELSE one END AS suffix FROM h),
+d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY ALL),
+s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM d) AS m FROM d GROUP BY suffix),
+ks AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / least(greatest((sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - count(*)) / (sum(n) - count(*)), 1e-3), 0.9) - 1 END AS k FROM s0 WHERE n > 0),
+s AS (SELECT suffix, (m * k + bad) / (k + n) AS m FROM s0, ks),
+d0 AS (SELECT domain, n, bad, m FROM d JOIN s USING (suffix)),
+kd AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / least(greatest((sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - count(*)) / (sum(n) - count(*)), 1e-3), 0.9) - 1 END AS k FROM d0 WHERE n > 0),
+d1 AS (SELECT domain, (m * k + bad) / (k + n) AS m FROM d0, kd),
+h0 AS (SELECT host, n, bad, m FROM hd JOIN d1 USING (domain)),
+kh AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / least(greatest((sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - count(*)) / (sum(n) - count(*)), 1e-3), 0.9) - 1 END AS k FROM h0 WHERE n > 0),
+h1 AS (SELECT host, (m * k + bad) / (k + n) AS post, k + n AS ab FROM h0, kh),
+rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+own AS (SELECT host, CASE WHEN post - 1.645 * sqrt(post * (1 - post) / (ab + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM h1),
+r AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM p), rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
+SELECT page_id, p.host, p.path, r.rule, coalesce(r.verdict, own.verdict) AS verdict
+FROM p JOIN own ON p.host = own.host LEFT JOIN r ON p.host = r.host AND p.path = r.path
+"""
+
+
+def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS row FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, q.row, c.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.row <> c.row WHERE q.vec_id % 100 = 0)
+SELECT query_id, (row_number() OVER w)::INT AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY row ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = """
+WITH l AS (
+  SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)),
+k AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256
+FROM l LEFT JOIN k USING (key) GROUP BY doc_id
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op9_maxscore_topk, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_url_reputation": OP5_SQL, "op9_maxscore_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
