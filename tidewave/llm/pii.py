@@ -29,74 +29,84 @@ PATTERNS = (
 CANDIDATE = "|".join(PATTERNS)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def prf(key: str, *parts: Column) -> Column:
     """60 keyed pseudo-random bits."""
     return F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), *parts), 256), 1, 15), 16, 10).cast("long")
 
 
-def feistel(a: Column, mod_a: Column, b: Column, mod_b: Column, key: str, tweak: Column) -> tuple[Column, Column]:
-    """A keyed permutation of the pairs below (mod_a, mod_b). Each round adds a keyed value of one half to the other."""
+def feistel(a: Column, mod_a: Column, b: Column, mod_b: Column, key: str, tweak: Column) -> Column:
+    """struct(a, b), a keyed permutation of the pairs below (mod_a, mod_b). Each round adds a keyed value of one half to the other."""
     state = F.struct(a.cast("long").alias("a"), mod_a.cast("long").alias("ma"), b.cast("long").alias("b"), mod_b.cast("long").alias("mb"))
-    end = F.aggregate(
+    return F.aggregate(  # ROUNDS is even, so the halves end in their places
         F.lit(list(range(ROUNDS))),
         state,
         lambda s, r: F.struct(s["b"].alias("a"), s["mb"].alias("ma"), ((s["a"] + prf(key, tweak, r, s["b"]) % s["ma"]) % s["ma"]).alias("b"), s["ma"].alias("mb")),
     )
-    return end["a"], end["b"]  # ROUNDS is even, so the halves are back in place
 
 
 def permute_digits(digits: Column, key: str, kind: str) -> Column:
     """A digit string of 2 to 18 digits as another of the same length."""
+    return bound(digits, lambda d: _permuted(d, key, kind))
+
+
+def _permuted(digits: Column, key: str, kind: str) -> Column:
     n = F.length(digits)
     left = F.floor(n / 2).cast("int")
     power = lambda k: F.pow(F.lit(10.0), k).cast("long")
-    a, b = feistel(F.substring(digits, F.lit(1), left).cast("long"), power(left), F.substring(digits, left + 1, n - left).cast("long"), power(n - left), key, F.concat(F.lit(kind), n.cast("string")))
-    return F.concat(F.lpad(a.cast("string"), left, "0"), F.lpad(b.cast("string"), n - left, "0"))
+    ends = feistel(F.substring(digits, F.lit(1), left).cast("long"), power(left), F.substring(digits, left + 1, n - left).cast("long"), power(n - left), key, F.concat(F.lit(kind), n.cast("string")))
+    return bound(ends, lambda e: F.concat(F.lpad(e["a"].cast("string"), left, "0"), F.lpad(e["b"].cast("string"), n - left, "0")))
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a digit string; a multiple of ten if the last digit is right."""
-    n = F.length(digits)
 
-    def add(total: Column, i: Column) -> Column:
-        d = F.substring(digits, n - i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-        return total + d - F.when(d > 9, 9).otherwise(0)
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), add)
+    def add(s: Column, c: Column) -> Column:
+        d = c.cast("int") * F.when(s["twice"], 2).otherwise(1)
+        return F.struct((s["sum"] + d - F.when(d > 9, 9).otherwise(0)).alias("sum"), (~s["twice"]).alias("twice"))
+
+    return F.aggregate(F.split(F.reverse(digits), ""), F.struct(F.lit(0).alias("sum"), F.lit(False).alias("twice")), add)["sum"]
 
 
 def refill(value: Column, digits: Column) -> Column:
     """``value`` with its digits, from left to right, replaced by ``digits``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("i"))
 
-    def step(s: Column, c: Column) -> Column:
+    def step(own: Column, s: Column, c: Column) -> Column:
         is_digit = c.between("0", "9")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + is_digit.cast("int")).alias("i"))
+        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(own, s["i"], F.lit(1))).otherwise(c)).alias("out"), (s["i"] + is_digit.cast("int")).alias("i"))
 
-    return F.aggregate(F.split(value, ""), start, step)["out"]
+    return bound(digits, lambda own: F.aggregate(F.split(value, ""), start, lambda s, c: step(own, s, c))["out"])
 
 
 def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value) of a candidate; the kind is null, and the value the candidate itself, if it isn't valid."""
-    digits = F.regexp_replace(m, r"\D", "")
+    return bound(F.regexp_replace(m, r"\D", ""), lambda digits: _pseudonym(m, digits, key))
+
+
+def _pseudonym(m: Column, digits: Column, key: str) -> Column:
     n = F.length(digits)
 
     octets = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
     is_ip = m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
     ip_ok = F.forall(octets, lambda x: x <= 255)
-    ha, hb = feistel(octets[0] * 256 + octets[1], F.lit(65536), octets[2] * 256 + octets[3], F.lit(65536), key, F.lit("ip"))
-    ip = F.concat_ws(".", F.floor(ha / 256), ha % 256, F.floor(hb / 256), hb % 256)
+    halves = feistel(octets[0] * 256 + octets[1], F.lit(65536), octets[2] * 256 + octets[3], F.lit(65536), key, F.lit("ip"))
+    ip = bound(halves, lambda h: F.concat_ws(".", F.floor(h["a"] / 256), h["a"] % 256, F.floor(h["b"] / 256), h["b"] % 256))
 
     day = F.try_to_timestamp(m, F.lit("yyyy-MM-dd")).cast("date")
     is_date = m.rlike(r"^\d{4}-\d{2}-\d{2}$")
     date_ok = day.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date"))
     nth = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    da, db = feistel(F.floor(nth / DATE_MODULI[1]), F.lit(DATE_MODULI[0]), nth % DATE_MODULI[1], F.lit(DATE_MODULI[1]), key, F.lit("date"))
-    date = F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (da * DATE_MODULI[1] + db).cast("int")), "yyyy-MM-dd")
+    moved = feistel(F.floor(nth / DATE_MODULI[1]), F.lit(DATE_MODULI[0]), nth % DATE_MODULI[1], F.lit(DATE_MODULI[1]), key, F.lit("date"))
+    date = bound(moved, lambda h: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (h["a"] * DATE_MODULI[1] + h["b"]).cast("int")), "yyyy-MM-dd"))
 
     body = permute_digits(F.substring(digits, F.lit(1), n - 1), key, "card")
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    card = refill(m, F.concat(body, check.cast("string")))
+    card = refill(m, bound(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
     phone = refill(m, F.concat(F.substring(digits, F.lit(1), n - 10), permute_digits(F.substring(digits, n - 9, F.lit(10)), key, "phone")))
 
@@ -119,11 +129,16 @@ def pseudonym(m: Column, key: str) -> Column:
 
 
 def replaced(text: Column, key: str) -> Column:
-    """struct(text, kinds): the text with pseudonyms, and the kinds of what was found, in order. Both null where there is no candidate."""
-    candidates = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    values = F.transform(candidates, lambda m: pseudonym(m, key))
-    between = F.split(text, CANDIDATE, -1)
-    return F.struct(values.alias("values"), between.alias("between"))
+    """struct(text, kinds): the text with pseudonyms, and the kinds of what was found, in order. The text is null if nothing was."""
+    values = F.transform(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda m: pseudonym(m, key))
+
+    def joined(found: Column) -> Column:
+        kinds = F.filter(F.transform(found, lambda v: v["kind"]), lambda k: k.isNotNull())
+        between = F.split(text, CANDIDATE, -1)
+        parts = F.zip_with(between, found, lambda b, v: F.concat(b, F.coalesce(v["value"], F.lit(""))))
+        return F.struct(F.when(F.size(kinds) > 0, F.concat_ws("", parts)).alias("text"), kinds.alias("kinds"))
+
+    return bound(values, joined)
 
 
 def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
@@ -136,10 +151,8 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     # most texts hold no digit, @, = or : and are not searched further
     suspect = F.col("text").rlike("[0-9@=:]")
     found = docs.withColumn("__found", F.when(suspect, replaced(F.col("text").cast("string"), key)))
-    any_found = F.exists(F.col("__found.values"), lambda v: v["kind"].isNotNull())
-    text = F.when(any_found, F.concat_ws("", F.zip_with(F.col("__found.between"), F.col("__found.values"), lambda b, v: F.concat(b, F.coalesce(v["value"], F.lit("")))))).otherwise(F.col("text"))
-    kinds = F.coalesce(F.filter(F.transform(F.col("__found.values"), lambda v: v["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))
-    out = found.withColumn("private_kinds", kinds).withColumn("text", text)
+    kinds = F.coalesce("__found.kinds", F.array().cast("array<string>"))
+    out = found.withColumn("private_kinds", kinds).withColumn("text", F.coalesce("__found.text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.drop("__found")
