@@ -1,6 +1,59 @@
-STAGES = []
+"""The training-data pipeline: quality, exact duplicates, near duplicates, private data, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame. All but the last return the columns of ``documents``;
+each is written as Parquet and read again before the next.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewave.llm import exact_dedup, packing, pii, quality, simhash
+from tidewave.llm.catalog import PII_KEY, WORD_BPE
+from tidewave.llm.shared import stored, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the Kneser-Ney model doesn't reject."""
+    return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts, that of the largest doc_id."""
+    return exact_dedup.drop_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of fingerprints of five-word shingles, that of the smallest doc_id."""
+    return simhash.drop_near_duplicates(docs, shingle=5)
+
+
+def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with pseudonyms in place of private data."""
+    return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their ids and places in sequences of 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(WORD_BPE), with_ids=True)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("exact_dedup", drop_exact_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", hide_private),
+    ("packing", pack_sequences),
+]
+
+#: Language models, fingerprints and packing have no SQL form; the tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

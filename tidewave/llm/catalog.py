@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, packing, pii, simhash, topk_search, url_filter
+from . import exact_dedup, line_dedup, lm_scoring, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
+PIECE_BPE = "piece_bpe_32k.model"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,18 @@ FROM p JOIN own ON p.host = own.host LEFT JOIN r ON p.host = r.host AND p.path =
 """
 
 
+def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"), lm_scoring.fold()).drop("row")
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_BPE), with_ids=False).drop("row")
+
+
+def op8_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("row")
+
+
 def op9_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search(table(spark, sf_dir, "embeddings"))
 
@@ -111,7 +124,11 @@ FROM l LEFT JOIN k USING (key) GROUP BY doc_id
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op9_maxscore_topk, op10_line_dedup)}
+    found = (
+        op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op6_ppm_scoring,
+        op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
