@@ -10,21 +10,25 @@ their length.
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import re
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import documents, map_batches, stored
 
-#: Words whose ids a task remembers; beyond it, it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers; beyond it, it starts anew. Words that the tokenizer is given, and characters that are split, at once.
+CACHE_WORDS = 500_000
+WORDS_AT_ONCE = 20_000
+CHARS_AT_ONCE = 4_000_000
 
 
 class WordCache:
@@ -48,15 +52,42 @@ class WordCache:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
+        out: list[bytes] = []
+        part: list[str] = []
+        room = CHARS_AT_ONCE
+        for t in texts:
+            part.append(t)
+            room -= len(t)
+            if room < 0:
+                out += self._encode(part)
+                part, room = [], CHARS_AT_ONCE
+        return out + self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         split = [None if self.special(t) else self.words(t.lower()) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        new = list({w for words in split if words for w in words if w not in self.known})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, s in zip(texts, split, strict=True) if s is None], add_special_tokens=False))
+        new = list(set(chain.from_iterable(filter(None, split))) - self.known.keys())
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            words = new[at : at + WORDS_AT_ONCE]
+            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                self.known[w] = np.array(e.ids, "<u4").tobytes()
         known = self.known.__getitem__
-        return [np.array(next(whole).ids, "<u4").tobytes() if s is None else b"".join(map(known, s)) for s in split]
+        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split, strict=True)]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_caches: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    """The cache of this worker, which outlives the task. One thread: the tasks use all cores."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
@@ -64,7 +95,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
     end = np.array([end_id], "<u4").tobytes()
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part, seen = WordCache(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        cache, part, seen = word_cache(tokenizer_path), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for b in batches:
             rows, ids = b.column("row").to_pylist(), b.column("doc_id").to_pylist()
             cut: list[tuple] = []
