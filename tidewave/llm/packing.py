@@ -14,8 +14,8 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,58 +25,49 @@ from pyspark.sql import functions as F
 
 from .shared import documents, map_batches, stored
 
-#: Words whose ids a worker remembers; beyond it, it starts anew. Words that the tokenizer is given, and characters that are split, at once.
+#: Words whose ids a worker remembers; once a text has gone beyond it, it starts anew.
 CACHE_WORDS = 500_000
-WORDS_AT_ONCE = 20_000
-CHARS_AT_ONCE = 4_000_000
 
 
-class WordCache:
-    """Ids of texts by a public tokenizer whose words don't depend on each other, with the ids of known words remembered.
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in a byte-level vocabulary: printable bytes are themselves, the others follow 255 in order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    Texts of plain Latin letters (below U+0250, without control characters) are split here by the tokenizer's own rule;
-    all others, and texts with the mark of a special token, go to the tokenizer whole.
+
+class WordCache(dict):
+    """Ids of words, as little-endian 32-bit numbers, by the tokenizer's model; the ids of known words are remembered.
+
+    The tokenizer's words don't depend on each other. Texts of plain Latin letters (below U+0250, without control
+    characters) are split here by the tokenizer's own rule; all others, and texts with the mark of a special token, go
+    to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         kinds: dict[str, list[str]] = {"L": [], "N": []}
         for c in map(chr, range(0x21, 0x250)):
             kinds.get(unicodedata.category(c)[0], []).append(c)
         letters, digits = (re.escape("".join(kinds[k])) for k in "LN")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+").findall
         self.special = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]|<\|").search
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian 32-bit numbers."""
-        out: list[bytes] = []
-        part: list[str] = []
-        room = CHARS_AT_ONCE
-        for t in texts:
-            part.append(t)
-            room -= len(t)
-            if room < 0:
-                out += self._encode(part)
-                part, room = [], CHARS_AT_ONCE
-        return out + self._encode(part)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.special(t) else self.words(t.lower()) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(filter(None, split))) - self.known.keys())
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            words = new[at : at + WORDS_AT_ONCE]
-            for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        known = self.known.__getitem__
-        return [self._whole(t) if s is None else b"".join(map(known, s)) for t, s in zip(texts, split, strict=True)]
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        pieces = self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
+        self[word] = ids = array("I", [p.id for p in pieces]).tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if self.special(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.words(text.lower())))
 
 
 _caches: dict[str, WordCache] = {}
@@ -99,7 +90,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int,
         for b in batches:
             rows, ids = b.column("row").to_pylist(), b.column("doc_id").to_pylist()
             cut: list[tuple] = []
-            for row, doc, tokens in zip(rows, ids, cache.encode(b.column("text").to_pylist()), strict=True):
+            for row, doc, tokens in zip(rows, ids, map(cache.encode, b.column("text").to_pylist()), strict=True):
                 tokens += end
                 for piece, at in enumerate(range(0, len(tokens) // 4, capacity)):
                     own = tokens[4 * at : 4 * (at + capacity)]
