@@ -10,7 +10,6 @@ their length.
 
 from __future__ import annotations
 
-import os
 import re
 import unicodedata
 import zlib
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .shared import documents, map_batches, stored
 
-#: Words whose ids a worker remembers; once a text has gone beyond it, it starts anew.
+#: Words whose ids a task remembers; once a text has gone beyond it, it starts anew.
 CACHE_WORDS = 500_000
 
 
@@ -44,11 +43,9 @@ class WordCache(dict):
     to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
+    def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = tokenizer
         self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         kinds: dict[str, list[str]] = {"L": [], "N": []}
         for c in map(chr, range(0x21, 0x250)):
@@ -70,15 +67,16 @@ class WordCache(dict):
         return b"".join(map(self.__getitem__, self.words(text.lower())))
 
 
-_caches: dict[str, WordCache] = {}
+_tokenizers: dict = {}
 
 
 def word_cache(path: str) -> WordCache:
-    """The cache of this worker, which outlives the task. One thread: the tasks use all cores."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _caches:
-        _caches[path] = WordCache(path)
-    return _caches[path]
+    """A new cache, which ends with its task: Spark may keep many idle workers. They keep the tokenizer alone."""
+    from tokenizers import Tokenizer
+
+    if path not in _tokenizers:
+        _tokenizers[path] = Tokenizer.from_file(path)
+    return WordCache(_tokenizers[path])
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool = False) -> DataFrame:
