@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows of an Arrow batch. Texts can be long, so a batch of the default 10,000 rows could be too large for a worker.
-BATCH_ROWS = 1000
+BATCH_ROWS = 256
 
 
 def shared_folder(spark: SparkSession) -> str:
