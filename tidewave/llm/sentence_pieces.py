@@ -1,15 +1,19 @@
 """SentencePiece models by the tokenizers library.
 
 The model's protobuf gives pieces, scores, kinds and the normaliser. They are rebuilt as a tokenizer: the normaliser
-with the space marker, unigram scores or the merges that the scores of a BPE model imply, and byte fallback. Tasks
-encode batches with several threads and decode them again.
+with the space marker, unigram scores or the merges that the scores of a BPE model imply, and byte fallback. No piece
+of the usual models spans two words, so tasks encode the different words of a batch, in batches with several threads,
+and decode them again; texts are their words' ids. Models with pieces across words encode whole texts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +27,12 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
-#: Words that the library remembers.
-CACHE_WORDS = 200_000
+#: Words that a task remembers; once a batch has gone beyond it, it starts anew. Texts or words that the library is given at once.
+CACHE_WORDS = 300_000
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 64, 8_192
+
+#: A word: its leading spaces and what follows up to the next.
+WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 def read_model(data: bytes):
@@ -47,7 +55,7 @@ def implied_merges(pieces: dict[str, int], scores: dict[str, float]) -> list[tup
 
 
 def build(data: bytes):
-    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols."""
+    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols; and whether words can be encoded one by one."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     model = read_model(data)
@@ -58,7 +66,7 @@ def build(data: bytes):
     elif trainer.model_type == BPE:
         ids = {p.piece: i for i, p in enumerate(model.pieces)}
         scores = {p.piece: p.score for p in model.pieces if p.type in (NORMAL, USER_DEFINED)}
-        core = models.BPE(ids, implied_merges({k: ids[k] for k in scores}, scores), unk_token=model.pieces[unknown].piece, fuse_unk=True, byte_fallback=trainer.byte_fallback, cache_capacity=CACHE_WORDS)
+        core = models.BPE(ids, implied_merges({k: ids[k] for k in scores}, scores), unk_token=model.pieces[unknown].piece, fuse_unk=True, byte_fallback=trainer.byte_fallback)
     else:
         raise ValueError(f"model type {trainer.model_type} is neither unigram nor BPE")
     tokenizer = Tokenizer(core)
@@ -69,15 +77,67 @@ def build(data: bytes):
     if spec.add_dummy_prefix:
         steps.append(normalizers.Prepend(SPACE))
     tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    inner = any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
-    if not inner:  # no piece spans two words, so words can be encoded one by one, and remembered
+    by_word = not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
+    if by_word:
         tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
     tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
-    return tokenizer
+    return tokenizer, by_word
+
+
+_built: dict = {}
+
+
+class Encoder:
+    """Encodes and decodes texts with a model; remembers words as long as it lives."""
+
+    def __init__(self, path: str, threads: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ["RAYON_NUM_THREADS"] = str(threads)
+        if path not in _built:
+            with open(path, "rb") as f:
+                _built[path] = build(f.read())
+        self.tokenizer, self.by_word = _built[path]
+        self.known: dict[str, tuple[bytes, str]] = {}
+
+    def both(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        """Ids, as little-endian 32-bit numbers, and the text decoded from them."""
+        return self._by_word(texts) if self.by_word else self._whole(texts)
+
+    def _whole(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        out = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            part = texts[at : at + TEXTS_AT_ONCE]
+            encoded = iter(self.tokenizer.encode_batch_fast([t for t in part if t], add_special_tokens=False))
+            ids = [next(encoded).ids if t else [] for t in part]  # the library would give an empty text its prefix
+            out += [(array("I", i).tobytes(), d) for i, d in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
+        return out
+
+    def _by_word(self, texts: list[str]) -> list[tuple[bytes, str]]:
+        split = [WORD.findall(self.tokenizer.normalizer.normalize_str(t)) if t else [] for t in texts]
+        if len(self.known) > CACHE_WORDS:
+            self.known = {}
+        new = list(set(chain.from_iterable(split)) - self.known.keys())
+        if new:
+            normalizer, decoder = self.tokenizer.normalizer, self.tokenizer.decoder
+            lead = self.tokenizer.decode([self.tokenizer.token_to_id(SPACE)], skip_special_tokens=False) == ""  # decoding strips the prefix
+            self.tokenizer.normalizer = None  # words are normal already
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                words = new[at : at + WORDS_AT_ONCE]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+                first = [self.tokenizer.token_to_id(SPACE)] if lead else []
+                for w, i, d in zip(words, ids, self.tokenizer.decode_batch([first + i for i in ids], skip_special_tokens=False), strict=True):
+                    self.known[w] = array("I", i).tobytes(), d
+            self.tokenizer.normalizer, self.tokenizer.decoder = normalizer, decoder
+            self.strip = int(lead)
+        out = []
+        for words in split:
+            found = [self.known[w] for w in words]
+            out.append((b"".join([i for i, _ in found]), "".join([d for _, d in found])[self.strip :] if found else ""))
+        return out
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
-    """row, doc_id, n_ids, ids_crc32, n_unknown, decoded_same (and ids): one row for each row of ``docs``.
+    """row, doc_id, n_ids, ids_crc32, decoded_same (and ids): one row for each row of ``docs``.
 
     ids_crc32 is over the ids as little-endian 32-bit numbers; decoded_same says whether decoding gives the text back.
     A null text is an empty one and has no ids. Whole texts are encoded. Rows that repeat are encoded each; an empty
@@ -85,26 +145,19 @@ def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, with_id
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        os.environ["RAYON_NUM_THREADS"] = str(threads)
-        with open(model_path, "rb") as f:
-            tokenizer = build(f.read())
+        encoder = Encoder(model_path, threads)
         for b in batches:
             texts = b.column("text").to_pylist()
-            full = [bool(t) for t in texts]  # the library would give an empty text its prefix
-            encoded = iter(tokenizer.encode_batch_fast([t for t in texts if t], add_special_tokens=False))
-            ids = [next(encoded).ids if f else [] for f in full]
-            decoded = tokenizer.decode_batch(ids, skip_special_tokens=False)
-            arrays = [np.array(x, "<u4") for x in ids]
+            found = encoder.both(texts)
             columns = {
                 "row": b.column("row"),
                 "doc_id": b.column("doc_id"),
-                "n_ids": pa.array([len(x) for x in ids], pa.int64()),
-                "ids_crc32": pa.array([zlib.crc32(x.tobytes()) for x in arrays], pa.int64()),
-                "decoded_same": pa.array([d == t for d, t in zip(decoded, texts, strict=True)], pa.bool_()),
+                "n_ids": pa.array([len(i) // 4 for i, _ in found], pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(i) for i, _ in found], pa.int64()),
+                "decoded_same": pa.array([d == t for (_, d), t in zip(found, texts, strict=True)], pa.bool_()),
             }
             if with_ids:
-                columns["ids"] = pa.array([x.astype(np.int32) for x in arrays], pa.list_(pa.int32()))
+                columns["ids"] = pa.array([np.frombuffer(i, "<i4") for i, _ in found], pa.list_(pa.int32()))
             yield pa.record_batch(list(columns.values()), list(columns))
 
     return map_batches(documents(docs), each, "row long, doc_id long, n_ids long, ids_crc32 long, decoded_same boolean" + ", ids array<int>" * with_ids)
@@ -114,8 +167,7 @@ def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, text from doc_id, ids. Null ids give a null text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with open(model_path, "rb") as f:
-            tokenizer = build(f.read())
+        tokenizer = Encoder(model_path, 1).tokenizer
         for b in batches:
             ids = b.column("ids").to_pylist()
             texts = iter(tokenizer.decode_batch([x for x in ids if x is not None], skip_special_tokens=False))
