@@ -55,7 +55,7 @@ def implied_merges(pieces: dict[str, int], scores: dict[str, float]) -> list[tup
 
 
 def build(data: bytes):
-    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols; and whether words can be encoded one by one."""
+    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols; and, unless pieces span words, one for single words and the normal form to split into them."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     model = read_model(data)
@@ -74,14 +74,19 @@ def build(data: bytes):
     steps = [normalizers.Precompiled(spec.precompiled_charsmap)] if spec.precompiled_charsmap else []
     if spec.remove_extra_whitespaces:
         steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
-    if spec.add_dummy_prefix:
-        steps.append(normalizers.Prepend(SPACE))
-    tokenizer.normalizer = normalizers.Sequence([*steps, normalizers.Replace(" ", SPACE)])
-    by_word = not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
-    if by_word:
-        tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"), "isolated")
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse(), *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
-    return tokenizer, by_word
+    marker = [normalizers.Prepend(SPACE)] if spec.add_dummy_prefix else []
+    tokenizer.normalizer = normalizers.Sequence([*steps, *marker, normalizers.Replace(" ", SPACE)])
+    plain = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
+    tokenizer.decoder = decoders.Sequence([*plain, *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
+    if any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces):
+        return tokenizer, None
+    tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD.pattern), "isolated")
+    words = Tokenizer(core)  # for what is normal and split already
+    words.decoder = decoders.Sequence(plain)
+    if steps:
+        first = normalizers.Sequence(steps)
+        return tokenizer, (words, lambda t: SPACE * spec.add_dummy_prefix + first.normalize_str(t).replace(" ", SPACE))
+    return tokenizer, (words, lambda t: SPACE * spec.add_dummy_prefix + t.replace(" ", SPACE))
 
 
 _built: dict = {}
@@ -96,12 +101,13 @@ class Encoder:
         if path not in _built:
             with open(path, "rb") as f:
                 _built[path] = build(f.read())
-        self.tokenizer, self.by_word = _built[path]
-        self.known: dict[str, tuple[bytes, str]] = {}
+        self.tokenizer, self.single = _built[path]
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}
 
     def both(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """Ids, as little-endian 32-bit numbers, and the text decoded from them."""
-        return self._by_word(texts) if self.by_word else self._whole(texts)
+        return self._by_word(texts) if self.single else self._whole(texts)
 
     def _whole(self, texts: list[str]) -> list[tuple[bytes, str]]:
         out = []
@@ -113,27 +119,18 @@ class Encoder:
         return out
 
     def _by_word(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        split = [WORD.findall(self.tokenizer.normalizer.normalize_str(t)) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
-        if new:
-            normalizer, decoder = self.tokenizer.normalizer, self.tokenizer.decoder
-            lead = self.tokenizer.decode([self.tokenizer.token_to_id(SPACE)], skip_special_tokens=False) == ""  # decoding strips the prefix
-            self.tokenizer.normalizer = None  # words are normal already
-            for at in range(0, len(new), WORDS_AT_ONCE):
-                words = new[at : at + WORDS_AT_ONCE]
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-                first = [self.tokenizer.token_to_id(SPACE)] if lead else []
-                for w, i, d in zip(words, ids, self.tokenizer.decode_batch([first + i for i in ids], skip_special_tokens=False), strict=True):
-                    self.known[w] = array("I", i).tobytes(), d
-            self.tokenizer.normalizer, self.tokenizer.decoder = normalizer, decoder
-            self.strip = int(lead)
-        out = []
-        for words in split:
-            found = [self.known[w] for w in words]
-            out.append((b"".join([i for i, _ in found]), "".join([d for _, d in found])[self.strip :] if found else ""))
-        return out
+        words, normal = self.single
+        split = [WORD.findall(normal(t)) if t else [] for t in texts]
+        if len(self.ids) > CACHE_WORDS:
+            self.ids, self.text = {}, {}
+        new = list(set(chain.from_iterable(split)) - self.ids.keys())
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at : at + WORDS_AT_ONCE]
+            ids = [e.ids for e in words.encode_batch_fast(part, add_special_tokens=False)]
+            self.ids.update(zip(part, [array("I", i).tobytes() for i in ids], strict=True))
+            self.text.update(zip(part, words.decode_batch(ids, skip_special_tokens=False), strict=True))
+        lead = len(normal("x")) - 1  # decoding drops the marker before the text
+        return [(b"".join(map(self.ids.__getitem__, found)), "".join(map(self.text.__getitem__, found))[lead:]) for found in split]
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
