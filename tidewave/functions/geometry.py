@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,30 +26,21 @@ def scaled_by(value: Column, unit: Column, least: float = 1e-6) -> Column:
     return F.when(unit.isNotNull() & (F.abs(unit) >= least), value / unit).otherwise(value)
 
 
-def total(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def alignment_sums() -> list[Column]:
+    """Aggregates over rows x, y (a point) and u, v (its place in the template): all that ``solved`` needs."""
+    n = F.count("*")
+    second = {"xx": ("x", "x"), "xy": ("x", "y"), "yy": ("y", "y"), "b00": ("x", "u"), "b01": ("x", "v"), "b10": ("y", "u"), "b11": ("y", "v")}
+    means = {"mx": "x", "my": "y", "tx": "u", "ty": "v"}
+    return [n.alias("__n"), *[F.avg(c).alias(f"__{k}") for k, c in means.items()], *[(F.covar_pop(p, q) * n).alias(f"__{k}") for k, (p, q) in second.items()]]
 
 
-def alignment(points: list[Point], template: list[Point], least: int = 3) -> dict[str, Column]:
-    """theta, scale_x, scale_y, shift_x, shift_y that carry ``points`` onto ``template``.
+def solved(least: int = 3, tiny: float = 1e-12) -> list[dict[str, Column]]:
+    """theta, scale_x, scale_y, shift_x, shift_y that carry a shape onto its template, as steps of ``withColumns`` on ``alignment_sums``.
 
     A centred least-squares map, split into a rotation (its polar factor, for 2 by 2 a single angle) and stretches along
-    the axes. NULL for fewer than ``least`` complete pairs or points on a line. The rotation is applied to rows, in the
+    the axes. NULL for fewer than ``least`` pairs or points on a line. The rotation is applied to rows, in the
     convention of the fit.
     """
-    ok = [a[0].isNotNull() & a[1].isNotNull() & b[0].isNotNull() & b[1].isNotNull() for a, b in zip(points, template, strict=True)]
-    n = total([o.cast("int") for o in ok])
-    mean = lambda cs: F.try_divide(total([F.when(o, c).otherwise(F.lit(0.0)) for o, c in zip(ok, cs, strict=True)]), n.cast("double"))
-    mx, my, tx, ty = mean([p[0] for p in points]), mean([p[1] for p in points]), mean([q[0] for q in template]), mean([q[1] for q in template])
-    cross = lambda us, um, vs, vm: total([F.when(o, (u - um) * (v - vm)).otherwise(F.lit(0.0)) for o, u, v in zip(ok, us, vs, strict=True)])
-    px, py, qx, qy = [p[0] for p in points], [p[1] for p in points], [q[0] for q in template], [q[1] for q in template]
-    xx, xy, yy = cross(px, mx, px, mx), cross(px, mx, py, my), cross(py, my, py, my)
-    b = [[cross(px, mx, qx, tx), cross(px, mx, qy, ty)], [cross(py, my, qx, tx), cross(py, my, qy, ty)]]
-    return {"__n": n, "__mx": mx, "__my": my, "__tx": tx, "__ty": ty, "__xx": xx, "__xy": xy, "__yy": yy, "__b00": b[0][0], "__b01": b[0][1], "__b10": b[1][0], "__b11": b[1][1]}
-
-
-def solved(least: int = 3, tiny: float = 1e-12) -> list[dict[str, Column]]:
-    """Steps of ``withColumns`` from the sums of ``alignment`` to its results; several, so that generated methods stay small."""
     c = F.col
     d = c("__xx") * c("__yy") - c("__xy") * c("__xy")
     fits = (c("__n") >= least) & (F.abs(d) > tiny)

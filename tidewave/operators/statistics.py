@@ -93,8 +93,8 @@ def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels:
         total = stats.agg(F.sum("n").alias("n")).first()["n"]
         if not total or total <= p:
             return []
-        grid = [0.0, *np.geomspace(1e-4, 1e3, 22)]
-        for _ in range(2):
+        grid = [0.0, *np.geomspace(1e-3, 1e2, 6)]
+        for width in (2.0, 1.3, 1.1, 0):
             # the inverse of (I + ratio J) is I - ratio / (1 + n ratio) J
             shrink = lambda r: F.lit(float(r)) / (1 + F.col("n") * float(r))
             sums = [F.sum(F.col(f"p_{a}_{b}") - shrink(r) * F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"m{g}_{i}") for g, r in enumerate(grid) for i, (a, b) in enumerate(pairs)]
@@ -114,7 +114,7 @@ def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels:
                 if best is None or reml > best[0]:
                     best = reml, r, beta, s2 * inverse
             at = best[1]
-            grid = [0.0, *np.geomspace(max(at / 2, 1e-6), max(at * 2, 1e-5), 12)]
+            grid = [*np.geomspace(max(at / (1 + width), 1e-6), max(at * (1 + width), 1e-5), 6)]
     finally:
         stats.unpersist()
     _, _, beta, cov = best

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import series, tabular
+
 
 def queries() -> dict:
-    return {}
+    return series.Q | tabular.Q
 
 
 def oracle_sql() -> dict:
-    return {}
+    return series.SQL | tabular.SQL
