@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import documents, map_batches, stored
 
 #: Words whose ids a task remembers; once a text has gone beyond it, it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 
 def byte_letters() -> dict[int, str]:
