@@ -23,28 +23,39 @@ from .shared import documents, map_batches, stored
 
 SEED = 42
 PIVOTS = 32
-BLOCKS = 6
+
+#: Search for similar texts: bits of a key, tables, uncertain bits that flip in a probe, bits that candidates differ in at most.
+PROBE_BITS, PROBE_TABLES, PROBE_FLIPS, PROBE_TOLERANCE = 20, 6, 4, 15
+
+#: From this number of rows on a bucket's rows are held against leaders.
+LONG_BUCKET = 48
 
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
 SHINGLES_AT_ONCE = 65_536
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit SimHash of a text in UTF-8; a bit is set if it is set in over half the shingles' hashes. No words: zero."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z and [\x20\x09-\x0D] alone
-    if not words:
-        return 0
     if len(words) <= shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), grams), np.uint64)
+
+
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """For each bit how many more hashes have it than not."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), SHINGLES_AT_ONCE):
         part = hashes[at : at + SHINGLES_AT_ONCE]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+    return 2 * ones - len(hashes)
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The 64-bit SimHash of a text in UTF-8; a bit is set if it is set in over half the shingles' hashes. No words: zero."""
+    return int(np.packbits(votes(shingle_hashes(text, shingle)) > 0, bitorder="little").view(np.int64)[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -183,6 +194,163 @@ def near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFr
     return fps.join(labels, "fp").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def probes(docs: DataFrame, shingle: int) -> DataFrame:
+    """t, key, row, fp, base: each document under some bits of its fingerprint, and under what these become if its least certain ones flip.
+
+    Similar texts differ in bits whose vote was close; so a probe of one document is likely to be the base of the other.
+    """
+    rng = np.random.default_rng(SEED)
+    tables = [np.sort(rng.permutation(64)[:PROBE_BITS]) for _ in range(PROBE_TABLES)]
+    choices = (np.arange(1 << PROBE_FLIPS)[:, None] >> np.arange(PROBE_FLIPS) & 1).astype(np.uint64)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            balance = np.stack([votes(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)) for t in b.column("text")])
+            fps = np.packbits(balance > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            rows = b.column("row").to_numpy()
+            for t, bits in enumerate(tables):
+                unsure = bits[np.argsort(np.abs(balance[:, bits]), axis=1, kind="stable")[:, :PROBE_FLIPS]].astype(np.uint64)
+                flips = (np.uint64(1) << unsure) @ choices.T
+                keys = (fps & np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)))[:, None] ^ flips
+                n = flips.shape[1]
+                yield pa.record_batch(
+                    [pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(rows, n)), pa.array(np.repeat(fps, n).view(np.int64)), pa.array(np.tile(np.arange(n) == 0, len(rows)))],
+                    ["t", "key", "row", "fp", "base"],
+                )
+
+    return map_batches(docs, each, "t int, key long, row long, fp long, base boolean")
+
+
+def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
+    """(a, b): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; and (a, null) for the rows of long buckets.
+
+    A long bucket isn't compared pair by pair: its rows go, as they come, to the first leader within the tolerance, or
+    become leaders; only leaders are held.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(a: list[np.ndarray], b: list[np.ndarray], alone: list[np.ndarray]) -> pa.RecordBatch:
+            a, b, alone = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b, alone))
+            return pa.record_batch([pa.array(np.concatenate([a, alone])), pa.concat_arrays([pa.array(b), pa.nulls(len(alone), pa.int64())])], ["a", "b"])
+
+        held: list[np.ndarray] = []  # the last bucket so far, while it is short
+        at, leaders = None, None
+
+        def lead(found: list[tuple], row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            links, i = [], 0
+            while len(row):
+                if i == len(found):
+                    found.append((row[0], fp[0]))
+                    row, fp = row[1:], fp[1:]
+                near = np.bitwise_count(fp ^ found[i][1]) <= tolerance
+                links.append((row[near], np.full(int(near.sum()), found[i][0])))
+                row, fp, i = row[~near], fp[~near], i + 1
+            return links
+
+        def pairs(row: np.ndarray, fp: np.ndarray, base: np.ndarray, run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+            links = []
+            for o in range(1, LONG_BUCKET):
+                i = np.flatnonzero((run[:-o] == run[o:]) & (base[:-o] | base[o:])) if len(run) > o else np.empty(0, np.int64)
+                if o > 1 and not (len(run) > o and (run[:-o] == run[o:]).any()):
+                    break
+                i = i[(np.bitwise_count(fp[i] ^ fp[i + o]) <= tolerance) & (row[i] != row[i + o])]
+                links.append((row[i], row[i + o]))
+            return links
+
+        for batch in batches:
+            t, key, row, fp, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            if not len(t):
+                continue
+            fp, base = fp.view(np.uint64), base.astype(bool)
+            a, b, alone = [], [], []
+            take = lambda links: [(a.append(x), b.append(y)) for x, y in links]  # noqa: E731, B023
+            edges = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(t)]])
+            if at == (t[0], key[0]):
+                if leaders is None:
+                    row, fp, base = np.concatenate([held[0], row]), np.concatenate([held[1], fp]), np.concatenate([held[2], base])
+                    starts, ends = starts + len(held[0]), ends + len(held[0])
+                    starts[0] = 0
+                else:
+                    alone.append(row[: ends[0]])
+                    take(lead(leaders, row[: ends[0]], fp[: ends[0]]))
+                    if len(starts) == 1:
+                        yield out(a, b, alone)
+                        continue
+                    starts, ends = starts[1:], ends[1:]
+            elif held and leaders is None:
+                take(pairs(*held, np.zeros(len(held[0]), np.int64)))
+            at, leaders = (t[-1], key[-1]), None
+            size = ends - starts
+            run = np.repeat(np.arange(len(starts)), size)
+            short = np.repeat(size <= LONG_BUCKET, size) & (run < len(starts) - 1)
+            inside = slice(starts[0], None)
+            take(pairs(row[inside][short], fp[inside][short], base[inside][short], run[short]))
+            for lo, hi in zip(starts[size > LONG_BUCKET], ends[size > LONG_BUCKET], strict=True):
+                leaders = []
+                alone.append(row[lo:hi])
+                take(lead(leaders, row[lo:hi], fp[lo:hi]))
+            if size[-1] <= LONG_BUCKET:
+                leaders, held = None, [row[starts[-1] :], fp[starts[-1] :], base[starts[-1] :]]
+            yield out(a, b, alone)
+        if held and leaders is None:
+            links = pairs(*held, np.zeros(len(held[0]), np.int64))
+            yield out([x for x, _ in links], [y for _, y in links], [])
+
+    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), each, "a long, b long")
+
+
+def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, worked out in full."""
+    named = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)).view(np.int64) for t in b.column("text")]
+            yield pa.record_batch([b.column("row"), pa.array(own, pa.list_(pa.int64()))], ["row", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                union = len(x) + len(y) - both
+                good.append(union == 0 or both >= similarity * union)
+            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    known = stored(map_batches(docs.join(named, "row", "left_semi").select("row", "text"), sets, "row long, shingles array<long>"))
+    left, right = known.select(F.col("row").alias("a"), F.col("shingles").alias("x")), known.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compare, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all its columns, with one row of each group of texts that are similar: that of the smallest doc_id (a null doc_id comes last).
+
+    Fingerprints of texts with a Jaccard similarity of 0.8 differ in 10 bits of 64 or so, too many for tables that lose
+    none; so candidates come from probes of uncertain bits (recall is measured in the tests), and every pair is
+    verified on its whole sets of shingles. Rows of long buckets, which are held against leaders alone, are searched
+    again without those that had to go, until no pair is found. Texts without words are similar to each other.
+    """
+    numbered = documents(docs)
+    pool, links = numbered.select("row", "text"), None
+    while True:
+        found = stored(candidates(probes(pool, shingle), PROBE_TOLERANCE).distinct())
+        good = stored(similar_pairs(numbered, found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        if good.isEmpty():
+            break
+        links = good if links is None else stored(links.unionByName(good))
+        again = found.where("b is null").select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
+        pool = numbered.select("row", "text").join(again, "row", "left_semi")
+    if links is None:
+        return docs
+    grouped = numbered.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
+    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
+    return docs.withColumn("__kept_row", F.monotonically_increasing_id()).join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFrame:
     """``docs``, all its columns, with one row of each component: that of the smallest doc_id (a null doc_id comes last), the first in the scan of those."""
     found = near_duplicates(docs, shingle, tolerance)
