@@ -27,9 +27,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates on five-word shingles, that of the smallest doc_id.
 
-    Fingerprints within 3 bits go first, by pivot tables; then texts with a similarity of 0.8 or more.
+    Texts whose fingerprints are within 3 bits, by pivot tables, or whose similarity is 0.8 or more.
     """
-    return simhash.drop_similar(stored(simhash.drop_near_duplicates(docs, shingle=5)), shingle=5, similarity=0.8)
+    return simhash.drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,9 @@ PIVOTS = 32
 #: Search for similar texts: bits of a key, tables, uncertain bits that flip in a probe, bits that candidates differ in at most.
 PROBE_BITS, PROBE_TABLES, PROBE_FLIPS, PROBE_TOLERANCE = 20, 6, 4, 15
 
+#: Rows named by candidate pairs are broadcast up to this number (8 bytes each, 8 MB); beyond it the join shuffles texts.
+BROADCAST_ROWS = 1_000_000
+
 #: From this number of rows on a bucket's rows are held against leaders.
 LONG_BUCKET = 48
 
@@ -194,33 +197,47 @@ def near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFr
     return fps.join(labels, "fp").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def probes(docs: DataFrame, shingle: int) -> DataFrame:
-    """t, key, row, fp, base: each document under some bits of its fingerprint, and under what these become if its least certain ones flip.
+def probe_tables() -> list[np.ndarray]:
+    """The bits of each table's keys."""
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.permutation(64)[:PROBE_BITS]) for _ in range(PROBE_TABLES)]
+
+
+def marks(docs: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, fp, unsure: for each table the bits of its key whose votes were closest, a byte each."""
+    tables = probe_tables()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            balance = np.array([votes(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)) for t in b.column("text")]).reshape(-1, 64)
+            fps = np.packbits(balance > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
+            unsure = np.concatenate([bits[np.argsort(np.abs(balance[:, bits]), axis=1, kind="stable")[:, :PROBE_FLIPS]] for bits in tables], axis=1).astype(np.uint8)
+            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(fps), pa.array([x.tobytes() for x in unsure], pa.binary())], ["row", "doc_id", "fp", "unsure"])
+
+    return map_batches(docs, each, "row long, doc_id long, fp long, unsure binary")
+
+
+def probes(marked: DataFrame) -> DataFrame:
+    """t, key, row, fp, base: each document under some bits of its fingerprint, and under what these become if the least certain ones flip.
 
     Similar texts differ in bits whose vote was close; so a probe of one document is likely to be the base of the other.
     """
-    rng = np.random.default_rng(SEED)
-    tables = [np.sort(rng.permutation(64)[:PROBE_BITS]) for _ in range(PROBE_TABLES)]
+    masks = [np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)) for bits in probe_tables()]
     choices = (np.arange(1 << PROBE_FLIPS)[:, None] >> np.arange(PROBE_FLIPS) & 1).astype(np.uint64)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            balance = np.stack([votes(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)) for t in b.column("text")])
-            fps = np.packbits(balance > 0, axis=1, bitorder="little").view(np.uint64)[:, 0]
-            rows = b.column("row").to_numpy()
-            for t, bits in enumerate(tables):
-                unsure = bits[np.argsort(np.abs(balance[:, bits]), axis=1, kind="stable")[:, :PROBE_FLIPS]].astype(np.uint64)
-                flips = (np.uint64(1) << unsure) @ choices.T
-                keys = (fps & np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)))[:, None] ^ flips
-                n = flips.shape[1]
+            rows, fps = b.column("row").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
+            unsure = np.frombuffer(b"".join(b.column("unsure").to_pylist()), np.uint8).reshape(len(rows), PROBE_TABLES, PROBE_FLIPS).astype(np.uint64)
+            for t, mask in enumerate(masks):
+                flips = (np.uint64(1) << unsure[:, t]) @ choices.T
+                keys, n = (fps & mask)[:, None] ^ flips, len(choices)
                 yield pa.record_batch(
                     [pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(rows, n)), pa.array(np.repeat(fps, n).view(np.int64)), pa.array(np.tile(np.arange(n) == 0, len(rows)))],
                     ["t", "key", "row", "fp", "base"],
                 )
 
-    return map_batches(docs, each, "t int, key long, row long, fp long, base boolean")
+    return map_batches(marked.select("row", "fp", "unsure"), each, "t int, key long, row long, fp long, base boolean")
 
 
 def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
@@ -299,12 +316,15 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
             links = pairs(*held, np.zeros(len(held[0]), np.int64))
             yield out([x for x, _ in links], [y for _, y in links], [])
 
-    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), each, "a long, b long")
+    # in the order of rows, so that buckets of the same documents have the same leaders
+    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key", "row"), each, "a long, b long")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, worked out in full."""
-    named = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    named = stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
+    if named.count() <= BROADCAST_ROWS:
+        named = F.broadcast(named)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,27 +346,33 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
     return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compare, "a long, b long")
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tolerance: int = 3) -> DataFrame:
     """``docs``, all its columns, with one row of each group of texts that are similar: that of the smallest doc_id (a null doc_id comes last).
 
+    Texts whose fingerprints are within ``tolerance`` bits are linked by the pivot tables, which lose none of them.
     Fingerprints of texts with a Jaccard similarity of 0.8 differ in 10 bits of 64 or so, too many for tables that lose
     none; so candidates come from probes of uncertain bits (recall is measured in the tests), and every pair is
     verified on its whole sets of shingles. Rows of long buckets, which are held against leaders alone, are searched
     again without those that had to go, until no pair is found. Texts without words are similar to each other.
     """
     numbered = documents(docs)
-    pool, links = numbered.select("row", "text"), None
+    marked = stored(marks(numbered, shingle))
+    first = stored(marked.groupBy("fp").agg(F.min("row").alias("v")))
+    near = near_links(first.select("fp"), tolerance)
+    ends = near.join(first.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(first.select("fp", F.col("v").alias("y")).withColumnRenamed("fp", "v"), "v")
+    links = marked.join(first, "fp").where("row > v").select(F.col("row").alias("u"), "v")
+    links = stored(links.union(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))))
+    pool = marked.join(links.select(F.col("u").alias("row")), "row", "left_anti")
     while True:
-        found = stored(candidates(probes(pool, shingle), PROBE_TOLERANCE).distinct())
-        good = stored(similar_pairs(numbered, found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        found = stored(candidates(probes(pool), PROBE_TOLERANCE).distinct())
+        pairs = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        good = stored(similar_pairs(numbered, pairs, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
         if good.isEmpty():
             break
-        links = good if links is None else stored(links.unionByName(good))
+        links = stored(links.unionByName(good))
         again = found.where("b is null").select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
-        pool = numbered.select("row", "text").join(again, "row", "left_semi")
-    if links is None:
-        return docs
-    grouped = numbered.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
+        pool = marked.join(again, "row", "left_semi")
+    grouped = marked.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
     return docs.withColumn("__kept_row", F.monotonically_increasing_id()).join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
