@@ -241,7 +241,7 @@ def probes(marked: DataFrame) -> DataFrame:
 
 
 def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
-    """(a, b): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; and (a, null) for the rows of long buckets.
+    """(a, b): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; in a long bucket (row, leader) and (leader, null).
 
     A long bucket isn't compared pair by pair: its rows go, as they come, to the first leader within the tolerance, or
     become leaders; only leaders are held.
@@ -250,16 +250,18 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(a: list[np.ndarray], b: list[np.ndarray], alone: list[np.ndarray]) -> pa.RecordBatch:
             a, b, alone = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b, alone))
-            return pa.record_batch([pa.array(np.concatenate([a, alone])), pa.concat_arrays([pa.array(b), pa.nulls(len(alone), pa.int64())])], ["a", "b"])
+            led = np.concatenate([b, np.full(len(alone), -1)])  # a leader has none; rows aren't negative
+            return pa.record_batch([pa.array(np.concatenate([a, alone])), pa.array(led, mask=led < 0)], ["a", "b"])
 
         held: list[np.ndarray] = []  # the last bucket so far, while it is short
         at, leaders = None, None
 
-        def lead(found: list[tuple], row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        def lead(found: list[tuple], leading: list, row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             links, i = [], 0
             while len(row):
                 if i == len(found):
                     found.append((row[0], fp[0]))
+                    leading.append(row[:1])
                     row, fp = row[1:], fp[1:]
                 near = np.bitwise_count(fp ^ found[i][1]) <= tolerance
                 links.append((row[near], np.full(int(near.sum()), found[i][0])))
@@ -291,8 +293,7 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
                     starts, ends = starts + len(held[0]), ends + len(held[0])
                     starts[0] = 0
                 else:
-                    alone.append(row[: ends[0]])
-                    take(lead(leaders, row[: ends[0]], fp[: ends[0]]))
+                    take(lead(leaders, alone, row[: ends[0]], fp[: ends[0]]))
                     if len(starts) == 1:
                         yield out(a, b, alone)
                         continue
@@ -307,8 +308,7 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
             take(pairs(row[inside][short], fp[inside][short], base[inside][short], run[short]))
             for lo, hi in zip(starts[size > LONG_BUCKET], ends[size > LONG_BUCKET], strict=True):
                 leaders = []
-                alone.append(row[lo:hi])
-                take(lead(leaders, row[lo:hi], fp[lo:hi]))
+                take(lead(leaders, alone, row[lo:hi], fp[lo:hi]))
             if size[-1] <= LONG_BUCKET:
                 leaders, held = None, [row[starts[-1] :], fp[starts[-1] :], base[starts[-1] :]]
             yield out(a, b, alone)
@@ -370,7 +370,10 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tol
         if good.isEmpty():
             break
         links = stored(links.unionByName(good))
-        again = found.where("b is null").select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
+        # rows that a leader of a long bucket stood for, and the leaders, may have partners that weren't looked at
+        leaders = found.where("b is null").select("a").distinct()
+        led = found.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+        again = leaders.union(led).select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
         pool = marked.join(again, "row", "left_semi")
     grouped = marked.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
