@@ -331,19 +331,11 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
             own = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)).view(np.int64) for t in b.column("text")]
             yield pa.record_batch([b.column("row"), pa.array(own, pa.list_(pa.int64()))], ["row", "shingles"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                union = len(x) + len(y) - both
-                good.append(union == 0 or both >= similarity * union)
-            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     known = stored(map_batches(docs.join(named, "row", "left_semi").select("row", "text"), sets, "row long, shingles array<long>"))
     left, right = known.select(F.col("row").alias("a"), F.col("shingles").alias("x")), known.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compare, "a long, b long")
+    both = F.size(F.array_intersect("x", "y"))  # in the JVM, row by row: two sets of a very long text are large
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
+    return compared.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tolerance: int = 3) -> DataFrame:
