@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewave.operators import calculus, matching, signal, splits, windows
+from tidewave.operators import calculus, matching, physiology, selection, signal, splits, windows
 
 
 def test_count_windows_are_complete_ones(spark):
@@ -46,3 +46,70 @@ def test_holm_has_no_running_maximum(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "n string, p double")
     found = {r["n"]: round(r["p_holm"], 6) for r in calculus.holm(df, "p", [], ["n"]).collect()}
     assert found == {"a": 0.03, "c": 0.06, "b": 0.04}
+
+
+def test_r_peaks_are_the_spikes(spark):
+    at = [40 + 50 * i for i in range(10)]
+    rows = [(1, i, 10.0 if i in at else 4.0 if i - 1 in at or i + 1 in at else 0.01 * (i % 3)) for i in range(600)]
+    found = physiology.r_peaks(spark.createDataFrame(rows, "k long, i long, x double"), ["k"], ["i"], "x", 60.0).collect()
+    assert sorted(r["frame"] for r in found) == at
+    assert {r["height"] for r in found} == {10.0}
+    empty = spark.createDataFrame([(1, 0, None), (1, 1, None)], "k long, i long, x double")
+    assert physiology.r_peaks(empty, ["k"], ["i"], "x", 60.0).count() == 0
+
+
+def test_power_lies_in_the_band_of_the_rhythm(spark):
+    t, rows = 0.0, []
+    for _ in range(150):
+        rr = float(800 + 50 * np.sin(2 * np.pi * 0.25 * t))
+        t += rr / 1000
+        rows.append((1, t, rr))
+    found = physiology.hrv_frequency(spark.createDataFrame(rows, "k long, t double, rr double"), ["k"], "t", steps=64).first()
+    assert found["n_rr"] == 150 and found["hrv_hfn"] > 0.95
+    assert 0.6 < found["hrv_hf"] / (50 * 50 / 2) < 1.4  # the variance of the rhythm
+
+
+def test_sample_entropy_counts_all_pairs():
+    x = np.random.default_rng(1).normal(size=80)
+    within, n = 0.2 * x.std(ddof=1), 78
+    plain = [sum(max(abs(x[i + k] - x[j + k]) for k in range(m)) <= within for i in range(n) for j in range(i + 1, n)) for m in (2, 3)]
+    assert np.isclose(physiology.sample_entropy(x), -np.log(plain[1] / plain[0]))
+    assert physiology.sample_entropy(np.arange(3.0)) is None
+
+
+def test_scaling_exponent_of_noise_and_walk():
+    noise = np.random.default_rng(2).normal(size=4000)
+    assert abs(physiology.scaling_exponent(noise) - 0.55) < 0.12
+    assert physiology.scaling_exponent(np.cumsum(noise)) > 1.3
+    assert physiology.scaling_exponent(np.full(100, 1.0)) is None
+
+
+def test_responses_rise_from_their_trough(spark):
+    x = [0.0, -1.0, 4.0, 1.0, 1.3, 0.9, 0.0, 2.0, 0.0]
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate(x)], "k long, i long, x double")
+    found = physiology.scr_peaks(df, ["k"], ["i"], "x").where("scr_peak").collect()
+    assert {r["i"]: round(r["scr_amplitude"], 6) for r in found} == {2: 5.0, 7: 2.0}
+
+
+def test_a_permuted_column_keeps_its_values(spark):
+    df = spark.range(500).select(F.col("id"), (F.col("id") * 2).alias("x"), F.lit(1).alias("y"))
+    found = selection.permuted(df, "id", "x", groups=4).collect()
+    assert sorted(r["x"] for r in found) == [2 * i for i in range(500)] and {r["id"] for r in found} == set(range(500))
+    assert sum(r["x"] == 2 * r["id"] for r in found) < 50
+
+
+def test_selection_drops_noise(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(i % 2), 1.0, i % 2 + 0.1 * float(rng.normal()), float(rng.normal())) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, label double, weight double, good double, noise double")
+    make = lambda features: selection.forest(features, trees=5, depth=3)
+    steps = selection.backward_elimination(df, "id", ["good", "noise"], folds=2, make=make)
+    assert [(s[1], s[4]) for s in steps] == [(2, ["noise"]), (1, [])]
+    assert steps[-1][2] > 0.95
+
+
+def test_components_explain_their_share(spark):
+    rows = [(float(i % 17), 2.0 * (i % 17), float(i * 7 % 13)) for i in range(200)]
+    out, shares = selection.principal_components(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], 0.95)
+    assert len(shares) == 2 and sum(shares) > 0.95
+    assert out.columns == ["a", "b", "c", "components"] and out.first()["components"].size == 2

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import autocorrelation
+from .signal import low_pass
 
 
 def rr_intervals(peaks: DataFrame, keys: list[str], t: str) -> DataFrame:
@@ -42,3 +45,113 @@ def eda(df: DataFrame, keys: list[str], order: list[str], is_peak: str, amplitud
         autocorrelation(F.col(signal), F.col("__prev")).alias("eda_autocorrelation"),
     )
     return found.where(F.col("__known") == F.col("n")).drop("__known")
+
+
+def r_peaks(df: DataFrame, keys: list[str], order: list[str], x: str, rate: float, factor: float = 1.5, half: float = 0.06, refractory: float = 0.3, around: float = 2.0) -> DataFrame:
+    """Beats of a sampled signal: the keys, ``frame`` (from 0) and ``height`` of each R peak.
+
+    The energy of the slope, averaged over ``half`` seconds on both sides, must be the highest within the refractory
+    time and exceed ``factor`` times its mean ``around`` the beat; the peak is the highest sample within ``half`` of it
+    (the first of equal ones). All frames are over one ordering, so a recording is shuffled and sorted once. NULLs have
+    no slope and are no peak. Equivalent to the usual slope detectors, not equal to any of them bit by bit.
+    """
+    near, apart, far = (max(1, round(s * rate)) for s in (half, refractory, around))
+    part = Window.partitionBy(*keys).orderBy(*order)
+    slope = F.col(x) - F.lag(x).over(part)
+    timed = df.withColumns({"__slope": slope * slope, "frame": F.row_number().over(part) - 1})
+    energy = timed.withColumn("__energy", F.avg("__slope").over(part.rowsBetween(-near, near)))
+    top = energy.withColumns({
+        "__level": F.avg("__energy").over(part.rowsBetween(-far, far)),
+        "__before": F.coalesce(F.max("__energy").over(part.rowsBetween(-apart, -1)), F.lit(-1.0)),
+        "__after": F.coalesce(F.max("__energy").over(part.rowsBetween(1, apart)), F.lit(-1.0)),
+        "__peak": F.max(F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("height"), (-F.col("frame")).alias("back")))).over(part.rowsBetween(-near, near)),
+    })
+    beats = top.where((F.col("__energy") > F.col("__level") * factor) & (F.col("__energy") > F.col("__before")) & (F.col("__energy") >= F.col("__after")) & F.col("__peak").isNotNull())
+    return beats.select(*keys, (-F.col("__peak.back")).cast("int").alias("frame"), F.col("__peak.height").alias("height")).distinct()
+
+
+#: Very low, low and high frequencies in Hz.
+BANDS = {"vlf": (0.0033, 0.04), "lf": (0.04, 0.15), "hf": (0.15, 0.4)}
+
+
+def hrv_frequency(rr: DataFrame, keys: list[str], t: str, bands: dict[str, tuple[float, float]] = BANDS, steps: int = 8, least: int = 5) -> DataFrame:
+    """Power of the intervals in each band (ms squared), its share of lf + hf, and lf / hf, without resampling.
+
+    The periodogram of the unevenly spaced intervals is taken at ``steps`` frequencies in the middle of equal parts of a
+    band; a band's power is their mean density times its width. Each interval becomes one row for each frequency inside
+    a task; means, sums and bands keep the partitioning by key, so nothing is shuffled twice.
+    """
+    grid = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(lo + (hi - lo) * (i + 0.5) / steps).alias("f"), F.lit(hi - lo).alias("width")) for b, (lo, hi) in bands.items() for i in range(steps)])
+    whole = Window.partitionBy(*keys)
+    known = rr.where(F.col("rr").isNotNull()).select(*keys, F.col(t).alias("__t"), "rr")
+    centred = known.withColumns({"__x": F.col("rr") - F.avg("rr").over(whole), "__at": F.col("__t") - F.min("__t").over(whole)})
+    turn = F.col("g.f") * F.col("__at") * 6.283185307179586
+    spread = centred.withColumn("g", F.explode(grid)).select(*keys, "rr", F.col("g.band").alias("band"), F.col("g.f").alias("f"), F.col("g.width").alias("width"), (F.col("__x") * F.cos(turn)).alias("c"), (F.col("__x") * F.sin(turn)).alias("s"))
+    lines = spread.groupBy(*keys, "band", "f", "width").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s"), (F.sum("rr") / 1000).alias("span"))
+    density = 2 * (F.col("c") * F.col("c") + F.col("s") * F.col("s")) * F.col("span") / (F.col("n") * F.col("n"))
+    power = {b: F.sum(F.when(F.col("band") == b, density * F.col("width") / steps)) for b in bands}
+    found = lines.groupBy(*keys).agg(F.first("n").alias("n_rr"), *[p.alias(f"hrv_{b}") for b, p in power.items()]).where(F.col("n_rr") >= least)
+    both = F.col("hrv_lf") + F.col("hrv_hf")
+    return found.withColumns({"hrv_lfn": F.try_divide("hrv_lf", both), "hrv_hfn": F.try_divide("hrv_hf", both), "hrv_lfhf": F.try_divide("hrv_lf", "hrv_hf")})
+
+
+def matching_templates(x: np.ndarray, m: int, within: float, n: int) -> int:
+    """Pairs among the first ``n`` stretches of ``m`` values that differ by at most ``within`` everywhere; one row at a time, in memory of n values."""
+    at = np.lib.stride_tricks.sliding_window_view(x, m)[:n]
+    return sum(int((np.abs(at[i + 1 :] - at[i]).max(axis=1, initial=0) <= within).sum()) for i in range(len(at) - 1))
+
+
+def sample_entropy(x: np.ndarray, m: int = 2, share: float = 0.2) -> float | None:
+    """-ln of the chance that stretches of ``m`` values which match, within ``share`` of the sd, also match in the next value; None without matches."""
+    if len(x) < m + 2:
+        return None
+    within, n = share * x.std(ddof=1), len(x) - m
+    short, long = matching_templates(x, m, within, n), matching_templates(x, m + 1, within, n)
+    return float(-np.log(long / short)) if long and short else None
+
+
+def scaling_exponent(x: np.ndarray, sizes: tuple[int, ...] = tuple(range(4, 17))) -> float | None:
+    """Short-term exponent of detrended fluctuations; None for fewer values than two boxes of the largest size, or without change."""
+    if len(x) < 2 * sizes[-1] or not x.std():
+        return None
+    walk, out = np.cumsum(x - x.mean()), []
+    for s in sizes:
+        boxes = walk[: len(walk) // s * s].reshape(-1, s).T
+        line = np.column_stack([np.arange(s), np.ones(s)])
+        left = boxes - line @ np.linalg.lstsq(line, boxes, rcond=None)[0]
+        out.append(np.sqrt((left * left).mean()))
+    return float(np.polyfit(np.log(sizes), np.log(out), 1)[0]) if min(out) > 0 else None
+
+
+def hrv_nonlinear(rr: DataFrame, keys: list[str], t: str, least: int = 5) -> DataFrame:
+    """n_rr, sample entropy and short-term scaling exponent of each window. A window of seconds holds a bounded number of beats, so its intervals fit one row."""
+
+    @F.pandas_udf("hrv_sampen double, hrv_dfa_alpha1 double")
+    def of(series: pd.Series) -> pd.DataFrame:
+        arrays = [np.asarray(x, float) for x in series]
+        return pd.DataFrame({"hrv_sampen": pd.Series([sample_entropy(x) for x in arrays], dtype=float), "hrv_dfa_alpha1": pd.Series([scaling_exponent(x) for x in arrays], dtype=float)})
+
+    ordered = F.sort_array(F.collect_list(F.when(F.col("rr").isNotNull(), F.struct(F.col(t).alias("t"), "rr"))))
+    lists = rr.groupBy(*keys).agg(F.transform(ordered, lambda r: r["rr"]).alias("__rr")).where(F.size("__rr") >= least)
+    measured = lists.select(*keys, F.size("__rr").alias("n_rr"), of("__rr").alias("m")).select(*keys, "n_rr", "m.*")
+    return measured.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("hrv_sampen", "hrv_dfa_alpha1")})
+
+
+def eda_split(df: DataFrame, key: str, order: list[str], x: str, rate: float, cutoff: float = 0.05) -> DataFrame:
+    """``tonic``, what a zero-phase low-pass leaves of the signal, and ``phasic``, the rest."""
+    low = low_pass(df, key, order, x, cutoff, rate, order=2)
+    return low.withColumnRenamed(f"{x}_smooth", "tonic").withColumn("phasic", F.col(x) - F.col("tonic"))
+
+
+def scr_peaks(df: DataFrame, keys: list[str], order: list[str], phasic: str, least: float = 0.1) -> DataFrame:
+    """Adds ``scr_amplitude``, the rise of a local maximum above the trough before it, and ``scr_peak``: whether that is at least ``least`` of the recording's largest.
+
+    Other rows have a NULL amplitude. A maximum with no trough before it is no response. All over one ordering of a recording.
+    """
+    part = Window.partitionBy(*keys).orderBy(*order)
+    x, before, after = F.col(phasic), F.lag(phasic).over(part), F.lead(phasic).over(part)
+    marked = df.withColumns({"__top": (x > before) & (x >= after), "__low": F.when((x < before) & (x <= after), x)})
+    onset = F.last("__low", ignorenulls=True).over(part.rowsBetween(Window.unboundedPreceding, -1))
+    risen = marked.withColumn("scr_amplitude", F.when(F.col("__top"), x - onset))
+    largest = F.max("scr_amplitude").over(Window.partitionBy(*keys))
+    return risen.withColumn("scr_peak", F.coalesce(F.col("scr_amplitude") >= largest * least, F.lit(False))).drop("__top", "__low")

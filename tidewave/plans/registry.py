@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import series, tabular
+from . import kernels, series, tabular
 
 
 def queries() -> dict:
-    return series.Q | tabular.Q
+    return series.Q | tabular.Q | kernels.Q
 
 
 def oracle_sql() -> dict:
-    return series.SQL | tabular.SQL
+    return series.SQL | tabular.SQL | kernels.SQL
