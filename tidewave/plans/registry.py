@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import kernels, series, tabular
+from . import kernels, pose, series, tabular
 
 
 def queries() -> dict:
-    return series.Q | tabular.Q | kernels.Q
+    return series.Q | tabular.Q | kernels.Q | pose.Q
 
 
 def oracle_sql() -> dict:
-    return series.SQL | tabular.SQL | kernels.SQL
+    return series.SQL | tabular.SQL | kernels.SQL | pose.SQL
