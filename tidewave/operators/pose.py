@@ -95,15 +95,13 @@ def aligned_metrics(df: DataFrame, templates: DataFrame, keys: list[str], least:
     else:
         one = templates.first()  # two numbers a landmark
         framed, template = df, {i: tuple(F.lit(one[f"__t{a}{i}"]).cast("double") for a in "xy") for i in RELEVANT}
-    quads = {i: (*point(i), *template[i]) for i in RELEVANT}
-    known = {i: reduce(lambda a, b: a & b, [c.isNotNull() for c in q]) for i, q in quads.items()}
-    each = lambda f: total([F.when(known[i], f(*quads[i])).otherwise(F.lit(0.0)) for i in RELEVANT])
-    n = F.col("__n")
-    framed = framed.withColumn("__n", each(lambda *_: F.lit(1.0)))
-    framed = framed.withColumns({f"__{k}": F.try_divide(each(lambda *q, a=a: q[a]), n) for a, k in enumerate(("mx", "my", "tx", "ty"))})
-    mid = [F.col(f"__{k}") for k in ("mx", "my", "tx", "ty")]
-    products = {"xx": (0, 0), "xy": (0, 1), "yy": (1, 1), "b00": (0, 2), "b01": (0, 3), "b10": (1, 2), "b11": (1, 3)}
-    framed = framed.withColumns({f"__{k}": each(lambda *q, a=a, b=b: (q[a] - mid[a]) * (q[b] - mid[b])) for k, (a, b) in products.items()})
+    quads = F.array(*[F.struct(*[c.alias(k) for k, c in zip("xyuv", (*point(i), *template[i]), strict=True)]) for i in RELEVANT])
+    framed = framed.withColumn("__q", F.filter(quads, lambda q: q.x.isNotNull() & q.y.isNotNull() & q.u.isNotNull() & q.v.isNotNull()))
+    each = lambda f: F.aggregate("__q", F.lit(0.0), lambda a, q: a + f(q))
+    mid = {"x": "__mx", "y": "__my", "u": "__tx", "v": "__ty"}
+    framed = framed.withColumn("__n", F.size("__q")).withColumns({m: F.try_divide(each(lambda q, k=k: q[k]), F.col("__n")) for k, m in mid.items()})
+    products = {"xx": "xx", "xy": "xy", "yy": "yy", "b00": "xu", "b01": "xv", "b10": "yu", "b11": "yv"}
+    framed = framed.withColumns({f"__{k}": each(lambda q, a=a, b=b: (q[a] - F.col(mid[a])) * (q[b] - F.col(mid[b]))) for k, (a, b) in products.items()})
     for step in solved(least):
         framed = framed.withColumns(step)
     cos, sin, flip = F.cos("theta"), F.sin("theta"), F.col("__flip")
