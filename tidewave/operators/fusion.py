@@ -54,3 +54,20 @@ def merged_classes(df: DataFrame, column: str, classes: dict[str, list[str]]) ->
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Rows of ``new``, and those of ``old`` whose key isn't among them; columns that one side lacks are NULL."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+def without_empty(df: DataFrame) -> DataFrame:
+    """``df`` without the columns that are NULL in every row; one aggregate over all columns finds them."""
+    known = df.agg(*[F.count(F.col(f"`{c}`")).alias(str(i)) for i, c in enumerate(df.columns)]).first()
+    return df.select(*[F.col(f"`{c}`") for i, c in enumerate(df.columns) if known[i]])
+
+
+def without_brackets(df: DataFrame) -> DataFrame:
+    """Text columns without square brackets."""
+    return df.withColumns({c: F.regexp_replace(f"`{c}`", r"[\[\]]", "") for c, kind in df.dtypes if kind == "string"})
+
+
+def columns_first(df: DataFrame, first: list[str]) -> DataFrame:
+    """The named columns that are there come first."""
+    head = [c for c in first if c in df.columns]
+    return df.select(*head, *[c for c in df.columns if c not in head])

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,6 @@ def consumed(df: DataFrame, key: str, t: str, row: str, is_start: Column, is_ans
     Returns key, start row, answer row (NULL if none). A start can only wait for answers ``reach`` ahead, so rows apart
     by more than that never meet: runs without such a gap are the groups, and a recording isn't held as a whole.
     """
-    from pyspark.sql import Window
-
     part = Window.partitionBy(key).orderBy(t, row)
     used = df.select(key, t, row, is_start.alias("s"), is_answer.alias("a")).where("s or a")
     gap = (F.col(t) - F.lag(t).over(part) > reach).cast("int")
@@ -94,3 +92,17 @@ def fixations(df: DataFrame, key: list[str], t: str, x: str, y: str, radius: flo
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", start double, end double, duration double, x double, y double"
     return df.select(*key, *names).groupBy(*key).applyInPandas(fold, schema)
+
+
+def responses(df: DataFrame, key: str, t: str, row: str, is_start: Column, is_answer: Column, follow: str, reach: float) -> DataFrame:
+    """For each start its first answer within ``reach``, and ``follow`` of the two rows after that answer in its recording: ``outcome``, ``reaction``.
+
+    The followers are neighbours in the recording as it is, before rows of other kinds are dropped.
+    """
+    part = Window.partitionBy(key).orderBy(t, row)
+    logged = df.withColumns({"outcome": F.lead(follow, 1).over(part), "reaction": F.lead(follow, 2).over(part)})
+    answers = logged.where(is_answer).select(key, t, row, "outcome", "reaction")
+    pairs = bucketed(df.where(is_start).select(key, t, row), answers, key, t, reach)
+    first = F.min_by(F.struct(F.col(f"{row}_a").alias("answer_row"), F.col("outcome_a").alias("outcome"), F.col("reaction_a").alias("reaction")), F.struct(f"{t}_a", f"{row}_a"))
+    best = pairs.groupBy(row).agg(first.alias("__m")).select(row, "__m.*")
+    return df.where(is_start).select(key, t, row).join(best, row, "left")

@@ -45,3 +45,9 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     counts = df.groupBy(label).agg(F.count("*").alias("__c"))
     total = counts.agg(F.sum("__c").alias("n"), F.count("*").alias("k")).first()
     return df.join(counts, label).withColumn("weight", F.lit(float(total["n"] or 0)) / (F.lit(float(total["k"] or 1)) * F.col("__c"))).drop("__c")
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[Column | str], n: int) -> DataFrame:
+    """``side``: of each key the first ``n`` in the order are train, the rest test. Order by time, or by ``spread`` for a random draw."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("side", F.when(rank <= n, "train").otherwise("test"))

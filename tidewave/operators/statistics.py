@@ -152,3 +152,27 @@ def over_seeds(df: DataFrame, levels: list[list[str]], metric: str) -> DataFrame
         df = df.groupBy(*keys).agg(F.avg(metric).alias(metric))
     last: list[Column] = [F.avg(metric).alias(f"{metric}_mean"), F.stddev_samp(metric).alias(f"{metric}_std"), F.count("*").alias("n")]
     return df.groupBy(*levels[-1]).agg(*last)
+
+
+def mean_confusion(df: DataFrame, run: str, truth: str, predicted: str) -> DataFrame:
+    """truth, predicted, mean: the counts of each cell averaged over the runs; a cell that a run lacks counts as 0 there."""
+    cells = df.groupBy(run, truth, predicted).agg(F.count("*").alias("n"))
+    runs = cells.select(run).distinct().agg(F.count("*").alias("r")).first()["r"]  # one number
+    return cells.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg((F.sum("n") / F.lit(float(runs or 1))).alias("mean"))
+
+
+def sem_from_interval(low: Column, high: Column) -> Column:
+    """Standard error from the ends of a 95 % interval."""
+    return (high - low) / (2 * 1.96)
+
+
+def eliminated(df: DataFrame, feature: str, importance: str, share: float, least: int) -> DataFrame:
+    """feature, importance (mean over folds), rank, dropped: the max(1, floor(share n)) least important go, while ``least`` stay.
+
+    The ranking is over one row a feature.
+    """
+    means = df.groupBy(feature).agg(F.avg(importance).alias("importance"))
+    n = F.count("*").over(Window.partitionBy())
+    rank = F.row_number().over(Window.orderBy("importance", feature))
+    gone = F.least(F.greatest(F.lit(1), F.floor(n * F.lit(share))), F.greatest(F.lit(0), n - least))
+    return means.withColumns({"rank": rank, "dropped": rank <= gone})

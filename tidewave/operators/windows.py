@@ -61,3 +61,15 @@ def statistics(df: DataFrame, keys: list[str], x: str, order: list[str], minimum
     }
     valid = F.count(v) >= minimum if minimum else None
     return lagged.groupBy(*keys).agg(F.count(v).alias("n"), *[(F.when(valid, e) if minimum else e).alias(k) for k, e in found.items()])
+
+
+def every_nth(df: DataFrame, n: int, index: str = "window_index") -> DataFrame:
+    """Each n-th window, so that half-overlapping ones share no samples."""
+    return df.where(F.col(index) % n == 0)
+
+
+def judged(df: DataFrame, keys: list[str], x: str, most_missing: float, least_rows: int) -> DataFrame:
+    """One row a window: n, missing (share), status (ok or skipped), reason. Windows that are dropped later keep their index."""
+    found = df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(F.col(x).isNull().cast("double")).alias("missing"))
+    reason = F.when(F.col("n") < least_rows, "too short").when(F.col("missing") > most_missing, "too much missing")
+    return found.withColumns({"status": F.when(reason.isNull(), "ok").otherwise("skipped"), "reason": reason})

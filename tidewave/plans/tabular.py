@@ -409,3 +409,118 @@ def rf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = Pipeline(stages=[Imputer(inputCols=names, outputCols=names, strategy="median"), VectorAssembler(inputCols=names, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), RandomForestClassifier(numTrees=30, maxDepth=8, minInstancesPerNode=2, featureSubsetStrategy="log2", weightCol="weight", seed=1)]).fit(sided.where("side = 'train'"))
     found = statistics.scores(model.transform(sided.where("side = 'test'")), "label", "prediction")
     return found
+
+
+@query
+def event_response(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each error's first purchase within six hours, and the values of the user's next two events after it."""
+    kind = F.col("event_type")
+    return matching.responses(events(spark, sf_dir), "user_id", "t", "event_id", kind == "error", kind == "purchase", "value", REACH).drop("t")
+
+
+SQL["event_response"] = f"""WITH {EVENTS}, r AS (SELECT *, lead(value, 1) OVER w AS o, lead(value, 2) OVER w AS re FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+p AS (SELECT c.event_id, a.event_id AS answer_row, a.o, a.re, row_number() OVER (PARTITION BY c.event_id ORDER BY a.t, a.event_id) AS k FROM e c JOIN r a ON a.user_id = c.user_id AND a.event_type = 'purchase' AND a.t BETWEEN c.t AND c.t + {REACH} WHERE c.event_type = 'error')
+SELECT user_id, event_id, answer_row, o AS outcome, re AS reaction FROM e LEFT JOIN (SELECT * FROM p WHERE k = 1) USING (event_id) WHERE event_type = 'error'"""
+
+
+@query
+def sample_temporal_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten of each user's events are train."""
+    return splits.first_of(events(spark, sf_dir), ["user_id"], ["t", "event_id"], 10).select("event_id", "side")
+
+
+SQL["sample_temporal_first"] = f"WITH {EVENTS} SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) <= 10 THEN 'train' ELSE 'test' END AS side FROM e"
+
+
+@query
+def sample_stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three of each user's events of each kind, drawn by hash, are train."""
+    return splits.first_of(events(spark, sf_dir), ["user_id", "event_type"], [splits.spread(F.col("event_id"), 11), "event_id"], 3).select("event_id", "side")
+
+
+SQL["sample_stratified_draw"] = f"SELECT event_id, CASE WHEN row_number() OVER (PARTITION BY user_id, event_type ORDER BY {HASH.format(seed=11)}, event_id) <= 3 THEN 'train' ELSE 'test' END AS side FROM events"
+
+
+@query
+def confusion_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confusion matrices of the rule on length, averaged over languages."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") > 700).cast("int").alias("guess"))
+    found = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    return rounded(statistics.mean_confusion(found, "lang", "quality", "guess"), "mean")
+
+
+SQL["confusion_mean"] = """WITH j AS (SELECT lang, quality, (n_chars > 700)::INT AS guess FROM labels JOIN documents USING (doc_id))
+SELECT quality AS truth, guess AS predicted, round(count(*) / (SELECT count(*) FROM (SELECT DISTINCT lang FROM j))::DOUBLE, 6) AS mean FROM j GROUP BY 1, 2"""
+
+
+@query
+def sem_from_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Standard errors worked back from intervals of 1.96 of them around the means."""
+    found = statistics.by_group(events(spark, sf_dir), ["user_id"], "value")
+    ends = found.select("user_id", (F.col("mean") - 1.96 * F.col("sem")).alias("low"), (F.col("mean") + 1.96 * F.col("sem")).alias("high"))
+    return rounded(ends.select("user_id", statistics.sem_from_interval(F.col("low"), F.col("high")).alias("sem")), "sem", places=5)
+
+
+SQL["sem_from_ci"] = "SELECT user_id, round(stddev_samp(value) / sqrt(count(value)), 5) AS sem FROM events GROUP BY 1"
+
+
+@query
+def importance_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands by their mean discounted price over line numbers as folds; the lowest fifth goes, while ten stay."""
+    items = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    folds = items.groupBy("p_brand", "l_linenumber").agg(F.avg(F.col("l_extendedprice") * F.col("l_discount")).alias("importance"))
+    return rounded(statistics.eliminated(folds, "p_brand", "importance", 0.2, 10), "importance", places=4)
+
+
+SQL["importance_elimination"] = """WITH f AS (SELECT p_brand, l_linenumber, avg(l_extendedprice * l_discount) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL), m AS (SELECT p_brand, avg(v) AS v FROM f GROUP BY 1),
+r AS (SELECT p_brand, v, row_number() OVER (ORDER BY v, p_brand)::INT AS rank, count(*) OVER () AS n FROM m) SELECT p_brand, round(v, 4) AS importance, rank, rank <= least(greatest(1, floor(n * 0.2)), greatest(0, n - 10)) AS dropped FROM r"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir).withColumn("x", F.when(F.col("event_type") != "error", F.col("value")))
+    return windows.judged(windows.by_time(e, ["user_id"], "t", 2 * DAY, DAY), ["user_id", "window_index"], "x", 0.25, 3)
+
+
+JUDGED = f"""{EVENTS}, l AS (SELECT *, max(t) OVER (PARTITION BY user_id) AS last FROM e),
+w AS (SELECT l.*, k::INT AS window_index FROM l, range(0, 1000) g(k) WHERE k * {DAY} <= t AND t < k * {DAY} + {2 * DAY} AND k * {DAY} < last - {2 * DAY} + 1),
+a AS (SELECT user_id, window_index, count(*) AS n, avg((event_type = 'error' OR value IS NULL)::INT) AS missing FROM w GROUP BY ALL),
+j AS (SELECT *, CASE WHEN n < 3 THEN 'too short' WHEN missing > 0.25 THEN 'too much missing' END AS reason FROM a)"""
+
+
+@query
+def window_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows that are long enough and not too gappy, every second one, with their first index kept."""
+    return rounded(windows.every_nth(_judged(spark, sf_dir).where("status = 'ok'"), 2).select("user_id", "window_index", "n", "missing"), "missing")
+
+
+SQL["window_validity"] = f"WITH {JUDGED} SELECT user_id, window_index, n, round(missing, 6) AS missing FROM j WHERE reason IS NULL AND window_index % 2 = 0"
+
+
+@query
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows by status and reason."""
+    return _judged(spark, sf_dir).groupBy("status", "reason").agg(F.count("*").alias("n"))
+
+
+SQL["status_counts"] = f"WITH {JUDGED} SELECT CASE WHEN reason IS NULL THEN 'ok' ELSE 'skipped' END AS status, reason, count(*) AS n FROM j GROUP BY ALL"
+
+
+@query
+def tidy_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without brackets, no empty column, the segment first."""
+    named = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("["), "c_name", F.lit("]")).alias("c_name"), F.lit(None).cast("double").alias("nothing"), "c_mktsegment")
+    return fusion.columns_first(fusion.without_brackets(fusion.without_empty(named)), ["c_mktsegment"])
+
+
+SQL["tidy_columns"] = "SELECT c_mktsegment, c_custkey, replace(replace(c_name, '[', ''), ']', '') AS c_name FROM customer"
+
+
+@query
+def tolerance_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a supplier's items without discount, in percent; NULL where it has no returned item."""
+    lost = F.col("l_returnflag") == "R"
+    rate = F.try_divide(F.count_if(lost & (F.col("l_discount") == 0)) * F.lit(100.0).cast("double"), F.count_if(lost).cast("double"))
+    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(rate.alias("rate")), "rate")
+
+
+SQL["tolerance_rates"] = "SELECT l_suppkey, round(count(*) FILTER (l_returnflag = 'R' AND l_discount = 0) * 100.0::DOUBLE / nullif(count(*) FILTER (l_returnflag = 'R'), 0), 6) AS rate FROM lineitem GROUP BY 1"
