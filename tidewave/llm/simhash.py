@@ -241,27 +241,31 @@ def probes(marked: DataFrame) -> DataFrame:
 
 
 def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
-    """(a, b): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; in a long bucket (row, leader) and (leader, null).
+    """(a, b, t, key): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; in a long bucket (row, leader) and (leader, null).
+
+    t and key name the long bucket of a (leader, null), and are null else.
 
     A long bucket isn't compared pair by pair: its rows go, as they come, to the first leader within the tolerance, or
     become leaders; only leaders are held.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: list[np.ndarray], b: list[np.ndarray], alone: list[np.ndarray]) -> pa.RecordBatch:
-            a, b, alone = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b, alone))
-            led = np.concatenate([b, np.full(len(alone), -1)])  # a leader has none; rows aren't negative
-            return pa.record_batch([pa.array(np.concatenate([a, alone])), pa.array(led, mask=led < 0)], ["a", "b"])
+        def out(a: list[np.ndarray], b: list[np.ndarray], alone: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
+            own = np.array(alone, np.int64).reshape(-1, 3)
+            led = np.arange(len(a) + len(own)) < len(a)  # a leader has no b, but names its bucket
+            row, partner, t, key = np.concatenate([a, own[:, 0]]), np.concatenate([b, own[:, 0]]), np.concatenate([a, own[:, 1]]), np.concatenate([a, own[:, 2]])
+            return pa.record_batch([pa.array(row), pa.array(partner, mask=~led), pa.array(np.where(led, 0, t).astype(np.int32), mask=led), pa.array(key, mask=led)], ["a", "b", "t", "key"])
 
         held: list[np.ndarray] = []  # the last bucket so far, while it is short
         at, leaders = None, None
 
-        def lead(found: list[tuple], leading: list, row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        def lead(found: list[tuple], leading: list, bucket: tuple, row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             links, i = [], 0
             while len(row):
                 if i == len(found):
                     found.append((row[0], fp[0]))
-                    leading.append(row[:1])
+                    leading.append((int(row[0]), *bucket))
                     row, fp = row[1:], fp[1:]
                 near = np.bitwise_count(fp ^ found[i][1]) <= tolerance
                 links.append((row[near], np.full(int(near.sum()), found[i][0])))
@@ -293,7 +297,7 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
                     starts, ends = starts + len(held[0]), ends + len(held[0])
                     starts[0] = 0
                 else:
-                    take(lead(leaders, alone, row[: ends[0]], fp[: ends[0]]))
+                    take(lead(leaders, alone, at, row[: ends[0]], fp[: ends[0]]))
                     if len(starts) == 1:
                         yield out(a, b, alone)
                         continue
@@ -301,14 +305,14 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
             elif held and leaders is None:
                 take(pairs(*held, np.zeros(len(held[0]), np.int64)))
             at, leaders = (t[-1], key[-1]), None
-            size = ends - starts
+            size, before = ends - starts, len(row) - len(t)  # rows held from before
             run = np.repeat(np.arange(len(starts)), size)
             short = np.repeat(size <= LONG_BUCKET, size) & (run < len(starts) - 1)
             inside = slice(starts[0], None)
             take(pairs(row[inside][short], fp[inside][short], base[inside][short], run[short]))
             for lo, hi in zip(starts[size > LONG_BUCKET], ends[size > LONG_BUCKET], strict=True):
                 leaders = []
-                take(lead(leaders, alone, row[lo:hi], fp[lo:hi]))
+                take(lead(leaders, alone, (t[hi - 1 - before], key[hi - 1 - before]), row[lo:hi], fp[lo:hi]))
             if size[-1] <= LONG_BUCKET:
                 leaders, held = None, [row[starts[-1] :], fp[starts[-1] :], base[starts[-1] :]]
             yield out(a, b, alone)
@@ -317,7 +321,7 @@ def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
             yield out([x for x, _ in links], [y for _, y in links], [])
 
     # in the order of rows, so that buckets of the same documents have the same leaders
-    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key", "row"), each, "a long, b long")
+    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key", "row"), each, "a long, b long, t int, key long")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -345,7 +349,8 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tol
     Fingerprints of texts with a Jaccard similarity of 0.8 differ in 10 bits of 64 or so, too many for tables that lose
     none; so candidates come from probes of uncertain bits (recall is measured in the tests), and every pair is
     verified on its whole sets of shingles. Rows of long buckets, which are held against leaders alone, are searched
-    again without those that had to go, until no pair is found. Texts without words are similar to each other.
+    again in these buckets without those that had to go, until no pair is found; short ones are compared in full at
+    once. Texts without words are similar to each other.
     """
     numbered = documents(docs)
     marked = stored(marks(numbered, shingle))
@@ -354,9 +359,9 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tol
     ends = near.join(first.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(first.select("fp", F.col("v").alias("y")).withColumnRenamed("fp", "v"), "v")
     links = marked.join(first, "fp").where("row > v").select(F.col("row").alias("u"), "v")
     links = stored(links.union(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))))
-    pool = marked.join(links.select(F.col("u").alias("row")), "row", "left_anti")
+    dealt = probes(marked.join(links.select(F.col("u").alias("row")), "row", "left_anti"))
     while True:
-        found = stored(candidates(probes(pool), PROBE_TOLERANCE).distinct())
+        found = stored(candidates(dealt, PROBE_TOLERANCE).distinct())
         pairs = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         good = stored(similar_pairs(numbered, pairs, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
         if good.isEmpty():
@@ -366,7 +371,8 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tol
         leaders = found.where("b is null").select("a").distinct()
         led = found.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").select("a")
         again = leaders.union(led).select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
-        pool = marked.join(again, "row", "left_semi")
+        long = found.where("b is null").select("t", "key").distinct()
+        dealt = probes(marked.join(again, "row", "left_semi")).join(long, ["t", "key"], "left_semi")
     grouped = marked.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
     return docs.withColumn("__kept_row", F.monotonically_increasing_id()).join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
