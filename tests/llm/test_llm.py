@@ -87,6 +87,32 @@ def test_similar_texts_leave_one(spark):
     assert kept == set(range(0, 80, 4))
 
 
+def test_similar_texts_equal_all_pairs_in_long_buckets(spark):
+    # one template: 400 texts share half of their words, pairs of them nearly all; the first resembles none of the others
+    rng = np.random.default_rng(5)
+    common, rows = [f"c{x}" for x in range(150)], []
+    for i in range(200):
+        own = [f"o{i}x{x}" for x in rng.integers(0, 5000, 55 if i else 150)]
+        near = list(own)
+        near[3] = "changed"
+        rows += [(2 * i, " ".join(common + own)), (2 * i + 1, " ".join(common[i % 90 :] + near))]
+    rows += [(1000 + i, " ".join(common[:140] + [f"e{i}x{x}" for x in range(12)])) for i in range(100)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in sets if root(i) == i} and 200 < len(kept) < 400
+
+
 def test_packing(spark, docs, none):
     path = public_tokenizers.path("word_bpe_49k.json")
     found = packing.pack(docs, path, capacity=512).toPandas()

@@ -4,10 +4,13 @@ Two fingerprints at 3 or fewer differing bits agree in at least three of six blo
 twenty tables whose keys are three blocks each. Within such a bucket a pivot table holds each fingerprint's Hamming
 distance to many reference fingerprints. A pair whose distances to some reference differ by more than the tolerance
 can't be within it (the triangle inequality) and is discarded; the survivors are verified bit by bit.
+
+``drop_similar`` goes by the similarity of the sets of shingles instead, since texts of 0.8 differ in 10 bits or so.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
@@ -15,7 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import roots
@@ -24,14 +27,11 @@ from .shared import documents, map_batches, stored
 SEED = 42
 PIVOTS = 32
 
-#: Search for similar texts: bits of a key, tables, uncertain bits that flip in a probe, bits that candidates differ in at most.
-PROBE_BITS, PROBE_TABLES, PROBE_FLIPS, PROBE_TOLERANCE = 20, 6, 4, 15
-
 #: Rows named by candidate pairs are broadcast up to this number (8 bytes each, 8 MB); beyond it the join shuffles texts.
 BROADCAST_ROWS = 1_000_000
 
-#: From this number of rows on a bucket's rows are held against leaders.
-LONG_BUCKET = 48
+#: A shingle that more texts than this have among their first ones goes to the end of the order; so many at most (8 bytes each).
+SHARED_BY, MOST_SHARED = 32, 1_000_000
 
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
@@ -197,131 +197,81 @@ def near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFr
     return fps.join(labels, "fp").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def probe_tables() -> list[np.ndarray]:
-    """The bits of each table's keys."""
-    rng = np.random.default_rng(SEED)
-    return [np.sort(rng.permutation(64)[:PROBE_BITS]) for _ in range(PROBE_TABLES)]
-
-
-def marks(docs: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, fp, unsure: for each table the bits of its key whose votes were closest, a byte each."""
-    tables = probe_tables()
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            balance = np.array([votes(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)) for t in b.column("text")]).reshape(-1, 64)
-            fps = np.packbits(balance > 0, axis=1, bitorder="little").view(np.int64).reshape(-1)
-            unsure = np.concatenate([bits[np.argsort(np.abs(balance[:, bits]), axis=1, kind="stable")[:, :PROBE_FLIPS]] for bits in tables], axis=1).astype(np.uint8)
-            yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(fps), pa.array([x.tobytes() for x in unsure], pa.binary())], ["row", "doc_id", "fp", "unsure"])
-
-    return map_batches(docs, each, "row long, doc_id long, fp long, unsure binary")
-
-
-def probes(marked: DataFrame) -> DataFrame:
-    """t, key, row, fp, base: each document under some bits of its fingerprint, and under what these become if the least certain ones flip.
+def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
+    """row, n, digest, first: how many different shingles a text has, a digest of their set, and the first of them.
 
-    Similar texts differ in bits whose vote was close; so a probe of one document is likely to be the base of the other.
+    Shingles are in the order of their hashes, those in ``last`` (sorted) behind all others. Two sets of at least this
+    Jaccard similarity share ``similarity`` of each, so they share one of the first shingles of both, in any order that
+    is the same for all texts.
     """
-    masks = [np.bitwise_or.reduce(np.uint64(1) << bits.astype(np.uint64)) for bits in probe_tables()]
-    choices = (np.arange(1 << PROBE_FLIPS)[:, None] >> np.arange(PROBE_FLIPS) & 1).astype(np.uint64)
+    sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        behind = sent.value
         for b in batches:
-            rows, fps = b.column("row").to_numpy(), b.column("fp").to_numpy().view(np.uint64)
-            unsure = np.frombuffer(b"".join(b.column("unsure").to_pylist()), np.uint8).reshape(len(rows), PROBE_TABLES, PROBE_FLIPS).astype(np.uint64)
-            for t, mask in enumerate(masks):
-                flips = (np.uint64(1) << unsure[:, t]) @ choices.T
-                keys, n = (fps & mask)[:, None] ^ flips, len(choices)
-                yield pa.record_batch(
-                    [pa.array(np.full(keys.size, t, np.int32)), pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(rows, n)), pa.array(np.repeat(fps, n).view(np.int64)), pa.array(np.tile(np.arange(n) == 0, len(rows)))],
-                    ["t", "key", "row", "fp", "base"],
-                )
-
-    return map_batches(marked.select("row", "fp", "unsure"), each, "t int, key long, row long, fp long, base boolean")
+            sizes, digests, firsts = [], [], []
+            for t in b.column("text"):
+                own = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle))
+                sizes.append(len(own))
+                digests.append(xxhash.xxh3_128_digest(own.tobytes(), seed=SEED))
+                if len(behind):
+                    own = own[np.argsort(behind[np.minimum(np.searchsorted(behind, own), len(behind) - 1)] == own, kind="stable")]
+                firsts.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
+            yield pa.record_batch([b.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "first"])
+
+    return map_batches(docs, each, "row long, n int, digest binary, first array<long>")
+
+
+def ordered_shingles(docs: DataFrame, shingle: int, similarity: float, shared_by: int = SHARED_BY) -> DataFrame:
+    """``first_shingles`` with those that many texts share behind all others, so that common passages bring few texts together."""
+    plain = stored(first_shingles(docs, shingle, similarity, np.empty(0, np.uint64)))
+    common = plain.select(F.explode("first").alias("s")).groupBy("s").agg(F.count("*").alias("of")).where(F.col("of") > shared_by)
+    common = stored(common.orderBy(F.desc("of"), "s").limit(MOST_SHARED).select("s"))
+    last = np.sort(common.toArrow()["s"].to_numpy().view(np.uint64))
+    if not len(last):
+        return plain
+    # the first shingles of all other texts are the same in the new order
+    touched = stored(plain.select("row", F.explode("first").alias("s")).join(F.broadcast(common), "s", "left_semi").select("row").distinct())
+    touched = sent_if_small(touched)
+    again = first_shingles(docs.join(touched, "row", "left_semi"), shingle, similarity, last)
+    return plain.join(touched, "row", "left_anti").unionByName(stored(again))
+
+
+def sent_if_small(rows: DataFrame) -> DataFrame:
+    """``rows``, a stored table of row numbers, to be broadcast up to ``BROADCAST_ROWS``: a join with it then moves no texts."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def allows(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known) of structs ``x`` and ``y``, can have the similarity.
+
+    What any other text shares of the shingles before it, it, and those behind it bound what two sets can share.
+    """
+    most = F.least(f"{x}.known", f"{y}.known") + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+    return most * (1 + similarity) >= similarity * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
-def candidates(dealt: DataFrame, tolerance: int) -> DataFrame:
-    """(a, b, t, key): rows that share a bucket and are within ``tolerance`` bits, a base being one of them; in a long bucket (row, leader) and (leader, null).
+def sharing(known: DataFrame) -> DataFrame:
+    """s, x: each first shingle that several rows have, with each of them (row, n, at, known): its place, and how many before it other rows have too."""
+    lists = known.select("row", "n", F.posexplode("first").alias("at", "s"))
+    several = lists.withColumn("of", F.count("*").over(Window.partitionBy("s"))).where("of > 1")
+    before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
+    return several.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
 
-    t and key name the long bucket of a (leader, null), and are null else.
 
-    A long bucket isn't compared pair by pair: its rows go, as they come, to the first leader within the tolerance, or
-    become leaders; only leaders are held.
-    """
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(a: list[np.ndarray], b: list[np.ndarray], alone: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            a, b = (np.concatenate([np.empty(0, np.int64), *x]) for x in (a, b))
-            own = np.array(alone, np.int64).reshape(-1, 3)
-            led = np.arange(len(a) + len(own)) < len(a)  # a leader has no b, but names its bucket
-            row, partner, t, key = np.concatenate([a, own[:, 0]]), np.concatenate([b, own[:, 0]]), np.concatenate([a, own[:, 1]]), np.concatenate([a, own[:, 2]])
-            return pa.record_batch([pa.array(row), pa.array(partner, mask=~led), pa.array(np.where(led, 0, t).astype(np.int32), mask=led), pa.array(key, mask=led)], ["a", "b", "t", "key"])
-
-        held: list[np.ndarray] = []  # the last bucket so far, while it is short
-        at, leaders = None, None
-
-        def lead(found: list[tuple], leading: list, bucket: tuple, row: np.ndarray, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            links, i = [], 0
-            while len(row):
-                if i == len(found):
-                    found.append((row[0], fp[0]))
-                    leading.append((int(row[0]), *bucket))
-                    row, fp = row[1:], fp[1:]
-                near = np.bitwise_count(fp ^ found[i][1]) <= tolerance
-                links.append((row[near], np.full(int(near.sum()), found[i][0])))
-                row, fp, i = row[~near], fp[~near], i + 1
-            return links
-
-        def pairs(row: np.ndarray, fp: np.ndarray, base: np.ndarray, run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-            links = []
-            for o in range(1, LONG_BUCKET):
-                i = np.flatnonzero((run[:-o] == run[o:]) & (base[:-o] | base[o:])) if len(run) > o else np.empty(0, np.int64)
-                if o > 1 and not (len(run) > o and (run[:-o] == run[o:]).any()):
-                    break
-                i = i[(np.bitwise_count(fp[i] ^ fp[i + o]) <= tolerance) & (row[i] != row[i + o])]
-                links.append((row[i], row[i + o]))
-            return links
-
-        for batch in batches:
-            t, key, row, fp, base = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-            if not len(t):
-                continue
-            fp, base = fp.view(np.uint64), base.astype(bool)
-            a, b, alone = [], [], []
-            take = lambda links: [(a.append(x), b.append(y)) for x, y in links]  # noqa: E731, B023
-            edges = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
-            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(t)]])
-            if at == (t[0], key[0]):
-                if leaders is None:
-                    row, fp, base = np.concatenate([held[0], row]), np.concatenate([held[1], fp]), np.concatenate([held[2], base])
-                    starts, ends = starts + len(held[0]), ends + len(held[0])
-                    starts[0] = 0
-                else:
-                    take(lead(leaders, alone, at, row[: ends[0]], fp[: ends[0]]))
-                    if len(starts) == 1:
-                        yield out(a, b, alone)
-                        continue
-                    starts, ends = starts[1:], ends[1:]
-            elif held and leaders is None:
-                take(pairs(*held, np.zeros(len(held[0]), np.int64)))
-            at, leaders = (t[-1], key[-1]), None
-            size, before = ends - starts, len(row) - len(t)  # rows held from before
-            run = np.repeat(np.arange(len(starts)), size)
-            short = np.repeat(size <= LONG_BUCKET, size) & (run < len(starts) - 1)
-            inside = slice(starts[0], None)
-            take(pairs(row[inside][short], fp[inside][short], base[inside][short], run[short]))
-            for lo, hi in zip(starts[size > LONG_BUCKET], ends[size > LONG_BUCKET], strict=True):
-                leaders = []
-                take(lead(leaders, alone, (t[hi - 1 - before], key[hi - 1 - before]), row[lo:hi], fp[lo:hi]))
-            if size[-1] <= LONG_BUCKET:
-                leaders, held = None, [row[starts[-1] :], fp[starts[-1] :], base[starts[-1] :]]
-            yield out(a, b, alone)
-        if held and leaders is None:
-            links = pairs(*held, np.zeros(len(held[0]), np.int64))
-            yield out([x for x, _ in links], [y for _, y in links], [])
-
-    # in the order of rows, so that buckets of the same documents have the same leaders
-    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key", "row"), each, "a long, b long, t int, key long")
+def sharing_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity. A row that ``groups`` lacks is a group of its own."""
+    by = Window.partitionBy("s")
+    rooted = shared.withColumn("row", F.col("x.row")).join(groups, "row", "left").select("s", "x", F.coalesce("root", "row").alias("root"))
+    mixed = stored(rooted.withColumn("mixed", F.min("root").over(by) < F.max("root").over(by)).where("mixed").drop("mixed"))
+    other = mixed.select("s", F.col("x").alias("y"), F.col("root").alias("root_y"))
+    apart = (F.col("x.row") < F.col("y.row")) & (F.col("root") != F.col("root_y"))
+    met = mixed.join(other, "s").where(apart & allows("x", "y", similarity))
+    # what two sets share is these shingles, and what lies behind the last of them
+    sides = [F.max(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("n", "at")]
+    pairs = met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("both"), *sides)
+    most = F.col("both") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
+    return pairs.where(most * (1 + similarity) >= similarity * (F.col("n_x") + F.col("n_y")) - 1e-6).select("a", "b")
 
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -342,38 +292,27 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
     return compared.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, tolerance: int = 3) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all its columns, with one row of each group of texts that are similar: that of the smallest doc_id (a null doc_id comes last).
 
-    Texts whose fingerprints are within ``tolerance`` bits are linked by the pivot tables, which lose none of them.
-    Fingerprints of texts with a Jaccard similarity of 0.8 differ in 10 bits of 64 or so, too many for tables that lose
-    none; so candidates come from probes of uncertain bits (recall is measured in the tests), and every pair is
-    verified on its whole sets of shingles. Rows of long buckets, which are held against leaders alone, are searched
-    again in these buckets without those that had to go, until no pair is found; short ones are compared in full at
-    once. Texts without words are similar to each other.
+    All pairs of that similarity or more are linked, and no others: two such texts share one of their first shingles, and
+    every pair is verified on its whole sets of shingles. Equal sets are linked by their digest. So that many copies of a
+    text don't bring all their pairs together, the rows of a shingle are held against the first of them; then all pairs
+    of rows that aren't in one group by then. Texts without words are similar to each other.
     """
     numbered = documents(docs)
-    marked = stored(marks(numbered, shingle))
-    first = stored(marked.groupBy("fp").agg(F.min("row").alias("v")))
-    near = near_links(first.select("fp"), tolerance)
-    ends = near.join(first.select(F.col("fp").alias("u"), F.col("v").alias("x")), "u").join(first.select("fp", F.col("v").alias("y")).withColumnRenamed("fp", "v"), "v")
-    links = marked.join(first, "fp").where("row > v").select(F.col("row").alias("u"), "v")
-    links = stored(links.union(ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))))
-    dealt = probes(marked.join(links.select(F.col("u").alias("row")), "row", "left_anti"))
-    while True:
-        found = stored(candidates(dealt, PROBE_TOLERANCE).distinct())
-        pairs = stored(found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-        good = stored(similar_pairs(numbered, pairs, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
-        if good.isEmpty():
-            break
-        links = stored(links.unionByName(good))
-        # rows that a leader of a long bucket stood for, and the leaders, may have partners that weren't looked at
-        leaders = found.where("b is null").select("a").distinct()
-        led = found.join(leaders.select(F.col("a").alias("b")), "b", "left_semi").select("a")
-        again = leaders.union(led).select(F.col("a").alias("row")).join(good.select(F.col("u").alias("row")), "row", "left_anti")
-        long = found.where("b is null").select("t", "key").distinct()
-        dealt = probes(marked.join(again, "row", "left_semi")).join(long, ["t", "key"], "left_semi")
-    grouped = marked.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
+    known = ordered_shingles(numbered, shingle, similarity)
+    equal = known.select("row", F.min("row").over(Window.partitionBy("digest")).alias("v")).where("row > v")
+    equal = stored(equal.select(F.col("row").alias("u"), "v"))
+    shared = stored(sharing(known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")))
+    led = shared.withColumn("leader", F.min("x").over(Window.partitionBy("s"))).where((F.col("x.row") > F.col("leader.row")) & allows("x", "leader", similarity))
+    led = stored(led.select(F.col("leader.row").alias("a"), F.col("x.row").alias("b")).distinct())
+    links = stored(similar_pairs(numbered, led, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    groups = roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
+    rest = stored(sharing_pairs(shared, groups, similarity).join(led, ["a", "b"], "left_anti"))
+    more = similar_pairs(numbered, rest, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
+    links = stored(links.unionByName(more).unionByName(equal))
+    grouped = numbered.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
     kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
     return docs.withColumn("__kept_row", F.monotonically_increasing_id()).join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
