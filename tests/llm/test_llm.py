@@ -197,6 +197,20 @@ def test_quality_rejects_what_trusted_text_is_not(spark, none):
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.limit(0)).where("keep").count() == 71
 
 
+def test_quality_thresholds_are_of_all_trusted_documents(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(rng.choice(WORDS, 80)), "en" if i < 40 else "fr") for i in range(60)] + [(60, "#$%", "en"), (61, "#$%", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(61)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r for r in quality.classify(docs, labels, quantile=0.9, max_trusted=1).collect()}
+    for lang, of in (("en", [*range(40), 60]), ("fr", range(40, 60))):
+        own = sorted(found[i]["perplexity"] for i in of)
+        whole = quality.SLACK * own[int(np.ceil(0.9 * len(own))) - 1]
+        # only texts of 256 characters or more have enough trusted ones of their length
+        assert all(abs(r["threshold"] - whole) < 1e-6 or r["n_chars"] > 200 and r["threshold"] > whole for r in found.values() if r["lang"] == lang)
+    assert not found[61]["keep"] and sum(found[i]["keep"] for i in range(60)) >= 50
+
+
 def test_search_against_all(spark):
     rng = np.random.default_rng(4)
     rows = [(i % 290, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (None, [0.0] * 8)]
