@@ -239,3 +239,106 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
     assert 100 < out.select("doc_id").distinct().count() < 200
+
+
+def test_words_are_encoded_as_the_tokenizer_does():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    cache, whole = packing.word_cache(path), Tokenizer.from_file(path)
+    rng = np.random.default_rng(7)
+    assert np.frombuffer(cache.encode("Əli"), "<u4").tolist() == whole.encode("Əli", add_special_tokens=False).ids
+    for top in (0x80, 0x180, 0x250, 0x600, 0x10000):
+        for _ in range(1500):
+            text = "".join(chr(c) for c in rng.integers(9, top, 12) if not 0xD800 <= c < 0xE000)
+            text = text.replace(text[3:4], " ").replace(text[5:6], "'s ")
+            assert np.frombuffer(cache.encode(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("capacity", [64, 512])
+def test_packing_is_near_its_lower_bound(capacity):
+    rng = np.random.default_rng(8)
+    for lengths in (rng.integers(1, capacity + 1, 3000), rng.geometric(8 / capacity, 3000).clip(1, capacity), np.full(100, capacity // 3 + 1)):
+        histogram = {int(x): int(n) for x, n in zip(*np.unique(lengths, return_counts=True), strict=True)}
+        bins = packing.pack_histogram(histogram, capacity)[1]
+        # pieces of more than half a bin need one each
+        least = max(-(-int(lengths.sum()) // capacity), int((lengths > capacity // 2).sum()), 50 if len(lengths) == 100 else 0)
+        assert least <= bins <= 1.02 * least + 1
+
+
+def planted_near_copies():
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+        rows.append((2 * i, " ".join(words)))
+        for _ in range(3):
+            words[int(rng.integers(0, 200))] = "changed"
+        rows.append((2 * i + 1, " ".join(words)))
+    return rows + [(200 + i, f"copied text number {i % 10}") for i in range(40)]
+
+
+def test_rows_are_told_apart_whatever_the_split_plan(spark, tmp_path):
+    rows = planted_near_copies()
+    plain = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).repartition(6)
+    plain.write.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    steps = {
+        "exact": exact_dedup.drop_exact_duplicates, "similar": simhash.drop_similar, "quality": lambda d: quality.drop_low_quality(d, labels),
+        "groups": lambda d: exact_dedup.exact_duplicates(d).select("doc_id", "keep_id", "kept"), "fingerprints": lambda d: simhash.near_duplicates(d, 3).drop("row"),
+    }
+    read = lambda: spark.read.parquet(str(tmp_path / "docs"))
+    want = {k: sorted(f(read()).drop("text").collect()) for k, f in steps.items()}
+    assert len(want["exact"]) == 130 and len(want["similar"]) == 70
+    small = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1000"}
+    assert sorted(steps["similar"](read().repartition(4)).drop("text").collect()) == want["similar"]
+    for name, f in steps.items():
+        planned = f(read())  # the split plan changes between planning and the action
+        old = {k: spark.conf.get(k) for k in small}
+        try:
+            for k, v in small.items():
+                spark.conf.set(k, v)
+            assert sorted(planned.drop("text").collect()) == want[name], name
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rows = [*planted_near_copies()[:40], (900, "One two"), (901, ""), (902, None), (903, "A b\tC\x0bd e A b\tC")]
+    import xxhash
+
+    def plain(text):
+        words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\t", " ").replace("\x0b", " ").split(" ") if w]
+        grams = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+        h = [xxhash.xxh64_intdigest(g.encode(), seed=42) for g in grams]
+        return f"{sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)):016x}"
+
+    found = {r["doc_id"]: r["fingerprint"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    assert found == {i: plain(t) for i, t in rows}
+
+
+def test_hot_keys_and_own_columns(spark):
+    from tidewave.llm import shared
+
+    rows = spark.range(1000).select((F.col("id") % 5 * (F.col("id") > 600).cast("int")).alias("k"), "id")
+    entries = shared.stored(rows.groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("top")))
+    for how in ("inner", "left"):
+        a = sorted(shared.looked_up(rows, entries.where("k < 4"), ["k"], "n", how, hot=100).select("k", "id", "n", "top").collect(), key=str)
+        assert a == sorted(rows.join(entries.where("k < 4"), "k", how).select("k", "id", "n", "top").collect(), key=str)
+    docs = spark.createDataFrame([(1, "a b c", 5, 6, 7), (2, "a b c", 5, None, 7)], "doc_id long, text string, row int, doc int, `the.key` int")
+    assert exact_dedup.drop_exact_duplicates(docs).collect() == docs.where("doc_id = 2").collect()
+    assert simhash.drop_similar(docs).collect() == docs.where("doc_id = 1").collect()
+
+
+def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
+    from tidewave.llm import shared
+
+    class Without:
+        sparkContext = spark.sparkContext
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: default)})
+
+    assert "tidewave-" in shared.shared_folder(Without)
+    monkeypatch.setattr(shared, "is_local", lambda s: False)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_folder(Without)

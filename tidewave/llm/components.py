@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import looked_up, stored
 
 
 def roots(links: DataFrame) -> DataFrame:
@@ -13,15 +13,19 @@ def roots(links: DataFrame) -> DataFrame:
 
     First each node with several smaller neighbours keeps the smallest and hands the others on to it, until each node
     has one: a forest. Then each node takes its parent's parent, which halves the depth, until nothing moves. Both end
-    in a written table for each round. No links give no rows.
+    in a written table for each round. Nodes with very many links find their entry by a broadcast. No links give no rows.
     """
     edges = stored(links.select("u", "v").distinct())
-    while not edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        least = edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        edges = stored(least.select("u", F.col("m").alias("v")).union(least.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
     while True:
-        up = edges.select(F.col("u").alias("v"), F.col("v").alias("w"))
-        moved = stored(edges.join(up, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().alias("moved")))
-        edges = moved.select("u", "v")
-        if moved.where("moved").isEmpty():
+        least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        several = least.where("n > 1")
+        if several.isEmpty():
+            break
+        others = looked_up(edges, several, ["u"], "n").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = stored(least.select("u", F.col("m").alias("v")).union(others).distinct())
+    while True:
+        children = edges.groupBy("v").agg(F.count("*").alias("n"))
+        up = stored(children.join(edges.select(F.col("u").alias("v"), F.col("v").alias("w")), "v"))
+        if up.isEmpty():
             return edges
+        edges = stored(looked_up(edges, up, ["v"], "n", "left").select("u", F.coalesce("w", "v").alias("v")))

@@ -1,24 +1,27 @@
 """Exact duplicates by an extendible-hash index on shared files. DataFrame functions only.
 
-The key of a text is the XXH64 of its normal form. One aggregate counts the rows of each key; the directory of the
-index starts with one bucket and doubles as long as a bucket holds more keys than it should. Its entries are prefixes
-of the key, so a bucket is a range of keys, and owner tasks write and later read whole ranges. A key with one row is
-unique. The texts of the others are chained under their key and compared byte by byte, by grouping on the text itself:
-Spark reduces them on the map side first, so a group of copies, however large, sends one text for each task.
+The key of a text is the XXH64 of its normal form. The directory of the index starts with one bucket and doubles as
+long as a bucket holds more keys than it should; its entries are prefixes of the key, so a bucket is a range of keys.
+Rows are summed to one entry for each key and digest, and dealt by looking their key up in the directory: each bucket
+goes to one owner task, which writes its entries in the order of their keys, those of one key as a chain. A key with
+one row is unique. The texts of all others are read again and compared byte by byte along their chain: the least and
+the greatest text of an entry must be the same, which Spark works out on the map side first, so that a group of copies,
+however large, sends two texts for each task.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, lower_ascii, shared_folder, stored
+from .shared import documents, looked_up, lower_ascii, numbered, stored, without
 
-#: Keys that a bucket holds before it splits, and the most bits a directory prefix has: at most 4096 entries.
-BUCKET_KEYS = 50_000
-MAX_DEPTH = 12
+#: Keys that a bucket holds before it splits; with very many keys it holds more, so that the directory has at most 2 ** MOST_DEPTH entries.
+BUCKET_KEYS, MOST_DEPTH = 50_000, 12
 
-#: Suspected keys are broadcast up to this number (8 bytes each, 8 MB); beyond it the join shuffles both sides.
+#: Keys with several rows are broadcast up to this number (8 bytes each, 8 MB); beyond it the join shuffles both sides.
 BROADCAST_KEYS = 1_000_000
 
 
@@ -48,50 +51,51 @@ def prefix_of(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def exact_duplicates(docs: DataFrame, key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, max_depth: int = MAX_DEPTH) -> DataFrame:
+def exact_duplicates(docs: DataFrame, key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, max_depth: int = MOST_DEPTH) -> DataFrame:
     """One row for each row of ``docs``: row, doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if identical after A-Z became a-z; a null text is an empty one, and empty texts equal each other.
     Of equal texts the row with the largest doc_id stays; a null doc_id is smaller than any other, and of rows that
-    also share the doc_id the last one in the scan stays. An empty table gives no rows. Other columns are ignored.
-    ``key_bits`` below 64 makes keys collide, for tests.
+    also share the doc_id the one with the largest row number stays. An empty table gives no rows. Other columns are
+    ignored. ``key_bits`` below 64 makes keys collide, for tests. ``row`` is that of one scan, written with the digests.
     """
-    spark = docs.sparkSession
-    mask = (1 << key_bits) - 1 if key_bits < 64 else -1
-    keyed = documents(docs).withColumn("text", lower_ascii(F.col("text"))).withColumn("key", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(mask)), 64 - key_bits))
-    rows = stored(keyed.select("row", "doc_id", "key", F.sha2("text", 256).alias("sha")))
+    return index_duplicates(documents(docs), key_bits, bucket_keys, max_depth)
 
-    counted = rows.groupBy("key").agg(F.count("*").alias("n"))
-    cells = {r["cell"]: r["keys"] for r in counted.groupBy(prefix_of(F.col("key"), max_depth).alias("cell")).agg(F.count("*").alias("keys")).collect()}
-    depth, entries = split_directory(cells, bucket_keys, max_depth)
-    bucket = F.element_at(F.lit(entries), (prefix_of(F.col("key"), depth) + 1).cast("int"))
-    owners = max(entries) + 1
-    index = stored(counted.withColumn("bucket", bucket).repartitionByRange(owners, "bucket", "key").sortWithinPartitions("bucket", "key"), shared_folder(spark))
 
-    suspects = index.where("n > 1").select("key", "bucket")
+def index_duplicates(texts: DataFrame, key_bits: int = 64, bucket_keys: int = BUCKET_KEYS, max_depth: int = MOST_DEPTH) -> DataFrame:
+    """``exact_duplicates`` of rows (row, doc_id, text)."""
+    mask = (1 << key_bits) - 1 if key_bits < 64 else -1
+    normal = texts.withColumn("text", lower_ascii(F.col("text")))
+    keyed = normal.withColumn("key", F.shiftleft(F.xxhash64("text").bitwiseAND(F.lit(mask)), 64 - key_bits)).withColumn("sha", F.sha2("text", 256))
+    rows = stored(keyed.select("row", "doc_id", "key", "sha"))
+
+    cells = {r["cell"]: r["keys"] for r in rows.groupBy(prefix_of(F.col("key"), max_depth).alias("cell")).agg(F.approx_count_distinct("key").alias("keys")).collect()}
+    most = max(bucket_keys, math.ceil(2 * sum(cells.values()) / (1 << max_depth)))
+    depth, directory = split_directory(cells, most, max_depth)
+    bucket = F.element_at(F.lit(directory), (prefix_of(F.col("key"), depth) + 1).cast("int"))
+    entries = rows.groupBy(bucket.alias("bucket"), "key", "sha").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keeper"))
+    index = stored(entries.repartition(max(directory) + 1, "bucket").sortWithinPartitions("bucket", "key", "sha"))  # by owner
+
+    chains = index.where("n > 1")
+    suspects = stored(index.groupBy("bucket", "key").agg(F.sum("n").alias("n")).where("n > 1").select("key"))
     if suspects.count() <= BROADCAST_KEYS:
         suspects = F.broadcast(suspects)
-    chains = stored(
-        keyed.join(suspects, "key")
-        .groupBy("bucket", "key", "text")  # the bytes decide
-        .agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("keeper"))
-        .select("key", F.sha2("text", 256).alias("sha"), "n", "keeper")
-    )
-    if not chains.groupBy("key", "sha").count().where("count > 1").isEmpty():
+    compared = keyed.select("key", "text").join(suspects, "key", "left_semi").groupBy("key", F.sha2("text", 256).alias("sha")).agg(F.min("text").alias("least"), F.max("text").alias("greatest"))
+    if not compared.where("least <> greatest").isEmpty():  # the bytes decide
         raise ValueError("two different texts share a key and a SHA-256")
+    found = looked_up(rows, stored(chains.drop("bucket")), ["key", "sha"], "n", "left")
     entry = F.col("keeper").isNotNull()
-    return rows.join(chains, ["key", "sha"], "left").select(
-        rows.row,
-        rows.doc_id,
-        F.when(entry, F.col("keeper.doc_id")).otherwise(rows.doc_id).alias("keep_id"),
+    return found.select(
+        "row",
+        "doc_id",
+        F.when(entry, F.col("keeper.doc_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        F.when(entry, F.col("keeper.row") == rows.row).otherwise(F.lit(True)).alias("kept"),
+        F.when(entry, F.col("keeper.row") == F.col("row")).otherwise(F.lit(True)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, all its columns, without the rows that ``exact_duplicates`` drops."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("row").alias("__kept_row"))
-    numbered = docs.withColumn("__kept_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    return without(rows, index_duplicates(rows.select("row", "doc_id", "text")).where("not kept"))

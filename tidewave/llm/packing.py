@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches, stored
+from .shared import BROADCAST_ROWS, documents, map_batches, stored
 
 #: Words whose ids a task remembers; once a text has gone beyond it, it starts anew.
 CACHE_WORDS = 150_000
@@ -38,9 +38,9 @@ def byte_letters() -> dict[int, str]:
 class WordCache(dict):
     """Ids of words, as little-endian 32-bit numbers, by the tokenizer's model; the ids of known words are remembered.
 
-    The tokenizer's words don't depend on each other. Texts of plain Latin letters (below U+0250, without control
-    characters) are split here by the tokenizer's own rule; all others, and texts with the mark of a special token, go
-    to the tokenizer whole.
+    The tokenizer's words don't depend on each other. Texts of plain Latin letters (below U+0180, without control
+    characters; none of them becomes a letter beyond by lower-casing) are split here by the tokenizer's own rule; all
+    others, and texts with the mark of a special token, go to the tokenizer whole.
     """
 
     def __init__(self, tokenizer):
@@ -48,11 +48,11 @@ class WordCache(dict):
         self.tokenizer = tokenizer
         self.tokenize, self.letters = self.tokenizer.model.tokenize, byte_letters()
         kinds: dict[str, list[str]] = {"L": [], "N": []}
-        for c in map(chr, range(0x21, 0x250)):
+        for c in map(chr, range(0x21, 0x180)):
             kinds.get(unicodedata.category(c)[0], []).append(c)
         letters, digits = (re.escape("".join(kinds[k])) for k in "LN")
         self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\s{letters}{digits}]+").findall
-        self.special = re.compile(r"[^\t\n\r\x20-\x7e¡-ɏ]|<\|").search
+        self.special = re.compile(r"[^\t\n\r\x20-\x7e¡-ſ]|<\|").search
 
     def __missing__(self, word: str) -> bytes:
         pieces = self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))
@@ -187,7 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     slots = spark.sparkContext.broadcast(pack_histogram(histogram, capacity)[0])  # a few for each length
     before = stored(by_part.select("part", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")))
-    ranked = pieces.join(before, ["part", "length"])
+    ranked = pieces.join(F.broadcast(before) if before.count() <= BROADCAST_ROWS else before.hint("merge"), ["part", "length"])
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] + ["ids"] * with_ids
 

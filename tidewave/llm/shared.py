@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: the shared folder, bounded Arrow batches, text rules."""
+"""What the operators of this subpackage share: the shared folder, row numbers, bounded Arrow batches, text rules."""
 
 from __future__ import annotations
 
@@ -12,20 +12,48 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Rows of an Arrow batch. Texts can be long, so a batch of the default 10,000 rows could be too large for a worker.
+#: Rows that a function is given at once.
 BATCH_ROWS = 256
 
+#: Row numbers are broadcast up to this many (8 bytes each, 8 MB); beyond it a join shuffles both sides.
+BROADCAST_ROWS = 1_000_000
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (``spark.checkpoint.dir``).
+#: A key with more rows than this is hot: its entry is broadcast, of which there are so few as the rows allow.
+HOT_ROWS = 200_000
+
+
+def is_local(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+_temporary: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent, as in local runs, a temporary folder of this machine takes its place.
+    Where the setting is absent, a temporary folder takes its place if all runs in one process (a local master); on a
+    cluster that is an error, since executors have other disks.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base, name = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.applicationId
     if not base:
-        base = tempfile.mkdtemp(prefix="tidewave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tidewave-{uuid.uuid4().hex}"
+        if not is_local(spark):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _temporary.setdefault(name, "") or tempfile.mkdtemp(prefix="tidewave-")
+        _temporary[name] = base
+    return f"{base.rstrip('/')}/tidewave-{name}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in ``own_folder``."""
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored in the shared folder; call it once the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
@@ -33,7 +61,7 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or shared_folder(spark)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -43,19 +71,59 @@ def lower_ascii(text: Column) -> Column:
 
 
 def documents(docs: DataFrame, *more: str) -> DataFrame:
-    """doc_id, text (null: empty) and a row number of the scan; other columns, whatever their names, go no further.
+    """doc_id, text (null: empty) and a row number; other columns, whatever their names, go no further.
 
-    ``row`` tells rows with equal doc_id apart. It is the position in the scan, so it is the same in each scan of the same files.
+    ``row`` tells rows with equal doc_id apart. It holds for one scan only: two scans may split their files in different
+    ways. So what uses it is written once, and all else is derived from that table.
     """
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def numbered(docs: DataFrame, *more: Column) -> DataFrame:
+    """row, doc_id, text (null: empty) and ``doc``, the struct of all columns, whatever their names: written once, so that ``row`` is the same in all that follows.
+
+    ``more`` are expressions on fields of ``doc``.
+    """
+    written = stored(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")))
+    return written.select("row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc.text").cast("string"), F.lit("")).alias("text"), *more, "doc")
+
+
+def sent_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows``, a stored table, to be broadcast up to ``most`` rows: a join with it then moves no texts."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (from ``numbered``), with their own columns, but for the ``dropped`` row numbers."""
+    return rows.join(sent_if_small(stored(dropped.select("row"))), "row", "left_anti").select("doc.*")
+
+
+def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``entries``, a stored table of one row for each key with the number ``n`` of rows that have it.
+
+    Entries of keys with more than ``hot`` rows are broadcast: there are at most the number of rows by ``hot`` of them.
+    So no task gets all rows of a hot key. All other keys meet in a plain join. ``how`` is inner or left.
+    """
+    often = entries.where(F.col(n) > hot)
+    if often.isEmpty():
+        return rows.join(entries, on, how)
+    keys = F.broadcast(often.select(*on))
+    return rows.join(F.broadcast(often), on).unionByName(rows.join(keys, on, "left_anti").join(entries.where(F.col(n) <= hot), on, how))
+
+
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with batches small enough for long texts."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(each, schema)
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
+
+    Spark ends a batch at 64 MB (``spark.sql.execution.arrow.maxBytesPerBatch``); what a function makes of a batch of
+    short texts is bounded by the number of rows.
+    """
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, max(b.num_rows, 1), BATCH_ROWS):
+                yield b.slice(at, BATCH_ROWS)
+
+    return df.mapInArrow(lambda batches: each(bounded(batches)), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

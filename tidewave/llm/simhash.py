@@ -1,11 +1,12 @@
 """Near duplicates by SimHash with pivot distance tables.
 
-Two fingerprints at 3 or fewer differing bits agree in at least three of six blocks of bits, so they meet in one of
-twenty tables whose keys are three blocks each. Within such a bucket a pivot table holds each fingerprint's Hamming
-distance to many reference fingerprints. A pair whose distances to some reference differ by more than the tolerance
-can't be within it (the triangle inequality) and is discarded; the survivors are verified bit by bit.
+A pivot table, worked out once, holds each fingerprint's Hamming distance to many reference fingerprints. A pair whose
+distances to some reference differ by more than the tolerance can't be within it (the triangle inequality) and is
+discarded; the survivors are verified bit by bit. Two fingerprints at 3 or fewer differing bits agree in at least three
+of six blocks of bits, so they are held against each other in one of twenty tables whose keys are three blocks each.
 
-``drop_similar`` goes by the similarity of the sets of shingles instead, since texts of 0.8 differ in 10 bits or so.
+``drop_similar`` takes the pairs that this finds, verifies them by the similarity of their sets of shingles, and adds
+those that it can't find, since texts of a similarity of 0.8 differ in 10 bits or so.
 """
 
 from __future__ import annotations
@@ -22,13 +23,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import documents, map_batches, stored
+from .shared import documents, looked_up, map_batches, numbered, sent_if_small, stored, without
 
 SEED = 42
-PIVOTS = 32
-
-#: Rows named by candidate pairs are broadcast up to this number (8 bytes each, 8 MB); beyond it the join shuffles texts.
-BROADCAST_ROWS = 1_000_000
+PIVOTS = 16
 
 #: A shingle that more texts than this have among their first ones goes to the end of the order; so many at most (8 bytes each).
 SHARED_BY, MOST_SHARED = 32, 1_000_000
@@ -37,6 +35,9 @@ SHARED_BY, MOST_SHARED = 32, 1_000_000
 BUCKET_ROWS = 65_536
 SHINGLES_AT_ONCE = 65_536
 
+#: 64-bit numbers of a text's odd sketch.
+SKETCH = 8
+
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     words = text.lower().split()  # bytes: A-Z and [\x20\x09-\x0D] alone
@@ -56,20 +57,24 @@ def votes(hashes: np.ndarray) -> np.ndarray:
     return 2 * ones - len(hashes)
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The 64-bit SimHash of a text in UTF-8; a bit is set if it is set in over half the shingles' hashes. No words: zero."""
-    return int(np.packbits(votes(shingle_hashes(text, shingle)) > 0, bitorder="little").view(np.int64)[0])
+def simhash(hashes: np.ndarray) -> int:
+    """64 bits, as a signed long; one is set if it is set in over half the hashes. No hashes: zero."""
+    return int(np.packbits(votes(hashes) > 0, bitorder="little").view(np.int64)[0])
+
+
+def bytes_of(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.as_buffer() else b""
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """row, doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(rows: DataFrame, shingle: int) -> DataFrame:
+    """row, doc_id, fp (the 64 bits as a signed long) from row, doc_id, text."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle) for t in b.column("text")]
+            fps = [simhash(shingle_hashes(bytes_of(t), shingle)) for t in b.column("text")]
             yield pa.record_batch([b.column("row"), b.column("doc_id"), pa.array(fps, pa.int64())], ["row", "doc_id", "fp"])
 
-    return map_batches(documents(docs), each, "row long, doc_id long, fp long")
+    return map_batches(rows.select("row", "doc_id", "text"), each, "row long, doc_id long, fp long")
 
 
 def block_masks(free: int, blocks: int, tolerance: int) -> list[int]:
@@ -84,12 +89,20 @@ def signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def link_bucket(fps: np.ndarray, pivots: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
+def pivots() -> list[int]:
+    return [signed(int(x)) for x in np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)]
+
+
+def with_pivots(fps: DataFrame) -> DataFrame:
+    """(fp, distances): the pivot table, a byte for each pivot."""
+    return fps.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()]).alias("distances"))
+
+
+def link_bucket(fps: np.ndarray, distances: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
     """Links that connect the fingerprints of one bucket exactly as all pairs within ``tolerance`` would; at most n - 1 of them.
 
     A found partner leaves the open set at once, so a dense group costs about one pass for each of its members over what is still open.
     """
-    distances = np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int16)  # the pivot table
     order = np.argsort(distances[:, 0], kind="stable")
     fps, distances = fps[order], distances[order]
     open_rows, links = np.arange(len(fps)), []
@@ -110,11 +123,10 @@ def link_bucket(fps: np.ndarray, pivots: np.ndarray, tolerance: int) -> list[tup
 
 
 def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFrame:
-    """(u, v, t) from rows (t, key, fp). u > v is a link; rows of a bucket of more than ``most`` come back as they are, with v null and their t.
+    """(u, v, t) from rows (t, key, fp, distances). u > v is a link; rows of a bucket of more than ``most`` come back as they are, with v null and their t.
 
     The rows of a bucket lie in one task, one after the other. A task holds one bucket of at most ``most`` rows at a time.
     """
-    pivots = np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(links: list[tuple[int, int]], over: list[np.ndarray], t: int) -> pa.RecordBatch:
@@ -124,18 +136,18 @@ def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFram
             v = pa.concat_arrays([pa.array(ends.min(axis=1, initial=(1 << 63) - 1), pa.int64()), pa.nulls(len(more), pa.int64())])
             return pa.record_batch([pa.array(u, pa.int64()), v, pa.array(np.full(len(u), t, np.int32))], ["u", "v", "t"])
 
-        held: list[np.ndarray] = []  # the bucket that may go on in the next batch
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # the bucket that may go on in the next batch
         at, passing = None, False  # its (t, key); whether it has turned out too large
 
-        def close(t: int) -> list[tuple[int, int]]:
-            fps = np.concatenate(held)
-            return link_bucket(fps, pivots, tolerance) if len(fps) > 1 else []
+        def close() -> list[tuple[int, int]]:
+            fps, distances = (np.concatenate(x) for x in zip(*held, strict=True))
+            return link_bucket(fps, distances, tolerance) if len(fps) > 1 else []
 
         for b in batches:
             t, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(t):
                 continue
-            fp = fp.view(np.uint64)
+            fp, near = fp.view(np.uint64), b.column("distances").flatten().to_numpy().reshape(-1, PIVOTS).astype(np.int16)
             edges = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(t)]])
             links: list[tuple[int, int]] = []
@@ -143,36 +155,36 @@ def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFram
             for lo, hi in zip(starts[inner], ends[inner], strict=True):
                 if at != (t[lo], key[lo]):
                     if held and not passing:
-                        links += close(at[0])
+                        links += close()
                     at, held, passing = (t[lo], key[lo]), [], False
-                held.append(fp[lo:hi])
-                if most and sum(map(len, held)) > most or passing:
+                held.append((fp[lo:hi], near[lo:hi]))
+                if most and sum(len(x) for x, _ in held) > most or passing:
                     passing = True
-                    yield out([], held, int(t[lo]))
+                    yield out([], [x for x, _ in held], int(t[lo]))
                     held = []
             yield out(links, [], 0)
         if held and not passing:
-            yield out(close(at[0]), [], 0)
+            yield out(close(), [], 0)
 
-    return map_batches(dealt.repartition("t", "key").sortWithinPartitions("t", "key"), each, "u long, v long, t int")
+    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(each, "u long, v long, t int")
 
 
 def dealt_by(masks: list[int], fps: DataFrame) -> DataFrame:
-    """Each fingerprint under each mask: t (the mask's number), key, fp."""
-    return fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"), "fp")
+    """Each fingerprint under each mask: t (the mask's number), key, fp, distances."""
+    return fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"), "fp", "distances")
 
 
 def near_links(fps: DataFrame, tolerance: int, most: int = BUCKET_ROWS) -> DataFrame:
     """(u, v), u > v: links that connect distinct fingerprints as all pairs within ``tolerance`` bits would."""
     full = (1 << 64) - 1
     masks = block_masks(full, tolerance + 3, tolerance)
-    found = stored(bucket_links(dealt_by(masks, fps), tolerance, most))
+    found = stored(bucket_links(dealt_by(masks, stored(with_pivots(fps))), tolerance, most))
     links, over = found.where("v is not null"), found.where("v is null")
     if not over.isEmpty():
         # what is left free holds 31 bits or so at 3 of 6 blocks; half of those fixed again leaves at most 2**16 fingerprints a bucket
         again = [sub | m for m in masks for sub in block_masks(full & ~m, tolerance + 3, tolerance)]
         of = len(again) // len(masks)
-        parts = [over.where(F.col("t") == i).select(F.col("u").alias("fp")).transform(lambda x, i=i: dealt_by(again[i * of : i * of + of], x)).withColumn("t", F.col("t") + i * of) for i in range(len(masks))]
+        parts = [over.where(F.col("t") == i).select(F.col("u").alias("fp")).transform(lambda x, i=i: dealt_by(again[i * of : i * of + of], with_pivots(x))).withColumn("t", F.col("t") + i * of) for i in range(len(masks))]
         dealt = parts[0]
         for x in parts[1:]:
             dealt = dealt.unionByName(x)
@@ -188,17 +200,26 @@ def near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFr
     that links reach, rows with a null doc_id aside; it is null if there is none. Rows that repeat share a fingerprint
     and so a component. An empty table gives no rows. Other columns are ignored.
     """
-    fps = stored(fingerprints(docs, shingle))
-    own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    fps = stored(fingerprints(documents(docs), shingle))
+    own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     up = roots(near_links(own.select("fp"), tolerance))
-    rooted = own.join(up.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = stored(rooted.join(ids, "root").select("fp", "component_id"))
-    return fps.join(labels, "fp").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = stored(own.join(up.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "n", "first_id", F.coalesce("v", "fp").alias("root")))
+    ids = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps")))
+    labels = stored(looked_up(rooted, ids, ["root"], "fps").select("fp", "n", "component_id"))
+    return looked_up(fps, labels, ["fp"], "n").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each of ``64 * SKETCH`` cells: whether an odd number of the hashes falls into it.
+
+    Two sets differ in at least as many members as their sketches do in bits (Mitzenmacher, Pagh and Pham, 2014).
+    """
+    cells = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
-    """row, n, digest, first: how many different shingles a text has, a digest of their set, and the first of them.
+    """row, n, digest, fp, sketch, first: how many different shingles a text has, a digest of their set, its SimHash, its odd sketch, and the first of them.
 
     Shingles are in the order of their hashes, those in ``last`` (sorted) behind all others. Two sets of at least this
     Jaccard similarity share ``similarity`` of each, so they share one of the first shingles of both, in any order that
@@ -209,17 +230,19 @@ def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.nd
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         behind = sent.value
         for b in batches:
-            sizes, digests, firsts = [], [], []
+            sizes, digests, fps, sketches, firsts = [], [], [], [], []
             for t in b.column("text"):
-                own = np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle))
+                own = np.unique(shingle_hashes(bytes_of(t), shingle))
                 sizes.append(len(own))
+                fps.append(simhash(own))
+                sketches.append(odd_sketch(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes(), seed=SEED))
                 if len(behind):
                     own = own[np.argsort(behind[np.minimum(np.searchsorted(behind, own), len(behind) - 1)] == own, kind="stable")]
                 firsts.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
-            yield pa.record_batch([b.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "first"])
+            yield pa.record_batch([b.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "fp", "sketch", "first"])
 
-    return map_batches(docs, each, "row long, n int, digest binary, first array<long>")
+    return map_batches(docs.select("row", "text"), each, "row long, n int, digest binary, fp long, sketch array<long>, first array<long>")
 
 
 def ordered_shingles(docs: DataFrame, shingle: int, similarity: float, shared_by: int = SHARED_BY) -> DataFrame:
@@ -237,11 +260,6 @@ def ordered_shingles(docs: DataFrame, shingle: int, similarity: float, shared_by
     return plain.join(touched, "row", "left_anti").unionByName(stored(again))
 
 
-def sent_if_small(rows: DataFrame) -> DataFrame:
-    """``rows``, a stored table of row numbers, to be broadcast up to ``BROADCAST_ROWS``: a join with it then moves no texts."""
-    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
-
-
 def allows(x: str, y: str, similarity: float) -> Column:
     """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known) of structs ``x`` and ``y``, can have the similarity.
 
@@ -254,19 +272,45 @@ def allows(x: str, y: str, similarity: float) -> Column:
 def sharing(known: DataFrame) -> DataFrame:
     """s, x: each first shingle that several rows have, with each of them (row, n, at, known): its place, and how many before it other rows have too."""
     lists = known.select("row", "n", F.posexplode("first").alias("at", "s"))
-    several = lists.withColumn("of", F.count("*").over(Window.partitionBy("s"))).where("of > 1")
+    several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
+    met = looked_up(lists, several, ["s"], "of")
     before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
-    return several.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
+    return met.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
+
 
+def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``shared`` with the group of each row (row, root). A row that ``groups`` lacks is a group of its own."""
+    return shared.withColumn("row", F.col("x.row")).join(sent_if_small(groups), "row", "left").select("s", "x", F.coalesce("root", "row").alias("root"))
 
-def sharing_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity. A row that ``groups`` lacks is a group of its own."""
-    by = Window.partitionBy("s")
-    rooted = shared.withColumn("row", F.col("x.row")).join(groups, "row", "left").select("s", "x", F.coalesce("root", "row").alias("root"))
-    mixed = stored(rooted.withColumn("mixed", F.min("root").over(by) < F.max("root").over(by)).where("mixed").drop("mixed"))
+
+def led_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: each row with one row of each of its shingles, if that is of another group and they can have the similarity."""
+    rooted = stored(with_roots(shared, groups))
+    place = F.struct(F.xxhash64("x.row", "s").alias("by"), "x", "root")
+    leaders = stored(rooted.groupBy("s").agg(F.min(place).alias("leader"), F.count("*").alias("of"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most"))
+    met = looked_up(rooted, leaders.select("s", "of", F.col("leader.x").alias("leader"), F.col("leader.root").alias("root_of")), ["s"], "of")
+    met = met.where((F.col("root") != F.col("root_of")) & allows("x", "leader", similarity))
+    return met.select(F.least("leader.row", "x.row").alias("a"), F.greatest("leader.row", "x.row").alias("b")).distinct()
+
+
+def differ_little(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets, by their sizes and sketches, can differ in so few members as sets of the similarity do."""
+    bits = sum((F.bit_count(F.col(f"{x}.sketch")[i].bitwiseXOR(F.col(f"{y}.sketch")[i])) for i in range(SKETCH)), F.lit(0))
+    return bits * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
+
+
+def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity.
+
+    Sketches are compared in the join itself, so that texts of one template, which share much and resemble each other little, give few rows.
+    """
+    rooted = stored(with_roots(shared, groups))
+    mixed = stored(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("of")).where("least < most").select("s", "of"))
+    mixed = looked_up(rooted, mixed, ["s"], "of").withColumn("row", F.col("x.row")).join(sketches, "row")
+    mixed = stored(mixed.select("s", F.struct("x.*", "sketch").alias("x"), "root"))
     other = mixed.select("s", F.col("x").alias("y"), F.col("root").alias("root_y"))
     apart = (F.col("x.row") < F.col("y.row")) & (F.col("root") != F.col("root_y"))
-    met = mixed.join(other, "s").where(apart & allows("x", "y", similarity))
+    met = mixed.join(other, "s").where(apart & allows("x", "y", similarity) & differ_little("x", "y", similarity))
     # what two sets share is these shingles, and what lies behind the last of them
     sides = [F.max(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("n", "at")]
     pairs = met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("both"), *sides)
@@ -276,13 +320,11 @@ def sharing_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> Da
 
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, worked out in full."""
-    named = stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct())
-    if named.count() <= BROADCAST_ROWS:
-        named = F.broadcast(named)
+    named = sent_if_small(stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.unique(shingle_hashes(t.as_buffer().to_pybytes() if t.as_buffer() else b"", shingle)).view(np.int64) for t in b.column("text")]
+            own = [np.unique(shingle_hashes(bytes_of(t), shingle)).view(np.int64) for t in b.column("text")]
             yield pa.record_batch([b.column("row"), pa.array(own, pa.list_(pa.int64()))], ["row", "shingles"])
 
     known = stored(map_batches(docs.join(named, "row", "left_semi").select("row", "text"), sets, "row long, shingles array<long>"))
@@ -292,35 +334,58 @@ def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: f
     return compared.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
+def fingerprint_pairs(known: DataFrame, tolerance: int = 3) -> DataFrame:
+    """(a, b), a < b: pairs of rows that the fingerprints (row, fp) link: each row with the first of its fingerprint, and those with each other."""
+    own = stored(known.groupBy("fp").agg(F.min("row").alias("first_row"), F.count("*").alias("n")))
+    same = looked_up(known.select("row", "fp"), own.where("n > 1"), ["fp"], "n").where("row > first_row").select(F.col("first_row").alias("a"), F.col("row").alias("b"))
+    ends = [own.select(F.col("fp").alias(side), F.col("first_row").alias(f"row_{side}")) for side in "uv"]
+    linked = near_links(own.select("fp"), tolerance).distinct().join(ends[0], "u").join(ends[1], "v")
+    return same.unionByName(linked.select(F.least("row_u", "row_v").alias("a"), F.greatest("row_u", "row_v").alias("b")))
+
+
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs``, all its columns, with one row of each group of texts that are similar: that of the smallest doc_id (a null doc_id comes last).
 
-    All pairs of that similarity or more are linked, and no others: two such texts share one of their first shingles, and
-    every pair is verified on its whole sets of shingles. Equal sets are linked by their digest. So that many copies of a
-    text don't bring all their pairs together, the rows of a shingle are held against the first of them; then all pairs
-    of rows that aren't in one group by then. Texts without words are similar to each other.
+    All pairs of that similarity or more are linked, and no others; every link is verified on the whole sets of
+    shingles. Equal sets are linked by their digest, near ones by their fingerprints and the pivot table. What is left
+    are pairs of different groups: two such texts share one of their first shingles. So that many copies of a text don't
+    bring all their pairs together, the rows of a shingle are held against the first of them; then all pairs of rows
+    that aren't in one group by then. Texts without words are similar to each other.
     """
-    numbered = documents(docs)
-    known = ordered_shingles(numbered, shingle, similarity)
-    equal = known.select("row", F.min("row").over(Window.partitionBy("digest")).alias("v")).where("row > v")
-    equal = stored(equal.select(F.col("row").alias("u"), "v"))
-    shared = stored(sharing(known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")))
-    led = shared.withColumn("leader", F.min("x").over(Window.partitionBy("s"))).where((F.col("x.row") > F.col("leader.row")) & allows("x", "leader", similarity))
-    led = stored(led.select(F.col("leader.row").alias("a"), F.col("x.row").alias("b")).distinct())
-    links = stored(similar_pairs(numbered, led, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v")))
-    groups = roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
-    rest = stored(sharing_pairs(shared, groups, similarity).join(led, ["a", "b"], "left_anti"))
-    more = similar_pairs(numbered, rest, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
-    links = stored(links.unionByName(more).unionByName(equal))
-    grouped = numbered.select("row", "doc_id").join(roots(links).withColumnRenamed("u", "row"), "row", "left").select("row", "doc_id", F.coalesce("v", "row").alias("root"))
-    kept = grouped.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")).select(F.col("first.row").alias("__kept_row"))
-    return docs.withColumn("__kept_row", F.monotonically_increasing_id()).join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    texts = rows.select("row", "text")
+    known = stored(ordered_shingles(texts, shingle, similarity))
+    sets = stored(known.groupBy("digest").agg(F.min("row").alias("v"), F.count("*").alias("n")))
+    equal = stored(looked_up(known.select("row", "digest"), sets.where("n > 1"), ["digest"], "n").where("row > v").select(F.col("row").alias("u"), "v"))
+    single = known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return similar_pairs(texts, pairs, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
+
+    def groups(links: DataFrame) -> DataFrame:
+        return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
+
+    tried = stored(fingerprint_pairs(single).distinct())
+    links = stored(verified(tried))
+    shared = stored(sharing(single))
+    led = stored(led_pairs(shared, groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
+    links, tried = stored(links.unionByName(verified(led))), stored(tried.unionByName(led))
+    rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
+    links = stored(links.unionByName(verified(rest)).unionByName(equal))
+    return without(rows, all_but_first(rows, groups(links)))
+
+
+def all_but_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """The row numbers of each group (row, root; roots themselves aren't listed) but for that of its smallest doc_id, nulls last."""
+    members = groups.unionByName(groups.select(F.col("root").alias("row"), "root").distinct())
+    ranked = stored(members.join(rows.select("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row").alias("place")), "row"))
+    firsts = stored(ranked.groupBy("root").agg(F.min("place").alias("first"), F.count("*").alias("n")))
+    return looked_up(ranked, firsts, ["root"], "n").where("place <> first").select("row")
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFrame:
-    """``docs``, all its columns, with one row of each component: that of the smallest doc_id (a null doc_id comes last), the first in the scan of those."""
-    found = near_duplicates(docs, shingle, tolerance)
-    first = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fingerprint")).alias("alone")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
-    kept = first.select(F.col("first.row").alias("__kept_row"))
-    numbered = docs.withColumn("__kept_row", F.monotonically_increasing_id())
-    return numbered.join(kept, "__kept_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs``, all its columns, with one row of each component of ``near_duplicates``: that of the smallest doc_id (a null doc_id comes last)."""
+    rows = numbered(docs)
+    known = stored(fingerprints(rows, shingle))
+    links = stored(fingerprint_pairs(known, tolerance).select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return without(rows, all_but_first(rows, roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))))
