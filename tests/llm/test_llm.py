@@ -157,12 +157,75 @@ def test_url_rules_and_reputation(spark):
 
 
 def test_ppm_probabilities_sum_to_one():
-    data = np.frombuffer(b"\n\n\nthe theater of the threads\n\n\nand then they\n", np.uint8)
-    counts = [(u, n.astype(np.int64)) for u, n in (np.unique(lm_scoring.grams(data, k), return_counts=True) for k in range(4))]
-    trie = lm_scoring.Trie(lm_scoring.consistent(counts)).open()
-    for context in (b"the", b"xyz", b"qhe", b"d\n\n"):
+    data = np.frombuffer(b"\n\n\n\n\nthe theater of the threads\n\n\n\n\nand then they\n", np.uint8)
+    g, n = np.unique(lm_scoring.grams(data, 5), return_counts=True)
+    levels = lm_scoring.levels_of(g, n.astype(np.int64), range(6), [])
+    for context in (b"e the", b"uvxyz", b"  qhe", b"\n\n\n\n\n"):
         g = np.array([int.from_bytes(context, "big") << 8 | s for s in range(256)], np.uint64)
-        assert abs((10 ** trie.log10(g)).sum() - 1) < 1e-6
+        assert abs((10 ** lm_scoring.log10_of(levels, g)).sum() - 1) < 1e-9
+
+
+def plain_ppm(train, texts, order):
+    """log10 scores by PPM with method C and exclusion, symbol by symbol."""
+    counts = {}
+    for t in train:
+        padded = b"\n" * order + t + b"\n"
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                own = counts.setdefault(padded[i - k : i], {})
+                own[padded[i]] = own.get(padded[i], 0) + 1
+    out = []
+    for t in texts:
+        padded, total = b"\n" * order + t + b"\n", 0.0
+        for i in range(order, len(padded)):
+            p, excluded = 1.0, set()
+            for k in range(order, -1, -1):
+                own = {s: n for s, n in counts.get(padded[i - k : i], {}).items() if s not in excluded}
+                if not own:
+                    continue
+                size = sum(own.values()) + len(own)
+                if padded[i] in own:
+                    p *= own[padded[i]] / size
+                    break
+                p *= len(own) / size
+                excluded |= own.keys()
+            else:
+                p /= 256 - len(excluded)
+            total += np.log10(p)
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_ppm_equals_the_plain_form(spark, monkeypatch, order):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice([*WORDS, "Größe", "naïve", f"x{i}"], int(rng.integers(0, 40)))) for i in range(80)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(lm_scoring, "FLUSH", 5)
+    found = {r["doc_id"]: r for r in lm_scoring.score(docs, lm_scoring.fold(), order, frequent_words=4).collect()}
+    normal = [t.encode().lower() for t in texts]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(80)]
+    want = plain_ppm([t for t, h in zip(normal, held, strict=True) if not h], normal, order)
+    assert all(abs(found[i]["score"] - w) < 1e-3 and found[i]["held_out"] == held[i] for i, w in enumerate(want))
+    from collections import Counter
+
+    c = Counter(w for t, h in zip(normal, held, strict=True) if not h for w in [*t.split(), "end"])
+    size = sum(c.values()) + len(c) + 1
+    for i, t in enumerate(normal):
+        words = [*t.split(), "end"]
+        assert abs(found[i]["base_score"] - sum(np.log10((c[w] + 1) / size) for w in words)) < 1e-9
+        assert (found[i]["n_tokens"], found[i]["n_known"], found[i]["train_tokens"]) == (len(words), sum(w in c for w in words), sum(c.values()))
+
+
+def test_ppm_grams_survive_their_packing():
+    rng = np.random.default_rng(12)
+    for order in (3, 5, 6):
+        g = rng.integers(0, 1 << 8 * (order + 1), 1000, np.uint64, endpoint=False)
+        assert (lm_scoring.by_place(lm_scoring.by_context(g, order), order) == g).all()
+        r, starts = np.sort(g), np.array([0, 10, 11, 500])
+        rows = lm_scoring.packed(r, starts, order + 1)
+        back, lengths = lm_scoring.unpacked([rows[i:j].tobytes() for i, j in zip(starts, [10, 11, 500, 1000], strict=True)], order + 1)
+        assert (back == r).all() and lengths.tolist() == [10, 1, 489, 500]
 
 
 def test_ppm_scores(docs, none):

@@ -1,10 +1,15 @@
 """Code length of documents by prediction by partial matching (PPM), beside a word unigram base.
 
-The model is a trie of byte contexts up to ``order`` bytes, counted over all training documents by a shuffle on the
-n-gram. A symbol is looked up under its longest known context; each time it wasn't seen there an escape is paid
-(method C: as many escapes as different symbols), and the symbols of the longer context are excluded from the shorter
-one. A trained trie doesn't change while it scores, so all that a context needs is worked out once: its escape, and
-what is left of the next shorter context after exclusion. Tasks then score whole batches by table lookups.
+The model is a trie of byte contexts up to ``ORDER`` bytes, counted over all training documents. A symbol is looked up
+under its longest known context; each time it wasn't seen there an escape is paid (method C: as many escapes as
+different symbols), and the symbols of the longer context are excluded from the shorter one. A trained trie doesn't
+change while it scores, so a symbol after its context, an n-gram, has one probability in all documents.
+
+The trie is nowhere whole. Documents are read once, in chunks; each chunk asks for its different n-grams and tells how
+often they occur in its training documents. The n-grams are dealt into cells by the three bytes before their symbol, so
+a cell has all that its longer contexts need, and the contexts of up to two bytes are few enough for every task. The
+task of a cell adds the counts of all chunks, and answers each chunk with the log probabilities of its n-grams. Then
+each chunk's documents meet its answers and are scored by table lookups.
 
 A document is scored as its words, A-Z lower-cased, joined by one space, and an end symbol: what the base scores too.
 """
@@ -17,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +30,14 @@ from .shared import documents, map_batches, stored
 
 ORDER = 5
 
-#: The longest contexts' entries in the broadcast trie: 16 bytes each. If the corpus has more, the rarest are left to the shorter contexts.
-MAX_NODES = 2_000_000
+#: Orders from this one on are dealt into cells; those below have at most 256 ** SPLIT n-grams (about 24 bytes each) and go to every task.
+SPLIT = 3
+
+#: A chunk ends with so many different n-grams, or bytes of text.
+CHUNK_GRAMS, CHUNK_BYTES = 600_000, 1 << 24
+
+#: Cells for each shuffle partition, and n-grams (of all chunks) that a task answers at once, in whole cells.
+CELLS, ASKED_AT_ONCE = 64, 1_000_000
 
 #: Words whose counts tasks hold (the most frequent ones); all others find theirs by a join.
 FREQUENT_WORDS = 100_000
@@ -106,193 +117,273 @@ class Table:
         return out
 
 
-class Trie:
-    """Counts of n-grams as log probabilities: for each order its grams and contexts, sorted."""
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        """``counts[k]``: sorted keys of k + 1 bytes and their counts."""
-        self.levels: list[dict[str, np.ndarray]] = []
-        above = None
-        for k, (keys, n) in enumerate(counts):
-            contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(n, first) if len(n) else np.zeros(0, np.int64)
-            kinds = np.diff(np.append(first, len(n)))
-            each = np.repeat(np.log10(total + kinds), kinds)
-            level = {"keys": keys, "contexts": contexts, "start": (np.log10(n) - each).astype("f4"), "count": np.log10(n).astype("f4"), "escape": (np.log10(kinds) - np.log10(total + kinds)).astype("f4")}
-            if k:
-                # the next shorter context, without the symbols seen in this one
-                mask = np.uint64((1 << 8 * k) - 1)
-                shorter = above["n"][np.searchsorted(above["keys"], keys & mask)]
-                seen = np.add.reduceat(shorter, first) if len(n) else np.zeros(0, np.int64)
-                at = np.searchsorted(above["contexts"], contexts & np.uint64((1 << 8 * (k - 1)) - 1))
-                new = above["kinds"][at] - kinds
-                left = above["total"][at] - seen + new
-                level |= {"left": np.log10(np.maximum(left, 1)).astype("f4"), "left_escape": np.where(new > 0, np.log10(np.maximum(new, 1)) - np.log10(np.maximum(left, 1)), 0).astype("f4")}
-            above = {"keys": keys, "n": n, "contexts": contexts, "total": total, "kinds": kinds}
-            self.levels.append(level)
-        self.rest = np.float32(-np.log10(max(256 - len(counts[0][0]), 1)))
-
-    def open(self) -> Trie:
-        for level in self.levels:
-            level["gram_at"], level["context_at"] = Table(level.pop("keys")), Table(level.pop("contexts"))
-        return self
-
-    def log10(self, g: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the others."""
-        out = np.zeros(len(g), np.float64)
-        todo, chain, above = np.arange(len(g)), None, None  # chain: the position of the longer context whose symbols are excluded, -1 if none is known
-        for k in range(len(self.levels) - 1, -1, -1):
-            level, key = self.levels[k], g[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
-            at = level["gram_at"].find(key)
-            hit = at >= 0
-            chain = np.full(len(todo), -1, np.int64) if chain is None else chain
-            held = chain >= 0
-            plain = hit & ~held
-            out[todo[plain]] += level["start"][at[plain]]
-            both = hit & held
-            if above is not None:
-                out[todo[both]] += level["count"][at[both]] - above["left"][chain[both]]
-                lost = ~hit & held
-                out[todo[lost]] += above["left_escape"][chain[lost]]
-            miss = ~hit
-            context = level["context_at"].find(key[miss] >> np.uint64(8))
-            fresh = (context >= 0) & ~held[miss]
-            out[todo[miss][fresh]] += level["escape"][context[fresh]]
-            todo, chain, above = todo[miss], context.astype(np.int64), level
-        out[todo] += self.rest
-        return out
+class Level:
+    """The n-grams of one order k: sorted keys of k + 1 bytes, their counts, and what their contexts need, as log10."""
+
+    def __init__(self, k: int, keys: np.ndarray, n: np.ndarray, above: Level | None):
+        contexts, first = np.unique(keys >> np.uint64(8), return_index=True)
+        self.keys, self.n, self.contexts = keys, n, contexts
+        self.total = np.add.reduceat(n, first) if len(n) else np.zeros(0, np.int64)
+        self.kinds = np.diff(np.append(first, len(n)))
+        all_ = self.total + self.kinds
+        self.start = np.log10(n) - np.repeat(np.log10(all_), self.kinds)
+        self.escape = np.log10(self.kinds) - np.log10(all_)
+        if above is not None:
+            # the next shorter context, without the symbols seen in this one
+            shorter = above.n[np.searchsorted(above.keys, keys & np.uint64((1 << 8 * k) - 1))]
+            seen = np.add.reduceat(shorter, first) if len(n) else np.zeros(0, np.int64)
+            at = np.searchsorted(above.contexts, contexts & np.uint64((1 << 8 * (k - 1)) - 1))
+            new = above.kinds[at] - self.kinds
+            left = above.total[at] - seen + new
+            self.left = np.log10(np.maximum(left, 1))
+            self.left_escape = np.where(new > 0, np.log10(np.maximum(new, 1)) - self.left, 0)
+
+
+def places_of(sorted_keys: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The position of each key, -1 if it isn't there."""
+    if not len(sorted_keys):
+        return np.full(len(keys), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return np.where(sorted_keys[at] == keys, at, -1)
+
+
+def shortened(keys: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Grams cut to their last ``size`` bytes, with the sums of their counts."""
+    short, at = np.unique(keys & np.uint64((1 << 8 * size) - 1), return_inverse=True)
+    return short, np.bincount(at, n, len(short)).astype(np.int64)
+
+
+def levels_of(keys: np.ndarray, n: np.ndarray, orders: range, below: list[Level]) -> list[Level]:
+    """``below`` and the levels of ``orders``, all from the grams of the highest order and their counts, all above zero."""
+    levels = list(below)
+    for k in orders:
+        levels.append(Level(k, *shortened(keys, n, k + 1), levels[-1] if levels else None))
+    return levels
+
+
+def log10_of(levels: list[Level], g: np.ndarray) -> np.ndarray:
+    """log10 probability of the last byte of each gram after the others."""
+    out = np.zeros(len(g), np.float64)
+    todo, chain, longer = np.arange(len(g)), np.full(len(g), -1, np.int64), None  # chain: the position of the longer context whose symbols are excluded, -1 if none is known
+    for k in range(len(levels) - 1, -1, -1):
+        level, key = levels[k], g[todo] & np.uint64((1 << 8 * (k + 1)) - 1)
+        at = places_of(level.keys, key)
+        hit, held = at >= 0, chain >= 0
+        plain, both, lost = hit & ~held, hit & held, ~hit & held
+        out[todo[plain]] += level.start[at[plain]]
+        if longer is not None:
+            out[todo[both]] += np.log10(level.n[at[both]]) - longer.left[chain[both]]
+            out[todo[lost]] += longer.left_escape[chain[lost]]
+        context = places_of(level.contexts, key[~hit] >> np.uint64(8))
+        fresh = (context >= 0) & ~held[~hit]
+        out[todo[~hit][fresh]] += level.escape[context[fresh]]
+        todo, chain, longer = todo[~hit], context, level
+    out[todo] -= np.log10(max(256 - len(levels[0].keys), 1))
+    return out
+
+
+def by_context(g: np.ndarray, order: int) -> np.ndarray:
+    """Grams with the bytes next to their symbol first: those of one cell lie together, and its bytes repeat."""
+    near, far = 8 * SPLIT, 8 * (order - SPLIT)
+    middle, front = g >> np.uint64(8) & np.uint64((1 << near) - 1), g >> np.uint64(8 + near)
+    return middle << np.uint64(far + 8) | front << np.uint64(8) | g & np.uint64(255)
+
+
+def by_place(r: np.ndarray, order: int) -> np.ndarray:
+    """The inverse of ``by_context``."""
+    near, far = 8 * SPLIT, 8 * (order - SPLIT)
+    middle, front = r >> np.uint64(far + 8), r >> np.uint64(8) & np.uint64((1 << far) - 1)
+    return front << np.uint64(8 + near) | middle << np.uint64(8) | r & np.uint64(255)
+
+
+def packed(r: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Sorted numbers as differences of ``size`` bytes, each of ``starts`` beginning anew."""
+    steps = np.diff(r, prepend=np.uint64(0))
+    steps[starts] = r[starts]
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :size])
+
+
+def unpacked(blobs: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of several blobs of ``packed``, and how many each holds."""
+    lengths = np.fromiter(map(len, blobs), np.int64, len(blobs)) // size
+    steps = np.zeros((int(lengths.sum()), 8), np.uint8)
+    steps[:, :size] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, size)
+    sums = np.cumsum(steps.view(np.uint64).reshape(-1), dtype=np.uint64)
+    before = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    offset = np.where(before > 0, sums[np.maximum(before, 1) - 1], np.uint64(0)) if len(sums) else np.zeros(len(blobs), np.uint64)
+    return sums - np.repeat(offset, lengths), lengths
+
+
+GATHERED = "word binary, gram long, n long, chunk long, cell int, grams binary, counts binary, row long, doc_id long, held_out boolean, text binary"
+
 
+def gather(docs: DataFrame, order: int, cells: int) -> DataFrame:
+    """Rows of four kinds: (word, n) and (gram, n), of ``SPLIT`` bytes, of the training documents, added up in each task as far as its memory allows;
+    (chunk, cell, grams, counts), a chunk's n-grams and how often its training documents have them; and (chunk, row, doc_id, held_out, text), the texts as they are scored."""
+    kinds = dict(pair.split() for pair in GATHERED.split(", "))
+    types = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
-def gather(docs: DataFrame, order: int) -> DataFrame:
-    """Rows (word, gram, n) of the training documents: words and byte n-grams with their counts, summed in each task as far as its memory allows."""
+    def rows(size: int, **columns) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(columns[c], types[k]) if c in columns else pa.nulls(size, types[k]) for c, k in kinds.items()], list(kinds))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def out(keys: list[bytes] | np.ndarray, n: list[int] | np.ndarray) -> pa.RecordBatch:
-            nulls = pa.nulls
-            if isinstance(keys, np.ndarray):
-                return pa.record_batch([nulls(len(n), pa.binary()), pa.array(keys.astype(np.int64)), pa.array(n, pa.int64())], ["word", "gram", "n"])
-            return pa.record_batch([pa.array(keys, pa.binary()), nulls(len(n), pa.int64()), pa.array(n, pa.int64())], ["word", "gram", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # grams, with a last bit for training documents, and counts
+        chunk, size = TaskContext.get().partitionId() << 30, 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
             return keys, np.bincount(at, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
 
+        def close() -> Iterator[pa.RecordBatch]:
+            keys, n = merged()
+            g, first = np.unique(keys >> np.uint64(1), return_index=True)
+            n = np.add.reduceat(n * (keys & np.uint64(1)).astype(np.int64), first)
+            low, low_n = shortened(g, n, SPLIT)
+            low, low_n = low[low_n > 0], low_n[low_n > 0]
+            yield rows(len(low), gram=low.astype(np.int64), n=low_n)
+            r = by_context(g, order)
+            cell = (r >> np.uint64(8 * (order - SPLIT) + 8)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            cell = (cell % np.uint64(cells)).astype(np.int32)
+            by = np.lexsort((r, cell))
+            r, cell, n = r[by], cell[by], n[by]
+            starts = np.flatnonzero(np.diff(cell, prepend=-1))
+            ends = np.append(starts[1:], len(cell))
+            grams_, counts = packed(r, starts, order + 1), np.minimum(n, (1 << 32) - 1).astype("<u4")
+            ends_of = list(zip(starts, ends, strict=True))
+            yield rows(len(starts), chunk=np.full(len(starts), chunk), cell=cell[starts], grams=[grams_[i:j].tobytes() for i, j in ends_of], counts=[counts[i:j].tobytes() for i, j in ends_of])
+
         for b in batches:
-            scored = []
-            for own, text in map(normal, texts_of(b)):
-                words.update(own)
+            scored, trained = [], [not x for x in b.column("held_out").to_pylist()]
+            for (own, text), counts in zip(map(normal, texts_of(b)), trained, strict=True):
                 scored.append(text)
-            words[END] += len(scored)
-            for g, inside, _ in windows(scored, order):
-                held.append(np.unique(g[inside], return_counts=True))
-                if sum(len(k) for k, _ in held) > 3 * FLUSH:
+                if counts:
+                    words.update(own)
+                    words[END] += 1
+            if not scored:
+                continue
+            yield rows(len(scored), chunk=np.full(len(scored), chunk), row=b.column("row"), doc_id=b.column("doc_id"), held_out=b.column("held_out"), text=scored)
+            size += sum(map(len, scored))
+            train = np.array(trained, np.uint64)
+            for g, inside, doc in windows(scored, order):
+                held.append(np.unique(g[inside] << np.uint64(1) | train[doc[inside]], return_counts=True))
+                if sum(len(k) for k, _ in held) > 2 * CHUNK_GRAMS:
                     held = [merged()]
-                    if len(held[0][0]) > 2 * FLUSH:
-                        yield out(*held.pop())
+            if size > CHUNK_BYTES or len(held[0][0]) > CHUNK_GRAMS:
+                yield from close()
+                held, chunk, size = [], chunk + 1, 0
             if len(words) > FLUSH:
-                yield out(list(words), list(words.values()))
+                yield rows(len(words), word=list(words), n=list(words.values()))
                 words.clear()
         if words:
-            yield out(list(words), list(words.values()))
+            yield rows(len(words), word=list(words), n=list(words.values()))
         if held:
-            yield out(*merged())
-
-    return map_batches(docs, each, "word binary, gram long, n long")
-
-
-def ngram_counts(table: DataFrame, order: int, max_nodes: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of each order, from the full table (gram, n) of the highest; each at most ``max_nodes`` of the most frequent."""
-    out = []
-    for k in range(order + 1):
-        level = table if k == order else table.groupBy(F.col("gram").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        if k > 1:  # 2 bytes have at most 65,536 grams
-            level = stored(level)
-            often = {r["n"]: r["grams"] for r in level.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("grams")).collect()}
-            least, kept = 1, sum(often.values())
-            for n in sorted(often):
-                if kept <= max_nodes:
-                    break
-                least, kept = n + 1, kept - often[n]
-            level = level.where(F.col("n") >= least)
-        rows = level.select("gram", "n").toArrow()
-        keys, n = rows["gram"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(np.int64)
-        order_ = np.argsort(keys)
-        out.append((keys[order_], n[order_]))
-    return out
+            yield from close()
 
+    return map_batches(docs, each, GATHERED)
 
-def consistent(counts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Without grams whose end isn't a gram of the next lower order any more."""
-    out = counts[:1]
-    for k, (keys, n) in enumerate(counts[1:], 1):
-        below = out[-1][0]
-        suffix = keys & np.uint64((1 << 8 * k) - 1)
-        at = np.minimum(np.searchsorted(below, suffix), max(len(below) - 1, 0))
-        kept = below[at] == suffix if len(below) else np.zeros(len(keys), bool)
-        out.append((keys[kept], n[kept]))
-    return out
 
+def answers(asked: DataFrame, low: Broadcast, order: int) -> DataFrame:
+    """(chunk, grams, logs): each chunk's n-grams with their log10 probabilities, from rows (chunk, cell, grams, counts).
 
-_opened: dict[int, Trie] = {}
+    Rows of a cell lie in one task, one after the other; whole cells are worked out together up to ``ASKED_AT_ONCE`` n-grams.
+    """
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below = low.value
+        held: list[tuple] = []
+        size, at = 0, None
+
+        def close() -> pa.RecordBatch:
+            chunks, blobs, counts = zip(*held, strict=True)
+            r, lengths = unpacked(blobs, order + 1)
+            n = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
+            g, place = np.unique(by_place(r, order), return_inverse=True)
+            n = np.bincount(place, n, len(g)).astype(np.int64)
+            logs = log10_of(levels_of(g[n > 0], n[n > 0], range(SPLIT, order + 1), below), g).astype("<f4")[place]
+            ends = np.cumsum(lengths)
+            return pa.record_batch([pa.array(chunks, pa.int64()), pa.array(blobs, pa.binary()), pa.array([logs[e - m : e].tobytes() for e, m in zip(ends, lengths, strict=True)], pa.binary())], ["chunk", "grams", "logs"])
 
-def opened(trie, trie_id: int) -> Trie:
-    """The broadcast trie with its tables, built once for each worker."""
-    if trie_id not in _opened:
-        _opened.clear()
-        _opened[trie_id] = trie.value.open()
-    return _opened[trie_id]
+        for b in batches:
+            for row in zip(*(b.column(c).to_pylist() for c in ("cell", "chunk", "grams", "counts")), strict=True):
+                if at != row[0] and size > ASKED_AT_ONCE:
+                    yield close()
+                    held, size = [], 0
+                at = row[0]
+                held.append(row[1:])
+                size += len(row[2]) // (order + 1)
+        if held:
+            yield close()
+
+    dealt = asked.repartition("cell").sortWithinPartitions("cell", "chunk")
+    return map_batches(dealt, each, "chunk long, grams binary, logs binary")
 
 
-def score(docs: DataFrame, held_out: Column, order: int = ORDER, max_nodes: int = MAX_NODES, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, order: int = ORDER, frequent_words: int = FREQUENT_WORDS) -> DataFrame:
     """row, doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes: one row for each row of ``docs``.
 
     Rows where ``held_out`` (an expression on doc_id) is true are scored only, all others are trained on and scored. A
     null text is an empty one: its end is its only token. Rows that repeat are counted and scored each. With no
     training rows every token has probability 1 / (V + 1) = 1 in the base and every byte 1 / 256 in the trie. An empty
-    table gives no rows. Other columns are ignored.
+    table gives no rows. Other columns are ignored. ``order`` is ``SPLIT`` to 6.
     """
     spark = docs.sparkSession
-    docs = documents(docs).withColumn("held_out", held_out)
-    gathered = stored(gather(docs.where("not held_out").select("text"), order))
+    cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    gathered = stored(gather(documents(docs).withColumn("held_out", held_out), order, cells))
     vocabulary = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
     total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     size = total["n"] + total["v"] + 1
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["c"] + 1) / size) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent_words).collect()})
-    table = stored(gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))
-    trie = spark.sparkContext.broadcast(Trie(consistent(ngram_counts(table, order, max_nodes))))
-    trie_id = hash((spark.sparkContext.applicationId, trie._jbroadcast.id()))
+    short = gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT rows
+    low = spark.sparkContext.broadcast(levels_of(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64), range(SPLIT), []))
+    answered = answers(gathered.where("cell is not null").select("chunk", "cell", "grams", "counts"), low, order)
+    texts = gathered.where("text is not null").select("chunk", "row", "doc_id", "held_out", "text")
+    met = answered.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull())
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = opened(trie, trie_id), frequent.value
+        frequent_logs = frequent.value
         part, uid = TaskContext.get().partitionId(), 0
-        for b in batches:
-            tokens, base, hits, rare, at, scored = [], [], [], [], [0], []
-            for words, text in map(normal, texts_of(b)):
-                scored.append(text)
-                words.append(END)
-                values = [logs[w] for w in words if w in logs]
-                tokens.append(len(words))
-                base.append(sum(values))
-                hits.append(len(values))
-                if len(values) < len(words):
-                    rare += [w for w in words if w not in logs]
-                at.append(len(rare))
-            scores = np.zeros(len(scored))
+        at, known, found, values = None, [], None, None  # the chunk, its answers, and the table made of them
+
+        def scores_of(scored: list[bytes]) -> np.ndarray:
+            out = np.zeros(len(scored))
             for g, inside, doc in windows(scored, order):
-                scores += np.bincount(doc[inside], model.log10(g[inside]), len(scored))
-            uids = (np.int64(part) << 34) + np.arange(uid, uid + len(scored))
-            uid += len(scored)
-            yield pa.record_batch(
-                [pa.array(uids), b.column("row"), b.column("doc_id"), b.column("held_out"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores), pa.array([len(t) + 1 for t in scored], pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rare, pa.binary()))],
-                ["uid", "row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "n_bytes", "rare"],
-            )
+                out += np.bincount(doc[inside], values[found.find(g[inside])], len(scored))
+            return out
+
+        for b in batches:
+            chunks, is_text = b.column("chunk").to_numpy(), b.column("text").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, len(chunks)], strict=True) if len(chunks) else ():
+                run = b.slice(lo, hi - lo)
+                if at != chunks[lo]:
+                    at, known, found = chunks[lo], [], None
+                if not is_text[lo]:
+                    known += zip(run.column("grams").to_pylist(), run.column("logs").to_pylist(), strict=True)
+                    continue
+                if found is None:
+                    blobs, logs = zip(*known, strict=True)
+                    found, values, known = Table(by_place(unpacked(blobs, order + 1)[0], order)), np.frombuffer(b"".join(logs), "<f4"), []
+                scored = run.column("text").to_pylist()
+                tokens, base, hits, rare, ends = [], [], [], [], [0]
+                for text in scored:
+                    words = [*text.split(b" "), END] if text else [END]
+                    own = [frequent_logs[w] for w in words if w in frequent_logs]
+                    tokens.append(len(words))
+                    base.append(sum(own))
+                    hits.append(len(own))
+                    if len(own) < len(words):
+                        rare += [w for w in words if w not in frequent_logs]
+                    ends.append(len(rare))
+                uids = (np.int64(part) << 34) + np.arange(uid, uid + len(scored))
+                uid += len(scored)
+                yield pa.record_batch(
+                    [pa.array(uids), run.column("row"), run.column("doc_id"), run.column("held_out"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores_of(scored)), pa.array([len(t) + 1 for t in scored], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))],
+                    ["uid", "row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "n_bytes", "rare"],
+                )
 
     schema = "uid long, row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, n_bytes long, rare array<binary>"
-    scored = stored(map_batches(docs, each, schema))
+    scored = stored(map_batches(met, each, schema))
     asked = scored.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times"))
     answered = asked.join(vocabulary, "word", "left")
     value = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size)))
