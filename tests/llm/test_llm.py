@@ -274,17 +274,51 @@ def test_quality_thresholds_are_of_all_trusted_documents(spark):
     assert not found[61]["keep"] and sum(found[i]["keep"] for i in range(60)) >= 50
 
 
-def test_search_against_all(spark):
-    rng = np.random.default_rng(4)
-    rows = [(i % 290, [float(x) for x in rng.normal(size=8)]) for i in range(300)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (None, [0.0] * 8)]
-    found = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=10).collect()
-    v = [(i, np.floor(1024 * np.array(x, np.float32).astype(float)).astype(int)) for i, x in rows[:300]]
+def best_by_all_pairs(rows, every, k):
+    v = [(i, [int(np.floor(1024 * float(np.float32(c)))) for c in x]) for i, x in rows]
     want = []
     for n, (i, q) in enumerate(v):
-        if i % 100 == 0:
-            best = sorted((-int(q @ x), j) for m, (j, x) in enumerate(v) if m != n)[:10]
+        if i % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x, strict=False)), j) for m, (j, x) in enumerate(v) if m != n)[:k]
             want += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(want)
+    return sorted(want)
+
+
+def found_by(spark, rows, k=10):
+    found = topk_search.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit("own")), k=k).collect()
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found)
+
+
+def test_search_against_all(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i % 290, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
+    odd = [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (None, [0.0] * 8)]
+    assert found_by(spark, rows + odd) == best_by_all_pairs(rows, 100, 10)
+    monkeypatch.setattr(topk_search, "SHARD_ROWS", 16)
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 64)  # several blocks of queries
+    assert found_by(spark, rows) == best_by_all_pairs(rows, 100, 10)
+    ties = [(i, [1.0, 2.0]) for i in range(130)] + [(200, [0.0]), (300, [])]
+    assert found_by(spark, ties, 3) == best_by_all_pairs(ties, 100, 3)
+    assert found_by(spark, [(5, [1.0])]) == []
+
+
+def test_search_skips_and_stays_exact():
+    rng = np.random.default_rng(14)
+    vectors = np.floor(rng.normal(size=(3000, 16)) * 2.0 ** -np.arange(16) * 1024)  # few terms matter
+    queries, best, skipped = vectors[:20], topk_search.Best(20, 10), 0
+    for at in range(0, 3000, 500):
+        skipped += topk_search.traverse(queries, np.arange(20), vectors[at : at + 500], np.arange(at, at + 500), np.arange(at, at + 500), best)
+    assert skipped > 100_000
+    for q in range(20):
+        want = sorted((-int(queries[q] @ vectors[i]), i) for i in range(3000) if i != q)[:10]
+        assert list(zip(*best.found[q][:2], strict=True)) == [(-s, i) for s, i in want]
+
+
+def test_search_of_large_weights_is_exact_or_fails(spark):
+    rows = [(0, [2e6, 1e6]), (1, [2e6, 1.0]), (2, [-2e6, 1e6]), (3, [1e5, 3.0])]
+    assert found_by(spark, rows) == best_by_all_pairs(rows, 100, 10)
+    with pytest.raises(Exception, match="64 bits"):
+        found_by(spark, [(0, [1e30]), (1, [1e30])])
 
 
 def test_line_dedup(spark, none):
