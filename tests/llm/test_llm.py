@@ -323,13 +323,32 @@ def test_search_of_large_weights_is_exact_or_fails(spark):
 
 def test_line_dedup(spark, none):
     shared = "  This line is shared by many documents, WHATEVER they say  "
-    rows = [(i, f"own line {i}\n{shared if i % 2 else shared.upper()}\n") for i in range(8)] + [(20, None), (None, shared), (21, shared[:30])]
-    found = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert found[7]["n_dropped"] == 0 and all(found[i]["n_dropped"] == 1 and found[i]["text"] == f"own line {i}\n" for i in range(7))
-    assert found[None]["text"] == "" and found[20]["n_lines"] == 1 and found[21]["n_dropped"] == 0
+    rows = [(i, f"own line {i}\n{shared if i % 2 else shared.upper()}\n", "x", 1) for i in range(8)] + [(20, None, None, 2), (None, shared, None, 3), (21, shared[:30], None, None), (3, f"{shared}\nagain", "y", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, row long")
+    for sent_keys in (1_000_000, 0):  # by a broadcast, and by a join
+        found = line_dedup.drop_repeated_lines(docs, sent_keys=sent_keys).collect()
+        assert len(found) == len(rows)
+        own = {(r["doc_id"], r["text"].split("\n")[0]): r for r in found}
+        assert own[7, "own line 7"]["n_dropped"] == 0 and all(own[i, f"own line {i}"]["n_dropped"] == 1 and own[i, f"own line {i}"]["text"] == f"own line {i}\n" for i in range(7))
+        assert own[None, ""]["n_dropped"] == 1 and own[20, ""]["n_lines"] == 1 and own[21, shared[:30]]["n_dropped"] == 0 and own[3, "again"]["n_dropped"] == 1
     assert line_dedup.drop_repeated_lines(none).count() == 0
 
 
+def test_no_repeated_line_is_lost_in_small_or_full_filters(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    lines = [f"{i} " + "x" * 50 for i in range(300)]
+    rows = [(i, "\n".join(rng.choice(lines, 8))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    holders = {x: {i for i, t in rows if x in t.split("\n")} for x in lines}
+    want = {i: "\n".join(x for x in t.split("\n") if len(holders[x]) < 5 or max(holders[x]) == i) for i, t in rows}
+    monkeypatch.setattr(line_dedup, "CHUNK_BITS", 1 << 12)
+    monkeypatch.setattr(line_dedup, "FLUSH", 50)
+    for bits in (1 << 8, 1 << 16):
+        assert {r["doc_id"]: r["text"] for r in line_dedup.drop_repeated_lines(docs, bits=bits).collect()} == want
+    two = line_dedup.seen_twice(docs.where("doc_id < 100").union(docs.where("doc_id >= 100")), 40, 1 << 16)
+    assert 0 < np.unpackbits(two).mean() < 0.02
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
