@@ -146,6 +146,101 @@ def test_pii(spark, docs, none):
     assert cards.select(pii.permute_digits(F.col("d"), "k", "x").alias("p")).distinct().count() == 500
 
 
+def plain_pseudonyms(text, key):
+    """The same by Python's own means."""
+    import datetime
+    import hashlib
+    import re
+
+    sha = lambda *parts: hashlib.sha256("|".join(map(str, parts)).encode()).hexdigest()
+
+    def feistel(a, ma, b, mb, tweak):
+        for r in range(10):
+            a, ma, b, mb = b, mb, (a + int(sha(key, tweak, r, b)[:15], 16) % ma) % ma, ma
+        return a, b
+
+    def digits_of(d, kind):
+        left = len(d) // 2
+        a, b = feistel(int(d[:left]), 10**left, int(d[left:]), 10 ** (len(d) - left), f"{kind}{len(d)}")
+        return f"{a:0{left}d}{b:0{len(d) - left}d}"
+
+    def luhn(d):
+        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d)))
+
+    def refill(m, digits):
+        it = iter(digits)
+        return "".join(next(it) if c.isdigit() else c for c in m)
+
+    def swap(found):
+        m = found.group(0)
+        d = re.sub(r"\D", "", m)
+        if "@" in m:
+            return f"user.{sha(key, 'email', m.lower())[:32]}@mail.invalid"
+        if re.fullmatch(r"\d+(\.\d+){3}", m):
+            o = [int(x) for x in m.split(".")]
+            if max(o) > 255:
+                return m
+            a, b = feistel(o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536, "ip")
+            return f"{a >> 8}.{a & 255}.{b >> 8}.{b & 255}"
+        if re.fullmatch(r"\d{4}-\d{2}-\d{2}", m):
+            try:
+                day = datetime.date.fromisoformat(m)
+            except ValueError:
+                return m
+            nth = (day - datetime.date(1800, 1, 1)).days
+            if not 1800 <= day.year <= 2199:
+                return m
+            a, b = feistel(nth // 773, 189, nth % 773, 773, "date")
+            return (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).isoformat()
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+            area, group, serial = map(int, m.split("-"))
+            if not 1 <= area <= 899 or area == 666 or not group or not serial:
+                return m
+            a, b = feistel(area - 1 - (area > 666), 898, (group - 1) * 9999 + serial - 1, 99 * 9999, "ssn")
+            return f"{a + 1 + (a >= 665):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}"
+        if "=" in m or ":" in m:
+            token = re.search(r"[\w/+.-]{16,}", m).group(0)
+            return m.replace(token, (sha(key, "secret", token) * (len(token) // 64 + 1))[: len(token)])
+        if re.search(r"[ .)-]\d{3}[ .-]\d{4}$", m) and 10 <= len(d) <= 13:
+            return refill(m, d[:-10] + digits_of(d[-10:], "phone"))
+        if luhn(d) % 10 == 0:
+            body = digits_of(d[:-1], "card")
+            return refill(m, body + str((10 - luhn(body + "0") % 10) % 10))
+        return m
+
+    return re.sub(pii.CANDIDATE.replace(r"\p{L}\p{N}", r"\w"), swap, text, flags=re.ASCII)
+
+
+def test_pii_equals_the_plain_form(spark):
+    rng = np.random.default_rng(16)
+    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+
+    def card():
+        body = number(15)
+        total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(body)))
+        return body + str(-total % 10)
+
+    makers = [
+        lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"+1 {number(3)}.{number(3)}.{number(4)}", card, lambda: number(16),
+        lambda: f"{rng.integers(0, 300)}.{rng.integers(0, 256)}.1.2", lambda: f"{rng.integers(1700, 2300)}-{rng.integers(0, 14):02d}-{rng.integers(0, 33):02d}", lambda: f"who.{number(2)}@site{number(1)}.org",
+        lambda: f"token = {'aB3' * int(rng.integers(4, 30))}", lambda: "plain words", lambda: "000-12-3456", lambda: "665-01-0001", lambda: "667-99-9999",
+    ]
+    rows = [(i, " ".join(makers[int(j)]() + "," for j in rng.integers(0, len(makers), 6))) for i in range(150)]
+    rows += [(500, rows[0][1]), (500, rows[0][1]), (501, None), (502, "")]
+    found = pii.private_documents(spark.createDataFrame(rows, "doc_id long, text string").withColumn("found", F.lit(1)), "a key").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in found) == sorted((i, plain_pseudonyms(t or "", "a key")) for i, t in rows)
+    days = spark.range(3000).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("text"), F.col("id").alias("doc_id"))
+    assert pii.private_documents(days, "k").select("text").distinct().where("text rlike '^(18|19|20|21)[0-9]{2}-[0-9]{2}-[0-9]{2}$'").count() == 3000
+
+
+def test_the_posterior_is_that_of_a_beta(spark):
+    rng = np.random.default_rng(17)
+    cases = [(0.3, 2.0, 0.5), (5.0, 3.0, 0.5), (40.0, 20.0, 0.6), (3000.0, 2900.0, 0.5), (0.05, 0.05, 0.5), (1.0, 1.0, 0.2)]
+    for a, b, share in cases:
+        got = spark.range(1).select(url_filter.above(F.lit(a), F.lit(b), share)).first()[0]
+        assert abs(got - (rng.beta(a, b, 400_000) > share).mean()) < 0.006
+
+
 def test_url_rules_and_reputation(spark):
     pages = spark.createDataFrame([(1, "http://A.com/x"), (2, "https://b.net/fr/1?q"), (3, None), (4, "nothing"), (5, "http://www.example.com/en/1"), (6, "http://bad.org/1")], "page_id long, url string")
     outcomes = spark.createDataFrame([(6, 1)] * 60 + [(1, 0)] * 60 + [(None, 1), (1, None)], "page_id long, bad int")

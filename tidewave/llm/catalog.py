@@ -58,8 +58,8 @@ h AS (
   SELECT host, count(o.bad) AS n, coalesce(sum(o.bad), 0)::DOUBLE AS bad,
          array_to_string(string_split(host, '.')[-2:], '.') AS two, array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one
   FROM p LEFT JOIN (SELECT doc_id AS page_id, (quality = 0 OR toxic = 1)::INT AS bad FROM labels) o USING (page_id) GROUP BY host),
-hd AS (SELECT host, n, bad, CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN three ELSE two END AS domain,
-              CASE WHEN two IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.in') THEN two ELSE one END AS suffix FROM h),
+hd AS (SELECT host, n, bad, CASE WHEN two IN TWO_LABELS THEN three ELSE two END AS domain,
+              CASE WHEN two IN TWO_LABELS THEN two ELSE one END AS suffix FROM h),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM hd GROUP BY ALL),
 s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM d) AS m FROM d GROUP BY suffix),
 ks AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / least(greatest((sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - count(*)) / (sum(n) - count(*)), 1e-3), 0.9) - 1 END AS k FROM s0 WHERE n > 0),
@@ -69,14 +69,18 @@ kd AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / lea
 d1 AS (SELECT domain, (m * k + bad) / (k + n) AS m FROM d0, kd),
 h0 AS (SELECT host, n, bad, m FROM hd JOIN d1 USING (domain)),
 kh AS (SELECT CASE WHEN count(*) = 0 OR sum(n) <= count(*) THEN 1.0 ELSE 1 / least(greatest((sum(n * (bad / n - m) ** 2 / (m * (1 - m))) - count(*)) / (sum(n) - count(*)), 1e-3), 0.9) - 1 END AS k FROM h0 WHERE n > 0),
-h1 AS (SELECT host, (m * k + bad) / (k + n) AS post, k + n AS ab FROM h0, kh),
+h1 AS (SELECT host, m * k + bad AS a, (1 - m) * k + n - bad AS b, (m * k + bad) / (k + n) AS post FROM h0, kh),
+h2 AS (SELECT host, a, b, ln(a / b) - 12 * sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) AS low, 24 * sqrt(1 / a + 1 / (a * a) + 1 / b + 1 / (b * b)) / 400 AS h, a * ln(a / (a + b)) + b * ln(b / (a + b)) AS top FROM h1 WHERE post > 0.475),
+u AS (SELECT host, a, b, top, h, unnest(list_transform(range(400), lambda i: low + (i + 0.5) * h)) AS u FROM h2),
+f AS (SELECT host, greatest(least(u / h + 0.5, 1), 0) AS part, exp(-a * ln(1 + exp(least(-u, 700))) - b * ln(1 + exp(least(u, 700))) - top) AS density FROM u),
+sure AS (SELECT host FROM f GROUP BY host HAVING sum(density * part) / sum(density) > 0.95),
 rules(verdict, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
-own AS (SELECT host, CASE WHEN post - 1.645 * sqrt(post * (1 - post) / (ab + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM h1),
+own AS (SELECT h1.host, CASE WHEN sure.host IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM h1 LEFT JOIN sure ON h1.host = sure.host),
 r AS (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
       FROM (SELECT DISTINCT host, path FROM p), rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL)
 SELECT page_id, p.host, p.path, r.rule, coalesce(r.verdict, own.verdict) AS verdict
 FROM p JOIN own ON p.host = own.host LEFT JOIN r ON p.host = r.host AND p.path = r.path
-"""
+""".replace("TWO_LABELS", str(url_filter.TWO_LABEL_SUFFIXES))
 
 
 def op6_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

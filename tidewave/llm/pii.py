@@ -2,7 +2,9 @@
 
 One pattern finds candidates in the whole text; each is validated by its kind (check digit, octets, calendar) and then
 permuted within its format by a keyed Feistel network, so the same value gets the same pseudonym in every document and
-different values get different ones. What can't be permuted (addresses, secrets) gets a keyed digest in its own shape.
+different values get different ones; a valid number becomes a valid one. What can't be permuted (addresses, secrets)
+gets a keyed digest in its own shape. Telephone numbers are those of ten digits with separators and an optional prefix;
+they have no check digit, so their shape is all that is validated.
 """
 
 from __future__ import annotations
@@ -108,19 +110,25 @@ def _pseudonym(m: Column, digits: Column, key: str) -> Column:
     body = permute_digits(F.substring(digits, F.lit(1), n - 1), key, "card")
     card = refill(m, bound(body, lambda b: F.concat(b, ((10 - luhn_sum(F.concat(b, F.lit("0"))) % 10) % 10).cast("string"))))
 
+    area, group, serial = (F.substring(digits, *at).cast("long") for at in ((1, 3), (4, 2), (6, 4)))
+    ssn_ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    # valid numbers by their place: 898 areas, and 99 groups of 9999 numbers
+    put = feistel(area - 1 - (area > 666).cast("long"), F.lit(898), (group - 1) * 9999 + serial - 1, F.lit(99 * 9999), key, F.lit("ssn"))
+    ssn = bound(put, lambda h: F.format_string("%03d-%02d-%04d", h["a"] + 1 + (h["a"] >= 665).cast("long"), F.floor(h["b"] / 9999) + 1, h["b"] % 9999 + 1))
+
     phone = refill(m, F.concat(F.substring(digits, F.lit(1), n - 10), permute_digits(F.substring(digits, n - 9, F.lit(10)), key, "phone")))
 
     token = F.regexp_extract(m, r"[\w/+.-]{16,}", 0)
     secret = F.replace(m, token, F.substring(F.repeat(F.sha2(F.concat_ws("|", F.lit(key), F.lit("secret"), token), 256), F.ceil(F.length(token) / 64).cast("int")), F.lit(1), F.length(token)))
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit("email"), F.lower(m)), 256)
-    email = F.concat(F.lit("user."), F.substring(digest, 1, 12), F.lit("@mail.invalid"))
+    email = F.concat(F.lit("user."), F.substring(digest, 1, 32), F.lit("@mail.invalid"))  # 128 bits
 
     as_kind = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     return (
         F.when(m.contains("@"), as_kind("email", email))
         .when(is_ip & ip_ok, as_kind("ip", ip))
         .when(is_date & date_ok, as_kind("date", date))
-        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$"), as_kind("ssn", refill(m, permute_digits(digits, key, "ssn"))))
+        .when(m.rlike(r"^\d{3}-\d{2}-\d{4}$") & ssn_ok, as_kind("ssn", ssn))
         .when(m.rlike(r"[=:]"), as_kind("secret", secret))
         .when(m.rlike(r"[ .)-]\d{3}[ .-]\d{4}$") & n.between(10, 13), as_kind("phone", phone))
         .when(m.rlike(r"^\d[\d -]+$") & n.between(13, 19) & (luhn_sum(digits) % 10 == 0), as_kind("card", card))
@@ -150,12 +158,13 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """
     # most texts hold no digit, @, = or : and are not searched further
     suspect = F.col("text").rlike("[0-9@=:]")
-    found = docs.withColumn("__found", F.when(suspect, replaced(F.col("text").cast("string"), key)))
-    kinds = F.coalesce("__found.kinds", F.array().cast("array<string>"))
-    out = found.withColumn("private_kinds", kinds).withColumn("text", F.coalesce("__found.text", "text"))
+    own = "found" + "_" * max(map(len, docs.columns))  # no column's name
+    found = docs.withColumn(own, F.when(suspect, replaced(F.col("text").cast("string"), key)))
+    kinds = F.coalesce(f"{own}.kinds", F.array().cast("array<string>"))
+    out = found.withColumn("private_kinds", kinds).withColumn("text", F.coalesce(f"{own}.text", "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.drop("__found")
+    return out.drop(own)
 
 
 def private_documents(docs: DataFrame, key: str) -> DataFrame:
