@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, looked_up, lower_ascii, numbered, stored, without
+from .shared import documents, looked_up, lower_ascii, numbered, scratch, stored, without
 
 #: Keys that a bucket holds before it splits; with very many keys it holds more, so that the directory has at most 2 ** MOST_DEPTH entries.
 BUCKET_KEYS, MOST_DEPTH = 50_000, 12
@@ -98,4 +98,6 @@ def index_duplicates(texts: DataFrame, key_bits: int = 64, bucket_keys: int = BU
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, all its columns, without the rows that ``exact_duplicates`` drops."""
     rows = numbered(docs)
-    return without(rows, index_duplicates(rows.select("row", "doc_id", "text")).where("not kept"))
+    with scratch(docs.sparkSession) as kept:
+        dropped = kept(index_duplicates(rows.select("row", "doc_id", "text")).where("not kept").select("row"))
+    return without(rows, dropped)

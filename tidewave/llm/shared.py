@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ BATCH_ROWS = 256
 #: Row numbers are broadcast up to this many (8 bytes each, 8 MB); beyond it a join shuffles both sides.
 BROADCAST_ROWS = 1_000_000
 
+#: Entries of some columns are broadcast up to this many (about 100 bytes each).
+BROADCAST_ENTRIES = 100_000
+
 #: A key with more rows than this is hot: its entry is broadcast, of which there are so few as the rows allow.
 HOT_ROWS = 200_000
 
@@ -45,14 +49,43 @@ def own_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewave-{name}"
 
 
+_writing_to: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in ``own_folder``."""
-    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
+    """A new path for a table: in ``own_folder``, or in the folder that ``writing_to`` names."""
+    return f"{_writing_to[-1] if _writing_to else own_folder(spark)}/{uuid.uuid4().hex}"
+
+
+@contextmanager
+def writing_to(folder: str) -> Iterator[None]:
+    """Tables stored inside go to ``folder``."""
+    _writing_to.append(folder)
+    try:
+        yield
+    finally:
+        _writing_to.pop()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside are deleted at the end, but for those that the function it gives has stored. Nothing else made inside may be used after it."""
+    folder, outside = shared_folder(spark), list(_writing_to)
+
+    def kept(df: DataFrame) -> DataFrame:
+        with writing_to(outside[-1] if outside else own_folder(spark)):
+            return stored(df)
+
+    try:
+        with writing_to(folder):
+            yield kept
+    finally:
+        release(spark, folder)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete all tables that this application has stored in the shared folder; call it once the results are written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+def release(spark: SparkSession, folder: str | None = None) -> None:
+    """Delete ``folder``, or all tables that this application has stored in the shared folder: once the results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder or own_folder(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
@@ -94,16 +127,19 @@ def sent_if_small(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents of ``rows`` (from ``numbered``), with their own columns, but for the ``dropped`` row numbers."""
-    return rows.join(sent_if_small(stored(dropped.select("row"))), "row", "left_anti").select("doc.*")
+    """The documents of ``rows`` (from ``numbered``), with their own columns, but for the row numbers of ``dropped``, a stored table."""
+    return rows.join(sent_if_small(dropped.select("row")), "row", "left_anti").select("doc.*")
 
 
 def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
     """``rows`` joined with ``entries``, a stored table of one row for each key with the number ``n`` of rows that have it.
 
-    Entries of keys with more than ``hot`` rows are broadcast: there are at most the number of rows by ``hot`` of them.
-    So no task gets all rows of a hot key. All other keys meet in a plain join. ``how`` is inner or left.
+    A few entries are broadcast. Of more, those of keys with more than ``hot`` rows are broadcast: there are at most the
+    number of rows by ``hot`` of them. So no task gets all rows of a hot key. All other keys meet in a plain join.
+    ``how`` is inner or left.
     """
+    if entries.count() <= BROADCAST_ENTRIES:
+        return rows.join(F.broadcast(entries), on, how)
     often = entries.where(F.col(n) > hot)
     if often.isEmpty():
         return rows.join(entries, on, how)

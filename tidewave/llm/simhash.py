@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import documents, looked_up, map_batches, numbered, sent_if_small, stored, without
+from .shared import BROADCAST_ROWS, documents, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
 
 SEED = 42
 PIVOTS = 16
@@ -201,12 +201,18 @@ def near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFr
     and so a component. An empty table gives no rows. Other columns are ignored.
     """
     fps = stored(fingerprints(documents(docs), shingle))
+    with scratch(docs.sparkSession) as kept:
+        labels = kept(component_labels(fps, tolerance))
+    return looked_up(fps, labels, ["fp"], "n").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def component_labels(fps: DataFrame, tolerance: int) -> DataFrame:
+    """fp, n, component_id of each fingerprint, from rows (row, doc_id, fp)."""
     own = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     up = roots(near_links(own.select("fp"), tolerance))
     rooted = stored(own.join(up.select(F.col("u").alias("fp"), "v"), "fp", "left").select("fp", "n", "first_id", F.coalesce("v", "fp").alias("root")))
     ids = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fps")))
-    labels = stored(looked_up(rooted, ids, ["root"], "fps").select("fp", "n", "component_id"))
-    return looked_up(fps, labels, ["fp"], "n").select("row", "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return looked_up(rooted, ids, ["root"], "fps").select("fp", "n", "component_id")
 
 
 def odd_sketch(hashes: np.ndarray) -> np.ndarray:
@@ -273,7 +279,7 @@ def sharing(known: DataFrame) -> DataFrame:
     """s, x: each first shingle that several rows have, with each of them (row, n, at, known): its place, and how many before it other rows have too."""
     lists = known.select("row", "n", F.posexplode("first").alias("at", "s"))
     several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
-    met = looked_up(lists, several, ["s"], "of")
+    met = lists.join(F.broadcast(several.select("s")), "s", "left_semi") if several.count() <= BROADCAST_ROWS else looked_up(lists, several, ["s"], "of")
     before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
     return met.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
 
@@ -353,8 +359,14 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     that aren't in one group by then. Texts without words are similar to each other.
     """
     rows = numbered(docs)
-    texts = rows.select("row", "text")
-    known = stored(ordered_shingles(texts, shingle, similarity))
+    with scratch(docs.sparkSession) as kept:
+        dropped = kept(all_but_first(rows, similar_groups(rows.select("row", "text"), shingle, similarity)))
+    return without(rows, dropped)
+
+
+def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(row, root) of rows (row, text) that ``drop_similar`` groups; roots themselves aren't listed."""
+    known = ordered_shingles(texts, shingle, similarity)
     sets = stored(known.groupBy("digest").agg(F.min("row").alias("v"), F.count("*").alias("n")))
     equal = stored(looked_up(known.select("row", "digest"), sets.where("n > 1"), ["digest"], "n").where("row > v").select(F.col("row").alias("u"), "v"))
     single = known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")
@@ -371,8 +383,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     led = stored(led_pairs(shared, groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
     links, tried = stored(links.unionByName(verified(led))), stored(tried.unionByName(led))
     rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(verified(rest)).unionByName(equal))
-    return without(rows, all_but_first(rows, groups(links)))
+    return groups(stored(links.unionByName(verified(rest)).unionByName(equal)))
 
 
 def all_but_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
@@ -386,6 +397,8 @@ def all_but_first(rows: DataFrame, groups: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, shingle: int, tolerance: int = 3) -> DataFrame:
     """``docs``, all its columns, with one row of each component of ``near_duplicates``: that of the smallest doc_id (a null doc_id comes last)."""
     rows = numbered(docs)
-    known = stored(fingerprints(rows, shingle))
-    links = stored(fingerprint_pairs(known, tolerance).select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return without(rows, all_but_first(rows, roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))))
+    with scratch(docs.sparkSession) as kept:
+        known = stored(fingerprints(rows, shingle))
+        links = stored(fingerprint_pairs(known, tolerance).select(F.col("b").alias("u"), F.col("a").alias("v")))
+        dropped = kept(all_but_first(rows, roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))))
+    return without(rows, dropped)
