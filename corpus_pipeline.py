@@ -6,37 +6,61 @@ each is written as Parquet and read again before the next.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewave.llm import exact_dedup, packing, pii, quality, simhash
 from tidewave.llm.catalog import PII_KEY, WORD_BPE
-from tidewave.llm.shared import stored, table
+from tidewave.llm.shared import release, shared_folder, stored, table, writing_to
+
+#: The folder of what the stage before has stored.
+_earlier: list[str] = []
+
+
+def stage(operate: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``operate`` with a folder of its own for what it stores. It goes when the next stage begins, since the result has been written by then."""
 
+    @wraps(operate)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if _earlier and operate.__name__ != STAGES[0][1].__name__:
+            release(spark, _earlier.pop())
+        folder = shared_folder(spark)
+        with writing_to(folder):
+            out = operate(spark, docs, sf_dir)
+        _earlier[:] = [folder]
+        return out
 
+    return run_stage
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the Kneser-Ney model doesn't reject."""
     return quality.drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
+@stage
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts, that of the largest doc_id."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates on five-word shingles, that of the smallest doc_id.
-
-    Texts whose fingerprints are within 3 bits, by pivot tables, or whose similarity is 0.8 or more.
-    """
+    """One document of each group of near duplicates, that of the smallest doc_id: a similarity of 0.8 or more on five-word shingles."""
     return simhash.drop_similar(docs, shingle=5, similarity=0.8)
 
 
+@stage
 def hide_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with pseudonyms in place of private data."""
     return pii.pseudonymise(docs, PII_KEY).select(*docs.columns)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their ids and places in sequences of 4096 tokens."""
     return packing.pack(docs, public_tokenizers.path(WORD_BPE), with_ids=True)
@@ -57,6 +81,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+    for _, each in STAGES[:-1]:
+        docs = stored(each(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
