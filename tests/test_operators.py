@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidewave.operators import calculus, matching, physiology, selection, signal, splits, windows
+from tidewave.operators import calculus, evaluation, features, matching, physiology, selection, signal, splits, statistics, windows
 
 
 def test_count_windows_are_complete_ones(spark):
@@ -113,3 +113,60 @@ def test_components_explain_their_share(spark):
     out, shares = selection.principal_components(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"], 0.95)
     assert len(shares) == 2 and sum(shares) > 0.95
     assert out.columns == ["a", "b", "c", "components"] and out.first()["components"].size == 2
+
+
+def test_blocks_are_filtered_as_the_whole_segment(spark):
+    rng = np.random.default_rng(5)
+    x = np.cumsum(rng.normal(size=1500))
+    rows = [(1, i, None if i in (3, 700) else float(v)) for i, v in enumerate(x)]
+    found = signal.low_pass(spark.createDataFrame(rows, "k long, i long, x double"), "k", ["i"], "x", 10.0, 60.0, block=128).orderBy("i").collect()
+    b, a = signal.butterworth(4, 10.0, 60.0)
+    got = np.array([np.nan if r["x_smooth"] is None else r["x_smooth"] for r in found])
+    assert len(found) == 1500 and np.isnan(got[[3, 700]]).all()
+    for lo, hi in ((0, 3), (4, 700), (701, 1500)):
+        assert np.allclose(got[lo:hi], signal.zero_phase(x[lo:hi], b, a), atol=1e-8)
+
+
+def test_matching_in_order_equals_the_plain_form(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 3)), float(rng.integers(0, 300)), i, str(rng.choice(["s", "a", "x"]))) for i in range(500)]
+    found = {r["start_row"]: r["answer_row"] for r in matching.consumed(spark.createDataFrame(rows, "k long, t double, row long, kind string"), "k", "t", "row", F.col("kind") == "s", F.col("kind") == "a", 7.0).collect()}
+    taken, want = set(), {}
+    for k, t, row, _ in sorted((r for r in rows if r[3] == "s"), key=lambda r: (r[0], r[1], r[2])):
+        free = sorted((u, a) for own, u, a, kind in rows if kind == "a" and own == k and t <= u <= t + 7 and a not in taken)
+        want[row] = free[0][1] if free else None
+        taken.add(want[row])
+    assert found == want
+
+
+def test_answers_keep_equal_starts(spark):
+    starts = spark.createDataFrame([(1, 5.0), (1, 5.0), (1, 50.0)], "k long, t double")
+    answers = spark.createDataFrame([(1, 9.0), (1, 9.5)], "k long, t double")
+    assert matching.with_answer(starts, answers, "k", "t", 10.0).count() == 2
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(7)
+    for values in (rng.normal(size=501), rng.integers(0, 4, 300).astype(float), np.array([2.0]), np.full(50, 1.5)):
+        df = spark.createDataFrame([(float(v), None) for v in values], "x double, y double")
+        row = {r["column"]: r for r in statistics.described(df, ["x", "y"]).collect()}
+        assert np.allclose([row["x"][f"p{q}"] for q in (25, 50, 75)], np.percentile(values, [25, 50, 75]))
+        assert row["y"]["n"] == 0 and row["y"]["p50"] is None
+
+
+def test_class_means_need_training_rows(spark):
+    train = spark.createDataFrame([(1, "a", 0.0), (1, "b", 4.0), (1, "b", 6.0)], "fold int, label string, x double")
+    test = spark.createDataFrame([(1, "a", 1.0), (1, "b", 9.0), (2, "a", 0.0)], "fold int, label string, x double")
+    found = evaluation.by_class_means(train, test, ["fold"], "label", ["x"])
+    assert sorted((r["fold"], r["x"], r["predicted"]) for r in found.collect()) == [(1, 1.0, "a"), (1, 9.0, "b"), (2, 0.0, None)]
+
+
+def test_folds_are_fitted_without_their_rows(spark):
+    rows = [(i, i % 3, float(i % 2), 1.0, float(i % 2)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, part int, label double, weight double, x double")
+    found = evaluation.fitted(df, "part", [0, 1, 2], lambda: selection.forest(["x"], trees=3, depth=2))
+    assert found.count() == 60 and found.where("prediction <> label").count() == 0
+
+
+def test_hops_are_at_least_one_row():
+    assert [features.hop_of(60, 0.5), features.hop_of(1, 0.9), features.hop_of(60, 1.0), features.hop_of(1, 2.0)] == [30, 1, 30, 1]

@@ -17,7 +17,8 @@ def condition_map(info: DataFrame, participant: str, sessions: list[str]) -> Dat
 
 def with_condition(df: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their condition, and the rejected ones that have none."""
-    return df.join(conditions, ["participant", "trial"]), df.join(conditions, ["participant", "trial"], "left_anti")
+    met = df.join(conditions, ["participant", "trial"], "left")  # conditions are never NULL
+    return met.where("condition is not null"), met.where("condition is null").drop("condition")
 
 
 def fuse(tables: list[DataFrame], keys: list[str]) -> DataFrame:

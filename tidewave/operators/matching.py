@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,48 +26,56 @@ def first_match(starts: DataFrame, answers: DataFrame, key: str, t: str, row: st
 
 
 def with_answer(starts: DataFrame, answers: DataFrame, key: str, t: str, reach: float) -> DataFrame:
-    """Starts that have an answer within ``reach``."""
-    return bucketed(starts, answers, key, t, reach, "left_semi").distinct()
+    """Starts that have an answer within ``reach``, each once, equal ones each. Answers, not starts, lie in two buckets."""
+    bucket = F.floor(F.col(t) / reach)
+    right = answers.select(F.col(key).alias("__k"), F.col(t).alias("__t"), F.explode(F.array(bucket, bucket - 1)).alias("__b"))
+    left = starts.withColumn("__b", bucket)
+    on = (left[key] == right["__k"]) & (left["__b"] == right["__b"]) & right["__t"].between(left[t], left[t] + reach)
+    return left.join(right, on, "left_semi").drop("__b")
 
 
 def flagged(samples: DataFrame, intervals: DataFrame, key: str, t: str, start: str, end: str, name: str, bucket: float) -> DataFrame:
-    """``name``: whether a sample lies in a closed interval of its key. Long intervals are cut into buckets first."""
-    cut = intervals.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e")).withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
+    """``name``: whether a sample lies in a closed interval of its key.
+
+    Intervals that meet are merged, so a sample lies in one at most and one left join tells; long ones are cut into buckets.
+    """
+    order = Window.partitionBy("__k").orderBy("__s", "__e")
+    known = intervals.select(F.col(key).alias("__k"), F.col(start).alias("__s"), F.col(end).alias("__e")).where(F.col("__s") <= F.col("__e"))
+    before = F.max("__e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    islands = known.withColumn("__new", F.coalesce(F.col("__s") > before, F.lit(True)).cast("int")).withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("__k", "__i").agg(F.min("__s").alias("__s"), F.max("__e").alias("__e"))
+    cut = merged.withColumn("__b", F.explode(F.sequence(F.floor(F.col("__s") / bucket), F.floor(F.col("__e") / bucket))))
     left = samples.withColumn("__b", F.floor(F.col(t) / bucket))
-    hit = left.join(cut, (left[key] == cut["__k"]) & (left["__b"] == cut["__b"]) & left[t].between(cut["__s"], cut["__e"]), "left_semi").select(*samples.columns).withColumn(name, F.lit(True))
-    return hit.unionByName(left.join(cut, (left[key] == cut["__k"]) & (left["__b"] == cut["__b"]) & left[t].between(cut["__s"], cut["__e"]), "left_anti").select(*samples.columns).withColumn(name, F.lit(False)))
+    on = (left[key] == cut["__k"]) & (left["__b"] == cut["__b"]) & left[t].between(cut["__s"], cut["__e"])
+    return left.join(cut.drop("__i"), on, "left").select(*[left[c] for c in samples.columns], F.col("__k").isNotNull().alias(name))
 
 
 def consumed(df: DataFrame, key: str, t: str, row: str, is_start: Column, is_answer: Column, reach: float) -> DataFrame:
     """Greedy matching in order of time: each start takes the first answer within ``reach`` that no earlier start took.
 
-    Returns key, start row, answer row (NULL if none). A start can only wait for answers ``reach`` ahead, so rows apart
-    by more than that never meet: runs without such a gap are the groups, and a recording isn't held as a whole.
+    Returns key, start row, answer row (NULL if none). An answer goes to the earliest start that still waits, so sorted
+    rows stream through a task, which holds no more than the starts of the last ``reach``, however long a recording is.
+    Of rows at the same time starts come first. Rows without key or time take no part.
     """
-    part = Window.partitionBy(key).orderBy(t, row)
-    used = df.select(key, t, row, is_start.alias("s"), is_answer.alias("a")).where("s or a")
-    gap = (F.col(t) - F.lag(t).over(part) > reach).cast("int")
-    cut = used.withColumn("__g", F.coalesce(gap, F.lit(0))).withColumn("__run", F.sum("__g").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([t, row])
-        answers = [(x, r) for x, r, a in zip(pdf[t], pdf[row], pdf["a"], strict=True) if a]
-        out, taken, low = [], set(), 0
-        for x, r, s in zip(pdf[t], pdf[row], pdf["s"], strict=True):
-            if not s:
-                continue
-            while low < len(answers) and answers[low][0] < x:
-                low += 1
-            i = low
-            while i < len(answers) and answers[i][0] <= x + reach and i in taken:
-                i += 1
-            hit = i < len(answers) and answers[i][0] <= x + reach
-            if hit:
-                taken.add(i)
-            out.append((pdf[key].iloc[0], r, answers[i][1] if hit else None))
-        return pd.DataFrame(out, columns=[key, "start_row", "answer_row"]).astype({"answer_row": "Int64"})
-
-    return cut.groupBy(key, "__run").applyInPandas(match, f"{key} long, start_row long, answer_row long")
+    used = df.select(key, t, row, is_start.alias("s"), is_answer.alias("a")).where("s or a").where(F.col(key).isNotNull() & F.col(t).isNotNull())
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: deque[tuple] = deque()  # (key, t, row) of starts
+        for pdf in parts:
+            out = []
+            for k, x, r, s, a in zip(*(pdf[c] for c in (key, t, row, "s", "a")), strict=True):
+                while waiting and (waiting[0][0] != k or waiting[0][1] + reach < x):
+                    own, _, start = waiting.popleft()
+                    out.append((own, start, None))
+                if s:
+                    waiting.append((k, x, r))
+                if a and waiting:
+                    out.append((k, waiting.popleft()[2], r))
+            yield pd.DataFrame(out, columns=[key, "start_row", "answer_row"]).astype({"answer_row": "Int64"})
+        yield pd.DataFrame([(k, r, None) for k, _, r in waiting], columns=[key, "start_row", "answer_row"]).astype({"answer_row": "Int64"})
+
+    dealt = used.repartition(key).sortWithinPartitions(key, t, F.col("s").cast("int").desc(), row)
+    return dealt.mapInPandas(match, f"{key} {dict(df.dtypes)[key]}, start_row long, answer_row long")
 
 
 def fixations(df: DataFrame, key: list[str], t: str, x: str, y: str, radius: float, least: float, keep_last: bool = False) -> DataFrame:

@@ -33,8 +33,8 @@ def permuted(df: DataFrame, key: str, column: str, seed: int = 0, groups: int |
     return out.withColumn(column, F.col("__value")).select(*df.columns)
 
 
-def forest(features: list[str], trees: int = 30, depth: int = 8, seed: int = 1) -> Pipeline:
-    """Medians for missing values, standard scores, a random forest on ``label`` with ``weight``."""
+def forest(features: list[str], trees: int = 500, depth: int = 30, seed: int = 1) -> Pipeline:
+    """Medians for missing values, standard scores, a random forest on ``label`` with ``weight``. MLlib has no least size of a node to split."""
     return Pipeline(stages=[
         Imputer(inputCols=features, outputCols=[f"{c}__filled" for c in features], strategy="median"),
         VectorAssembler(inputCols=[f"{c}__filled" for c in features], outputCol="__raw"),
@@ -61,8 +61,7 @@ def backward_elimination(df: DataFrame, key: str, features: list[str], folds: in
     features go, at least one, ties by name, while the score is within ``tolerance`` of the best so far and more than
     ``least`` features are left. A fold's test rows as they are and with each column permuted are scored in one job.
     """
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(splits.spread(F.col(key), 7), key))
-    dealt = df.withColumn("__fold", rank % folds).persist()
+    dealt = splits.folds(df, "label", key, folds).persist()
     steps, best, left = [], -1.0, list(features)
     try:
         while True:
@@ -107,8 +106,7 @@ def random_search(df: DataFrame, key: str, features: list[str], grid: dict[str,
     """(parameters, mean balanced accuracy) of ``tries`` different settings of ``make`` drawn from the grid, best first; all of them if there are fewer."""
     settings = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
     drawn = np.random.default_rng(seed).permutation(len(settings))[:tries]
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(splits.spread(F.col(key), 7), key))
-    dealt = df.withColumn("__fold", rank % folds).persist()
+    dealt = splits.folds(df, "label", key, folds).persist()
     try:
         found = []
         for i in drawn:

@@ -1,10 +1,11 @@
-"""Zero-phase filters, whose recursion has no relational form, in Arrow-backed groups of one recording."""
+"""Zero-phase filters, whose recursion has no relational form, in Arrow-backed groups of one block."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def butterworth(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
@@ -41,21 +42,42 @@ def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return wide[pad : len(wide) - pad]
 
 
-def low_pass(df: DataFrame, key: str, order_by: list[str], x: str, cutoff: float, rate: float, order: int = 4) -> DataFrame:
-    """``df``'s key and order columns, x and ``<x>_smooth``: each segment without NULLs is filtered on its own."""
+def memory(a: np.ndarray) -> int:
+    """Samples after which the filter has forgotten what came before, to 1e-13."""
+    slowest = min(float(np.abs(np.roots(a)).max()), 1 - 1e-6)
+    return int(np.ceil(np.log(1e-13) / np.log(slowest))) + len(a)
+
+
+#: Samples that a block gives results for.
+BLOCK = 4_096
+
+
+def low_pass(df: DataFrame, key: str, order_by: list[str], x: str, cutoff: float, rate: float, order: int = 4, block: int = BLOCK) -> DataFrame:
+    """``df``'s key and order columns, x and ``<x>_smooth``: each segment without NULLs is filtered on its own.
+
+    Segments are cut into blocks, with as many samples around each as the filter remembers, so a task holds one block,
+    however long a recording is, and blocks give what the whole segment gives. Samples without a value have no result.
+    """
     b, a = butterworth(order, cutoff, rate)
+    around = memory(a)
+    part = Window.partitionBy(key).orderBy(*order_by)
+    ok = F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
+    new = F.coalesce(F.col("__ok") != F.lag("__ok").over(part), F.lit(True)).cast("int")
+    marked = df.select(key, *order_by, x).withColumn("__ok", ok).withColumn("__new", new).withColumn("__segment", F.sum("__new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy(key, "__segment")
+    placed = marked.withColumns({"__at": F.row_number().over(own.orderBy(*order_by)) - 1, "__of": F.count("*").over(own)})
+    last = F.floor((F.col("__of") - 1) / block)
+    first = F.greatest(F.lit(0), F.floor((F.col("__at") - around) / F.lit(block)))
+    blocks = F.sequence(first.cast("int"), F.least(last, F.floor((F.col("__at") + around) / F.lit(block))).cast("int"))
+    dealt = placed.where("__ok").withColumn("__block", F.explode(blocks))
 
     def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by).reset_index(drop=True)
-        v = pdf[x].to_numpy(float)
-        ok = np.isfinite(v)
-        out = np.where(ok, v, np.nan)
-        for part in np.split(np.arange(len(v)), np.flatnonzero(np.diff(ok.astype(int))) + 1):
-            if len(part) and ok[part[0]]:
-                out[part] = zero_phase(v[part], b, a)
-        pdf[f"{x}_smooth"] = pd.Series(out).where(ok, None)
-        return pdf
+        pdf = pdf.sort_values("__at").reset_index(drop=True)
+        pdf[f"{x}_smooth"] = zero_phase(pdf[x].to_numpy(float), b, a)
+        return pdf[pdf["__at"] // block == pdf["__block"]][[*columns, f"{x}_smooth"]]
 
     columns = [key, *order_by, x]
     types = dict(df.dtypes)
-    return df.select(*columns).groupBy(key).applyInPandas(smooth, ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{x}_smooth` double")
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{x}_smooth` double"
+    filtered = dealt.groupBy(key, "__segment", "__block").applyInPandas(smooth, schema)
+    return filtered.unionByName(marked.where("not __ok").select(*columns, F.lit(None).cast("double").alias(f"{x}_smooth")))

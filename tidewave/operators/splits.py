@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,23 +13,47 @@ def spread(key: Column, seed: int) -> Column:
     return (key.cast("long") * 2654435761 + seed * 40503) % 4294967296
 
 
+#: Parts of the hash's range that are ranked apart; a task sorts about that share of a group.
+PARTS = 64
+
+
+def ranked(df: DataFrame, keys: list[str], key: str, seed: int) -> DataFrame:
+    """``__rank`` (from 1) by hash among the rows with equal ``keys``, and ``__of``, their number.
+
+    The range of the hash is cut into parts that are ranked apart; what lies before a part comes from its counts. So a
+    group as large as the table is ranked by many tasks.
+    """
+    at = spread(F.col(key), seed)
+    own = df.withColumns({"__at": at, "__part": F.floor(at / F.lit(4294967296.0 / PARTS)).cast("int")})
+    counts = own.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    whole = Window.partitionBy(*keys)  # PARTS rows at most
+    before = counts.withColumns({"__before": F.sum("__n").over(whole.orderBy("__part")) - F.col("__n"), "__of": F.sum("__n").over(whole)}).drop("__n")
+    on = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys] + [F.col("x.__part") == F.col("y.__part")]
+    met = own.alias("x").join(before.alias("y"), reduce(lambda a, b: a & b, on)).select("x.*", "y.__before", "y.__of")
+    place = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy("__at", key))
+    return met.withColumn("__rank", F.col("__before") + place).drop("__before", "__at", "__part")
+
+
 def stratified(df: DataFrame, label: str, key: str, share: float, seed: int = 0) -> DataFrame:
     """``side``: of each label the first ``share`` by hash are train."""
-    part = Window.partitionBy(label)
-    rank = F.row_number().over(part.orderBy(spread(F.col(key), seed), key))
-    return df.withColumn("side", F.when(rank <= F.floor(F.count("*").over(part) * F.lit(share)), "train").otherwise("test"))
+    found = ranked(df, [label], key, seed)
+    return found.withColumn("side", F.when(F.col("__rank") <= F.floor(F.col("__of") * F.lit(share)), "train").otherwise("test")).drop("__rank", "__of")
 
 
 def by_group(df: DataFrame, group: str, share: float, seed: int = 0) -> DataFrame:
     """``side``: the first max(1, floor(share n)) of the groups by hash are test, whole."""
-    groups = df.select(group).distinct()
-    n = max(1, int(groups.count() * share))
-    test = groups.orderBy(spread(F.col(group), seed), group).limit(n).withColumn("__test", F.lit(True))
+    found = ranked(df.select(group).distinct(), [], group, seed)
+    test = found.where(F.col("__rank") <= F.greatest(F.lit(1), F.floor(F.col("__of") * F.lit(share)))).select(group, F.lit(True).alias("__test"))
     return df.join(test, group, "left").withColumn("side", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
 
 
+def folds(df: DataFrame, label: str, key: str, n: int, seed: int = 7) -> DataFrame:
+    """``__fold``: 0 to n - 1, dealt in turn by hash within each label."""
+    return ranked(df, [label], key, seed).withColumn("__fold", (F.col("__rank") % n).cast("int")).drop("__rank", "__of")
+
+
 def folds_by_group(df: DataFrame, group: str) -> DataFrame:
-    """``fold``: 0, 1, ... by group, one group a fold. The groups are ranked, not the rows."""
+    """``fold``: 0, 1, ... by group, one group a fold. The groups are ranked in one task, not the rows: each is a model to fit."""
     ranked = df.select(group).distinct().withColumn("fold", F.dense_rank().over(Window.orderBy(group)) - 1)
     return df.join(ranked, group)
 

@@ -20,14 +20,39 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataF
     return df.groupBy(rows).pivot(columns, values).count().fillna(0, values)
 
 
+#: Ranges of values that quantiles are counted in; a task sorts the different values of about that share of a column.
+RANGES = 64
+
+
+def quantiles(long: DataFrame, group: str, x: str, qs: list[float]) -> DataFrame:
+    """group, p25, ... : exact quantiles, linear between values, without a task that holds a whole column.
+
+    Approximate quantiles cut the values into ranges. Values are counted by range, and what lies before a range comes
+    from its count, so each range is ranked apart.
+    """
+    known = long.where(F.col(x).isNotNull())
+    cuts = known.groupBy(group).agg(F.percentile_approx(x, [(i + 1) / RANGES for i in range(RANGES - 1)], 1000).alias("__cuts"))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(x)))
+    counted = known.join(F.broadcast(cuts), group).groupBy(group, part.alias("__part"), x).agg(F.count("*").alias("__n"))  # cuts: a row a group
+    totals = counted.groupBy(group, "__part").agg(F.sum("__n").alias("__m"))
+    whole = Window.partitionBy(group)  # RANGES rows at most
+    before = totals.withColumns({"__before": F.sum("__m").over(whole.orderBy("__part")) - F.col("__m"), "__of": F.sum("__m").over(whole)}).drop("__m")
+    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(group, "__part").orderBy(x))
+    ranked = counted.join(before, [group, "__part"]).withColumn("__upto", upto)
+    place = lambda q: (F.col("__of") - 1) * F.lit(q)
+    at = lambda k: F.max(F.when((F.col("__upto") > k) & (F.col("__upto") - F.col("__n") <= k), F.col(x)))
+    ends = [e.alias(f"__{name}{i}") for i, q in enumerate(qs) for name, e in (("low", at(F.floor(place(q)))), ("high", at(F.ceil(place(q)))))]
+    found = ranked.groupBy(group).agg(F.first("__of").alias("__of"), *ends)
+    between = lambda i, q: F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (place(q) - F.floor(place(q)))
+    return found.select(group, *[between(i, q).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+
+
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: n, mean, sd, min, quartiles, max; exact, unlike ``summary``."""
     names = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
     long = df.select(F.expr(f"stack({len(columns)}, {names}) as (column, x)"))
-    return long.groupBy("column").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"),
-        *[F.percentile("x", F.lit(q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max("x").alias("max"),
-    )
+    moments = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
+    return moments.join(quantiles(long, "column", "x", [0.25, 0.5, 0.75]), "column", "left").select("column", "n", "mean", "sd", "min", "p25", "p50", "p75", "max")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -76,8 +101,8 @@ def normal_tail(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels: list[str], covariates: list[str]) -> list[tuple]:
-    """REML fit of y ~ condition + covariates + (1 | group); returns pairwise contrasts (a, b, estimate, se, z, p) with Wald z tests.
+def reml(df: DataFrame, group: str, y: str, condition: str, levels: list[str], covariates: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """REML fit of y ~ condition + covariates + (1 | group): coefficients (levels, then covariates), their covariances, and the covariates' means. None without enough rows.
 
     The data are read once, for the groups' sufficient statistics, which Spark folds into sums for each variance ratio
     of a grid; so no group, nor the list of groups, goes to the driver. The grid is refined around its best value.
@@ -90,9 +115,11 @@ def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     p, best = len(xs), None
     try:
-        total = stats.agg(F.sum("n").alias("n")).first()["n"]
+        sums = stats.agg(F.sum("n").alias("n"), *[F.sum(f"s_{c}").alias(f"s_{c}") for c in covariates]).first()
+        total = sums["n"]
         if not total or total <= p:
-            return []
+            return None
+        means = np.array([sums[f"s_{c}"] / total for c in covariates])
         grid = [0.0, *np.geomspace(1e-3, 1e2, 6)]
         for width in (2.0, 1.3, 1.1, 0):
             # the inverse of (I + ratio J) is I - ratio / (1 + n ratio) J
@@ -117,8 +144,16 @@ def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels:
             grid = [*np.geomspace(max(at / (1 + width), 1e-6), max(at * (1 + width), 1e-5), 6)]
     finally:
         stats.unpersist()
-    _, _, beta, cov = best
-    out = []
+    return best[2], best[3], means
+
+
+def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels: list[str], covariates: list[str]) -> list[tuple]:
+    """Pairwise contrasts (a, b, estimate, se, z, p) of the levels by ``reml``, with Wald z tests."""
+    found = reml(df, group, y, condition, levels, covariates)
+    if found is None:
+        return []
+    beta, cov, _ = found
+    p, out = len(beta), []
     for i, a in enumerate(levels):
         for j in range(i + 1, len(levels)):
             c = np.zeros(p)
@@ -129,6 +164,25 @@ def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels:
     return out
 
 
+def estimated_means(df: DataFrame, group: str, ys: list[str], condition: str, levels: list[str], covariates: list[str]) -> DataFrame:
+    """feature, condition, mean, se, low, high: the levels' means at the mean covariates with 95 % intervals, for each of ``ys``.
+
+    A feature that can't be fitted has a row for each level with NULLs. Rows are as many as features by levels.
+    """
+    rows = []
+    for y in ys:
+        found = reml(df, group, y, condition, levels, covariates)
+        for i, level in enumerate(levels):
+            if found is None:
+                rows.append((y, level, None, None, None, None))
+                continue
+            beta, cov, means = found
+            c = np.concatenate([np.eye(len(levels))[i], means])
+            mean, se = float(c @ beta), float(math.sqrt(max(c @ cov @ c, 0)))
+            rows.append((y, level, mean, se, mean - 1.96 * se, mean + 1.96 * se))
+    return df.sparkSession.createDataFrame(rows, "feature string, condition string, mean double, se double, low double, high double")
+
+
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """truth, predicted, n, row_share (%) for each pair of classes that occurs."""
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))

@@ -86,12 +86,12 @@ SELECT user_id, event_id, round(amp, 6) AS scr_amplitude, coalesce(amp >= 0.1 *
 
 @query
 def permuted_column(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event with the value of another, dealt inside sixteen groups."""
-    return selection.permuted(events(spark, sf_dir).select("event_id", "event_type", "value"), "event_id", "value", seed=3, groups=16)
+    """Each event with the value of another, dealt inside groups of a bounded size."""
+    return selection.permuted(events(spark, sf_dir).select("event_id", "event_type", "value"), "event_id", "value", seed=3)
 
 
 _SPREAD = "((event_id * 2654435761 + {0} * 40503) % 4294967296)"
-SQL["permuted_column"] = f"""WITH g AS (SELECT event_id, event_type, value, {_SPREAD.format(3)} % 16 AS g FROM events),
+SQL["permuted_column"] = f"""WITH g AS (SELECT event_id, event_type, value, {_SPREAD.format(3)} % greatest(1, (SELECT count(*) FROM events) // {selection.PERMUTED_TOGETHER}) AS g FROM events),
 r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY {_SPREAD.format(4)} % 1000003, event_id) AS a, row_number() OVER (PARTITION BY g ORDER BY {_SPREAD.format(5)} % 1000003, event_id) AS b FROM g)
 SELECT x.event_id, x.event_type, y.value FROM r x JOIN r y ON x.g = y.g AND x.a = y.b"""
 
@@ -108,7 +108,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def backward_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics that a forest needs to tell the quality label."""
     make = lambda features: selection.forest(features, trees=10, depth=5)
-    steps = selection.backward_elimination(_texts(spark, sf_dir), "doc_id", list(TEXT_FEATURES), folds=2, share=0.4, least=2, make=make)
+    steps = selection.backward_elimination(_texts(spark, sf_dir), "doc_id", list(TEXT_FEATURES), folds=5, share=0.2, least=2, make=make)
     return spark.createDataFrame(steps, "step int, n_features int, score double, features array<string>, dropped array<string>")
 
 
@@ -123,6 +123,6 @@ def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two settings of the forest, scored by cross-validation."""
-    found = selection.random_search(_texts(spark, sf_dir), "doc_id", list(TEXT_FEATURES), {"trees": [5, 10], "depth": [3, 6]}, tries=2, folds=2)
+    """Three settings of the forest, scored by cross-validation in three folds."""
+    found = selection.random_search(_texts(spark, sf_dir), "doc_id", list(TEXT_FEATURES), {"trees": [10, 20], "depth": [3, 6]}, tries=3, folds=3)
     return spark.createDataFrame([(p["trees"], p["depth"], s) for p, s in found], "trees int, depth int, balanced_accuracy double")
