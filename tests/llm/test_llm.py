@@ -355,6 +355,49 @@ def test_quality_rejects_what_trusted_text_is_not(spark, none):
     assert quality.classify(none, labels).count() == 0 and quality.classify(docs, labels.limit(0)).where("keep").count() == 71
 
 
+def plain_kneser_ney(texts, order):
+    """log probability of a class after others by interpolated modified Kneser-Ney, and the classes of a text."""
+    from collections import Counter, defaultdict
+
+    classes = lambda t: (0,) * (order - 1) + tuple(quality.class_of(c) for c in t + "\n")
+    counts = {order: Counter(c[i : i + order] for c in map(classes, texts) for i in range(len(c) - order + 1))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    levels = {}
+    for k, own in counts.items():
+        n1, n2, n3, n4 = (sum(n == i for n in own.values()) for i in (1, 2, 3, 4))
+        d = [0.5, 0.75, 0.9]
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            d = [min(max(x, 0.05), i - 0.05) for i, x in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3))]
+        total, saved = defaultdict(int), defaultdict(float)
+        for g, n in own.items():
+            total[g[:-1]] += n
+            saved[g[:-1]] += d[min(n, 3) - 1]
+        levels[k] = own, d, total, saved
+
+    def p(g):
+        if not g:
+            return 1 / quality.CLASSES
+        own, d, total, saved = levels[len(g)]
+        if g[:-1] not in total:
+            return p(g[1:])
+        n = own.get(g, 0)
+        return (n - d[min(n, 3) - 1] if n else 0) / total[g[:-1]] + saved[g[:-1]] / total[g[:-1]] * p(g[1:])
+
+    return lambda t: np.exp(-np.mean([np.log(p(classes(t)[i : i + order])) for i in range(len(t) + 1)]))
+
+
+def test_perplexities_equal_the_plain_form(spark):
+    rng = np.random.default_rng(18)
+    texts = [" ".join(rng.choice([*WORDS, "Größe,", "(x)", "12.5%"], int(rng.integers(0, 30)))) for _ in range(40)] + ["", "\t?", "漢字"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("lang", F.lit("en"))
+    plain = plain_kneser_ney(texts[:25], 4)
+    rows = docs.withColumn("row", F.col("doc_id"))
+    found = quality.perplexities(rows, quality.train(docs.where("doc_id < 25"))).collect()
+    assert all(abs(r["perplexity"] / plain(texts[r["doc_id"]]) - 1) < 1e-4 for r in found)
+
+
 def test_quality_thresholds_are_of_all_trusted_documents(spark):
     rng = np.random.default_rng(6)
     rows = [(i, " ".join(rng.choice(WORDS, 80)), "en" if i < 40 else "fr") for i in range(60)] + [(60, "#$%", "en"), (61, "#$%", "en")]
@@ -444,14 +487,6 @@ def test_no_repeated_line_is_lost_in_small_or_full_filters(spark, monkeypatch):
     assert 0 < np.unpackbits(two).mean() < 0.02
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
-    assert 100 < out.select("doc_id").distinct().count() < 200
-
-
 def test_words_are_encoded_as_the_tokenizer_does():
     from tokenizers import Tokenizer
 
