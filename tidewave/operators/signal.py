@@ -1,7 +1,9 @@
-"""Zero-phase filters, whose recursion has no relational form, in Arrow-backed groups of one block."""
+"""Zero-phase filters, whose recursion has no relational form, in Arrow batches of whole blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,27 +21,41 @@ def butterworth(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.
 
 
 def run_filter(b: np.ndarray, a: np.ndarray, x: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Each row of ``x`` filtered from its ``state``; a step takes one sample of all rows."""
     out = np.empty_like(x)
-    for i, v in enumerate(x):
-        out[i] = b[0] * v + state[0]
-        state[:-1] = b[1:-1] * v + state[1:] - a[1:-1] * out[i]
-        state[-1] = b[-1] * v - a[-1] * out[i]
+    for i in range(x.shape[1]):
+        v = x[:, i, None]
+        y = b[0] * v + state[:, :1]
+        state = np.concatenate([state[:, 1:], np.zeros_like(y)], axis=1) + b[1:] * v - a[1:] * y
+        out[:, i] = y[:, 0]
     return out
 
 
-def zero_phase(x: np.ndarray, b: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Forward and backward, with odd extension at the ends and a start in the steady state; short segments stay as they are."""
+def zero_phase(segments: list[np.ndarray], b: np.ndarray, a: np.ndarray) -> list[np.ndarray]:
+    """Each segment forward and backward, with odd extension at the ends and a start in the steady state; short ones stay as they are.
+
+    Segments of like lengths are the rows of one table.
+    """
     pad = 3 * max(len(a), len(b))
-    if len(x) <= pad:
-        return x
     n = len(a) - 1
     companion = np.zeros((n, n))
     companion[:, 0], companion[np.arange(n - 1), np.arange(1, n)] = -a[1:], 1
     steady = np.linalg.solve(np.eye(n) - companion, b[1:] - a[1:] * b[0])
-    wide = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
-    for _ in range(2):
-        wide = run_filter(b, a, wide, steady * wide[0])[::-1]
-    return wide[pad : len(wide) - pad]
+    out, alike = list(segments), {}
+    for i, x in enumerate(segments):
+        if len(x) > pad:
+            alike.setdefault(len(x).bit_length(), []).append(i)
+    for rows in alike.values():
+        wide = [np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]]) for x in (segments[i] for i in rows)]
+        ends = np.array([len(x) for x in wide])
+        table = np.stack([np.pad(x, (0, ends.max() - len(x))) for x in wide])
+        at = ends[:, None] - 1 - np.arange(ends.max())  # each row's own part backward; what lies behind it has no effect
+        back = np.where(at >= 0, at, 0)
+        for _ in range(2):
+            table = np.take_along_axis(run_filter(b, a, table, steady * table[:, :1]), back, axis=1)
+        for i, x, end in zip(rows, table, ends, strict=True):
+            out[i] = x[pad : end - pad]
+    return out
 
 
 def memory(a: np.ndarray) -> int:
@@ -71,13 +87,27 @@ def low_pass(df: DataFrame, key: str, order_by: list[str], x: str, cutoff: float
     blocks = F.sequence(first.cast("int"), F.least(last, F.floor((F.col("__at") + around) / F.lit(block))).cast("int"))
     dealt = placed.where("__ok").withColumn("__block", F.explode(blocks))
 
-    def smooth(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__at").reset_index(drop=True)
-        pdf[f"{x}_smooth"] = zero_phase(pdf[x].to_numpy(float), b, a)
+    own_block = [key, "__segment", "__block"]
+
+    def results(pdf: pd.DataFrame) -> pd.DataFrame:
+        edges = np.flatnonzero((pdf[own_block] != pdf[own_block].shift()).any(axis=1))
+        parts = np.split(pdf[x].to_numpy(float), edges[1:])
+        pdf = pdf.assign(**{f"{x}_smooth": np.concatenate(zero_phase(parts, b, a))})
         return pdf[pdf["__at"] // block == pdf["__block"]][[*columns, f"{x}_smooth"]]
 
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the block that may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            last = (pdf[own_block] != pdf[own_block].iloc[-1]).any(axis=1).sum() if len(pdf) else 0
+            if last:
+                yield results(pdf.iloc[:last])
+            held = pdf.iloc[last:]
+        if held is not None and len(held):
+            yield results(held)
+
     columns = [key, *order_by, x]
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + f", `{x}_smooth` double"
-    filtered = dealt.groupBy(key, "__segment", "__block").applyInPandas(smooth, schema)
+    filtered = dealt.repartition(*own_block).sortWithinPartitions(*own_block, "__at").mapInPandas(smooth, schema)
     return filtered.unionByName(marked.where("not __ok").select(*columns, F.lit(None).cast("double").alias(f"{x}_smooth")))
