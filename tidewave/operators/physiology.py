@@ -17,6 +17,23 @@ def rr_intervals(peaks: DataFrame, keys: list[str], t: str) -> DataFrame:
     return peaks.withColumn("rr", (F.col(t) - F.lag(t).over(part)) * 1000).withColumn("drr", F.col("rr") - F.lag("rr").over(part))
 
 
+def corrected(rr: DataFrame, keys: list[str], t: str, share: float = 0.2, reach: int = 5) -> DataFrame:
+    """``rr`` with ``artefact``, ``rr_clean`` and ``rate``: intervals that differ from the median of those around them by more than ``share`` of it give way to it.
+
+    ``rate`` is in beats a minute, from the clean interval. An interval without neighbours is its own median.
+    """
+    around = Window.partitionBy(*keys).orderBy(t).rowsBetween(-reach, reach)
+    median = F.percentile("rr", F.lit(0.5)).over(around)
+    marked = rr.withColumn("__m", median).withColumn("artefact", F.coalesce(F.abs(F.col("rr") - F.col("__m")) > share * F.col("__m"), F.lit(False)))
+    clean = F.when(F.col("artefact"), F.col("__m")).otherwise(F.col("rr"))
+    return marked.withColumn("rr_clean", clean).withColumn("rate", F.try_divide(F.lit(60000.0).cast("double"), F.col("rr_clean"))).drop("__m")
+
+
+def signal_quality(rr: DataFrame, keys: list[str]) -> DataFrame:
+    """n, quality (share of intervals that are no artefacts) and mean rate for each key, from ``corrected``."""
+    return rr.where("rr is not null").groupBy(*keys).agg(F.count("*").alias("n"), F.avg((~F.col("artefact")).cast("double")).alias("quality"), F.avg("rate").alias("rate_mean"))
+
+
 def hrv_time(rr: DataFrame, keys: list[str], least_peaks: int = 5) -> DataFrame:
     """Time-domain and Poincare features of windows with at least so many peaks."""
     sd_change = F.stddev_samp("drr")

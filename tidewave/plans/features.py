@@ -251,6 +251,20 @@ SELECT user_id, window_index, n, round(100.0 * turns / nullif(neighbours, 0), 4)
  round(sqrt(a2 / (2 * n)), 4) AS hrv_sd2a, round(100 * d2 / nullif(d2 + a2, 0), 4) AS hrv_c2d, round(100 * a2 / nullif(d2 + a2, 0), 4) AS hrv_c2a, round(100 * a1 / nullif(d1 + a1, 0), 4) AS hrv_c1a, round(sqrt((d1 + d2) / (4 * n)), 4) AS hrv_sdnnd, round(sqrt((a1 + a2) / (4 * n)), 4) AS hrv_sdnna FROM s"""
 
 
+@query
+def beat_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between a user's events as intervals, those far from their neighbours corrected: quality and mean rate, a day."""
+    rr = physiology.rr_intervals(events(spark, sf_dir), ["user_id"], "t")
+    found = physiology.signal_quality(physiology.corrected(rr, ["user_id"], "t", share=0.5), ["user_id"])
+    return rounded(found.withColumn("rate_mean", F.col("rate_mean") * 1440), "quality", "rate_mean", places=5)
+
+
+SQL["beat_quality"] = f"""WITH {EVENTS}, r AS (SELECT user_id, t, (t - lag(t) OVER (PARTITION BY user_id ORDER BY t)) * 1000 AS rr FROM e),
+m AS (SELECT *, quantile_cont(rr, 0.5) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS m FROM r),
+c AS (SELECT *, abs(rr - m) > 0.5 * m AS artefact FROM m WHERE rr IS NOT NULL)
+SELECT user_id, count(*) AS n, round(avg((NOT artefact)::INT), 5) AS quality, round(avg(60000 / CASE WHEN artefact THEN m ELSE rr END) * 1440, 5) AS rate_mean FROM c GROUP BY 1"""
+
+
 @query
 def per_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.per_class(_predictions(spark, sf_dir), [], "quality", "guess"), "precision", "recall", "f1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calculus, physiology, selection, splits, windows
+from ..operators import calculus, evaluation, physiology, selection, splits, windows
 from .series import FIVE, ORDER, TIME_WINDOWS
 from .tables import DAY, EVENTS, events, rounded, table
 
@@ -112,6 +112,16 @@ def backward_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(steps, "step int, n_features int, score double, features array<string>, dropped array<string>")
 
 
+@query
+def lopo_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's quality labels predicted by a forest fitted on all other languages: the scores of each fold."""
+    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    rows = _texts(spark, sf_dir).join(langs.dropna(), "doc_id").persist()
+    folds = sorted(r["lang"] for r in rows.select("lang").distinct().collect())  # a model each
+    found = evaluation.fitted(rows, "lang", folds, lambda: selection.forest(list(TEXT_FEATURES), trees=20, depth=8))
+    return evaluation.fold_scores(found, ["lang"], "label", "prediction")
+
+
 @query
 def pca_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As few components of the text statistics as explain 95 % of their variance."""
