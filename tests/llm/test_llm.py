@@ -588,3 +588,30 @@ def test_no_shared_folder_on_a_cluster_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(shared, "is_local", lambda s: False)
     with pytest.raises(ValueError, match="checkpoint"):
         shared.shared_folder(Without)
+
+
+@pytest.mark.parametrize(("fallback", "spaces"), [(True, False), (True, True), (False, False)])
+def test_unigram_models_equal_the_reference_library(tmp_path, fallback, spaces):
+    """The model is written by hand: pieces and scores, nothing is trained."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback = sentence_pieces.UNIGRAM, fallback
+    model.normalizer_spec.add_dummy_prefix, model.normalizer_spec.remove_extra_whitespaces, model.normalizer_spec.escape_whitespaces = True, spaces, True
+    specials = [("<unk>", sentence_pieces.UNKNOWN), ("<s>", sentence_pieces.CONTROL), ("</s>", sentence_pieces.CONTROL)]
+    specials += [(f"<0x{i:02X}>", sentence_pieces.BYTE) for i in range(256)] if fallback else []
+    for piece, kind in specials:
+        model.pieces.add(piece=piece, score=0.0, type=kind)
+    rng = np.random.default_rng(19)
+    pieces = {"▁", *"abcdefgh", *("▁" + c for c in "abcd")} | {"".join(rng.choice(list("abcdefgh"), int(rng.integers(2, 5)))) for _ in range(60)}
+    for piece in sorted(pieces):
+        model.pieces.add(piece=piece, score=-float(rng.uniform(2, 9)), type=sentence_pieces.NORMAL)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(model.SerializeToString())
+    plain = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    encoder = sentence_pieces.Encoder(str(path), 1)
+    texts = ["".join(rng.choice(list("abcdefgh  zé"), int(rng.integers(0, 25)))) for _ in range(400)] + ["", " ", "  a  b ", "zzz", "éa"]
+    found = [np.frombuffer(ids, "<u4").tolist() for ids, _ in encoder.both(texts)]
+    different = [(t, f, plain.encode(t)) for t, f in zip(texts, found, strict=True) if f != plain.encode(t)]
+    assert not different, different[:3]

@@ -55,7 +55,10 @@ def implied_merges(pieces: dict[str, int], scores: dict[str, float]) -> list[tup
 
 
 def build(data: bytes):
-    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols; and, unless pieces span words, one for single words and the normal form to split into them."""
+    """A tokenizers.Tokenizer that encodes as the SentencePiece model does, without control symbols; the text before its marker; and, unless pieces span words, a tokenizer for single words.
+
+    A text of which nothing is left before its marker has no ids.
+    """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     model = read_model(data)
@@ -78,15 +81,13 @@ def build(data: bytes):
     tokenizer.normalizer = normalizers.Sequence([*steps, *marker, normalizers.Replace(" ", SPACE)])
     plain = [decoders.Replace(SPACE, " "), decoders.ByteFallback(), decoders.Fuse()]
     tokenizer.decoder = decoders.Sequence([*plain, *([decoders.Strip(" ", 1, 0)] if spec.add_dummy_prefix else [])])
+    first = normalizers.Sequence(steps).normalize_str if steps else str
     if any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces):
-        return tokenizer, None
+        return tokenizer, first, None
     tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(WORD.pattern), "isolated")
     words = Tokenizer(core)  # for what is normal and split already
     words.decoder = decoders.Sequence(plain)
-    if steps:
-        first = normalizers.Sequence(steps)
-        return tokenizer, (words, lambda t: SPACE * spec.add_dummy_prefix + first.normalize_str(t).replace(" ", SPACE))
-    return tokenizer, (words, lambda t: SPACE * spec.add_dummy_prefix + t.replace(" ", SPACE))
+    return tokenizer, first, (words, SPACE * spec.add_dummy_prefix)
 
 
 _built: dict = {}
@@ -101,7 +102,7 @@ class Encoder:
         if path not in _built:
             with open(path, "rb") as f:
                 _built[path] = build(f.read())
-        self.tokenizer, self.single = _built[path]
+        self.tokenizer, self.first, self.single = _built[path]
         self.ids: dict[str, bytes] = {}
         self.text: dict[str, str] = {}
 
@@ -113,14 +114,15 @@ class Encoder:
         out = []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[at : at + TEXTS_AT_ONCE]
-            encoded = iter(self.tokenizer.encode_batch_fast([t for t in part if t], add_special_tokens=False))
-            ids = [next(encoded).ids if t else [] for t in part]  # the library would give an empty text its prefix
+            filled = [bool(self.first(t)) for t in part]
+            encoded = iter(self.tokenizer.encode_batch_fast([t for t, own in zip(part, filled, strict=True) if own], add_special_tokens=False))
+            ids = [next(encoded).ids if own else [] for own in filled]  # the library would give an empty text its prefix
             out += [(array("I", i).tobytes(), d) for i, d in zip(ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True)]
         return out
 
     def _by_word(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        words, normal = self.single
-        split = [WORD.findall(normal(t)) if t else [] for t in texts]
+        words, marker = self.single
+        split = [WORD.findall(marker + own.replace(" ", SPACE)) if own else [] for own in map(self.first, texts)]
         if len(self.ids) > CACHE_WORDS:
             self.ids, self.text = {}, {}
         new = list(set(chain.from_iterable(split)) - self.ids.keys())
@@ -129,8 +131,8 @@ class Encoder:
             ids = [e.ids for e in words.encode_batch_fast(part, add_special_tokens=False)]
             self.ids.update(zip(part, [array("I", i).tobytes() for i in ids], strict=True))
             self.text.update(zip(part, words.decode_batch(ids, skip_special_tokens=False), strict=True))
-        lead = len(normal("x")) - 1  # decoding drops the marker before the text
-        return [(b"".join(map(self.ids.__getitem__, found)), "".join(map(self.text.__getitem__, found))[lead:]) for found in split]
+        # decoding drops the marker before the text
+        return [(b"".join(map(self.ids.__getitem__, found)), "".join(map(self.text.__getitem__, found))[len(marker) :]) for found in split]
 
 
 def encode_documents(docs: DataFrame, model_path: str, threads: int = 2, with_ids: bool = True) -> DataFrame:
