@@ -242,12 +242,14 @@ def test_the_posterior_is_that_of_a_beta(spark):
 
 
 def test_url_rules_and_reputation(spark):
-    pages = spark.createDataFrame([(1, "http://A.com/x"), (2, "https://b.net/fr/1?q"), (3, None), (4, "nothing"), (5, "http://www.example.com/en/1"), (6, "http://bad.org/1")], "page_id long, url string")
+    urls = [(1, "http://A.com/x"), (2, "https://b.net/fr/1?q"), (3, None), (4, "nothing"), (5, "http://www.example.com/en/1"), (6, "http://bad.org/1")]
+    pages = spark.createDataFrame([*urls, urls[5], (None, "http://bad.org/" + "long/" * 50_000)], "page_id long, url string").withColumns({"host": F.lit("x"), "rule": F.lit(1), "n_pages": F.lit(2)})
     outcomes = spark.createDataFrame([(6, 1)] * 60 + [(1, 0)] * 60 + [(None, 1), (1, None)], "page_id long, bad int")
     rules = [("allow", "com", "/"), ("block", "net", "/fr/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/")]
     found = {r["page_id"]: r for r in url_filter.judge(pages, outcomes, rules).collect()}
     assert found[1]["rule"] == "com/" and found[2]["verdict"] == "block" and found[5]["rule"] == "www.example.com/en/"
     assert found[3]["host"] == "" and found[4]["path"] == "" and found[6]["verdict"] == "block"
+    assert url_filter.judge(pages, outcomes, rules).where("host = 'bad.org' and verdict = 'block'").count() == 3
     assert url_filter.judge(pages.limit(0), outcomes.limit(0), rules).count() == 0
 
 
@@ -536,18 +538,17 @@ def test_rows_are_told_apart_whatever_the_split_plan(spark, tmp_path):
     read = lambda: spark.read.parquet(str(tmp_path / "docs"))
     want = {k: sorted(f(read()).drop("text").collect()) for k, f in steps.items()}
     assert len(want["exact"]) == 130 and len(want["similar"]) == 70
-    small = {"spark.sql.files.maxPartitionBytes": "4000", "spark.sql.files.openCostInBytes": "1000"}
+    other = {"spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}  # all files in one split
     assert sorted(steps["similar"](read().repartition(4)).drop("text").collect()) == want["similar"]
     for name, f in steps.items():
         planned = f(read())  # the split plan changes between planning and the action
-        old = {k: spark.conf.get(k) for k in small}
         try:
-            for k, v in small.items():
+            for k, v in other.items():
                 spark.conf.set(k, v)
             assert sorted(planned.drop("text").collect()) == want[name], name
         finally:
-            for k, v in old.items():
-                spark.conf.set(k, v)
+            for k in other:
+                spark.conf.unset(k)
 
 
 def test_fingerprints_equal_plain_ones(spark):
