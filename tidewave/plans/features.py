@@ -53,10 +53,10 @@ SELECT user_id, event_id, frame, value AS x, value * 2 AS y FROM f WHERE frame <
 @query
 def gaze_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).select("event_id", F.col("value").alias("R Gaze X"), (F.col("t") % 1440).alias("R Gaze Y"))
-    return rounded(features.scaled_gaze(e, {"R Gaze X": 2560.0, "R Gaze Y": 1440.0}), "R Gaze Y", "R Gaze X Norm", "R Gaze Y Norm")
+    return rounded(features.scaled_gaze(e, {"R Gaze X": 2560.0, "R Gaze Y": 1440.0}), "R Gaze Y", "R Gaze Y Norm")
 
 
-SQL["gaze_scaled"] = f"""WITH {EVENTS} SELECT event_id, value AS "R Gaze X", round(t % 1440, 6) AS "R Gaze Y", round(value / 2560, 6) AS "R Gaze X Norm", round(t % 1440 / 1440, 6) AS "R Gaze Y Norm" FROM e"""
+SQL["gaze_scaled"] = f"""WITH {EVENTS} SELECT event_id, value AS "R Gaze X", round(t % 1440, 6) AS "R Gaze Y", value / 2560 AS "R Gaze X Norm", round(t % 1440 / 1440, 6) AS "R Gaze Y Norm" FROM e"""
 
 
 @query
