@@ -26,7 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches, stored
+from .shared import documents, map_batches, scratch, stored
 
 ORDER = 5
 
@@ -328,62 +328,63 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, frequent_words:
     table gives no rows. Other columns are ignored. ``order`` is ``SPLIT`` to 6.
     """
     spark = docs.sparkSession
-    cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    gathered = stored(gather(documents(docs).withColumn("held_out", held_out), order, cells))
-    vocabulary = stored(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
-    total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    size = total["n"] + total["v"] + 1
-    frequent = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["c"] + 1) / size) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent_words).collect()})
-    short = gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT rows
-    low = spark.sparkContext.broadcast(levels_of(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64), range(SPLIT), []))
-    answered = answers(gathered.where("cell is not null").select("chunk", "cell", "grams", "counts"), low, order)
-    texts = gathered.where("text is not null").select("chunk", "row", "doc_id", "held_out", "text")
-    met = answered.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull())
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent_logs = frequent.value
-        part, uid = TaskContext.get().partitionId(), 0
-        at, known, found, values = None, [], None, None  # the chunk, its answers, and the table made of them
-
-        def scores_of(scored: list[bytes]) -> np.ndarray:
-            out = np.zeros(len(scored))
-            for g, inside, doc in windows(scored, order):
-                out += np.bincount(doc[inside], values[found.find(g[inside])], len(scored))
-            return out
-
-        for b in batches:
-            chunks, is_text = b.column("chunk").to_numpy(), b.column("text").is_valid().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(chunks)], strict=True) if len(chunks) else ():
-                run = b.slice(lo, hi - lo)
-                if at != chunks[lo]:
-                    at, known, found = chunks[lo], [], None
-                if not is_text[lo]:
-                    known += zip(run.column("grams").to_pylist(), run.column("logs").to_pylist(), strict=True)
-                    continue
-                if found is None:
-                    blobs, logs = zip(*known, strict=True)
-                    found, values, known = Table(by_place(unpacked(blobs, order + 1)[0], order)), np.frombuffer(b"".join(logs), "<f4"), []
-                scored = run.column("text").to_pylist()
-                tokens, base, hits, rare, ends = [], [], [], [], [0]
-                for text in scored:
-                    words = [*text.split(b" "), END] if text else [END]
-                    own = [frequent_logs[w] for w in words if w in frequent_logs]
-                    tokens.append(len(words))
-                    base.append(sum(own))
-                    hits.append(len(own))
-                    if len(own) < len(words):
-                        rare += [w for w in words if w not in frequent_logs]
-                    ends.append(len(rare))
-                uids = (np.int64(part) << 34) + np.arange(uid, uid + len(scored))
-                uid += len(scored)
-                yield pa.record_batch(
-                    [pa.array(uids), run.column("row"), run.column("doc_id"), run.column("held_out"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores_of(scored)), pa.array([len(t) + 1 for t in scored], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))],
-                    ["uid", "row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "n_bytes", "rare"],
-                )
-
-    schema = "uid long, row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, n_bytes long, rare array<binary>"
-    scored = stored(map_batches(met, each, schema))
+    with scratch(spark) as kept:
+        cells = CELLS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        gathered = stored(gather(documents(docs).withColumn("held_out", held_out), order, cells))
+        vocabulary = kept(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+        total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+        size = total["n"] + total["v"] + 1
+        frequent = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["c"] + 1) / size) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent_words).collect()})
+        short = gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT rows
+        low = spark.sparkContext.broadcast(levels_of(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64), range(SPLIT), []))
+        answered = answers(gathered.where("cell is not null").select("chunk", "cell", "grams", "counts"), low, order)
+        texts = gathered.where("text is not null").select("chunk", "row", "doc_id", "held_out", "text")
+        met = answered.unionByName(texts, allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk", F.col("text").isNotNull())
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent_logs = frequent.value
+            part, uid = TaskContext.get().partitionId(), 0
+            at, known, found, values = None, [], None, None  # the chunk, its answers, and the table made of them
+
+            def scores_of(scored: list[bytes]) -> np.ndarray:
+                out = np.zeros(len(scored))
+                for g, inside, doc in windows(scored, order):
+                    out += np.bincount(doc[inside], values[found.find(g[inside])], len(scored))
+                return out
+
+            for b in batches:
+                chunks, is_text = b.column("chunk").to_numpy(), b.column("text").is_valid().to_numpy(zero_copy_only=False)
+                edges = np.flatnonzero((chunks[1:] != chunks[:-1]) | (is_text[1:] != is_text[:-1])) + 1
+                for lo, hi in zip([0, *edges], [*edges, len(chunks)], strict=True) if len(chunks) else ():
+                    run = b.slice(lo, hi - lo)
+                    if at != chunks[lo]:
+                        at, known, found = chunks[lo], [], None
+                    if not is_text[lo]:
+                        known += zip(run.column("grams").to_pylist(), run.column("logs").to_pylist(), strict=True)
+                        continue
+                    if found is None:
+                        blobs, logs = zip(*known, strict=True)
+                        found, values, known = Table(by_place(unpacked(blobs, order + 1)[0], order)), np.frombuffer(b"".join(logs), "<f4"), []
+                    scored = run.column("text").to_pylist()
+                    tokens, base, hits, rare, ends = [], [], [], [], [0]
+                    for text in scored:
+                        words = [*text.split(b" "), END] if text else [END]
+                        own = [frequent_logs[w] for w in words if w in frequent_logs]
+                        tokens.append(len(words))
+                        base.append(sum(own))
+                        hits.append(len(own))
+                        if len(own) < len(words):
+                            rare += [w for w in words if w not in frequent_logs]
+                        ends.append(len(rare))
+                    uids = (np.int64(part) << 34) + np.arange(uid, uid + len(scored))
+                    uid += len(scored)
+                    yield pa.record_batch(
+                        [pa.array(uids), run.column("row"), run.column("doc_id"), run.column("held_out"), pa.array(tokens, pa.int64()), pa.array(hits, pa.int64()), pa.array(base, pa.float64()), pa.array(scores_of(scored)), pa.array([len(t) + 1 for t in scored], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rare, pa.binary()))],
+                        ["uid", "row", "doc_id", "held_out", "n_tokens", "hits", "base", "score", "n_bytes", "rare"],
+                    )
+
+        schema = "uid long, row long, doc_id long, held_out boolean, n_tokens long, hits long, base double, score double, n_bytes long, rare array<binary>"
+        scored = kept(map_batches(met, each, schema))
     asked = scored.select("uid", F.explode("rare").alias("word")).groupBy("uid", "word").agg(F.count("*").alias("times"))
     answered = asked.join(vocabulary, "word", "left")
     value = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(size)))
