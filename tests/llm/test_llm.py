@@ -616,3 +616,11 @@ def test_unigram_models_equal_the_reference_library(tmp_path, fallback, spaces):
     found = [np.frombuffer(ids, "<u4").tolist() for ids, _ in encoder.both(texts)]
     different = [(t, f, plain.encode(t)) for t, f in zip(texts, found, strict=True) if f != plain.encode(t)]
     assert not different, different[:3]
+
+
+def test_the_most_frequent_are_cut_at_a_count(spark):
+    from tidewave.llm import shared
+
+    counted = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1, 200_000, 300_000])], "id int, n long")
+    for most, ids in ((1, set()), (2, {6, 7}), (3, {6, 7}), (4, {0, 1, 6, 7}), (7, {0, 1, 2, 3, 4, 6, 7}), (100, set(range(8)))):
+        assert {r["id"] for r in shared.most_frequent(counted, "n", most).collect()} == ids

@@ -19,13 +19,13 @@ def roots(links: DataFrame) -> DataFrame:
     while True:
         least = stored(edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
         several = least.where("n > 1")
-        if several.isEmpty():
+        if not (size := several.count()):
             break
-        others = looked_up(edges, several, ["u"], "n").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        others = looked_up(edges, several, ["u"], "n", size=size).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(least.select("u", F.col("m").alias("v")).union(others).distinct())
     while True:
         children = edges.groupBy("v").agg(F.count("*").alias("n"))
         up = stored(children.join(edges.select(F.col("u").alias("v"), F.col("v").alias("w")), "v"))
-        if up.isEmpty():
+        if not (size := up.count()):
             return edges
-        edges = stored(looked_up(edges, up, ["v"], "n", "left").select("u", F.coalesce("w", "v").alias("v")))
+        edges = stored(looked_up(edges, up, ["v"], "n", "left", size=size).select("u", F.coalesce("w", "v").alias("v")))

@@ -26,7 +26,7 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, map_batches, scratch, stored
+from .shared import documents, map_batches, most_frequent, scratch, stored
 
 ORDER = 5
 
@@ -334,7 +334,7 @@ def score(docs: DataFrame, held_out: Column, order: int = ORDER, frequent_words:
         vocabulary = kept(gathered.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
         total = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
         size = total["n"] + total["v"] + 1
-        frequent = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["c"] + 1) / size) for r in vocabulary.orderBy(F.desc("c"), "word").limit(frequent_words).collect()})
+        frequent = spark.sparkContext.broadcast({bytes(r["word"]): math.log10((r["c"] + 1) / size) for r in most_frequent(vocabulary, "c", frequent_words).collect()})
         short = gathered.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most 256 ** SPLIT rows
         low = spark.sparkContext.broadcast(levels_of(short["gram"].to_numpy().astype(np.uint64), short["n"].to_numpy().astype(np.int64), range(SPLIT), []))
         answered = answers(gathered.where("cell is not null").select("chunk", "cell", "grams", "counts"), low, order)

@@ -131,14 +131,14 @@ def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return rows.join(sent_if_small(dropped.select("row")), "row", "left_anti").select("doc.*")
 
 
-def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: str = "inner", hot: int = HOT_ROWS) -> DataFrame:
+def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: str = "inner", hot: int = HOT_ROWS, size: int | None = None) -> DataFrame:
     """``rows`` joined with ``entries``, a stored table of one row for each key with the number ``n`` of rows that have it.
 
     A few entries are broadcast. Of more, those of keys with more than ``hot`` rows are broadcast: there are at most the
     number of rows by ``hot`` of them. So no task gets all rows of a hot key. All other keys meet in a plain join.
-    ``how`` is inner or left.
+    ``how`` is inner or left; ``size`` is the number of entries, where it is known.
     """
-    if entries.count() <= BROADCAST_ENTRIES:
+    if (entries.count() if size is None else size) <= BROADCAST_ENTRIES:
         return rows.join(F.broadcast(entries), on, how)
     often = entries.where(F.col(n) > hot)
     if often.isEmpty():
@@ -147,6 +147,25 @@ def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: s
     return rows.join(F.broadcast(often), on).unionByName(rows.join(keys, on, "left_anti").join(entries.where(F.col(n) <= hot), on, how))
 
 
+#: Counts from this one on are one cell where the most frequent entries are looked for.
+HIGHEST = 100_000
+
+
+def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
+    """Rows of ``counted``, a stored table, with the highest ``n``: at most ``most``, and of those with the same ``n`` all or none.
+
+    How many rows have each count tells where to cut; no task or driver sorts the rows.
+    """
+    of = {r["c"]: r["rows"] for r in counted.groupBy(F.least(n, F.lit(HIGHEST)).alias("c")).agg(F.count("*").alias("rows")).collect()}
+    bound, held = None, 0
+    for c in sorted(of, reverse=True):
+        held += of[c]
+        if held > most:
+            break
+        bound = c
+    return counted.where(F.lit(False) if bound is None else F.col(n) >= bound)
+
+
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows.
 

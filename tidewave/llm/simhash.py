@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import BROADCAST_ROWS, documents, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
+from .shared import documents, looked_up, map_batches, most_frequent, numbered, scratch, sent_if_small, stored, without
 
 SEED = 42
 PIVOTS = 16
@@ -254,8 +254,8 @@ def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.nd
 def ordered_shingles(docs: DataFrame, shingle: int, similarity: float, shared_by: int = SHARED_BY) -> DataFrame:
     """``first_shingles`` with those that many texts share behind all others, so that common passages bring few texts together."""
     plain = stored(first_shingles(docs, shingle, similarity, np.empty(0, np.uint64)))
-    common = plain.select(F.explode("first").alias("s")).groupBy("s").agg(F.count("*").alias("of")).where(F.col("of") > shared_by)
-    common = stored(common.orderBy(F.desc("of"), "s").limit(MOST_SHARED).select("s"))
+    common = stored(plain.select(F.explode("first").alias("s")).groupBy("s").agg(F.count("*").alias("of")).where(F.col("of") > shared_by))
+    common = most_frequent(common, "of", MOST_SHARED).select("s")
     last = np.sort(common.toArrow()["s"].to_numpy().view(np.uint64))
     if not len(last):
         return plain
@@ -279,7 +279,7 @@ def sharing(known: DataFrame) -> DataFrame:
     """s, x: each first shingle that several rows have, with each of them (row, n, at, known): its place, and how many before it other rows have too."""
     lists = known.select("row", "n", F.posexplode("first").alias("at", "s"))
     several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
-    met = lists.join(F.broadcast(several.select("s")), "s", "left_semi") if several.count() <= BROADCAST_ROWS else looked_up(lists, several, ["s"], "of")
+    met = looked_up(lists, several, ["s"], "of")
     before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
     return met.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
 
@@ -289,13 +289,10 @@ def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
     return shared.withColumn("row", F.col("x.row")).join(sent_if_small(groups), "row", "left").select("s", "x", F.coalesce("root", "row").alias("root"))
 
 
-def led_pairs(shared: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: each row with one row of each of its shingles, if that is of another group and they can have the similarity."""
-    rooted = stored(with_roots(shared, groups))
-    place = F.struct(F.xxhash64("x.row", "s").alias("by"), "x", "root")
-    leaders = stored(rooted.groupBy("s").agg(F.min(place).alias("leader"), F.count("*").alias("of"), F.min("root").alias("least"), F.max("root").alias("most")).where("least < most"))
-    met = looked_up(rooted, leaders.select("s", "of", F.col("leader.x").alias("leader"), F.col("leader.root").alias("root_of")), ["s"], "of")
-    met = met.where((F.col("root") != F.col("root_of")) & allows("x", "leader", similarity))
+def led_pairs(shared: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: each row with one row of each of its shingles, if they can have the similarity."""
+    leaders = stored(shared.groupBy("s").agg(F.min(F.struct(F.xxhash64("x.row", "s").alias("by"), "x"))["x"].alias("leader"), F.count("*").alias("of")))
+    met = looked_up(shared, leaders, ["s"], "of").where((F.col("x.row") != F.col("leader.row")) & allows("x", "leader", similarity))
     return met.select(F.least("leader.row", "x.row").alias("a"), F.greatest("leader.row", "x.row").alias("b")).distinct()
 
 
@@ -310,7 +307,7 @@ def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, sim
 
     Sketches are compared in the join itself, so that texts of one template, which share much and resemble each other little, give few rows.
     """
-    rooted = stored(with_roots(shared, groups))
+    rooted = with_roots(shared, groups)
     mixed = stored(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("of")).where("least < most").select("s", "of"))
     mixed = looked_up(rooted, mixed, ["s"], "of").withColumn("row", F.col("x.row")).join(sketches, "row")
     mixed = stored(mixed.select("s", F.struct("x.*", "sketch").alias("x"), "root"))
@@ -324,6 +321,12 @@ def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, sim
     return pairs.where(most * (1 + similarity) >= similarity * (F.col("n_x") + F.col("n_y")) - 1e-6).select("a", "b")
 
 
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches (row, n, sketch) don't rule the similarity out."""
+    sides = [sketches.select(F.col("row").alias(end), F.struct("n", "sketch").alias(side)) for end, side in (("a", "x"), ("b", "y"))]
+    return pairs.join(sides[0], "a").join(sides[1], "b").where(differ_little("x", "y", similarity)).select("a", "b")
+
+
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, worked out in full."""
     named = sent_if_small(stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()))
@@ -372,16 +375,15 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
     single = known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(texts, pairs, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
+        possible = stored(possible_pairs(pairs, known.select("row", "n", "sketch"), similarity))
+        return similar_pairs(texts, possible, shingle, similarity).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
     def groups(links: DataFrame) -> DataFrame:
         return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
 
-    tried = stored(fingerprint_pairs(single).distinct())
-    links = stored(verified(tried))
     shared = stored(sharing(single))
-    led = stored(led_pairs(shared, groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
-    links, tried = stored(links.unionByName(verified(led))), stored(tried.unionByName(led))
+    tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).distinct())
+    links = stored(verified(tried))
     rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
     return groups(stored(links.unionByName(verified(rest)).unionByName(equal)))
 
