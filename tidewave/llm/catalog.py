@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, lm_scoring, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
+from . import byte_pairs, exact_dedup, line_dedup, lm_scoring, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,10 +129,14 @@ FROM l LEFT JOIN k USING (key) GROUP BY row, doc_id
 """
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_pairs.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False).drop("row")
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op6_ppm_scoring,
-        op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup,
+        op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup, op11_byte_pairs,
     )
     return {f.__name__: f for f in found}
 
