@@ -30,7 +30,7 @@ from .shared import documents, map_batches
 CACHE_FRAGMENTS, SHORT, AT_ONCE = 200_000, 64, 100_000
 
 #: White space beyond ASCII, a fixed value of Unicode (with U+180E, which was such in older versions).
-WIDE_SPACE = "\x85\xa0 ᠎               　"
+WIDE_SPACE = "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Pairs of letters inside the contractions of the pattern, a fixed value of the format.
 IN_CONTRACTIONS = ("re", "ve", "ll")
