@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, line_dedup, lm_scoring, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
+from . import byte_pairs, exact_dedup, line_dedup, lm_scoring, manifest, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -133,13 +133,53 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), with_ids=False).drop("row")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def merkle_sql(heights: int = 8, top_heights: int = 4, fan: int = 16) -> str:
+    """Trees of up to ``fan`` to the ``heights`` leaves, level by level; a node alone in its tree stays as it is."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')" for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    # CRC-32 of the decimal digits: each is combined in, then eight shifts
+    steps = "flatten(list_prepend([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: list_concat([ascii(c)], [-1, -1, -1, -1, -1, -1, -1, -1]))))"
+    crc = f"xor(list_reduce(list_transform({steps}, lambda x: x::BIGINT), lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END), 4294967295)"
+    parts = [f"l AS (SELECT row_number() OVER () AS row, doc_id, coalesce('=' || source, '') AS tree, {leaf('text')} AS leaf, CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {leaf('text')} END AS altered FROM documents)",
+             "a0 AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l)",
+             "n0 AS (SELECT tree, rank AS k, leaf AS d, count(*) OVER (PARTITION BY tree) AS m FROM a0)"]
+
+    def grow(name: str, count: int) -> None:
+        for i in range(count):
+            up = f"SELECT tree, k // {fan} AS k, CASE WHEN any_value(m) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY k)) END AS d FROM {name}{i} GROUP BY tree, k // {fan}"
+            parts.append(f"{name}{i + 1} AS (SELECT *, count(*) OVER (PARTITION BY tree) AS m FROM ({up}))")
+
+    grow("n", heights)
+    parts.append(f"t0 AS (SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS k, d, count(*) OVER () AS m, tree AS source FROM n{heights})")
+    grow("t", top_heights)
+    # siblings, level by level: each step takes the node's place in its tree and its digest so far
+    def climb(table: str, name: str, i: int) -> str:
+        left, right = (f"coalesce((SELECT string_agg(s.d, '' ORDER BY s.k) FROM {name}{i} s WHERE s.tree = {table}.{name} AND s.k // {fan} = {table}.k // {fan} AND s.k {sign} {table}.k), '')" for sign in "<>")
+        return f"SELECT * EXCLUDE (lefts, rights, m) REPLACE (k // {fan} AS k, proof || lefts || rights AS proof, CASE WHEN m = 1 THEN fold ELSE sha256(lefts || fold || rights) END AS fold) FROM (SELECT *, {left} AS lefts, {right} AS rights, (SELECT any_value(m) FROM {name}{i} s WHERE s.tree = {table}.{name}) AS m FROM {table})"
+
+    parts.append("p0 AS (SELECT doc_id, leaf, tree AS n, '' AS t, rank AS k, '' AS proof, altered AS fold FROM a0)")
+    for i in range(heights):
+        parts.append(f"p{i + 1} AS ({climb(f'p{i}', 'n', i)})")
+    parts.append(f"q0 AS (SELECT p.* REPLACE (t0.k AS k), t0.d AS subroot FROM p{heights} p JOIN t0 ON t0.source = p.n)")
+    for i in range(top_heights):
+        parts.append(f"q{i + 1} AS ({climb(f'q{i}', 't', i)})")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, t{top_heights}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t{top_heights}.d AS verified FROM q{top_heights}, t{top_heights}"
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op6_ppm_scoring,
-        op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup, op11_byte_pairs,
+        op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup, op11_byte_pairs, op12_merkle_manifest,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op5_url_reputation": OP5_SQL, "op9_maxscore_topk": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op5_url_reputation": OP5_SQL, "op9_maxscore_topk": OP9_SQL, "op10_line_dedup": OP10_SQL, "op12_merkle_manifest": merkle_sql()}
