@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_pairs, exact_dedup, line_dedup, lm_scoring, manifest, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter
+from . import byte_pairs, exact_dedup, line_dedup, lm_scoring, manifest, packing, pii, quality, sentence_pieces, simhash, topk_search, url_filter, whitening
 from .shared import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -173,10 +173,15 @@ def merkle_sql(heights: int = 8, top_heights: int = 4, fan: int = 16) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, t{top_heights}.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = t{top_heights}.d AS verified FROM q{top_heights}, t{top_heights}"
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_exact_dedup, op4_pii_feistel, op5_url_reputation, op6_ppm_scoring,
         op7_sentence_pieces, op8_kneser_ney_quality, op9_maxscore_topk, op10_line_dedup, op11_byte_pairs, op12_merkle_manifest,
+        op13_embedding_whitening,
     )
     return {f.__name__: f for f in found}
 
