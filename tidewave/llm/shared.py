@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,5 +183,41 @@ def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(lambda batches: each(bounded(batches)), schema)
 
 
+#: Arrays of tasks are added up in so many tasks before the driver adds the rest.
+SUM_TASKS = 16
+
+
+def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray | None:
+    """The sum of the arrays that ``arrays_of`` makes of each task's batches: within a task, then in ``SUM_TASKS`` tasks, then here. None if there are none.
+
+    What moves is one array for each task, compressed; the driver is sent ``SUM_TASKS``.
+    """
+
+    def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = None
+        for a in arrays:
+            if out is None:
+                out = a.copy()
+            elif out.shape != a.shape:
+                raise ValueError(f"arrays of {out.shape} and {a.shape}: vectors have different lengths")
+            else:
+                out += a
+        if out is not None:
+            data = pa.compress(out.tobytes(), codec="zstd", asbytes=True)
+            yield pa.record_batch([pa.array([data], pa.binary()), pa.array([out.dtype.str]), pa.array([list(out.shape)], pa.list_(pa.int32()))], ["sum", "kind", "shape"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            for r in b.to_pylist():
+                size = math.prod(r["shape"]) * np.dtype(r["kind"]).itemsize
+                yield np.frombuffer(pa.decompress(r["sum"], size, codec="zstd", asbytes=True), r["kind"]).reshape(r["shape"])
+
+    schema = "sum binary, kind string, shape array<int>"
+    first = map_batches(rows, lambda batches: total(arrays_of(batches)), schema)
+    few = first.repartition(SUM_TASKS).mapInArrow(lambda batches: total(sums(batches)), schema)
+    last = next(total(sums(few.toArrow().to_batches())), None)
+    return None if last is None else next(sums(iter([last])))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,13 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import documents, looked_up, map_batches, most_frequent, numbered, scratch, sent_if_small, stored, without
+from .shared import added, documents, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
 
 SEED = 42
 PIVOTS = 16
 
-#: A shingle that more texts than this have among their first ones goes to the end of the order; so many at most (8 bytes each).
-SHARED_BY, MOST_SHARED = 32, 1_000_000
+#: Cells in which texts with a shingle are counted, for the order of shingles.
+FREQUENCY_CELLS = 1 << 22
 
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
@@ -224,17 +224,36 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
     return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.ndarray) -> DataFrame:
+def cells_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(FREQUENCY_CELLS)).astype(np.int64)
+
+
+def shingle_frequencies(docs: DataFrame, shingle: int) -> np.ndarray | None:
+    """The number of bits of how many texts have shingles in each cell: 4 MB, whatever the corpus. None without texts.
+
+    Each text counts each of its shingles once. Shingles of a cell count together, so a rare one may seem common in a
+    large corpus; that costs comparisons alone, since any order of the shingles finds the same texts.
+    """
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for b in batches:
+            cells = [cells_of(np.unique(shingle_hashes(bytes_of(t), shingle))) for t in b.column("text")]
+            yield np.bincount(np.concatenate([*cells, np.empty(0, np.int64)]), minlength=FREQUENCY_CELLS).astype(np.uint32)
+
+    found = added(docs.select("text"), counts)
+    return None if found is None else np.frexp(found.astype(float))[1].astype(np.uint8)
+
+
+def first_shingles(docs: DataFrame, shingle: int, similarity: float, frequencies: np.ndarray | None) -> DataFrame:
     """row, n, digest, fp, sketch, first: how many different shingles a text has, a digest of their set, its SimHash, its odd sketch, and the first of them.
 
-    Shingles are in the order of their hashes, those in ``last`` (sorted) behind all others. Two sets of at least this
+    Shingles are in the order of their frequencies, rare ones first, then of their hashes. Two sets of at least this
     Jaccard similarity share ``similarity`` of each, so they share one of the first shingles of both, in any order that
     is the same for all texts.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(last)
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        behind = sent.value
         for b in batches:
             sizes, digests, fps, sketches, firsts = [], [], [], [], []
             for t in b.column("text"):
@@ -243,29 +262,14 @@ def first_shingles(docs: DataFrame, shingle: int, similarity: float, last: np.nd
                 fps.append(simhash(own))
                 sketches.append(odd_sketch(own))
                 digests.append(xxhash.xxh3_128_digest(own.tobytes(), seed=SEED))
-                if len(behind):
-                    own = own[np.argsort(behind[np.minimum(np.searchsorted(behind, own), len(behind) - 1)] == own, kind="stable")]
+                if sent.value is not None:
+                    own = own[np.argsort(sent.value[cells_of(own)], kind="stable")]
                 firsts.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-9) + 1].view(np.int64))
             yield pa.record_batch([b.column("row"), pa.array(sizes, pa.int32()), pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))], ["row", "n", "digest", "fp", "sketch", "first"])
 
     return map_batches(docs.select("row", "text"), each, "row long, n int, digest binary, fp long, sketch array<long>, first array<long>")
 
 
-def ordered_shingles(docs: DataFrame, shingle: int, similarity: float, shared_by: int = SHARED_BY) -> DataFrame:
-    """``first_shingles`` with those that many texts share behind all others, so that common passages bring few texts together."""
-    plain = stored(first_shingles(docs, shingle, similarity, np.empty(0, np.uint64)))
-    common = stored(plain.select(F.explode("first").alias("s")).groupBy("s").agg(F.count("*").alias("of")).where(F.col("of") > shared_by))
-    common = most_frequent(common, "of", MOST_SHARED).select("s")
-    last = np.sort(common.toArrow()["s"].to_numpy().view(np.uint64))
-    if not len(last):
-        return plain
-    # the first shingles of all other texts are the same in the new order
-    touched = stored(plain.select("row", F.explode("first").alias("s")).join(F.broadcast(common), "s", "left_semi").select("row").distinct())
-    touched = sent_if_small(touched)
-    again = first_shingles(docs.join(touched, "row", "left_semi"), shingle, similarity, last)
-    return plain.join(touched, "row", "left_anti").unionByName(stored(again))
-
-
 def allows(x: str, y: str, similarity: float) -> Column:
     """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known) of structs ``x`` and ``y``, can have the similarity.
 
@@ -302,21 +306,43 @@ def differ_little(x: str, y: str, similarity: float) -> Column:
     return bits * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
 
 
+def opposed(mixed: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mixed`` (s, x, root) as the smaller and as the larger of two sets, both with a cell of sizes in which they meet.
+
+    What a text can share from a shingle on bounds the size of a partner: ``reach``. The smaller of two sets has one at
+    its own size or above, the larger one at the smaller's. So texts of one template that differ in more than the
+    similarity allows are no smaller sets, not even for each other, however many they are.
+    """
+    sum_of = (F.col("x.known") + F.col("x.n") - F.col("x.at")) * (1 + similarity) / similarity + 1e-6
+    reach, n = F.floor(sum_of).cast("int") - F.col("x.n"), F.col("x.n")
+
+    def cell(size: Column) -> Column:  # [similarity * n, n] lies in three cells at most
+        return F.floor(F.log(size) * (2 / math.log(1 / similarity))).cast("int")
+
+    least, most = F.ceil(n * similarity - 1e-6).cast("int"), F.least(n, reach)
+    larger = mixed.where(most >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(most))))
+    return mixed.where(reach >= n).withColumn("cell", cell(n)), larger
+
+
 def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity.
 
-    Sketches are compared in the join itself, so that texts of one template, which share much and resemble each other little, give few rows.
+    One of two rows of different groups isn't in the shingle's largest group, so its members never meet each other.
+    Sketches are compared in the join itself, so that texts which share much and resemble each other little give few rows.
     """
     rooted = with_roots(shared, groups)
-    mixed = stored(rooted.groupBy("s").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("of")).where("least < most").select("s", "of"))
-    mixed = looked_up(rooted, mixed, ["s"], "of").withColumn("row", F.col("x.row")).join(sketches, "row")
-    mixed = stored(mixed.select("s", F.struct("x.*", "sketch").alias("x"), "root"))
-    other = mixed.select("s", F.col("x").alias("y"), F.col("root").alias("root_y"))
-    apart = (F.col("x.row") < F.col("y.row")) & (F.col("root") != F.col("root_y"))
-    met = mixed.join(other, "s").where(apart & allows("x", "y", similarity) & differ_little("x", "y", similarity))
+    by_root = rooted.groupBy("s", "root").agg(F.count("*").alias("held"))
+    mixed = stored(by_root.groupBy("s").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("of"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    met = looked_up(rooted, mixed, ["s"], "of").withColumn("row", F.col("x.row")).join(sketches, "row")
+    rows = stored(met.select("s", F.struct("x.*", "sketch").alias("x"), "root", (F.col("root") != F.col("main")).alias("aside")))
+    smaller, larger = opposed(rows, similarity)
+    larger = larger.select("s", "cell", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("aside").alias("aside_y"))
+    fits = (F.col("root") != F.col("root_y")) & (F.struct("x.n", "x.row") < F.struct("y.n", "y.row")) & allows("x", "y", similarity) & differ_little("x", "y", similarity)
+    met = smaller.where("aside").join(larger, ["s", "cell"]).where(fits).select("x", "y")
+    met = met.unionByName(smaller.where("not aside").join(larger.where("aside_y"), ["s", "cell"]).where(fits).select("x", "y"))
     # what two sets share is these shingles, and what lies behind the last of them
     sides = [F.max(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("n", "at")]
-    pairs = met.groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b")).agg(F.count("*").alias("both"), *sides)
+    pairs = met.groupBy(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).agg(F.count("*").alias("both"), *sides)
     most = F.col("both") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
     return pairs.where(most * (1 + similarity) >= similarity * (F.col("n_x") + F.col("n_y")) - 1e-6).select("a", "b")
 
@@ -369,7 +395,7 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
 def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(row, root) of rows (row, text) that ``drop_similar`` groups; roots themselves aren't listed."""
-    known = ordered_shingles(texts, shingle, similarity)
+    known = stored(first_shingles(texts, shingle, similarity, shingle_frequencies(texts, shingle)))
     sets = stored(known.groupBy("digest").agg(F.min("row").alias("v"), F.count("*").alias("n")))
     equal = stored(looked_up(known.select("row", "digest"), sets.where("n > 1"), ["digest"], "n").where("row > v").select(F.col("row").alias("u"), "v"))
     single = known.join(sent_if_small(equal.select(F.col("u").alias("row"))), "row", "left_anti")
