@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import features, kernels, pose, series, tabular
+from . import features, kernels, models, pose, series, tabular
 
 
 def queries() -> dict:
-    return series.Q | tabular.Q | kernels.Q | pose.Q | features.Q
+    return series.Q | tabular.Q | kernels.Q | pose.Q | features.Q | models.Q
 
 
 def oracle_sql() -> dict:
-    return series.SQL | tabular.SQL | kernels.SQL | pose.SQL | features.SQL
+    return series.SQL | tabular.SQL | kernels.SQL | pose.SQL | features.SQL | models.SQL
