@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import autocorrelation
+from . import slices
 from .signal import low_pass
 
 
@@ -64,26 +65,35 @@ def eda(df: DataFrame, keys: list[str], order: list[str], is_peak: str, amplitud
     return found.where(F.col("__known") == F.col("n")).drop("__known")
 
 
-def r_peaks(df: DataFrame, keys: list[str], order: list[str], x: str, rate: float, factor: float = 1.5, half: float = 0.06, refractory: float = 0.3, around: float = 2.0) -> DataFrame:
-    """Beats of a sampled signal: the keys, ``frame`` (from 0) and ``height`` of each R peak.
-
-    The energy of the slope, averaged over ``half`` seconds on both sides, must be the highest within the refractory
-    time and exceed ``factor`` times its mean ``around`` the beat; the peak is the highest sample within ``half`` of it
-    (the first of equal ones). All frames are over one ordering, so a recording is shuffled and sorted once. NULLs have
-    no slope and are no peak. Equivalent to the usual slope detectors, not equal to any of them bit by bit.
-    """
-    near, apart, far = (max(1, round(s * rate)) for s in (half, refractory, around))
-    part = Window.partitionBy(*keys).orderBy(*order)
+def _beats(timed: DataFrame, part: Window, x: str, near: int, apart: int, far: int, factor: float) -> DataFrame:
+    """The rows of ``timed`` (with ``frame``) at which the energy of the slope tells a beat, with ``__peak``, the highest sample around."""
     slope = F.col(x) - F.lag(x).over(part)
-    timed = df.withColumns({"__slope": slope * slope, "frame": F.row_number().over(part) - 1})
-    energy = timed.withColumn("__energy", F.avg("__slope").over(part.rowsBetween(-near, near)))
+    energy = timed.withColumn("__slope", slope * slope).withColumn("__energy", F.avg("__slope").over(part.rowsBetween(-near, near)))
     top = energy.withColumns({
         "__level": F.avg("__energy").over(part.rowsBetween(-far, far)),
         "__before": F.coalesce(F.max("__energy").over(part.rowsBetween(-apart, -1)), F.lit(-1.0)),
         "__after": F.coalesce(F.max("__energy").over(part.rowsBetween(1, apart)), F.lit(-1.0)),
         "__peak": F.max(F.when(F.col(x).isNotNull(), F.struct(F.col(x).alias("height"), (-F.col("frame")).alias("back")))).over(part.rowsBetween(-near, near)),
     })
-    beats = top.where((F.col("__energy") > F.col("__level") * factor) & (F.col("__energy") > F.col("__before")) & (F.col("__energy") >= F.col("__after")) & F.col("__peak").isNotNull())
+    return top.where((F.col("__energy") > F.col("__level") * factor) & (F.col("__energy") > F.col("__before")) & (F.col("__energy") >= F.col("__after")) & F.col("__peak").isNotNull())
+
+
+def r_peaks(df: DataFrame, keys: list[str], order: list[str], x: str, rate: float, factor: float = 1.5, half: float = 0.06, refractory: float = 0.3, around: float = 2.0, width: float | None = None, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
+    """Beats of a sampled signal: the keys, ``frame`` (from 0) and ``height`` of each R peak.
+
+    The energy of the slope, averaged over ``half`` seconds on both sides, must be the highest within the refractory
+    time and exceed ``factor`` times its mean ``around`` the beat; the peak is the highest sample within ``half`` of it
+    (the first of equal ones). All frames are over one ordering, so a recording is shuffled and sorted once; with
+    ``width``, a stretch of the first column of ``order``, it is cut into slices instead, and no task holds a recording.
+    NULLs have no slope and are no peak. Equivalent to the usual slope detectors, not equal to any of them bit by bit.
+    """
+    near, apart, far = (max(1, round(s * rate)) for s in (half, refractory, around))
+    if width is None:
+        part = Window.partitionBy(*keys).orderBy(*order)
+        beats = _beats(df.withColumn("frame", F.row_number().over(part) - 1), part, x, near, apart, far, factor)
+    else:
+        reach = near + max(apart, far) + 1
+        beats = slices.over(slices.framed(df, keys, order[0], order, width), keys, lambda d, k, o: _beats(d, Window.partitionBy(*k).orderBy(*o), x, near, apart, far, factor), reach, reach, slice_rows)
     return beats.select(*keys, (-F.col("__peak.back")).cast("int").alias("frame"), F.col("__peak.height").alias("height")).distinct()
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slices
+
 
 def butterworth(order: int, cutoff: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Low-pass coefficients b, a by the bilinear transform."""
@@ -68,20 +70,25 @@ def memory(a: np.ndarray) -> int:
 BLOCK = 4_096
 
 
-def low_pass(df: DataFrame, key: str, order_by: list[str], x: str, cutoff: float, rate: float, order: int = 4, block: int = BLOCK) -> DataFrame:
+def low_pass(df: DataFrame, key: str, order_by: list[str], x: str, cutoff: float, rate: float, order: int = 4, block: int = BLOCK, width: float | None = None, slice_rows: int = slices.SLICE_ROWS) -> DataFrame:
     """``df``'s key and order columns, x and ``<x>_smooth``: each segment without NULLs is filtered on its own.
 
     Segments are cut into blocks, with as many samples around each as the filter remembers, so a task holds one block,
     however long a recording is, and blocks give what the whole segment gives. Samples without a value have no result.
+    Segments are told apart over each recording's rows in order, or, with ``width``, a stretch of the first column of
+    ``order_by``, over slices of them.
     """
     b, a = butterworth(order, cutoff, rate)
     around = memory(a)
-    part = Window.partitionBy(key).orderBy(*order_by)
     ok = F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))
-    new = F.coalesce(F.col("__ok") != F.lag("__ok").over(part), F.lit(True)).cast("int")
-    marked = df.select(key, *order_by, x).withColumn("__ok", ok).withColumn("__new", new).withColumn("__segment", F.sum("__new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
-    own = Window.partitionBy(key, "__segment")
-    placed = marked.withColumns({"__at": F.row_number().over(own.orderBy(*order_by)) - 1, "__of": F.count("*").over(own)})
+    marked = df.select(key, *order_by, x).withColumn("__ok", ok)
+    if width is None:
+        part, own = Window.partitionBy(key).orderBy(*order_by), Window.partitionBy(key, "__segment")
+        new = F.coalesce(F.col("__ok") != F.lag("__ok").over(part), F.lit(True)).cast("int")
+        numbered = marked.withColumn("__new", new).withColumn("__segment", F.sum("__new").over(part.rowsBetween(Window.unboundedPreceding, 0)))
+        placed = numbered.withColumns({"__at": F.row_number().over(own.orderBy(*order_by)) - 1, "__of": F.count("*").over(own)})
+    else:
+        placed = slices.segments(slices.framed(marked, [key], order_by[0], order_by, width), "__ok", [key], slice_rows)
     last = F.floor((F.col("__of") - 1) / block)
     first = F.greatest(F.lit(0), F.floor((F.col("__at") - around) / F.lit(block)))
     blocks = F.sequence(first.cast("int"), F.least(last, F.floor((F.col("__at") + around) / F.lit(block))).cast("int"))

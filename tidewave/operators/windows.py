@@ -27,12 +27,18 @@ def by_time(df: DataFrame, recording: list[str], t: str, size: float, hop: float
 
 
 def by_count(df: DataFrame, recording: list[str], order: list[str], size: int, hop: int) -> DataFrame:
-    """Windows of ``size`` rows every ``hop`` rows, complete ones only. Adds ``frame`` (from 0) and ``window_index``."""
+    """Windows of ``size`` rows every ``hop`` rows (one at least), complete ones only. Adds ``frame`` (from 0) and ``window_index``."""
     part = Window.partitionBy(*recording)
-    framed = df.withColumns({"frame": F.row_number().over(part.orderBy(*order)) - 1, "__n": F.count("*").over(part)})
+    framed = df.withColumns({"frame": F.row_number().over(part.orderBy(*order)) - 1, "frames": F.count("*").over(part)})
+    return by_frame(framed, size, hop).drop("frames")
+
+
+def by_frame(framed: DataFrame, size: int, hop: int) -> DataFrame:
+    """The same for rows that have ``frame`` and ``frames``, the number of rows of their recording: arithmetic alone."""
+    hop = max(1, hop)
     first = F.greatest(F.lit(0), F.ceil((F.col("frame") - size + 1) / F.lit(float(hop))).cast("int"))
     dealt = framed.withColumn("window_index", F.explode(F.sequence(first, F.floor(F.col("frame") / F.lit(float(hop))).cast("int"))))
-    return dealt.where(F.col("window_index") * hop + size <= F.col("__n")).drop("__n")
+    return dealt.where(F.col("window_index") * hop + size <= F.col("frames"))
 
 
 def spine(recordings: DataFrame, total: float, size: float, step: float) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import autocorrelation, binocular, clean_features, nullify_below, row_mean
-from ..operators import calculus, matching, physiology, signal, windows
+from ..operators import calculus, matching, physiology, signal, slices, windows
 from .tables import DAY, EVENTS, events, rounded, table
 
 Q = {}
@@ -302,3 +302,52 @@ SQL["gaze_window_metrics"] = f"""WITH {TIME_WINDOWS}, x AS (SELECT *, CASE WHEN
 s AS (SELECT *, abs(x - lag(x) OVER q) / nullif(t - lag(t) OVER q, 0) AS speed FROM x WINDOW q AS (PARTITION BY user_id, window_index ORDER BY t, event_id))
 SELECT user_id, window_index, round(avg((x IS NULL)::INT), 6) AS pct_missing, round(stddev_pop(x), 6) AS rms_disp, round(avg(speed), 6) AS mean_vel, round(max(speed), 6) AS max_vel, round(count(*) FILTER (event_type = 'click') / nullif(max(t) - min(t), 0), 6) AS click_rate
 FROM s GROUP BY ALL HAVING avg((x IS NULL)::INT) <= 0.25"""
+
+
+def framed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with their place among the user's, counted over stretches of a day."""
+    return slices.framed(events(spark, sf_dir), ["user_id"], "t", ORDER, DAY)
+
+
+#: Rows of a slice in the queries: few, so that users have several.
+FEW = 16
+
+
+@query
+def sliced_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = slices.derivatives(framed_events(spark, sf_dir), "value", ["user_id"], size=FEW)
+    return rounded(found.select("user_id", "event_id", "value_vel", "value_acc"), "value_vel", "value_acc")
+
+
+@query
+def sliced_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(slices.rolling_median(framed_events(spark, sf_dir), "value", "median5", ["user_id"], size=FEW).select("user_id", "event_id", "median5"), "median5")
+
+
+@query
+def sliced_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = slices.runs(framed_events(spark, sf_dir), F.col("value") > 40, ["user_id"], "t", FEW).where("n >= 2")
+    return rounded(found.select("user_id", "start", "end", "n", (F.col("end") - F.col("start")).alias("duration")), "start", "end", "duration", places=5)
+
+
+@query
+def sliced_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = framed_events(spark, sf_dir).withColumn("x", F.when(F.col("event_type") != "error", F.col("value")))
+    return rounded(slices.interpolated(x, "x", ["user_id"], 2, FEW).select("user_id", "event_id", "x_filled"), "x_filled")
+
+
+for _sliced, _plain in (("sliced_gradient", "gradient_vel_acc"), ("sliced_rolling_median", "rolling_median5"), ("sliced_runs", "runs_islands"), ("sliced_interpolation", "interp_limited")):
+    SQL[_sliced] = SQL[_plain]
+
+
+@query
+def sliced_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of sixteen items every eight over each supplier's items, whose places come from counts over stretches of orders: a hot supplier is no task's."""
+    items = slices.framed(table(spark, sf_dir, "lineitem").select("l_suppkey", *ITEM_ORDER), ["l_suppkey"], "l_orderkey", ITEM_ORDER, 5_000.0)
+    dealt = windows.by_frame(items, 16, 8).groupBy("l_suppkey", "window_index").agg(F.count("*").alias("n"), F.min("frame").alias("first_frame"), F.avg("l_extendedprice").alias("mean"))
+    return rounded(dealt, "mean", places=4)
+
+
+SQL["sliced_frames"] = f"""WITH f AS (SELECT l_suppkey, l_extendedprice, row_number() OVER (PARTITION BY l_suppkey ORDER BY {", ".join(ITEM_ORDER)}) - 1 AS frame, count(*) OVER (PARTITION BY l_suppkey) AS total FROM lineitem),
+w AS (SELECT *, unnest(range(greatest(0, ceil((frame - 15) / 8.0))::BIGINT, frame // 8 + 1))::INT AS window_index FROM f)
+SELECT l_suppkey, window_index, count(*) AS n, min(frame) AS first_frame, round(avg(l_extendedprice), 4) AS mean FROM w WHERE window_index * 8 + 16 <= total GROUP BY 1, 2"""
