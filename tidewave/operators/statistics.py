@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite
+
 
 def by_group(df: DataFrame, group: list[str], x: str) -> DataFrame:
     """n, mean, sample sd and standard error of ``x``."""
@@ -20,39 +22,72 @@ def crosstab(df: DataFrame, rows: str, columns: str, values: list[str]) -> DataF
     return df.groupBy(rows).pivot(columns, values).count().fillna(0, values)
 
 
-#: Ranges of values that quantiles are counted in; a task sorts the different values of about that share of a column.
-RANGES = 64
+#: Bins that an interval of values is cut into, and values that are fetched to be ranked at the end.
+BINS, FETCHED = 256, 100_000
 
 
-def quantiles(long: DataFrame, group: str, x: str, qs: list[float]) -> DataFrame:
-    """group, p25, ... : exact quantiles, linear between values, without a task that holds a whole column.
+def order_statistics(df: DataFrame, columns: list[str], spans: dict[str, tuple[float, float]], ranks: dict[str, list[int]]) -> dict[tuple[str, int], float]:
+    """The values at ``ranks`` (from 0) of each column, whose known values lie in ``spans``; exact, without sorting.
 
-    Approximate quantiles cut the values into ranges. Values are counted by range, and what lies before a range comes
-    from its count, so each range is ranked apart.
+    Values are counted in equal bins of the span, all columns in one job; of a rank's bin the smallest and largest value
+    are its next span, until few values are left, which are ranked here. What moves is a row for each bin.
     """
-    known = long.where(F.col(x).isNotNull())
-    cuts = known.groupBy(group).agg(F.percentile_approx(x, [(i + 1) / RANGES for i in range(RANGES - 1)], 1000).alias("__cuts"))
-    part = F.size(F.filter("__cuts", lambda c: c < F.col(x)))
-    counted = known.join(F.broadcast(cuts), group).groupBy(group, part.alias("__part"), x).agg(F.count("*").alias("__n"))  # cuts: a row a group
-    totals = counted.groupBy(group, "__part").agg(F.sum("__n").alias("__m"))
-    whole = Window.partitionBy(group)  # RANGES rows at most
-    before = totals.withColumns({"__before": F.sum("__m").over(whole.orderBy("__part")) - F.col("__m"), "__of": F.sum("__m").over(whole)}).drop("__m")
-    upto = F.col("__before") + F.sum("__n").over(Window.partitionBy(group, "__part").orderBy(x))
-    ranked = counted.join(before, [group, "__part"]).withColumn("__upto", upto)
-    place = lambda q: (F.col("__of") - 1) * F.lit(q)
-    at = lambda k: F.max(F.when((F.col("__upto") > k) & (F.col("__upto") - F.col("__n") <= k), F.col(x)))
-    ends = [e.alias(f"__{name}{i}") for i, q in enumerate(qs) for name, e in (("low", at(F.floor(place(q)))), ("high", at(F.ceil(place(q)))))]
-    found = ranked.groupBy(group).agg(F.first("__of").alias("__of"), *ends)
-    between = lambda i, q: F.col(f"__low{i}") + (F.col(f"__high{i}") - F.col(f"__low{i}")) * (place(q) - F.floor(place(q)))
-    return found.select(group, *[between(i, q).alias(f"p{int(q * 100)}") for i, q in enumerate(qs)])
+    found: dict[tuple[str, int], float] = {}
+    open_ = {(c, *spans[c], 0): list(ranks[c]) for c in columns if ranks[c]}  # (column, low, high, values below low): ranks
+    while True:
+        for key in [k for k in open_ if k[1] == k[2]]:
+            found |= {(key[0], r): key[1] for r in open_.pop(key)}
+        if not open_:
+            return found
+        cells = []
+        for i, (c, low, high, _) in enumerate(open_):
+            x, width = F.col(f"`{c}`").cast("double"), (high / BINS - low / BINS)
+            cell = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)).cast("int") if width > 0 else F.when(x > low, 1).otherwise(0)
+            cells.append(F.when(x.between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("i"), cell.alias("cell"), x.alias("x"))))
+        values = df.select(F.explode(F.array_compact(F.array(*cells))).alias("v")).select("v.*")
+        counted = values.groupBy("i", "cell").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        bins: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: (r["i"], r["cell"])):
+            bins.setdefault(r["i"], []).append(r)
+        narrower: dict[tuple, list[int]] = {}
+        sizes = {}
+        for i, ((c, _, _, below), own) in enumerate(open_.items()):
+            for r in own:
+                at = below
+                for cell in bins[i]:
+                    if r < at + cell["n"]:
+                        narrower.setdefault((c, cell["low"], cell["high"], at), []).append(r)
+                        sizes[c, cell["low"], cell["high"], at] = cell["n"]
+                        break
+                    at += cell["n"]
+        open_ = narrower
+        left = [k for k in open_ if k[1] < k[2]]
+        if left and sum(sizes[k] for k in left) <= FETCHED:
+            inside = [F.when(F.col(f"`{c}`").cast("double").between(F.lit(low), F.lit(high)), F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("double").alias("x"))) for i, (c, low, high, _) in enumerate(left)]
+            held: dict[int, list[float]] = {}
+            for r in df.select(F.explode(F.array_compact(F.array(*inside))).alias("v")).select("v.*").collect():
+                held.setdefault(r["i"], []).append(r["x"])
+            for i, key in enumerate(left):
+                ordered = sorted(held[i])
+                found |= {(key[0], r): ordered[r - key[3]] for r in open_.pop(key)}
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row a column: n, mean, sd, min, quartiles, max; exact, unlike ``summary``."""
-    names = ", ".join(f"'{c}', cast(`{c}` as double)" for c in columns)
-    long = df.select(F.expr(f"stack({len(columns)}, {names}) as (column, x)"))
-    moments = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.min("x").alias("min"), F.max("x").alias("max"))
-    return moments.join(quantiles(long, "column", "x", [0.25, 0.5, 0.75]), "column", "left").select("column", "n", "mean", "sd", "min", "p25", "p50", "p75", "max")
+    """One row a column: n, mean, sd, min, quartiles (linear between values), max; exact, unlike ``summary``. NaN and infinities count as missing.
+
+    No column is sorted or shuffled: one pass for the moments, then ``order_statistics``.
+    """
+    known = df.select(*[finite(F.col(f"`{c}`").cast("double")).alias(c) for c in columns])
+    one = known.agg(*[e.alias(f"{k}_{i}") for i, c in enumerate(columns) for k, e in (("n", F.count(f"`{c}`")), ("mean", F.avg(f"`{c}`")), ("sd", F.stddev_samp(f"`{c}`")), ("min", F.min(f"`{c}`")), ("max", F.max(f"`{c}`")))]).first()
+    n = {c: one[f"n_{i}"] for i, c in enumerate(columns)}
+    places = {c: [(n[c] - 1) * q for q in (0.25, 0.5, 0.75)] if n[c] else [] for c in columns}
+    ranks = {c: sorted({k for p in places[c] for k in (math.floor(p), math.ceil(p))}) for c in columns}
+    at = order_statistics(known, columns, {c: (one[f"min_{i}"], one[f"max_{i}"]) for i, c in enumerate(columns)}, ranks)
+    rows = []
+    for i, c in enumerate(columns):
+        between = [at[c, math.floor(p)] + (at[c, math.ceil(p)] - at[c, math.floor(p)]) * (p - math.floor(p)) for p in places[c]] or [None] * 3
+        rows.append((c, n[c], one[f"mean_{i}"], one[f"sd_{i}"], one[f"min_{i}"], *between, one[f"max_{i}"]))
+    return df.sparkSession.createDataFrame(rows, "column string, n long, mean double, sd double, min double, p25 double, p50 double, p75 double, max double")
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -74,20 +109,6 @@ def correlation_between(df: DataFrame, group: list[str], x: str, y: str, more_th
     return both.groupBy(*group).agg(F.count("*").alias("n"), r.alias("r")).where(F.col("n") > more_than)
 
 
-def correlated_columns(df: DataFrame, columns: list[str], least_variance: float, most_r: float) -> DataFrame:
-    """column, variance, kept: columns of too little variance go, and of each pair correlated beyond ``most_r`` the earlier one.
-
-    All variances and correlations come from one aggregate; its size follows the number of columns alone.
-    """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    corr = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    one = df.agg(*[F.var_pop(c).alias(f"v_{c}") for c in columns], *[F.coalesce(F.abs(corr(a, b)), F.lit(0.0)).alias(f"r_{a}_{b}") for a, b in pairs])
-    varied = {c: F.col(f"v_{c}") > least_variance for c in columns}
-    near = {a: [varied[b] & (F.col(f"r_{a}_{b}") >= most_r) for p, b in pairs if p == a] for a in columns}
-    kept = {c: varied[c] & ~(F.array_contains(F.array(*near[c]), True) if near[c] else F.lit(False)) for c in columns}
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v_{c}").alias("variance"), kept[c].alias("kept")) for c in columns])).alias("r")).select("r.*")
-
-
 def sufficient(df: DataFrame, group: str, y: str, xs: list[str]) -> DataFrame:
     """n, sums and cross products of y and xs by group: all that a random-intercept model needs of the data."""
     names = [y, *xs]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.columns import stars
-from ..operators import calculus, fusion, matching, splits, statistics, windows
+from ..operators import calculus, fusion, gram, matching, splits, statistics, windows
 from ..sources import sinks
 from .tables import DAY, EVENTS, events, rounded, table
 
@@ -238,12 +238,30 @@ SQL["pairwise_complete_corr"] = "SELECT l_suppkey, count(*) AS n, round(corr(l_q
 @query
 def corr_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_tax", (F.col("l_tax") * 2 + 1).alias("tax2"), F.lit(1.0).alias("same"))
-    return rounded(statistics.correlated_columns(items, ["l_quantity", "l_extendedprice", "l_tax", "tax2", "same"], 1e-8, 0.95), "variance", places=2)
+    return rounded(gram.correlated_columns(items, ["l_quantity", "l_extendedprice", "l_tax", "tax2", "same"], 1e-8, 0.95), "variance", places=2)
 
 
 SQL["corr_prefilter"] = """SELECT unnest(['l_quantity', 'l_extendedprice', 'l_tax', 'tax2', 'same']) AS column, unnest([round(var_pop(l_quantity), 2), round(var_pop(l_extendedprice), 2), round(var_pop(l_tax), 2), round(var_pop(l_tax * 2 + 1), 2), 0.0]) AS variance,
  unnest([var_pop(l_quantity) > 1e-8 AND abs(corr(l_quantity, l_extendedprice)) < 0.95 AND abs(corr(l_quantity, l_tax)) < 0.95, abs(corr(l_extendedprice, l_tax)) < 0.95, abs(corr(l_tax, l_tax * 2 + 1)) < 0.95, true, false]) AS kept FROM lineitem"""
 
+
+
+#: Twenty columns of products of three, some of them nearly alike.
+WIDE = {f"w{i}": f"l_quantity * {i % 5} + l_tax * {1000 * (i % 3)} + l_discount * {100 * (i % 7)} + l_extendedprice * {0.001 * (i % 2)}" for i in range(20)}
+
+
+@query
+def corr_prefilter_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of twenty columns: 190 pairs from one product of matrices a task."""
+    items = table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(c) for c, e in WIDE.items()])
+    return rounded(gram.correlated_columns(items, list(WIDE), 1e-8, 0.95), "variance", places=4)
+
+
+_ONE = ", ".join([f"var_pop({c}) AS v_{c}" for c in WIDE] + [f"abs(coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) * stddev_pop({b}), 0), 0)) AS r_{a}_{b}" for i, a in enumerate(WIDE) for b in list(WIDE)[i + 1 :]])
+_KEPT = ", ".join(f"v_{a} > 1e-8" + "".join(f" AND NOT (v_{b} > 1e-8 AND r_{a}_{b} >= 0.95)" for b in list(WIDE)[i + 1 :]) for i, a in enumerate(WIDE))
+SQL["corr_prefilter_wide"] = f"""WITH w AS (SELECT {", ".join(f"({e})::DOUBLE AS {c}" for c, e in WIDE.items())} FROM lineitem), o AS (SELECT {_ONE} FROM w)
+SELECT unnest({list(WIDE)}) AS column, unnest([{", ".join(f"round(v_{c}, 4)" for c in WIDE)}]) AS variance, unnest([{_KEPT}]) AS kept FROM o"""
+
 HASH = "(event_id * 2654435761 + {seed} * 40503) % 4294967296"
 
 
