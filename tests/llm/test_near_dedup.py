@@ -23,9 +23,9 @@ def met(spark, rows):
     """How many pairs of rows meet under a shingle, before any bound on pairs is looked at, and how many are left."""
     texts = stored(spark.createDataFrame(rows, "row long, text string"))
     known = stored(simhash.first_shingles(texts, 5, 0.8, simhash.shingle_frequencies(texts, 5)))
-    shared = stored(simhash.sharing(known))
+    shared = stored(simhash.sharing(known, 0.8))
     none = spark.createDataFrame([], "row long, root long")
-    mixed = shared.withColumn("root", F.col("x.row"))
+    mixed = shared.withColumn("of", F.lit(1_000))
     smaller, larger = (x.groupBy("s", "cell").count() for x in simhash.opposed(mixed, 0.8))
     pairs = smaller.join(larger.withColumnRenamed("count", "others"), ["s", "cell"]).agg(F.coalesce(F.sum(F.col("count") * F.col("others")), F.lit(0)).alias("n")).first()["n"]
     return pairs, simhash.sharing_pairs(shared, known.select("row", "sketch"), none, 0.8).count()
@@ -37,7 +37,7 @@ def test_pairs_of_one_template_grow_with_the_rows(spark):
         assert pairs <= 4 * n and left == 0, (n, pairs, left)
 
 
-def test_similar_texts_of_many_sizes_equal_all_pairs(spark):
+def test_similar_texts_of_many_sizes_equal_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(11)
     rows, common = [], [f"c{x}" for x in range(400)]
     for i in range(260):
@@ -58,8 +58,23 @@ def test_similar_texts_of_many_sizes_equal_all_pairs(spark):
         both = len(sets[a] & sets[b])
         if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
             parent[max(root(a), root(b))] = min(root(a), root(b))
-    kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert kept == {i for i in sets if root(i) == i} and 60 < len(kept) < 300
+    for long in (64, 0):  # with 0 all shingles are split by sizes
+        monkeypatch.setattr(simhash.opposed, "__defaults__", (long,))
+        monkeypatch.setattr(simhash.sharing_pairs, "__defaults__", (long,))
+        kept = {r["doc_id"] for r in simhash.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert kept == {i for i in sets if root(i) == i} and 60 < len(kept) < 300
+
+
+def test_few_cells_lose_no_repeat(spark, monkeypatch):
+    texts = stored(spark.createDataFrame([(i, t) for i, t in template(30)] + [(100 + i, t + " x") for i, t in template(30)], "row long, text string"))
+    known = stored(simhash.first_shingles(texts, 5, 0.8, None))
+    expected = {r["s"] for r in known.select(F.explode("first").alias("s")).groupBy("s").count().where("count > 1").collect()}
+    for cells in (1 << 26, 1 << 10):
+        monkeypatch.setattr(simhash, "REPEAT_CELLS", cells)
+        lists = simhash.repeated(known).collect()
+        assert expected <= {r["s"] for r in lists}
+        firsts = {r["row"]: r["first"] for r in known.collect()}
+        assert all(firsts[r["row"]][r["at"]] == r["s"] for r in lists)
 
 
 def test_frequencies_count_texts(spark):

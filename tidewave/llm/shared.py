@@ -187,8 +187,8 @@ def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterat
 SUM_TASKS = 16
 
 
-def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray | None:
-    """The sum of the arrays that ``arrays_of`` makes of each task's batches: within a task, then in ``SUM_TASKS`` tasks, then here. None if there are none.
+def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], plus: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
+    """The sum, by ``plus``, of the arrays that ``arrays_of`` makes of each task's batches: within a task, then in ``SUM_TASKS`` tasks, then here. None if there are none.
 
     What moves is one array for each task, compressed; the driver is sent ``SUM_TASKS``.
     """
@@ -197,11 +197,11 @@ def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Itera
         out = None
         for a in arrays:
             if out is None:
-                out = a.copy()
+                out = a
             elif out.shape != a.shape:
                 raise ValueError(f"arrays of {out.shape} and {a.shape}: vectors have different lengths")
             else:
-                out += a
+                out = plus(out, a)
         if out is not None:
             data = pa.compress(out.tobytes(), codec="zstd", asbytes=True)
             yield pa.record_batch([pa.array([data], pa.binary()), pa.array([out.dtype.str]), pa.array([list(out.shape)], pa.list_(pa.int32()))], ["sum", "kind", "shape"])

@@ -31,10 +31,16 @@ PIVOTS = 16
 #: Cells in which texts with a shingle are counted, for the order of shingles.
 FREQUENCY_CELLS = 1 << 22
 
+#: Cells that tell which first shingles may repeat: 8 MB of bits. Beyond some hundred million first shingles more of them move than need to.
+REPEAT_CELLS = 1 << 26
+
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
 SHINGLES_AT_ONCE = 65_536
 
+#: A shingle of more rows than this is split by their sizes where they are held against each other.
+LONG_KEY = 64
+
 #: 64-bit numbers of a text's odd sketch.
 SKETCH = 8
 
@@ -271,21 +277,77 @@ def first_shingles(docs: DataFrame, shingle: int, similarity: float, frequencies
 
 
 def allows(x: str, y: str, similarity: float) -> Column:
-    """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known) of structs ``x`` and ``y``, can have the similarity.
+    """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known, best) of structs ``x`` and ``y``, can have the similarity.
 
-    What any other text shares of the shingles before it, it, and those behind it bound what two sets can share.
+    What any other text shares of the shingles before it, it, and those behind it bound what two sets can share, and so
+    does what each can share with any other.
     """
-    most = F.least(f"{x}.known", f"{y}.known") + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+    here = F.least(f"{x}.known", f"{y}.known") + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
+    most = F.least(here, f"{x}.best", f"{y}.best")
     return most * (1 + similarity) >= similarity * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
-def sharing(known: DataFrame) -> DataFrame:
-    """s, x: each first shingle that several rows have, with each of them (row, n, at, known): its place, and how many before it other rows have too."""
-    lists = known.select("row", "n", F.posexplode("first").alias("at", "s"))
+def reach(x: str, similarity: float) -> Column:
+    """The size up to which a set can have a partner, by ``best`` and ``n`` of struct ``x``."""
+    return F.floor(F.col(f"{x}.best") * ((1 + similarity) / similarity) + 1e-6).cast("int") - F.col(f"{x}.n")
+
+
+def may_be_smaller(x: str, similarity: float) -> Column:
+    """Whether a set can have a partner of its own size or more; of two similar sets one can."""
+    return reach(x, similarity) >= F.col(f"{x}.n")
+
+
+def met_twice(known: DataFrame) -> np.ndarray | None:
+    """A bit for each cell of first shingles: whether two may lie in it, of different rows. ``REPEAT_CELLS`` bits, whatever the corpus; None without rows."""
+
+    def cells(first: pa.ListArray) -> np.ndarray:
+        return (first.flatten().to_numpy().view(np.uint64) >> np.uint64(7)) % np.uint64(REPEAT_CELLS)
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        seen = np.zeros(REPEAT_CELLS, np.uint8)
+        for b in batches:
+            at, n = np.unique(cells(b.column("first")).astype(np.int64), return_counts=True)
+            seen[at] = np.minimum(seen[at] + n, 2)
+        yield np.stack([np.packbits(seen >= k, bitorder="little") for k in (1, 2)])
+
+    def either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.stack([x[0] | y[0], x[1] | y[1] | (x[0] & y[0])])
+
+    found = added(known.select("first"), bits, either)
+    return None if found is None else found[1]
+
+
+def repeated(known: DataFrame) -> DataFrame:
+    """row, n, at, s: the first shingles that other rows may have too, by ``met_twice``, with their places; most others don't leave their task."""
+    sent = known.sparkSession.sparkContext.broadcast(met_twice(known))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = b.column("first")
+            sizes, s = first.value_lengths().to_numpy(), first.flatten().to_numpy()
+            cell = (s.view(np.uint64) >> np.uint64(7)) % np.uint64(REPEAT_CELLS)
+            keep = (sent.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            rows, n = b.column("row").to_numpy(), b.column("n").to_numpy()
+            yield pa.record_batch([pa.array(rows[owner[keep]]), pa.array(n[owner[keep]]), pa.array(at[keep].astype(np.int32)), pa.array(s[keep])], ["row", "n", "at", "s"])
+
+    return map_batches(known.select("row", "n", "first"), each, "row long, n int, at int, s long")
+
+
+def sharing(known: DataFrame, similarity: float) -> DataFrame:
+    """s, x: each first shingle that several rows have, with each of them (row, n, at, known, best).
+
+    ``at`` is its place, ``known`` how many before it other rows have too, ``best`` how many of all the row's shingles
+    any other row can share: its first ones that none has count against it.
+    """
+    lists = stored(repeated(known))
     several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
     met = looked_up(lists, several, ["s"], "of")
-    before = F.row_number().over(Window.partitionBy("row").orderBy("at")) - 1
-    return met.select("s", F.struct("row", "n", "at", before.alias("known")).alias("x"))
+    whole = Window.partitionBy("row")
+    firsts = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    best = (F.count("*").over(whole) + F.col("n") - firsts).cast("int")
+    return met.select("s", F.struct("row", "n", "at", (F.row_number().over(whole.orderBy("at")) - 1).alias("known"), best.alias("best")).alias("x"))
 
 
 def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -294,9 +356,11 @@ def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def led_pairs(shared: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: each row with one row of each of its shingles, if they can have the similarity."""
-    leaders = stored(shared.groupBy("s").agg(F.min(F.struct(F.xxhash64("x.row", "s").alias("by"), "x"))["x"].alias("leader"), F.count("*").alias("of")))
-    met = looked_up(shared, leaders, ["s"], "of").where((F.col("x.row") != F.col("leader.row")) & allows("x", "leader", similarity))
+    """(a, b), a < b: each row with one row of each of its shingles, if they can have the similarity. Only rows that may be the smaller of two lead."""
+    leading = shared.where(may_be_smaller("x", similarity))
+    leaders = stored(leading.groupBy("s").agg(F.min(F.struct(F.xxhash64("x.row", "s").alias("by"), "x"))["x"].alias("leader")))
+    sizes = stored(leaders.join(shared.groupBy("s").agg(F.count("*").alias("of")), "s"))
+    met = looked_up(shared, sizes, ["s"], "of").where((F.col("x.row") != F.col("leader.row")) & allows("x", "leader", similarity))
     return met.select(F.least("leader.row", "x.row").alias("a"), F.greatest("leader.row", "x.row").alias("b")).distinct()
 
 
@@ -306,36 +370,36 @@ def differ_little(x: str, y: str, similarity: float) -> Column:
     return bits * (1 + similarity) <= (1 - similarity) * (F.col(f"{x}.n") + F.col(f"{y}.n")) + 1e-6
 
 
-def opposed(mixed: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """The rows of ``mixed`` (s, x, root) as the smaller and as the larger of two sets, both with a cell of sizes in which they meet.
+def opposed(mixed: DataFrame, similarity: float, long: int = LONG_KEY) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mixed`` (s, x, and ``of``, the number of rows of s) as the smaller and as the larger of two sets, both with a cell of sizes in which they meet.
 
-    What a text can share from a shingle on bounds the size of a partner: ``reach``. The smaller of two sets has one at
-    its own size or above, the larger one at the smaller's. So texts of one template that differ in more than the
-    similarity allows are no smaller sets, not even for each other, however many they are.
+    So texts of one template that differ in more than the similarity allows are no smaller sets, not even for each
+    other, however many they are. Only shingles of more than ``long`` rows are split by sizes.
     """
-    sum_of = (F.col("x.known") + F.col("x.n") - F.col("x.at")) * (1 + similarity) / similarity + 1e-6
-    reach, n = F.floor(sum_of).cast("int") - F.col("x.n"), F.col("x.n")
+    n = F.col("x.n")
 
     def cell(size: Column) -> Column:  # [similarity * n, n] lies in three cells at most
         return F.floor(F.log(size) * (2 / math.log(1 / similarity))).cast("int")
 
-    least, most = F.ceil(n * similarity - 1e-6).cast("int"), F.least(n, reach)
-    larger = mixed.where(most >= least).withColumn("cell", F.explode(F.sequence(cell(least), cell(most))))
-    return mixed.where(reach >= n).withColumn("cell", cell(n)), larger
+    least, most = F.ceil(n * similarity - 1e-6).cast("int"), F.least(n, reach("x", similarity))
+    cells = F.when(F.col("of") > long, F.sequence(cell(least), cell(most))).otherwise(F.array(F.lit(0)))
+    larger = mixed.where(most >= least).withColumn("cell", F.explode(cells))
+    return mixed.where(may_be_smaller("x", similarity)).withColumn("cell", F.when(F.col("of") > long, cell(n)).otherwise(0)), larger
 
 
-def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float, long: int = LONG_KEY) -> DataFrame:
     """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity.
 
     One of two rows of different groups isn't in the shingle's largest group, so its members never meet each other.
     Sketches are compared in the join itself, so that texts which share much and resemble each other little give few rows.
     """
     rooted = with_roots(shared, groups)
-    by_root = rooted.groupBy("s", "root").agg(F.count("*").alias("held"))
-    mixed = stored(by_root.groupBy("s").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("of"), F.count("*").alias("roots")).where("roots > 1").drop("roots"))
+    by_root = rooted.groupBy("s", "root").agg(F.count("*").alias("held"), F.max(may_be_smaller("x", similarity)).alias("fit"))
+    mixed = by_root.groupBy("s").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("of"), F.count("*").alias("roots"), F.max("fit").alias("fit"))
+    mixed = stored(mixed.where("roots > 1 and fit").select("s", "main", "of"))
     met = looked_up(rooted, mixed, ["s"], "of").withColumn("row", F.col("x.row")).join(sketches, "row")
-    rows = stored(met.select("s", F.struct("x.*", "sketch").alias("x"), "root", (F.col("root") != F.col("main")).alias("aside")))
-    smaller, larger = opposed(rows, similarity)
+    rows = stored(met.select("s", "of", F.struct("x.*", "sketch").alias("x"), "root", (F.col("root") != F.col("main")).alias("aside")))
+    smaller, larger = opposed(rows, similarity, long)
     larger = larger.select("s", "cell", F.col("x").alias("y"), F.col("root").alias("root_y"), F.col("aside").alias("aside_y"))
     fits = (F.col("root") != F.col("root_y")) & (F.struct("x.n", "x.row") < F.struct("y.n", "y.row")) & allows("x", "y", similarity) & differ_little("x", "y", similarity)
     met = smaller.where("aside").join(larger, ["s", "cell"]).where(fits).select("x", "y")
@@ -407,7 +471,7 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
     def groups(links: DataFrame) -> DataFrame:
         return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
 
-    shared = stored(sharing(single))
+    shared = stored(sharing(single, similarity))
     tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).distinct())
     links = stored(verified(tried))
     rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
