@@ -155,7 +155,7 @@ def hrv_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["hrv_curves"] = f"""WITH {GAPS}, k AS (SELECT user_id, window_index, t, rr AS x, row_number() OVER q - 1 AS i, count(*) OVER (PARTITION BY user_id, window_index) AS n, first_value(rr) OVER q AS f, lag(rr) OVER q AS b FROM g WHERE rr IS NOT NULL WINDOW q AS (PARTITION BY user_id, window_index ORDER BY t)),
 ka AS (SELECT user_id, window_index, count(*) AS n_rr, CASE WHEN count(*) > 2 AND max(abs(x - f)) > 0 THEN ln(count(*) - 1) / (ln(count(*) - 1) + ln(max(abs(x - f)) / sum(abs(x - b)))) END AS kfd FROM k GROUP BY 1, 2),
 s AS (SELECT k.*, step, abs(x - lag(x) OVER (PARTITION BY user_id, window_index, step, i % step ORDER BY i)) AS d FROM k, range(1, 5) r(step) WHERE n >= 8),
-le AS (SELECT user_id, window_index, step, i % step AS m, sum(d) * (any_value(n) - 1) / count(d) / step / step AS l FROM s GROUP BY ALL),
+le AS (SELECT user_id, window_index, step, i % step AS m, sum(d) * (any_value(n) - 1) / count(d) / step / step AS l FROM s GROUP BY user_id, window_index, step, i % step),
 h AS (SELECT user_id, window_index, step, avg(l) AS l FROM le GROUP BY ALL HAVING avg(l) > 0),
 hi AS (SELECT user_id, window_index, CASE WHEN count(*) = 4 THEN regr_slope(ln(l), -ln(step)) END AS hfd FROM h GROUP BY 1, 2)
 SELECT user_id, window_index, n_rr, round(hfd, 5) AS hrv_hfd, round(kfd, 5) AS hrv_kfd FROM ka LEFT JOIN hi USING (user_id, window_index)"""
