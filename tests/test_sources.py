@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewave.operators import features, fusion, physiology, statistics, windows
+from tidewave.operators import features, fusion, mixed, physiology, windows
 from tidewave.sources import recordings, sinks
 
 GSR = "Shimmer_AD66_GSR_Skin_Conductance_CAL"
@@ -127,7 +127,7 @@ def test_mixed_model_equals_a_plain_fit(spark):
     rng = np.random.default_rng(4)
     rows = [(g, c, float(d), float(i + 0.3 * d + u + rng.normal())) for g in range(30) for u in [rng.normal() * 2] for i, c in enumerate("LMH") for d in range(4)]
     df = spark.createDataFrame(rows, "g long, c string, d double, y double")
-    found = {r["condition"]: r for r in statistics.estimated_means(df, "g", ["y"], "c", ["L", "M", "H"], ["d"]).collect()}
+    found = {r["condition"]: r for r in mixed.estimated_means(df, "g", ["y"], "c", ["L", "M", "H"], ["d"]).collect()}
     # by brute force: profile the restricted likelihood with the whole covariance matrix
     g, y = np.array([r[0] for r in rows]), np.array([r[3] for r in rows])
     x = np.array([[r[1] == c for c in "LMH"] + [r[2]] for r in rows], float)
@@ -144,4 +144,4 @@ def test_mixed_model_equals_a_plain_fit(spark):
     for i, c in enumerate("LMH"):
         at = np.array([*np.eye(3)[i], 1.5])
         assert found[c]["mean"] == pytest.approx(at @ beta, abs=0.01) and found[c]["se"] == pytest.approx(np.sqrt(at @ cov @ at), rel=0.05)
-        assert found[c]["high"] - found[c]["low"] == pytest.approx(3.92 * found[c]["se"])
+        assert found[c]["high"] - found[c]["low"] == pytest.approx(2 * mixed.t_quantile(0.05, found[c]["df"]) * found[c]["se"])

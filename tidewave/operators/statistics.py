@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,93 +116,6 @@ def sufficient(df: DataFrame, group: str, y: str, xs: list[str]) -> DataFrame:
     return df.dropna(subset=names).groupBy(group).agg(F.count("*").alias("n"), *sums, *products)
 
 
-def normal_tail(z: float) -> float:
-    """Two-sided tail of the standard normal."""
-    return math.erfc(abs(z) / math.sqrt(2))
-
-
-def reml(df: DataFrame, group: str, y: str, condition: str, levels: list[str], covariates: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """REML fit of y ~ condition + covariates + (1 | group): coefficients (levels, then covariates), their covariances, and the covariates' means. None without enough rows.
-
-    The data are read once, for the groups' sufficient statistics, which Spark folds into sums for each variance ratio
-    of a grid; so no group, nor the list of groups, goes to the driver. The grid is refined around its best value.
-    """
-    dummies = {f"is_{i}": (F.col(condition) == level).cast("double") for i, level in enumerate(levels)}
-    xs = [*dummies, *covariates]
-    wide = df.where(F.col(condition).isin(levels)).withColumns(dummies)
-    stats = sufficient(wide, group, y, xs).persist()
-    names = [y, *xs]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    p, best = len(xs), None
-    try:
-        sums = stats.agg(F.sum("n").alias("n"), *[F.sum(f"s_{c}").alias(f"s_{c}") for c in covariates]).first()
-        total = sums["n"]
-        if not total or total <= p:
-            return None
-        means = np.array([sums[f"s_{c}"] / total for c in covariates])
-        grid = [0.0, *np.geomspace(1e-3, 1e2, 6)]
-        for width in (2.0, 1.3, 1.1, 0):
-            # the inverse of (I + ratio J) is I - ratio / (1 + n ratio) J
-            shrink = lambda r: F.lit(float(r)) / (1 + F.col("n") * float(r))
-            sums = [F.sum(F.col(f"p_{a}_{b}") - shrink(r) * F.col(f"s_{a}") * F.col(f"s_{b}")).alias(f"m{g}_{i}") for g, r in enumerate(grid) for i, (a, b) in enumerate(pairs)]
-            logs = [F.sum(F.log(1 + F.col("n") * float(r))).alias(f"l{g}") for g, r in enumerate(grid)]
-            row = stats.agg(*sums, *logs).first()
-            for g, r in enumerate(grid):
-                m = np.zeros((p + 1, p + 1))
-                for i, (a, b) in enumerate(pairs):
-                    m[names.index(a), names.index(b)] = m[names.index(b), names.index(a)] = row[f"m{g}_{i}"]
-                xx, xy = m[1:, 1:], m[1:, 0]
-                inverse = np.linalg.pinv(xx)
-                beta = inverse @ xy
-                rank = int(np.linalg.matrix_rank(xx))
-                s2 = max((m[0, 0] - xy @ beta) / (total - rank), 1e-300)
-                sign, logdet = np.linalg.slogdet(xx + np.eye(p) * 1e-12)
-                reml = -0.5 * ((total - rank) * math.log(s2) + row[f"l{g}"] + logdet)
-                if best is None or reml > best[0]:
-                    best = reml, r, beta, s2 * inverse
-            at = best[1]
-            grid = [*np.geomspace(max(at / (1 + width), 1e-6), max(at * (1 + width), 1e-5), 6)]
-    finally:
-        stats.unpersist()
-    return best[2], best[3], means
-
-
-def random_intercept(df: DataFrame, group: str, y: str, condition: str, levels: list[str], covariates: list[str]) -> list[tuple]:
-    """Pairwise contrasts (a, b, estimate, se, z, p) of the levels by ``reml``, with Wald z tests."""
-    found = reml(df, group, y, condition, levels, covariates)
-    if found is None:
-        return []
-    beta, cov, _ = found
-    p, out = len(beta), []
-    for i, a in enumerate(levels):
-        for j in range(i + 1, len(levels)):
-            c = np.zeros(p)
-            c[i], c[j] = 1, -1
-            estimate, se = float(c @ beta), float(math.sqrt(max(c @ cov @ c, 0)))
-            z = estimate / se if se else float("nan")
-            out.append((a, levels[j], estimate, se, z, normal_tail(z) if se else None))
-    return out
-
-
-def estimated_means(df: DataFrame, group: str, ys: list[str], condition: str, levels: list[str], covariates: list[str]) -> DataFrame:
-    """feature, condition, mean, se, low, high: the levels' means at the mean covariates with 95 % intervals, for each of ``ys``.
-
-    A feature that can't be fitted has a row for each level with NULLs. Rows are as many as features by levels.
-    """
-    rows = []
-    for y in ys:
-        found = reml(df, group, y, condition, levels, covariates)
-        for i, level in enumerate(levels):
-            if found is None:
-                rows.append((y, level, None, None, None, None))
-                continue
-            beta, cov, means = found
-            c = np.concatenate([np.eye(len(levels))[i], means])
-            mean, se = float(c @ beta), float(math.sqrt(max(c @ cov @ c, 0)))
-            rows.append((y, level, mean, se, mean - 1.96 * se, mean + 1.96 * se))
-    return df.sparkSession.createDataFrame(rows, "feature string, condition string, mean double, se double, low double, high double")
-
-
 def confusion(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """truth, predicted, n, row_share (%) for each pair of classes that occurs."""
     counts = df.groupBy(F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))

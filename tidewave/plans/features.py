@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, features, physiology, splits, statistics, windows
+from ..operators import evaluation, features, mixed, physiology, splits, statistics, windows
 from .series import ORDER, TIME_WINDOWS
 from .tables import DAY, EVENTS, events, rounded, table
 from .tabular import CONDITIONS, HASH, KINDS, _conditions, _predictions
@@ -346,4 +346,4 @@ SELECT seed, sum(support)::BIGINT AS n, round(sum(hit) / sum(support), 6) AS acc
 def estimated_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of event kinds at the mean day, from the mixed model with a random intercept for users; the tests hold it against a plain fit."""
     e = events(spark, sf_dir).withColumns({"day": F.floor(F.col("t") / DAY).cast("double"), "day_part": F.col("t") % DAY / DAY})
-    return statistics.estimated_means(e, "user_id", ["value", "day_part"], "event_type", ["click", "purchase", "view"], ["day"])
+    return mixed.estimated_means(e, "user_id", ["value", "day_part"], "event_type", ["click", "purchase", "view"], ["day"])

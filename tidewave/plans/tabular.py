@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.columns import stars
-from ..operators import calculus, fusion, gram, matching, splits, statistics, windows
+from ..operators import calculus, fusion, gram, matching, mixed, splits, statistics, windows
 from ..sources import sinks
 from .tables import DAY, EVENTS, events, rounded, table
 
@@ -347,10 +347,9 @@ SELECT user_id, count(*) AS n, round(sum(value), 3) AS s_value, round(sum(day),
 
 @query
 def lmm_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairwise contrasts of event kinds with a random intercept for users, adjusted by Holm."""
+    """Pairwise contrasts of event kinds with a random intercept for users: t tests by Satterthwaite, adjusted by Tukey and by Holm."""
     e = events(spark, sf_dir).withColumn("day", F.floor(F.col("t") / DAY).cast("double"))
-    rows = statistics.random_intercept(e, "user_id", "value", "event_type", ["click", "purchase", "view"], ["day"])
-    found = spark.createDataFrame(rows, "a string, b string, estimate double, se double, z double, p double")
+    found = mixed.pairwise(e, "user_id", ["value"], "event_type", ["click", "purchase", "view"], ["day"])
     return calculus.holm(found, "p", [], ["a", "b"]).withColumn("mark", stars(F.col("p_holm")))
 
 
