@@ -23,7 +23,7 @@ def met(spark, rows):
     """How many pairs of rows meet under a shingle, before any bound on pairs is looked at, and how many are left."""
     texts = stored(spark.createDataFrame(rows, "row long, text string"))
     known = stored(simhash.first_shingles(texts, 5, 0.8, simhash.shingle_frequencies(texts, 5)))
-    shared = stored(simhash.sharing(known, 0.8))
+    shared = stored(simhash.sharing(known))
     none = spark.createDataFrame([], "row long, root long")
     mixed = shared.withColumn("of", F.lit(1_000))
     smaller, larger = (x.groupBy("s", "cell").count() for x in simhash.opposed(mixed, 0.8))
@@ -65,6 +65,42 @@ def test_similar_texts_of_many_sizes_equal_all_pairs(spark, monkeypatch):
         assert kept == {i for i in sets if root(i) == i} and 60 < len(kept) < 300
 
 
+def test_pairs_near_the_bound_equal_all_pairs(spark, monkeypatch):
+    """Cut, extended and mixed copies of similarities around 0.8, with passages that many share, in any order of shingles: no pair is lost."""
+    rng = np.random.default_rng(17)
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(4)]
+    texts = []
+    for i in range(150):
+        base = [f"b{i}w{x}" for x in range(int(rng.integers(40, 110)))]
+        if rng.random() < 0.6:
+            at = int(rng.integers(0, len(base)))
+            base[at:at] = passages[int(rng.integers(0, 4))]
+        texts.append(base)
+        for _ in range(2):
+            own, n = list(base), len(base)
+            kind = rng.integers(0, 3)
+            if kind == 0:
+                own = own[int(rng.integers(0, n // 4)) :]
+            elif kind == 1:
+                own = own + [f"e{rng.integers(0, 9)}" for _ in range(int(rng.integers(0, n // 3)))]
+            else:
+                at = int(rng.integers(0, n - 8))
+                own[at : at + int(rng.integers(1, 8))] = passages[int(rng.integers(0, 4))][: int(rng.integers(1, 12))]
+            texts.append(own)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    expected = {(a, b) for a, b in combinations(range(len(sets)), 2) if (both := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - both)}
+    assert len(expected) > 100
+    df = stored(spark.createDataFrame(rows, "row long, text string"))
+    none = spark.createDataFrame([], "row long, root long")
+    for frequencies in (None, simhash.shingle_frequencies(df, 5), np.random.default_rng(3).integers(0, 9, simhash.FREQUENCY_CELLS).astype(np.uint8)):
+        known = stored(simhash.first_shingles(df, 5, 0.8, frequencies))
+        shared = stored(simhash.sharing(known))
+        for long in (64, 0):
+            found = simhash.sharing_pairs(shared, known.select("row", "sketch"), none, 0.8, long)
+            assert expected <= {(r["a"], r["b"]) for r in found.collect()}
+
+
 def test_few_cells_lose_no_repeat(spark, monkeypatch):
     texts = stored(spark.createDataFrame([(i, t) for i, t in template(30)] + [(100 + i, t + " x") for i, t in template(30)], "row long, text string"))
     known = stored(simhash.first_shingles(texts, 5, 0.8, None))
@@ -82,4 +118,4 @@ def test_frequencies_count_texts(spark):
     found = simhash.shingle_frequencies(texts, 5)
     common = simhash.shingle_hashes(b"a b c d e", 5)
     assert found[simhash.cells_of(common)].tolist() == [2] and found.max() == 2  # three texts: two bits
-    assert simhash.shingle_frequencies(texts.limit(0), 5) is None
+    assert simhash.shingle_frequencies(texts.limit(0).repartition(2), 5) is None or not simhash.shingle_frequencies(texts.limit(0), 5).any()

@@ -183,14 +183,14 @@ def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterat
     return df.mapInArrow(lambda batches: each(bounded(batches)), schema)
 
 
-#: Arrays of tasks are added up in so many tasks before the driver adds the rest.
+#: Arrays of tasks are added up in so many tasks before one adds the rest.
 SUM_TASKS = 16
 
 
 def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], plus: Callable[[np.ndarray, np.ndarray], np.ndarray] = np.add) -> np.ndarray | None:
-    """The sum, by ``plus``, of the arrays that ``arrays_of`` makes of each task's batches: within a task, then in ``SUM_TASKS`` tasks, then here. None if there are none.
+    """The sum, by ``plus``, of the arrays that ``arrays_of`` makes of each task's batches: within a task, then in ``SUM_TASKS`` tasks, then in one. None if there are none.
 
-    What moves is one array for each task, compressed; the driver is sent ``SUM_TASKS``.
+    What moves is one array for each task, compressed; the driver is sent one.
     """
 
     def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +215,8 @@ def added(rows: DataFrame, arrays_of: Callable[[Iterator[pa.RecordBatch]], Itera
     schema = "sum binary, kind string, shape array<int>"
     first = map_batches(rows, lambda batches: total(arrays_of(batches)), schema)
     few = first.repartition(SUM_TASKS).mapInArrow(lambda batches: total(sums(batches)), schema)
-    last = next(total(sums(few.toArrow().to_batches())), None)
-    return None if last is None else next(sums(iter([last])))
+    one = few.repartition(1).mapInArrow(lambda batches: total(sums(batches)), schema)  # SUM_TASKS arrays, one at a time
+    return next(sums(iter(one.toArrow().to_batches())), None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

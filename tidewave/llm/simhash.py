@@ -29,10 +29,10 @@ SEED = 42
 PIVOTS = 16
 
 #: Cells in which texts with a shingle are counted, for the order of shingles.
-FREQUENCY_CELLS = 1 << 22
+FREQUENCY_CELLS = 1 << 24
 
-#: Cells that tell which first shingles may repeat: 8 MB of bits. Beyond some hundred million first shingles more of them move than need to.
-REPEAT_CELLS = 1 << 26
+#: Cells that tell which first shingles may repeat: 32 MB of bits. Beyond some hundred million first shingles more of them move than need to.
+REPEAT_CELLS = 1 << 28
 
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
@@ -235,19 +235,32 @@ def cells_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_frequencies(docs: DataFrame, shingle: int) -> np.ndarray | None:
-    """The number of bits of how many texts have shingles in each cell: 4 MB, whatever the corpus. None without texts.
+    """The number of bits of how many texts have shingles in each cell: 16 MB, whatever the corpus. None without texts.
 
     Each text counts each of its shingles once. Shingles of a cell count together, so a rare one may seem common in a
     large corpus; that costs comparisons alone, since any order of the shingles finds the same texts.
     """
 
+    def summed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = x + y
+        out[out < x] = np.iinfo(out.dtype).max
+        return out
+
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held = np.zeros(FREQUENCY_CELLS, np.uint32)
         for b in batches:
             cells = [cells_of(np.unique(shingle_hashes(bytes_of(t), shingle))) for t in b.column("text")]
-            yield np.bincount(np.concatenate([*cells, np.empty(0, np.int64)]), minlength=FREQUENCY_CELLS).astype(np.uint32)
+            at, n = np.unique(np.concatenate([*cells, np.empty(0, np.int64)]), return_counts=True)
+            held[at] += n.astype(np.uint32)
+        yield held
 
-    found = added(docs.select("text"), counts)
-    return None if found is None else np.frexp(found.astype(float))[1].astype(np.uint8)
+    found = added(docs.select("text"), counts, summed)
+    if found is None:
+        return None
+    bits = np.zeros(len(found), np.uint8)
+    for k in range(32):
+        bits += found >= 1 << k
+    return bits
 
 
 def first_shingles(docs: DataFrame, shingle: int, similarity: float, frequencies: np.ndarray | None) -> DataFrame:
@@ -277,23 +290,22 @@ def first_shingles(docs: DataFrame, shingle: int, similarity: float, frequencies
 
 
 def allows(x: str, y: str, similarity: float) -> Column:
-    """Whether two sets, by their sizes and the places of a shared shingle, (n, at, known, best) of structs ``x`` and ``y``, can have the similarity.
+    """Whether two sets, by their sizes and the places of a shared shingle, (n, at) of structs ``x`` and ``y``, can have the similarity if it is the first that they share.
 
-    What any other text shares of the shingles before it, it, and those behind it bound what two sets can share, and so
-    does what each can share with any other.
+    Then what both can share is it and what lies behind it. At their first shared shingle two similar sets pass; where
+    they pass at one, they pass at those before it.
     """
-    here = F.least(f"{x}.known", f"{y}.known") + F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
-    most = F.least(here, f"{x}.best", f"{y}.best")
+    most = F.least(F.col(f"{x}.n") - F.col(f"{x}.at"), F.col(f"{y}.n") - F.col(f"{y}.at"))
     return most * (1 + similarity) >= similarity * (F.col(f"{x}.n") + F.col(f"{y}.n")) - 1e-6
 
 
 def reach(x: str, similarity: float) -> Column:
-    """The size up to which a set can have a partner, by ``best`` and ``n`` of struct ``x``."""
-    return F.floor(F.col(f"{x}.best") * ((1 + similarity) / similarity) + 1e-6).cast("int") - F.col(f"{x}.n")
+    """The size up to which a set can have a partner whose first shared shingle is that of struct ``x``, by its ``n`` and ``at``."""
+    return F.floor((F.col(f"{x}.n") - F.col(f"{x}.at")) * ((1 + similarity) / similarity) + 1e-6).cast("int") - F.col(f"{x}.n")
 
 
 def may_be_smaller(x: str, similarity: float) -> Column:
-    """Whether a set can have a partner of its own size or more; of two similar sets one can."""
+    """Whether a set can have such a partner of its own size or more; of two similar sets one can."""
     return reach(x, similarity) >= F.col(f"{x}.n")
 
 
@@ -304,11 +316,14 @@ def met_twice(known: DataFrame) -> np.ndarray | None:
         return (first.flatten().to_numpy().view(np.uint64) >> np.uint64(7)) % np.uint64(REPEAT_CELLS)
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        seen = np.zeros(REPEAT_CELLS, np.uint8)
+        once, twice = np.zeros((2, REPEAT_CELLS >> 3), np.uint8)
         for b in batches:
-            at, n = np.unique(cells(b.column("first")).astype(np.int64), return_counts=True)
-            seen[at] = np.minimum(seen[at] + n, 2)
-        yield np.stack([np.packbits(seen >= k, bitorder="little") for k in (1, 2)])
+            at, n = np.unique(cells(b.column("first")), return_counts=True)
+            byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+            again = (n > 1) | ((once[byte] & bit) > 0)
+            np.bitwise_or.at(twice, byte[again], bit[again])
+            np.bitwise_or.at(once, byte, bit)
+        yield np.stack([once, twice])
 
     def either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.stack([x[0] | y[0], x[1] | y[1] | (x[0] & y[0])])
@@ -335,19 +350,11 @@ def repeated(known: DataFrame) -> DataFrame:
     return map_batches(known.select("row", "n", "first"), each, "row long, n int, at int, s long")
 
 
-def sharing(known: DataFrame, similarity: float) -> DataFrame:
-    """s, x: each first shingle that several rows have, with each of them (row, n, at, known, best).
-
-    ``at`` is its place, ``known`` how many before it other rows have too, ``best`` how many of all the row's shingles
-    any other row can share: its first ones that none has count against it.
-    """
+def sharing(known: DataFrame) -> DataFrame:
+    """s, x: each first shingle that several rows have, with each of them (row, n, at), ``at`` being its place."""
     lists = stored(repeated(known))
     several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
-    met = looked_up(lists, several, ["s"], "of")
-    whole = Window.partitionBy("row")
-    firsts = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    best = (F.count("*").over(whole) + F.col("n") - firsts).cast("int")
-    return met.select("s", F.struct("row", "n", "at", (F.row_number().over(whole.orderBy("at")) - 1).alias("known"), best.alias("best")).alias("x"))
+    return looked_up(lists, several, ["s"], "of").select("s", F.struct("row", "n", "at").alias("x"))
 
 
 def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -471,7 +478,7 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
     def groups(links: DataFrame) -> DataFrame:
         return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
 
-    shared = stored(sharing(single, similarity))
+    shared = stored(sharing(single))
     tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).distinct())
     links = stored(verified(tried))
     rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
