@@ -7,6 +7,7 @@ each is written as Parquet and read again before the next.
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from functools import wraps
 
 import public_tokenizers
@@ -16,21 +17,22 @@ from tidewave.llm import exact_dedup, packing, pii, quality, simhash
 from tidewave.llm.catalog import PII_KEY, WORD_BPE
 from tidewave.llm.shared import release, shared_folder, stored, table, writing_to
 
-#: The folder of what the stage before has stored.
-_earlier: list[str] = []
+#: The folder of what the stage before has stored, in this thread.
+_earlier: ContextVar[str | None] = ContextVar("earlier", default=None)
 
 
 def stage(operate: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``operate`` with a folder of its own for what it stores. It goes when the next stage begins, since the result has been written by then."""
+    """``operate`` with a folder of its own for what it stores. It goes when the next stage begins, unless that reads from it, its input not having been written."""
 
     @wraps(operate)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        if _earlier and operate.__name__ != STAGES[0][1].__name__:
-            release(spark, _earlier.pop())
+        earlier = _earlier.get()
+        if earlier and operate.__name__ != STAGES[0][1].__name__ and not any(earlier in f for f in docs.inputFiles()):
+            release(spark, earlier)
         folder = shared_folder(spark)
         with writing_to(folder):
             out = operate(spark, docs, sf_dir)
-        _earlier[:] = [folder]
+        _earlier.set(folder)
         return out
 
     return run_stage

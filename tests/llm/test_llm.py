@@ -618,9 +618,33 @@ def test_unigram_models_equal_the_reference_library(tmp_path, fallback, spaces):
     assert not different, different[:3]
 
 
-def test_the_most_frequent_are_cut_at_a_count(spark):
+def test_the_most_frequent_are_found_however_many_are_common(spark, monkeypatch):
     from tidewave.llm import shared
 
-    counted = spark.createDataFrame([(i, n) for i, n in enumerate([9, 9, 5, 5, 5, 1, 200_000, 300_000])], "id int, n long")
-    for most, ids in ((1, set()), (2, {6, 7}), (3, {6, 7}), (4, {0, 1, 6, 7}), (7, {0, 1, 2, 3, 4, 6, 7}), (100, set(range(8)))):
-        assert {r["id"] for r in shared.most_frequent(counted, "n", most).collect()} == ids
+    monkeypatch.setattr(shared, "FINE_CELLS", 4)
+    rng = np.random.default_rng(6)
+    ns = [9, 9, 5, 5, 5, 1, 200_000, 300_000, *(int(x) for x in rng.integers(100_000, 1 << 40, 60)), *[7] * 40]
+    counted = spark.createDataFrame(list(enumerate(ns)), "id int, n long")
+    for most in (1, 2, 3, 30, 62, 64, 70, 85, 104, 107, 108, 1000):
+        found = sorted((r["n"] for r in shared.most_frequent(counted, "n", most).collect()), reverse=True)
+        assert found == sorted(ns, reverse=True)[:most], most
+
+
+def test_keys_reach_the_driver_as_digests(spark, monkeypatch):
+    long = "a line that repeats " * 2_000
+    docs = spark.createDataFrame([(i, f"own {i}\n{long}") for i in range(6)], "doc_id long, text string")
+    sizes = []
+    whole = type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: (sizes.append((t := whole(self)).nbytes), t)[1])
+    kept = {r["doc_id"]: r["n_dropped"] for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert kept == dict.fromkeys(range(5), 1) | {5: 0} and sizes and max(sizes) < 1_000
+
+
+def test_queries_in_blocks_equal_one_block(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = sorted(map(tuple, topk_search.search(df).collect()))
+    monkeypatch.setattr(topk_search, "BLOCK_BYTES", 64)
+    assert sorted(map(tuple, topk_search.search(df).collect())) == one and len(one) == 90
+    assert topk_search.search(df.limit(0)).count() == 0

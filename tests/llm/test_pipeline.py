@@ -98,3 +98,21 @@ def test_run_is_its_stages(spark, tables):
     # junk, copies and near copies are gone; nothing else is
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} >= {*range(6, 30)}
     assert not {r["doc_id"] for r in out.select("doc_id").distinct().collect()} & {*range(206, 212), *range(300, 304)}
+
+
+def test_stages_run_without_a_write_between(spark, tables):
+    path, _ = tables
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    written = docs
+    for name, each in corpus_pipeline.STAGES[:3]:
+        docs = each(spark, docs, path)
+    for i, (_, each) in enumerate(corpus_pipeline.STAGES[:3]):
+        each(spark, written, path).write.mode("overwrite").parquet(f"{path}/w{i}")
+        written = spark.read.parquet(f"{path}/w{i}")
+    assert rows_of(docs) == rows_of(written) and docs.count() > 20
+
+
+def test_stages_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

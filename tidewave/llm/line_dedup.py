@@ -151,8 +151,13 @@ def drop_repeated_lines(docs: DataFrame, least: int = 40, documents_least: int =
     shared = stored(lines.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= documents_least))
 
     if shared.count() <= sent_keys:
-        rows = shared.toArrow()
-        sent = docs.sparkSession.sparkContext.broadcast({xxhash.xxh3_128_digest(k): d for k, d in zip(rows["key"].to_pylist(), rows["keeper"].to_pylist(), strict=True)})
+
+        def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(k) for k in b.column("key").to_pylist()], pa.binary()), b.column("keeper")], ["key", "keeper"])
+
+        rows = map_batches(shared.select("key", "keeper"), digests, "key binary, keeper long").toArrow()  # 24 bytes each, however long the lines
+        sent = docs.sparkSession.sparkContext.broadcast(dict(zip(rows["key"].to_pylist(), rows["keeper"].to_pylist(), strict=True)))
 
         def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keepers = sent.value

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -51,31 +52,32 @@ def own_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tidewave-{name}"
 
 
-_writing_to: list[str] = []
+#: The folder of the tables that are stored now, if not the application's: of this thread alone.
+_writing_to: ContextVar[str | None] = ContextVar("writing_to", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path for a table: in ``own_folder``, or in the folder that ``writing_to`` names."""
-    return f"{_writing_to[-1] if _writing_to else own_folder(spark)}/{uuid.uuid4().hex}"
+    return f"{_writing_to.get() or own_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @contextmanager
 def writing_to(folder: str) -> Iterator[None]:
     """Tables stored inside go to ``folder``."""
-    _writing_to.append(folder)
+    before = _writing_to.set(folder)
     try:
         yield
     finally:
-        _writing_to.pop()
+        _writing_to.reset(before)
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables stored inside are deleted at the end, but for those that the function it gives has stored. Nothing else made inside may be used after it."""
-    folder, outside = shared_folder(spark), list(_writing_to)
+    folder, outside = shared_folder(spark), _writing_to.get() or own_folder(spark)
 
     def kept(df: DataFrame) -> DataFrame:
-        with writing_to(outside[-1] if outside else own_folder(spark)):
+        with writing_to(outside):
             return stored(df)
 
     try:
@@ -149,23 +151,55 @@ def looked_up(rows: DataFrame, entries: DataFrame, on: list[str], n: str, how: s
     return rows.join(F.broadcast(often), on).unionByName(rows.join(keys, on, "left_anti").join(entries.where(F.col(n) <= hot), on, how))
 
 
-#: Counts from this one on are one cell where the most frequent entries are looked for.
-HIGHEST = 100_000
+#: Cells of counts, by their logarithm, and of values within one, in which the cut between frequent and rare rows is looked for.
+LOG_CELLS, FINE_CELLS = 8, 1_024
+
+
+def counted_cells(rows: DataFrame, cell: Column) -> dict[int, int]:
+    """How many rows are in each cell; cells are few."""
+    return {r["c"]: r["rows"] for r in rows.groupBy(cell.cast("long").alias("c")).agg(F.count("*").alias("rows")).collect()}
 
 
 def most_frequent(counted: DataFrame, n: str, most: int) -> DataFrame:
-    """Rows of ``counted``, a stored table, with the highest ``n``: at most ``most``, and of those with the same ``n`` all or none.
+    """The ``most`` rows of ``counted``, a stored table, with the highest ``n`` (a whole number from 1); of those that tie for the last places, some by a hash.
 
-    How many rows have each count tells where to cut; no task or driver sorts the rows.
+    Rows are counted in cells of the logarithm of n, then the cell where the cut falls is cut into finer ones until it
+    is one value; its rows are cut by their hash in the same way. No task or driver sorts the rows, and however many
+    rows are common, ``most`` are found but for a share of equal hashes.
     """
-    of = {r["c"]: r["rows"] for r in counted.groupBy(F.least(n, F.lit(HIGHEST)).alias("c")).agg(F.count("*").alias("rows")).collect()}
-    bound, held = None, 0
-    for c in sorted(of, reverse=True):
-        held += of[c]
-        if held > most:
+
+    def cut(rows: DataFrame, cell: Column, room: int) -> tuple[int | None, int]:
+        """The cell that holds the cut, if not all rows have room, and how much room is left in it."""
+        held = counted_cells(rows, cell)
+        for c in sorted(held, reverse=True):
+            if held[c] > room:
+                return c, room
+            room -= held[c]
+        return None, room
+
+    value = F.col(n)
+    log = F.floor(F.log2(value.cast("double")) * LOG_CELLS)
+    at, room = cut(counted, log, most)
+    if at is None:
+        return counted
+    inside = counted.where(log == at)
+    ends = inside.agg(F.min(n).alias("low"), F.max(n).alias("high")).first()
+    low, high = ends["low"], ends["high"]
+    while low < high:
+        width = -(-(high - low + 1) // FINE_CELLS)
+        fine, room = cut(inside.where(value.between(low, high)), F.floor((value - low) / F.lit(width)), room)
+        low, high = low + fine * width, min(high, low + fine * width + width - 1)
+    above = counted.where(value > low)
+    ties, hashed = counted.where(value == low), F.xxhash64(*[F.col(f"`{c}`") for c in counted.columns])
+    low, high = -(1 << 63), (1 << 63) - 1
+    place = hashed.cast("decimal(20,0)")
+    while room and low < high:
+        width = -(-(high - low + 1) // FINE_CELLS)
+        found, left = cut(ties.where(place.between(low, high)), F.floor((place - F.lit(low).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")), room)
+        if found is None:
             break
-        bound = c
-    return counted.where(F.lit(False) if bound is None else F.col(n) >= bound)
+        room, low, high = left, low + found * width, min(high, low + found * width + width - 1)
+    return above.unionByName(ties.where(place > high))
 
 
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -15,6 +15,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,7 +131,7 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, scale: float =
     width = vectors.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()["w"]
     blocks = max(1, -(-size * 8 * max(width, 1) // BLOCK_BYTES))
 
-    def found_of(block: int) -> DataFrame:
+    def found_of(block: int) -> tuple[Broadcast, DataFrame]:
         rows = asked.where(F.pmod(F.xxhash64("row"), F.lit(blocks)) == block).toArrow()  # about BLOCK_BYTES
         sent = spark.sparkContext.broadcast((rows["row"].to_numpy(), rows["vec_id"].to_numpy(), matrix(rows["v"].combine_chunks(), width)))
 
@@ -160,8 +161,14 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, scale: float =
                     n = len(ids)
                     yield pa.record_batch([pa.array(np.full(n, query_rows[q])), pa.array(np.full(n, query_ids[q])), pa.array(ids), pa.array(values, pa.int64())], ["query_row", "query_id", "vec_id", "score"])
 
-        return vectors.mapInArrow(each, "query_row long, query_id long, vec_id long, score long")
+        return sent, vectors.mapInArrow(each, "query_row long, query_id long, vec_id long, score long")
 
-    found = reduce(DataFrame.unionByName, map(found_of, range(blocks)))
+    def found_and_stored(block: int) -> DataFrame:
+        sent, found = found_of(block)
+        found = stored(found)
+        sent.destroy()  # so that driver and executors hold one block at a time
+        return found
+
+    found = found_of(0)[1] if blocks == 1 else reduce(DataFrame.unionByName, map(found_and_stored, range(blocks)))
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
