@@ -11,6 +11,8 @@ from ..functions.columns import finite
 IDENTIFIERS = ("condition", "participant", "window_index", "window_start", "window_end", "minute", "window_start_s", "window_end_s", "source", "t_start_frame", "t_end_frame", "start_time", "end_time")
 CONDITIONS = ("L", "M", "H")
 
+NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def hop_of(size: int, overlap: float) -> int:
     """Rows from one window to the next, at least one; an overlap of one or more falls back to half a window."""
@@ -24,14 +26,25 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def model_features(df: DataFrame, derivatives: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Numeric columns that are no identifiers, without missing values and infinities (0), and ``keep``. ``derivatives`` keeps ``_vel_`` and ``_acc_``."""
-    numeric = ("tinyint", "smallint", "int", "bigint", "float", "double")
-    used = [c for c, kind in df.dtypes if (kind in numeric or kind.startswith("decimal")) and c not in IDENTIFIERS and c not in keep and (derivatives or not ("_vel_" in c or "_acc_" in c))]
+    used = [c for c, kind in df.dtypes if (kind in NUMERIC or kind.startswith("decimal")) and c not in IDENTIFIERS and c not in keep and (derivatives or not ("_vel_" in c or "_acc_" in c))]
     return df.select(*keep, *[F.coalesce(finite(F.col(f"`{c}`").cast("double")), F.lit(0.0)).alias(c) for c in used])
 
 
-def metric_columns(columns: list[str], suffixes: tuple[str, ...] = ("_mean", "_rms")) -> list[str]:
-    """Names of metrics, in order: those with one of the suffixes, identifiers aside."""
-    return [c for c in columns if c not in IDENTIFIERS and c.endswith(suffixes)]
+#: Endings of metrics that come first, and metrics that are shown first if they are there: fixed values.
+FIRST_ENDINGS = ("_mean_abs_vel", "_mean_abs_acc", "_rms")
+FIRST_METRICS = ("blink_aperture_rms", "mouth_aperture_rms", "center_face_magnitude_rms", "blink_aperture_mean_abs_vel", "mouth_aperture_mean_abs_vel")
+
+
+def metric_columns(df: DataFrame) -> list[str]:
+    """Numeric columns that are no identifiers: those with a first ending in any case of letters, then the others."""
+    used = [c for c, kind in df.dtypes if c not in IDENTIFIERS and (kind in NUMERIC or kind.startswith("decimal"))]
+    return sorted(used, key=lambda c: not c.lower().endswith(FIRST_ENDINGS))
+
+
+def default_metric(columns: list[str]) -> str | None:
+    """A first metric that is there, else the first that ends in _rms, else the first column."""
+    by_name = {c.lower(): c for c in reversed(columns)}
+    return next((by_name[m] for m in FIRST_METRICS if m in by_name), next((c for c in columns if c.lower().endswith("_rms")), columns[0] if columns else None))
 
 
 def means_of(df: DataFrame, suffix: str) -> DataFrame:

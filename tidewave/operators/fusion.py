@@ -15,6 +15,18 @@ def condition_map(info: DataFrame, participant: str, sessions: list[str]) -> Dat
     return long.where(code.isNotNull() & ~code.isin("", "-")).select("participant", "trial", F.substring(code, 1, 1).alias("condition"))
 
 
+#: Numbers of session orders, fixed values of the result tables: of studies with two orders, and with all six.
+TWO_ORDERS = {"LMH": 1, "LHM": 2}
+SIX_ORDERS = {"LMH": 1, "LHM": 2, "MLH": 3, "MHL": 4, "HLM": 5, "HML": 6}
+
+
+def session_order(info: DataFrame, participant: str, sessions: list[str], numbers: dict[str, int]) -> DataFrame:
+    """participant, session_order (the first letters of the sessions' codes) and session_order_numeric, NULL for an order without a number; NULL codes give none."""
+    order = F.concat(*[F.substring(F.col(f"`{s}`"), 1, 1) for s in sessions])
+    number = F.create_map(*[F.lit(v) for pair in numbers.items() for v in pair])
+    return info.select(F.col(participant).alias("participant"), order.alias("session_order"), F.try_element_at(number, order).alias("session_order_numeric"))
+
+
 def with_condition(df: DataFrame, conditions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with their condition, and the rejected ones that have none."""
     met = df.join(conditions, ["participant", "trial"], "left")  # conditions are never NULL

@@ -53,8 +53,8 @@ def hrv_time(rr: DataFrame, keys: list[str], least_peaks: int = 5) -> DataFrame:
     ).where(F.col("n_peaks") >= least_peaks)
 
 
-def eda(df: DataFrame, keys: list[str], order: list[str], is_peak: str, amplitude: str, tonic: str, signal: str) -> DataFrame:
-    """SCR peaks, their mean amplitude, sd of the tonic level and lag-1 autocorrelation; windows with a NULL in the signal or tonic level go."""
+def eda(df: DataFrame, keys: list[str], order: list[str], is_peak: str, amplitude: str, tonic: str, signal: str, size: int | None = None, share: float = 0.9) -> DataFrame:
+    """SCR peaks, their mean amplitude, sd of the tonic level and lag-1 autocorrelation; windows with a NULL in the signal or tonic level go, and with ``size``, the rows of a full window, those of less than ``share`` of it."""
     lagged = df.withColumn("__prev", F.lag(signal).over(Window.partitionBy(*keys).orderBy(*order)))
     peak = F.col(is_peak)
     found = lagged.groupBy(*keys).agg(
@@ -62,7 +62,8 @@ def eda(df: DataFrame, keys: list[str], order: list[str], is_peak: str, amplitud
         F.avg(F.when(peak, F.col(amplitude))).alias("scr_peaks_amplitude_mean"), F.stddev_samp(tonic).alias("eda_tonic_sd"),
         autocorrelation(F.col(signal), F.col("__prev")).alias("eda_autocorrelation"),
     )
-    return found.where(F.col("__known") == F.col("n")).drop("__known")
+    full = F.lit(True) if size is None else F.col("n") >= size * share
+    return found.where((F.col("__known") == F.col("n")) & full).drop("__known")
 
 
 def _beats(timed: DataFrame, part: Window, x: str, near: int, apart: int, far: int, factor: float) -> DataFrame:
@@ -170,6 +171,21 @@ def eda_split(df: DataFrame, key: str, order: list[str], x: str, rate: float, cu
     return low.withColumnRenamed(f"{x}_smooth", "tonic").withColumn("phasic", F.col(x) - F.col("tonic"))
 
 
+def eda_cleaned(df: DataFrame, key: str, order: list[str], x: str, rate: float, cutoff: float = 3.0, width: float | None = None) -> DataFrame:
+    """key, order, x and ``<x>_clean``: a zero-phase low-pass of order 4, where the rate can hold the cutoff; recordings in slices with ``width``."""
+    if cutoff >= rate / 2:
+        return df.select(key, *order, x).withColumn(f"{x}_clean", F.col(x).cast("double"))
+    return low_pass(df, key, order, x, cutoff, rate, order=4, width=width).withColumnRenamed(f"{x}_smooth", f"{x}_clean")
+
+
+def eda_high_pass(df: DataFrame, key: str, order: list[str], x: str, rate: float, cutoff: float = 0.05, width: float | None = None) -> DataFrame:
+    """key, order, x, ``phasic``, a zero-phase high-pass of order 2 of the signal, and ``tonic``, a low-pass of it at the same cutoff."""
+    low = low_pass(df, key, order, x, cutoff, rate, order=2, width=width)
+    high = low_pass(df.select(key, *order, x), key, order, x, cutoff, rate, order=2, width=width, high=True).select(*[F.col(c).alias(f"__{c}") for c in (key, *order)], F.col(f"{x}_smooth").alias("phasic"))
+    on = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in (key, *order)]
+    return low.withColumnRenamed(f"{x}_smooth", "tonic").join(high, on).select(key, *order, x, "tonic", "phasic")
+
+
 def scr_peaks(df: DataFrame, keys: list[str], order: list[str], phasic: str, least: float = 0.1) -> DataFrame:
     """Adds ``scr_amplitude``, the rise of a local maximum above the trough before it, and ``scr_peak``: whether that is at least ``least`` of the recording's largest.
 
