@@ -648,3 +648,20 @@ def test_queries_in_blocks_equal_one_block(spark, monkeypatch):
     monkeypatch.setattr(topk_search, "BLOCK_BYTES", 64)
     assert sorted(map(tuple, topk_search.search(df).collect())) == one and len(one) == 90
     assert topk_search.search(df.limit(0)).count() == 0
+
+
+def test_quality_hears_letters_of_other_scripts(spark):
+    rng = np.random.default_rng(23)
+    scripts = {"el": "το παιδί έτρεξε στον κήπο και είδε ένα μεγάλο σπίτι κοντά στη θάλασσα", "ru": "мальчик бежал по саду и увидел большой дом у самого моря под горой", "zh": "孩子们在花园里跑步看见一座大房子靠近海边山下有河"}
+    for lang, line in scripts.items():
+        words = line.split()
+        clean = [" ".join(rng.permutation(words)) if len(words) > 1 else line[int(k) :] + line[: int(k)] for k in rng.integers(0, len(line), 40)]
+        mixed = ["".join(rng.permutation(list(t.replace(" ", "")))) for t in clean[:10]]
+        mixed = ["".join(c + " " * (i % 6 == 5) for i, c in enumerate(t)) if " " in line else t for t in mixed]
+        model = quality.train(spark.createDataFrame([(t,) for t in clean[10:]], "text string"))
+        docs = spark.createDataFrame([(i, i, lang, t) for i, t in enumerate(clean[:10] + mixed)], "row long, doc_id long, lang string, text string")
+        p = {r["row"]: r["perplexity"] for r in quality.perplexities(docs, model).collect()}
+        assert max(p[i] for i in range(10)) < 0.6 * min(p[i] for i in range(10, 20)), lang
+    assert quality.class_of("é") == quality.class_of("ß") and quality.class_of("Ж") == quality.class_of("Q") and quality.class_of("ж") != quality.class_of("з")
+    points = "жЖé中a\U00020000"
+    assert quality.grams(points, 1).tolist()[:5] == [quality.class_of(c) for c in points[:3]] + [quality.SINGLE.index("a") + ord("中") % 26, quality.class_of("a")]
