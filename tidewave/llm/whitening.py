@@ -18,10 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches
-
-#: Gram matrices are added up in so many tasks before the driver adds the rest.
-SUM_TASKS = 16
+from .shared import added, map_batches
 
 #: A sum is dimensions squared doubles, which a task and the driver hold some times: 128 MB here.
 MOST_DIMENSIONS = 4_096
@@ -65,28 +62,9 @@ def solved(rows: np.ndarray, factor: np.ndarray) -> np.ndarray:
     return out
 
 
-def added(rows: DataFrame, each: Callable[[pa.RecordBatch], np.ndarray | None]) -> np.ndarray | None:
-    """The sum of ``each`` (batch) over all rows: one array of a task, then of ``SUM_TASKS``, then here. None if there is none."""
-
-    def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        out = None
-        for a in arrays:
-            if out is not None and out.shape != a.shape:
-                raise ValueError("vectors have different lengths")
-            out = a if out is None else out + a
-        if out is not None:
-            yield pa.record_batch([pa.array([out.tobytes()], pa.binary()), pa.array([out.dtype.str]), pa.array([list(out.shape)], pa.list_(pa.int32()))], ["sum", "kind", "shape"])
-
-    def arrays_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in batches:
-            for r in b.to_pylist():
-                yield np.frombuffer(r["sum"], r["kind"]).reshape(r["shape"])
-
-    schema = "sum binary, kind string, shape array<int>"
-    first = map_batches(rows, lambda batches: total(a for b in batches if (a := each(b)) is not None), schema)
-    few = first.repartition(SUM_TASKS).mapInArrow(lambda batches: total(arrays_of(batches)), schema)
-    last = next(total(arrays_of(few.toArrow().to_batches())), None)  # at most SUM_TASKS arrays
-    return None if last is None else next(arrays_of(iter([last])))
+def summed(rows: DataFrame, each: Callable[[pa.RecordBatch], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of ``each`` (batch) over all rows; None if there is none."""
+    return added(rows, lambda batches: (a for b in batches if (a := each(b)) is not None))
 
 
 def shift_of(gram: np.ndarray, n: int) -> float:
@@ -133,7 +111,7 @@ def fit(embeddings: DataFrame, vector: str = "embedding", most: int = 8, scale:
         x = numbers(batch)
         return np.append(x.sum(axis=0), len(x)) if len(x) else None
 
-    totals = added(rows, counted)
+    totals = summed(rows, counted)
     if totals is None:
         return None
     n, sums = int(totals[-1]), totals[:-1]
@@ -151,7 +129,7 @@ def fit(embeddings: DataFrame, vector: str = "embedding", most: int = 8, scale:
                 q = solved(q, factor)
             return q.T @ q
 
-        return added(rows, each)
+        return summed(rows, each)
 
     for nth in range(2):
         gram = gram_of(factors)
@@ -174,7 +152,7 @@ def identity_error(embeddings: DataFrame, found: Fit, vector: str = "embedding",
         y = found.whitened(centred(x, found.n, found.sums))
         return np.vstack([y.T @ y, y.sum(axis=0)]) if len(x) else None
 
-    total = added(embeddings.select(F.col(f"`{vector}`").alias("v")), each)
+    total = summed(embeddings.select(F.col(f"`{vector}`").alias("v")), each)
     mean = total[-1] / found.n
     return float(np.abs(total[:-1] / found.n - np.outer(mean, mean) - np.eye(len(mean))).max())
 
