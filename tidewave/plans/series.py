@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import autocorrelation, binocular, clean_features, nullify_below, row_mean
+from ..functions.columns import binocular, clean_features, nullify_below, row_mean
 from ..operators import calculus, matching, physiology, signal, slices, windows
 from .tables import DAY, EVENTS, events, rounded, table
 
