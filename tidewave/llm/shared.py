@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -93,6 +94,12 @@ def release(spark: SparkSession, folder: str | None = None) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of what nothing refers to any more: it does so only when the driver collects garbage, which a large heap may put off for long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: the lineage ends here, and a lost executor costs no earlier stage."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import added, documents, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
+from .shared import added, documents, drop_shuffles, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
 
 SEED = 42
 PIVOTS = 16
@@ -479,9 +479,12 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
         return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
 
     shared = stored(sharing(single))
+    drop_shuffles(texts.sparkSession)
     tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).distinct())
     links = stored(verified(tried))
+    drop_shuffles(texts.sparkSession)
     rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
+    drop_shuffles(texts.sparkSession)
     return groups(stored(links.unionByName(verified(rest)).unionByName(equal)))
 
 
