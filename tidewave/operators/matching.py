@@ -5,10 +5,13 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import groups
+
 
 def bucketed(starts: DataFrame, answers: DataFrame, key: str, t: str, reach: float, kind: str = "inner") -> DataFrame:
     """Rows of ``starts`` with those of ``answers`` (columns suffixed ``_a``) at t <= t_a <= t + reach."""
@@ -82,27 +85,25 @@ def fixations(df: DataFrame, key: list[str], t: str, x: str, y: str, radius: flo
     """start, end, duration, x, y of fixations: samples stay within ``radius`` of the one that opened it, for ``least`` seconds.
 
     The anchor depends on every earlier sample of its group, so this is a fold over sorted samples; groups are windows
-    or recordings of bounded length. ``keep_last`` also returns a last one that is too short.
+    or recordings of bounded length, many to a task. ``keep_last`` also returns a last one that is too short.
     """
-    names = [t, x, y]
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(at: np.ndarray, ax: np.ndarray, ay: np.ndarray) -> list[list]:
         rows: list[tuple] = []
-        own = tuple(pdf[k].iloc[0] for k in key)
         anchor = None
-        for s, a, b in pdf[names].dropna().sort_values(names).itertuples(index=False):
+        for s, a, b in zip(at.tolist(), ax.tolist(), ay.tolist(), strict=True):
             if anchor is None or ((a - anchor[1]) ** 2 + (b - anchor[2]) ** 2) ** 0.5 > radius:
                 if anchor is not None and last - anchor[0] >= least:
-                    rows.append((*own, anchor[0], last, last - anchor[0], anchor[1], anchor[2]))
+                    rows.append((anchor[0], last, last - anchor[0], anchor[1], anchor[2]))
                 anchor = (s, a, b)
             last = s
         if anchor is not None and (keep_last or last - anchor[0] >= least):
-            rows.append((*own, anchor[0], last, last - anchor[0], anchor[1], anchor[2]))
-        return pd.DataFrame(rows, columns=[*key, "start", "end", "duration", "x", "y"])
+            rows.append((anchor[0], last, last - anchor[0], anchor[1], anchor[2]))
+        return [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 5
 
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in key) + ", start double, end double, duration double, x double, y double"
-    return df.select(*key, *names).groupBy(*key).applyInPandas(fold, schema)
+    samples = df.select(*key, *[F.col(c).cast("double").alias(n) for c, n in ((t, "at"), (x, "ax"), (y, "ay"))])
+    known = samples.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("at", "ax", "ay")))
+    return groups.applied(known, key, ["at", "ax", "ay"], fold, dict.fromkeys(("start", "end", "duration", "x", "y"), "double"))
 
 
 def responses(df: DataFrame, key: str, t: str, row: str, is_start: Column, is_answer: Column, follow: str, reach: float) -> DataFrame:
