@@ -53,3 +53,16 @@ def test_fixations_in_blocks_equal_the_fold(spark, keep_last):
     for size in (7, 64, 100_000):
         assert key(gaze.fixations(framed, ["who"], "t", "x", "y", 8.0, 3.0, keep_last, size)) == expected, size
     assert len(expected) > 20
+
+
+def test_small_blocks_have_no_call_each(spark):
+    df = slices.framed(spark.createDataFrame([(k, float(i), float(i % 3)) for k in range(300) for i in range(5)], "k long, t double, x double"), ["k"], "t", ["t"], 4.0)
+    found = gaze.fixations(df, ["k"], "t", "x", "x", 5.0, 0.5, size=2)
+    assert "InPandas" not in found._jdf.queryExecution().toString() and found.select("k").distinct().count() == 300
+
+
+def test_a_place_that_is_no_number_is_left_out(spark):
+    rows = [(1, float(i), float("nan") if i % 4 == 1 else float(i // 6), 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, t double, x double, y double")
+    found = gaze.fixations(slices.framed(df, ["k"], "t", ["t"], 5.0), ["k"], "t", "x", "y", 1.5, 2.0, True, 7)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.fixations(df, ["k"], "t", "x", "y", 1.5, 2.0, True).collect()))

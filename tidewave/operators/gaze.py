@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import slices, windows
+from . import groups, slices, windows
 
 
 def low_pass_taps(up: int, down: int, reach: int = 10, beta: float = 5.0) -> np.ndarray:
@@ -37,23 +36,17 @@ def resampled(df: DataFrame, recording: list[str], columns: list[str], up: int,
     """
     taps = low_pass_taps(up, down)
     around = len(taps) // 2 // up + 1
-    names = [*recording, "__slice"]
 
-    def part(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        own, first = int(pdf["__slice"].iloc[0]), int(pdf["frame"].iloc[0])
-        end = min((own + 1) * size, int(pdf["frames"].iloc[0]))
-        places = np.arange(-(-own * size * up // down), -(-end * up // down))
-        found = {c: resampled_part(pdf[c].to_numpy(float), first, places, taps, up, down) for c in columns}
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(places) for k in recording}, "frame": places, **found})
+    def part(own: np.ndarray, frame: np.ndarray, frames: np.ndarray, **x: np.ndarray) -> list:
+        end = min((int(own[0]) + 1) * size, int(frames[0]))
+        places = np.arange(-(-int(own[0]) * size * up // down), -(-end * up // down))
+        return [places, *[resampled_part(x[f"x{i}"], int(frame[0]), places, taps, up, down) for i in range(len(columns))]]
 
     first = F.greatest(F.lit(0), slices.slice_of(F.col("frame") - around, size))
     last = F.least(slices.slice_of(F.col("frame") + around, size), slices.slice_of(F.col("frames") - 1, size))
-    dealt = df.select(*recording, "frame", "frames", *[F.col(c).cast("double").alias(c) for c in columns]).withColumn("__slice", F.explode(F.sequence(first, last)))
-    types = dict(df.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in recording) + ", frame long, " + ", ".join(f"`{c}` double" for c in columns)
-    found = dealt.groupBy(*names).applyInPandas(part, schema)
-    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+    dealt = df.select(*recording, "frame", "frames", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).withColumn("own", F.explode(F.sequence(first, last)))
+    found = groups.applied(dealt.withColumn("__slice", F.col("own")), [*recording, "__slice"], ["frame"], part, {"__place": "long", **dict.fromkeys((f"x{i}" for i in range(len(columns))), "double")})
+    return found.select(*recording, F.col("__place").alias("frame"), *[F.when(~F.isnan(f"x{i}"), F.col(f"x{i}")).alias(c) for i, c in enumerate(columns)])
 
 
 class _Block:
@@ -94,95 +87,102 @@ def fixations(df: DataFrame, recording: list[str], t: str, x: str, y: str, radiu
     to pass or to end there. Then each block is asked about the others that may enter it. What really enters each block
     follows from these few rows a block; and blocks tell their fixations.
     """
-    types = dict(df.dtypes)
-    kinds = ", ".join(f"`{k}` {types[k]}" for k in recording)
-    known = df.where(F.col(t).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
-    rows = known.select(*recording, "frame", *[F.col(c).cast("double").alias(n) for n, c in (("__t", t), ("__x", x), ("__y", y))], slices.slice_of("frame", size).cast("long").alias("__cell"))
+    samples = df.select(*recording, "frame", *[F.col(c).cast("double").alias(n) for n, c in (("a", t), ("ax", x), ("ay", y))], slices.slice_of("frame", size).cast("long").alias("__cell"))
+    rows = samples.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in ("a", "ax", "ay")))
     # blocks that hold a sample, numbered in order
-    blocks = rows.groupBy(*recording, "__cell").agg(F.count("*").alias("__n"), F.max("__t").alias("__until"))
+    blocks = rows.groupBy(*recording, "__cell").agg(F.count("*").alias("__n"), F.max("a").alias("__until"))
     order = Window.partitionBy(*recording).orderBy("__cell")
-    blocks = blocks.withColumns({"__block": F.row_number().over(order).cast("long") - 1, "__final": F.lead("__cell").over(order).isNull(), "__before": F.lag("__until").over(order)})
-    rows = slices.met(rows, blocks.select(*recording, "__cell", "__block", "__final", "__before"), [*recording, "__cell"]).drop("__cell").persist()
+    blocks = blocks.withColumns({"__block": F.row_number().over(order).cast("long") - 1, "final": F.lead("__cell").over(order).isNull().cast("long"), "before": F.lag("__until").over(order)})
+    rows = slices.met(rows, blocks.select(*recording, "__cell", "__block", "final", "before"), [*recording, "__cell"]).drop("__cell").withColumn("block", F.col("__block")).persist()
     key = [*recording, "__block"]
 
-    def block_of(pdf: pd.DataFrame) -> _Block:
-        pdf = pdf.sort_values(["__t", "__x", "__y", "frame"])
-        return _Block(pdf["__t"].to_numpy(), pdf["__x"].to_numpy(), pdf["__y"].to_numpy(), radius)
+    place, order = ["a", "ax", "ay"], ["a", "ax", "ay", "frame"]
+    doubles = lambda *names: dict.fromkeys(names, "double")
 
-    anchor = "a double, ax double, ay double"
+    def columns(out: list[tuple], n: int) -> list:
+        return [list(c) for c in zip(*out, strict=True)] if out else [[]] * n
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+    def exits(a: np.ndarray, ax: np.ndarray, ay: np.ndarray, block: np.ndarray) -> list:
         """The anchors that may leave a block if a sample of its own does, and the box around its samples; of the first block, the one that does."""
-        b = block_of(pdf)
+        b = _Block(a, ax, ay, radius)
         left = [b.last_anchor(0)]
-        if pdf["__block"].iloc[0]:
+        if block[0]:
             ends: dict[int, int] = {}
-            for i in range(len(b.t) - 1, -1, -1):  # from the end on, so that each chain is one step
+            for i in range(len(a) - 1, -1, -1):  # from the end on, so that each chain is one step
                 n = b.after(i)
-                ends[i] = ends[n] if n < len(b.t) else i
+                ends[i] = ends[n] if n < len(a) else i
             left = sorted(set(ends.values()))
-        box = {"x0": b.x.min(), "x1": b.x.max(), "y0": b.y.min(), "y1": b.y.max()}
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(left) for k in key}, "a": b.t[left], "ax": b.x[left], "ay": b.y[left], **{k: [v] * len(left) for k, v in box.items()}})
+        return [a[left], ax[left], ay[left], *[[v] * len(left) for v in (ax.min(), ax.max(), ay.min(), ay.max())]]
 
-    def possible(pdf: pd.DataFrame) -> pd.DataFrame:
+    def possible(block: np.ndarray, a: np.ndarray, ax: np.ndarray, ay: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> list:
         """The anchors that each block of a recording may be entered with and that its box doesn't tell the fate of."""
         inside, out = set(), []
-        for block, own in pdf.sort_values("__block").groupby("__block"):
-            x0, x1, y0, y1 = own[["x0", "x1", "y0", "y1"]].iloc[0]
+        starts = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+        for i, j in zip(starts, [*starts[1:], len(block)], strict=True):
             go_on = set()
             for c in inside:
-                over, wide = max(c[1] - x0, x1 - c[1]), max(c[2] - y0, y1 - c[2])
+                over, wide = max(c[1] - x0[i], x1[i] - c[1]), max(c[2] - y0[i], y1[i] - c[2])
                 if (over**2 + wide**2) ** 0.5 <= radius * (1 - 1e-9):
                     go_on.add(c)  # all samples are near enough
                     continue
-                out.append((*[pdf[k].iloc[0] for k in recording], block, *c))
+                out.append((int(block[i]), *c))
                 if max(over, wide) <= radius:  # else the sample at that side of the box is too far
                     go_on.add(c)
-            inside = go_on | set(own[["a", "ax", "ay"]].itertuples(index=False, name=None))
-        return pd.DataFrame(out, columns=[*key, "a", "ax", "ay"])
-
-    def through(keys: tuple, pdf: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        """For each anchor that may enter: the one that leaves."""
-        out = []
-        if len(pdf):
-            b = block_of(pdf)
-            for c in asked[["a", "ax", "ay"]].itertuples(index=False, name=None):
-                i = b.leaves(c[1], c[2], 0)
-                e = b.last_anchor(i) if i < len(b.t) else None
-                out.append((*keys, *c, *(c if e is None else (b.t[e], b.x[e], b.y[e]))))
-        return pd.DataFrame(out, columns=[*key, "a", "ax", "ay", "b", "bx", "by"])
-
-    summaries = rows.groupBy(*key).applyInPandas(exits, f"{kinds}, __block long, {anchor}, x0 double, x1 double, y0 double, y1 double").persist()
-    asked = summaries.groupBy(*recording).applyInPandas(possible, f"{kinds}, __block long, {anchor}")
-    maps = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(through, f"{kinds}, __block long, {anchor}, b double, bx double, by double")
-
-    def followed(keys: tuple, own: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-        """What enters each block of a recording, from what leaves the first one."""
-        now, out = tuple(own[own["__block"] == 0][["a", "ax", "ay"]].iloc[0]), []
-        of = {(int(r[0]), *r[1:4]): r[4:] for r in steps[["__block", "a", "ax", "ay", "b", "bx", "by"]].itertuples(index=False, name=None)}
-        for block in range(1, int(own["__block"].max()) + 1):
-            out.append((*keys, block, *now))
-            now = of.get((block, *now), now)
-        return pd.DataFrame(out, columns=[*key, "a", "ax", "ay"])
-
-    entered = summaries.groupBy(*recording).cogroup(maps.groupBy(*recording)).applyInPandas(followed, f"{kinds}, __block long, {anchor}")
-
-    def told(keys: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(pdf):
-            b, final = block_of(pdf), bool(pdf["__final"].iloc[0])
-            now = tuple(entry[["a", "ax", "ay"]].iloc[0]) if len(entry) else (b.t[0], b.x[0], b.y[0])
-            last, i = (pdf["__before"].iloc[0] if len(entry) else b.t[0]), 0
-            while (n := b.leaves(now[1], now[2], i)) < len(b.t):
-                last = b.t[n - 1] if n else last
-                if last - now[0] >= least:
-                    out.append((now[0], last, now[1], now[2]))
-                now, i = (b.t[n], b.x[n], b.y[n]), n + 1
-            if final and (keep_last or b.t[-1] - now[0] >= least):
-                out.append((now[0], b.t[-1], now[1], now[2]))
-        return pd.DataFrame([(*keys[:-1], s, e, e - s, px, py) for s, e, px, py in out], columns=[*recording, "start", "end", "duration", "x", "y"])
-
-    return rows.groupBy(*key).cogroup(entered.groupBy(*key)).applyInPandas(told, f"{kinds}, start double, end double, duration double, x double, y double")
+            inside = go_on | set(zip(a[i:j].tolist(), ax[i:j].tolist(), ay[i:j].tolist(), strict=True))
+        return columns(out, 4)
+
+    def through(a: np.ndarray, ax: np.ndarray, ay: np.ndarray, sample: np.ndarray) -> list:
+        """For each anchor that may enter: the one that leaves. Anchors stand before the samples."""
+        asked, out = int((~sample).sum()), []
+        b = _Block(a[asked:], ax[asked:], ay[asked:], radius) if asked else None
+        for c in zip(a[:asked].tolist(), ax[:asked].tolist(), ay[:asked].tolist(), strict=True):
+            i = b.leaves(c[1], c[2], 0)
+            e = b.last_anchor(i) if i < len(b.t) else None
+            out.append((*c, *(c if e is None else (b.t[e], b.x[e], b.y[e]))))
+        return columns(out, 6)
+
+    sampled = rows.select(*key, *order, "final", "before", F.lit(True).alias("sample"))
+    entering = lambda found: found.select(*key, *place, *[F.lit(None).cast(k).alias(c) for c, k in (("frame", "long"), ("final", "long"), ("before", "double"))], F.lit(False).alias("sample"))
+    summaries = groups.applied(rows.select(*key, *order, "block"), key, order, lambda frame, **c: exits(**c), doubles(*place, "x0", "x1", "y0", "y1")).persist()
+    asked = groups.applied(summaries.withColumnRenamed("__block", "block"), recording, ["block"], possible, {"__block": "long", **doubles(*place)})
+    maps = groups.applied(entering(asked).unionByName(sampled), key, ["sample", *order], lambda frame, final, before, **c: through(**c), doubles(*place, "b", "bx", "by"))
+
+    def followed(block: np.ndarray, map: np.ndarray, a: np.ndarray, ax: np.ndarray, ay: np.ndarray, b: np.ndarray, bx: np.ndarray, by: np.ndarray) -> list:
+        """What enters each block of a recording, from what leaves the first one. A block's own row stands before its map."""
+        now, out = None, []
+        steps: dict[tuple, tuple] = {}
+        for of, mapped, c, d in zip(block.tolist(), map.tolist(), zip(a.tolist(), ax.tolist(), ay.tolist(), strict=True), zip(b.tolist(), bx.tolist(), by.tolist(), strict=True), strict=True):
+            if mapped:
+                steps[c] = d
+                continue
+            if of:
+                now = steps.get(now, now)
+                out.append((of, *now))
+            else:
+                now = c
+            steps = {}
+        return columns(out, 4)
+
+    own = summaries.where("__block = 0").unionByName(summaries.where("__block > 0").groupBy(*key).agg(F.lit(0.0).alias("a")), allowMissingColumns=True)
+    turns = own.select(*recording, F.col("__block").alias("block"), F.lit(False).alias("map"), *place, *[F.lit(None).cast("double").alias(c) for c in ("b", "bx", "by")])
+    turns = turns.unionByName(maps.select(*recording, F.col("__block").alias("block"), F.lit(True).alias("map"), *place, "b", "bx", "by"))
+    entered = groups.applied(turns, recording, ["block", "map"], followed, {"__block": "long", **doubles(*place)})
+
+    def told(a: np.ndarray, ax: np.ndarray, ay: np.ndarray, final: np.ndarray, before: np.ndarray, sample: np.ndarray) -> list:
+        first, out = int(not sample[0]), []
+        b = _Block(a[first:], ax[first:], ay[first:], radius)
+        now, last, i = (float(a[0]), float(ax[0]), float(ay[0])), float(before[1] if first else a[0]), 0
+        while (n := b.leaves(now[1], now[2], i)) < len(b.t):
+            last = b.t[n - 1] if n else last
+            if last - now[0] >= least:
+                out.append((now[0], last, last - now[0], now[1], now[2]))
+            now, i = (b.t[n], b.x[n], b.y[n]), n + 1
+        if final[-1] and (keep_last or b.t[-1] - now[0] >= least):
+            out.append((now[0], b.t[-1], b.t[-1] - now[0], now[1], now[2]))
+        return columns(out, 5)
+
+    spells = groups.applied(entering(entered).unionByName(sampled), key, ["sample", *order], lambda frame, **c: told(**c), doubles("start", "end", "duration", "x", "y"))
+    return spells.drop("__block")
 
 
 def window_metrics(samples: DataFrame, fixed: DataFrame, blinks: DataFrame, recording: list[str], t: str, x: str, y: str, lost: str, size: float, hop: float, fast: float, most_missing: float = 0.25) -> DataFrame:
