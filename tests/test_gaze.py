@@ -66,3 +66,9 @@ def test_a_place_that_is_no_number_is_left_out(spark):
     df = spark.createDataFrame(rows, "k long, t double, x double, y double")
     found = gaze.fixations(slices.framed(df, ["k"], "t", ["t"], 5.0), ["k"], "t", "x", "y", 1.5, 2.0, True, 7)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, matching.fixations(df, ["k"], "t", "x", "y", 1.5, 2.0, True).collect()))
+
+
+def test_small_slices_have_no_call_each(spark):
+    df = slices.framed(spark.createDataFrame([(k, float(i), float(i % 3)) for k in range(300) for i in range(5)], "k long, t double, x double"), ["k"], "t", ["t"], 4.0)
+    found = gaze.resampled(df, ["k"], ["x"], 1, 2, 2)
+    assert "InPandas" not in found._jdf.queryExecution().toString() and found.count() == 900
