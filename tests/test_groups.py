@@ -28,3 +28,10 @@ def test_fixations_have_no_call_a_group(spark):
     df = spark.createDataFrame([(k, float(i), 0.0, 0.0) for k in range(400) for i in range(2)], "k long, t double, x double, y double")
     found = matching.fixations(df, ["k"], "t", "x", "y", 1.0, 0.5)
     assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().toString() and found.count() == 400
+
+
+def test_overlapping_windows_are_counted_without_remembering_them(spark):
+    from tidewave.plans import registry
+
+    found = registry.queries()["hops_of_overlap"](spark, "/root/testdata/sf0.001")
+    assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and found.where("windows * 10 != rows").count() == 0
