@@ -35,3 +35,18 @@ def test_overlapping_windows_are_counted_without_remembering_them(spark):
 
     found = registry.queries()["hops_of_overlap"](spark, "/root/testdata/sf0.001")
     assert "distinct" not in found._jdf.queryExecution().optimizedPlan().toString().lower() and found.where("windows * 10 != rows").count() == 0
+
+
+def test_frequencies_are_sums_over_one_row_an_interval(spark):
+    from tidewave.operators import physiology
+
+    rows = [(k, float(i) + 0.01 * ((i * 7) % 5), float(800.0 + 50 * np.sin(i * (k + 1)))) for k in range(3) for i in range(40)]
+    found = physiology.hrv_frequency(spark.createDataFrame(rows, "k long, t double, rr double"), ["k"], "t")
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        t, x = np.array([(b, c) for a, b, c in rows if a == r["k"]]).T
+        for band, (lo, hi) in physiology.BANDS.items():
+            f = lo + (hi - lo) * (np.arange(8) + 0.5) / 8
+            turn = 2 * np.pi * f[:, None] * (t - t.min())
+            power = 2 * ((((x - x.mean()) * np.cos(turn)).sum(1)) ** 2 + (((x - x.mean()) * np.sin(turn)).sum(1)) ** 2) * x.sum() / 1000 / len(x) ** 2
+            assert abs(r[f"hrv_{band}"] - (power * (hi - lo) / 8).sum()) < 1e-6 * max(1, power.sum())

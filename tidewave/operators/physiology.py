@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -106,19 +108,19 @@ def hrv_frequency(rr: DataFrame, keys: list[str], t: str, bands: dict[str, tuple
     """Power of the intervals in each band (ms squared), its share of lf + hf, and lf / hf, without resampling.
 
     The periodogram of the unevenly spaced intervals is taken at ``steps`` frequencies in the middle of equal parts of a
-    band; a band's power is their mean density times its width. Each interval becomes one row for each frequency inside
-    a task; means, sums and bands keep the partitioning by key, so nothing is shuffled twice.
+    band; a band's power is their mean density times its width. All frequencies are sums over one row an interval, so a
+    task remembers one row a key; means and sums keep the partitioning by key, so nothing is shuffled twice.
     """
-    grid = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(lo + (hi - lo) * (i + 0.5) / steps).alias("f"), F.lit(hi - lo).alias("width")) for b, (lo, hi) in bands.items() for i in range(steps)])
+    grid = [(b, lo + (hi - lo) * (i + 0.5) / steps) for b, (lo, hi) in bands.items() for i in range(steps)]
     whole = Window.partitionBy(*keys)
     known = rr.where(F.col("rr").isNotNull()).select(*keys, F.col(t).alias("__t"), "rr")
     centred = known.withColumns({"__x": F.col("rr") - F.avg("rr").over(whole), "__at": F.col("__t") - F.min("__t").over(whole)})
-    turn = F.col("g.f") * F.col("__at") * 6.283185307179586
-    spread = centred.withColumn("g", F.explode(grid)).select(*keys, "rr", F.col("g.band").alias("band"), F.col("g.f").alias("f"), F.col("g.width").alias("width"), (F.col("__x") * F.cos(turn)).alias("c"), (F.col("__x") * F.sin(turn)).alias("s"))
-    lines = spread.groupBy(*keys, "band", "f", "width").agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.sum("s").alias("s"), (F.sum("rr") / 1000).alias("span"))
-    density = 2 * (F.col("c") * F.col("c") + F.col("s") * F.col("s")) * F.col("span") / (F.col("n") * F.col("n"))
-    power = {b: F.sum(F.when(F.col("band") == b, density * F.col("width") / steps)) for b in bands}
-    found = lines.groupBy(*keys).agg(F.first("n").alias("n_rr"), *[p.alias(f"hrv_{b}") for b, p in power.items()]).where(F.col("n_rr") >= least)
+    turns = [F.lit(f) * F.col("__at") * 6.283185307179586 for _, f in grid]
+    sums = [F.sum(F.col("__x") * of(turn)).alias(f"__{k}{i}") for i, turn in enumerate(turns) for k, of in (("c", F.cos), ("s", F.sin))]
+    lines = centred.groupBy(*keys).agg(F.count("*").alias("n_rr"), (F.sum("rr") / 1000).alias("__span"), *sums).where(F.col("n_rr") >= least)
+    density = [2 * (F.col(f"__c{i}") * F.col(f"__c{i}") + F.col(f"__s{i}") * F.col(f"__s{i}")) * F.col("__span") / (F.col("n_rr") * F.col("n_rr")) for i in range(len(grid))]
+    power = {b: reduce(lambda x, y: x + y, [d * F.lit(hi - lo) / steps for d, (own, _) in zip(density, grid, strict=True) if own == b]) for b, (lo, hi) in bands.items()}
+    found = lines.select(*keys, "n_rr", *[p.alias(f"hrv_{b}") for b, p in power.items()])
     both = F.col("hrv_lf") + F.col("hrv_hf")
     return found.withColumns({"hrv_lfn": F.try_divide("hrv_lf", both), "hrv_hfn": F.try_divide("hrv_hf", both), "hrv_lfhf": F.try_divide("hrv_lf", "hrv_hf")})
 
