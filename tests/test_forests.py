@@ -112,3 +112,24 @@ def test_bounds_and_odd_runs(spark):
     found = forests.fitted_runs(alone, ["run"], "id", "label", list("abcd"), SMALL).collect()
     assert len(found) == 10 and {r["predicted"] for r in found} == {None}
     assert forests.fitted_runs(df.limit(0), ["run"], "id", "label", list("abcd"), SMALL).count() == 0
+
+
+def test_large_runs_are_dealt_by_trees(spark):
+    df = frame(spark, 240).withColumn("side", F.when(F.col("id") % 4 == 0, "test").otherwise("train"))
+    both = df.withColumn("run", F.lit("large")).unionByName(df.where("id < 60").withColumn("run", F.lit("small")))
+    args = (["run"], "id", "label", list("abcd"), SMALL)
+    got = {(r["run"], r["id"]): r["predicted"] for r in forests.fitted(both, *args, most=100).collect()}
+    assert got == {(r["run"], r["id"]): r["predicted"] for r in forests.fitted(both.repartition(5), *args, most=100).collect()}
+    small = {("small", r["id"]): r["predicted"] for r in forests.fitted_runs(both.where("run = 'small'"), *args).collect()}
+    assert {k: v for k, v in got.items() if k[0] == "small"} == small and len(got) == 75
+    truth = {r["id"]: r["label"] for r in df.collect()}
+    assert np.mean([truth[i] == p for (run, i), p in got.items() if run == "large"]) > 0.8
+    none = forests.fitted(both.where("side = 'test' or run = 'small'"), *args, most=59)
+    assert {r["predicted"] for r in none.where("run = 'large'").collect()} == {None}
+
+
+def test_runs_have_no_call_each_and_places_are_stable(spark):
+    df = frame(spark, 40).withColumns({"side": F.lit("train"), "run": F.col("id") % 9})
+    assert "InPandas" not in forests.fitted_runs(df, ["run"], "id", "label", list("abcd"), SMALL)._jdf.queryExecution().toString()
+    values = np.random.default_rng(3).integers(0, 9, 500)
+    assert (forests.sorted_places(values, 9) == np.argsort(values, kind="stable")).all() and (forests.sorted_places(values, 1 << 60) == np.argsort(values, kind="stable")).all()

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-ARROW = {"double": pa.float64(), "long": pa.int64()}
+ARROW = {"double": pa.float64(), "float": pa.float32(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "string": pa.string(), "boolean": pa.bool_(), "date": pa.date32()}
 
 
 def changes(rows: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -32,11 +32,11 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[..., list], found: dict[str, str]) -> DataFrame:
-    """keys and the columns ``found`` (name: double or long): what ``each`` makes of the rows with equal ``keys``, in ``order``.
+def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[..., list], found: dict[str, str], tasks: int | None = None) -> DataFrame:
+    """keys and the columns ``found`` (name: type): what ``each`` makes of the rows with equal ``keys``, in ``order``.
 
     ``each`` gets all other columns by name, as arrays, and gives a list of columns, one for each of ``found``. A task
-    holds one group and one batch of rows.
+    holds one group and one batch of rows. ``tasks`` is their number where groups are few and long to work on.
     """
     names = [c for c in df.columns if c not in keys]
 
@@ -73,4 +73,5 @@ def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[...
 
     types = dict(df.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + "".join(f", `{c}` {t}" for c, t in found.items())
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(parts, schema)
+    dealt = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(parts, schema)

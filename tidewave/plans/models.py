@@ -32,7 +32,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_seed(spark: SparkSession, sf_dir: str, settings: forests.Settings = FEWER) -> DataFrame:
     sided = experiments.seeded(_texts(spark, sf_dir), "quality", "doc_id", 0.8, [1, 2, 3, 4, 5])
-    return forests.fitted_runs(sided, ["seed"], "doc_id", "quality", list(TEXT_FEATURES), settings)
+    return forests.fitted(sided, ["seed"], "doc_id", "quality", list(TEXT_FEATURES), settings).persist()  # scores read it twice
 
 
 @query
@@ -63,7 +63,7 @@ def forest_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's labels by forests that know the other languages, over two seeds: the scores of each fold."""
     sided = experiments.held_out(_texts(spark, sf_dir), "lang", [1, 2])
-    predicted = forests.fitted_runs(sided, ["fold", "seed"], "doc_id", "quality", list(TEXT_FEATURES), FEWER)
+    predicted = forests.fitted(sided, ["fold", "seed"], "doc_id", "quality", list(TEXT_FEATURES), FEWER).persist()
     return experiments.over_runs(predicted, ["fold", "seed"], ["fold"], "quality")
 
 
@@ -71,5 +71,5 @@ def forest_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forest_train_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forests of single users by how many events of each kind they learn from, two draws each: mean and spread over users."""
     sided = experiments.drawn_sides(_samples(spark, sf_dir), ["user_id"], "event_type", "event_id", [2, 4, 6], [0, 1])
-    predicted = forests.fitted_runs(sided, ["user_id", "train_size", "seed"], "event_id", "event_type", FEATURES, forests.Settings(trees=20))
+    predicted = forests.fitted_runs(sided, ["user_id", "train_size", "seed"], "event_id", "event_type", FEATURES, forests.Settings(trees=20)).persist()
     return experiments.curve(predicted, "user_id", "event_type")
