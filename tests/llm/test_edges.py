@@ -52,3 +52,21 @@ def test_very_many_terms_and_no_vectors(spark):
     found = {(r["query_id"], r["vec_id"]): r["score"] for r in topk_search.search(df).collect()}
     assert found == {(q * 50, v * 50): int(whole[q] @ whole[v]) for q in (0, 2, 4) for v in range(6) if v != q}
     assert topk_search.search(df.where("vec_id < 0")).count() == 0
+
+
+def test_all_trusted_documents_teach_and_none_is_judged_by_its_own_model(spark):
+    import numpy as np
+
+    from tidewave.llm import quality
+
+    rng = np.random.default_rng(8)
+    words = ["alpha", "beta", "gamma", "delta", "other", "words"]
+    rows = [(i, " ".join(rng.choice(words, 30)), "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    found = {r["doc_id"]: r["perplexity"] for r in quality.classify(docs, labels).collect()}
+    half = {r[0]: r[1] for r in spark.sql("SELECT id, pmod(xxhash64(id), 2) FROM range(30)").collect()}
+    for model, of in ((range(30), range(30, 40)), ([i for i in half if half[i]], [i for i in half if not half[i]])):
+        plain = quality.train(docs.where(docs.doc_id.isin(list(model))))
+        for i in of:
+            assert abs(np.log(found[i]) + plain[quality.grams(rows[i][1], quality.ORDER)].mean(dtype=float)) < 1e-6
