@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewave.operators import evaluation, forests, splits
+from tidewave.plans import models
 
 SMALL = forests.Settings(trees=30, depth=8)
 
@@ -133,3 +134,10 @@ def test_runs_have_no_call_each_and_places_are_stable(spark):
     assert "InPandas" not in forests.fitted_runs(df, ["run"], "id", "label", list("abcd"), SMALL)._jdf.queryExecution().toString()
     values = np.random.default_rng(3).integers(0, 9, 500)
     assert (forests.sorted_places(values, 9) == np.argsort(values, kind="stable")).all() and (forests.sorted_places(values, 1 << 60) == np.argsort(values, kind="stable")).all()
+
+
+def test_large_runs_alone_are_read_once(spark):
+    df = frame(spark, 240).withColumns({"side": F.when(F.col("id") % 4 == 0, "test").otherwise("train"), "run": F.lit(1)})
+    found = forests.fitted(df, ["run"], "id", "label", list("abcd"), SMALL, most=100)
+    assert "Union" not in found._jdf.queryExecution().toString() and found.count() == 60
+    assert models._texts(spark, "/root/testdata/sf0.001").storageLevel.useMemory

@@ -222,6 +222,8 @@ def fitted(sided: DataFrame, keys: list[str], key: str, label: str, features: li
     large = counts.where(F.col("__rows") > most).count()
     if not large:
         return fitted_runs(sided, keys, key, label, features, settings, most)
+    if large == counts.count():
+        return fitted_by_trees(sided, keys, key, label, features, settings, runs=large)
     sized = slices.met(sided, counts, keys)
     small = fitted_runs(sized.where(F.col("__rows") <= most).drop("__rows"), keys, key, label, features, settings, most)
     return small.unionByName(fitted_by_trees(sized.where(F.col("__rows") > most).drop("__rows"), keys, key, label, features, settings, runs=large))

@@ -26,8 +26,9 @@ def query(f):
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the texts with a label, kept: each seed and side of an experiment reads them again, and texts are long."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", *[F.expr(e).alias(c) for c, e in TEXT_FEATURES.items()])
-    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").dropna(subset=["quality"])
+    return docs.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").dropna(subset=["quality"]).persist()
 
 
 def _by_seed(spark: SparkSession, sf_dir: str, settings: forests.Settings = FEWER) -> DataFrame:
