@@ -98,6 +98,18 @@ def test_a_permuted_column_keeps_its_values(spark):
     assert sum(r["x"] == 2 * r["id"] for r in found) < 50
 
 
+def test_lent_values_are_those_of_permuted_columns(spark):
+    df = spark.range(300).select("id", (F.col("id") % 3).cast("int").alias("fold"), (F.col("id") * 2).alias("x"), (F.col("id") * 5).alias("y"))
+    groups = F.when(F.col("fold") == 0, 1).otherwise(4)
+    found = {r["id"]: r["__other"] for r in selection.partnered(df, "id", ["x", "y"], F.col("fold"), groups, ["fold"]).collect()}
+    for fold in range(3):
+        own = df.where(F.col("fold") == fold)
+        for c in ("x", "y"):
+            permuted = selection.permuted(own, "id", c, fold, 4 if fold else 1).collect()
+            assert len(permuted) == 100 and all(found[r["id"]][c] == r[c] for r in permuted)
+    assert len(found) == 300
+
+
 def test_selection_drops_noise(spark):
     rng = np.random.default_rng(3)
     rows = [(i, float(i % 2), 1.0, i % 2 + 0.1 * float(rng.normal()), float(rng.normal())) for i in range(200)]

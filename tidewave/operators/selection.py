@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import splits, statistics
@@ -18,19 +20,24 @@ from . import splits, statistics
 PERMUTED_TOGETHER = 100_000
 
 
-def permuted(df: DataFrame, key: str, column: str, seed: int = 0, groups: int | None = None) -> DataFrame:
-    """``df`` with the values of one column dealt anew at random. ``key`` is a whole number, different in each row.
+def partnered(df: DataFrame, key: str, columns: list[str], seed: Column | int = 0, groups: Column | int = 1, keys: list[str] | None = None) -> DataFrame:
+    """``df`` with ``__other``, a struct of the ``columns`` of another row with equal ``keys``, drawn at random. ``key`` is a whole number, different in each row.
 
     Rows are dealt to groups by a hash and change values inside their group, by two rankings, so no task sorts the
-    whole table. The number of groups follows the number of rows unless it is given.
+    whole table. ``seed`` and ``groups`` may depend on the ``keys``.
     """
+    own = [*(keys or []), "__group"]
+    group = (splits.spread(F.col(key), seed) % groups).alias("__group")
+    place = lambda s: F.row_number().over(Window.partitionBy(*own).orderBy(splits.spread(F.col(key), s) % 1000003, key)).alias("__place")
+    left = df.select("*", group).select("*", place(seed + 1))
+    right = df.select("*", group).select(*own, F.struct(*columns).alias("__other"), place(seed + 2))
+    return left.join(right, [*own, "__place"]).select(*df.columns, "__other")
+
+
+def permuted(df: DataFrame, key: str, column: str, seed: int = 0, groups: int | None = None) -> DataFrame:
+    """``df`` with the values of one column dealt anew at random, as ``partnered`` does. The number of groups follows the number of rows unless it is given."""
     n = groups or max(1, df.count() // PERMUTED_TOGETHER)
-    group = (splits.spread(F.col(key), seed) % n).alias("__group")
-    place = lambda s: F.row_number().over(Window.partitionBy("__group").orderBy(splits.spread(F.col(key), s) % 1000003, key)).alias("__place")
-    left = df.drop(column).select("*", group).select("*", place(seed + 1))
-    right = df.select(key, F.col(column).alias("__value"), group).select("__group", "__value", place(seed + 2))
-    out = left.join(right, ["__group", "__place"])
-    return out.withColumn(column, F.col("__value")).select(*df.columns)
+    return partnered(df, key, [column], seed, n).withColumn(column, F.col("__other")[column]).select(*df.columns)
 
 
 def forest(features: list[str], trees: int = 500, depth: int = 30, seed: int = 1) -> Pipeline:
@@ -59,33 +66,37 @@ def backward_elimination(df: DataFrame, key: str, features: list[str], folds: in
 
     A step's score is the mean balanced accuracy over folds, which are balanced by label. The lowest ``share`` of the
     features go, at least one, ties by name, while the score is within ``tolerance`` of the best so far and more than
-    ``least`` features are left. A fold's test rows as they are and with each column permuted are scored in one job.
+    ``least`` features are left. Who lends values to whom is drawn once, for all folds, steps and columns; a fold's test
+    rows as they are and with each column permuted are scored in one job, and the folds of a step run side by side.
     """
-    dealt = splits.folds(df, "label", key, folds).persist()
+    dealt = splits.folds(df.select(key, "label", "weight", *features), "label", key, folds).persist()
+    sizes = {r["__fold"]: r["count"] for r in dealt.groupBy("__fold").count().collect()}
+    groups = F.element_at(F.create_map(*[F.lit(v) for f in range(folds) for v in (f, max(1, sizes.get(f, 0) // PERMUTED_TOGETHER))]), F.col("__fold"))
+    lent = partnered(dealt, key, features, F.col("__fold"), groups, ["__fold"]).persist()
+
+    def scored(fold: int, left: list[str]) -> dict:
+        model = make(left).fit(dealt.where(F.col("__fold") != fold))
+        one = lambda tag: F.struct(F.lit(tag).alias("__tag"), *[(F.col("__other")[c] if c == tag else F.col(c)).alias(c) for c in left])
+        tried = lent.where(F.col("__fold") == fold).select(key, "label", "weight", F.inline(F.array(*[one(tag) for tag in ("", *left)])))
+        return balanced_accuracies(model.transform(tried), "__tag")
+
     steps, best, left = [], -1.0, list(features)
     try:
-        while True:
-            scores, losses = [], dict.fromkeys(left, 0.0)
-            for fold in range(folds):
-                model = make(left).fit(dealt.where(F.col("__fold") != fold))
-                test = dealt.where(F.col("__fold") == fold).select(key, "label", "weight", *left)
-                groups = max(1, test.count() // PERMUTED_TOGETHER)
-                tried = test.withColumn("__tag", F.lit(""))
-                for c in left:
-                    tried = tried.unionByName(permuted(test, key, c, fold, groups).withColumn("__tag", F.lit(c)))
-                of = balanced_accuracies(model.transform(tried), "__tag")
-                scores.append(of.get("", 0.0))
-                for c in left:
-                    losses[c] += (scores[-1] - of.get(c, 0.0)) / folds
-            score = float(np.mean(scores))
-            best = max(best, score)
-            go = sorted(left, key=lambda c: (losses[c], c))[: min(max(1, int(len(left) * share)), len(left) - least)]
-            go = go if score >= best - tolerance else []
-            steps.append((len(steps), len(left), score, list(left), go))
-            if not go:
-                return steps
-            left = [c for c in left if c not in go]
+        with ThreadPool(folds) as pool:
+            while True:
+                found = pool.map(inheritable_thread_target(df.sparkSession)(lambda fold: scored(fold, left)), range(folds))
+                scores = [of.get("", 0.0) for of in found]
+                losses = {c: sum((s - of.get(c, 0.0)) / folds for s, of in zip(scores, found, strict=True)) for c in left}
+                score = float(np.mean(scores))
+                best = max(best, score)
+                go = sorted(left, key=lambda c: (losses[c], c))[: min(max(1, int(len(left) * share)), len(left) - least)]
+                go = go if score >= best - tolerance else []
+                steps.append((len(steps), len(left), score, list(left), go))
+                if not go:
+                    return steps
+                left = [c for c in left if c not in go]
     finally:
+        lent.unpersist()
         dealt.unpersist()
 
 
