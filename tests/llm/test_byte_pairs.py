@@ -1,6 +1,7 @@
 """Forced-boundary BPE against the tokenizers library."""
 
 import hashlib
+import os
 import random
 from array import array
 
@@ -88,3 +89,16 @@ def docs_ids():
 def test_other_models_are_an_error():
     with pytest.raises(ValueError, match="isn't plain byte-level BPE"):
         byte_pairs.plain_model(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_fragments_start_no_threads_and_those_that_decode_to_others_are_told(library, monkeypatch):
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    codec = byte_pairs.Codec(PATH)
+    encoder = byte_pairs.Encoder(codec)
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    assert whole(encoder, "plain words, plain") == (library.encode("plain words, plain").ids, "plain words, plain") and not encoder.changed
+    words = library.token_to_id("\u0120words")
+    monkeypatch.setattr(codec, "bytes_of", [*codec.bytes_of[:words], b" other", *codec.bytes_of[words + 1 :]])
+    encoder = byte_pairs.Encoder(codec)
+    for _ in range(2):  # from the cache, too
+        assert whole(encoder, "plain words, plain")[1] == "plain other, plain"

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 from array import array
 from collections.abc import Iterator
@@ -98,15 +99,22 @@ class Codec:
 
 
 class Encoder:
-    """A codec with the fragments of one task: their ids, as little-endian 32-bit numbers, and the bytes these stand for."""
+    """A codec with the fragments of one task: their ids, as little-endian 32-bit numbers, and, where these stand for other bytes than the fragment's, those."""
 
     def __init__(self, codec: Codec):
-        self.codec, self.known = codec, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads for a few fragments cost more than they save
+        self.codec, self.known, self.changed = codec, {}, {}
 
-    def _encoded(self, fragments: set[bytes]) -> dict[bytes, tuple[bytes, bytes]]:
+    def _encoded(self, fragments: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of fragments, each of which is decoded, too."""
         new, of = list(fragments), self.codec.bytes_of
-        ids = [e.ids for e in self.codec.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False)]
-        return {f: (array("I", i).tobytes(), b"".join([of[x] for x in i])) for f, i in zip(new, ids, strict=True)}
+        out = {}
+        for f, e in zip(new, self.codec.tokenizer.encode_batch_fast([f.decode() for f in new], add_special_tokens=False), strict=True):
+            ids = e.ids
+            out[f] = array("I", ids).tobytes()
+            if (decoded := of[ids[0]] if len(ids) == 1 else b"".join([of[x] for x in ids])) != f:
+                self.changed[f] = decoded
+        return out
 
     def parts(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         """Ids and what they decode to, part for part of ``text``, so that a very long text isn't held as fragments at once."""
@@ -122,14 +130,18 @@ class Encoder:
         borders = self.codec.borders(segment, data)
         for at in range(0, len(borders) - 1, AT_ONCE):
             own = borders[at : at + AT_ONCE + 1].tolist()
-            fragments = [data[i:j] for i, j in zip(own, own[1:], strict=False)]
+            fragments = list(map(data.__getitem__, map(slice, own, own[1:])))
             if len(self.known) > CACHE_FRAGMENTS:
-                self.known = {}
-            get = self.known.get
-            found = self._encoded({f for f in set(fragments) if f not in self.known})
-            self.known.update((f, x) for f, x in found.items() if len(f) <= SHORT)
-            both = [get(f) or found[f] for f in fragments]
-            yield b"".join([ids for ids, _ in both]), b"".join([text for _, text in both])
+                self.known, self.changed = {}, {}
+            ids = list(map(self.known.get, fragments))
+            if None in ids:
+                found = self._encoded({f for f, i in zip(fragments, ids, strict=True) if i is None})
+                self.known.update((f, i) for f, i in found.items() if len(f) <= SHORT)
+                ids = [found[f] if i is None else i for f, i in zip(fragments, ids, strict=True)]
+            changed = self.changed
+            yield b"".join(ids), b"".join([changed.get(f, f) for f in fragments]) if changed else data[own[0] : own[-1]]
+            if changed:
+                self.changed = {f: x for f, x in changed.items() if len(f) <= SHORT}
 
 
 _codecs: dict[str, Codec] = {}
@@ -158,7 +170,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = True
                 ids_hash, text_hash, n, kept = hashlib.sha256(), hashlib.sha256(), 0, []
                 for ids, decoded in encoder.parts(text):
                     ids_hash.update(ids)
-                    text_hash.update(decoded.decode("utf-8", "replace").encode())  # parts end with whole characters
+                    text_hash.update(decoded if not encoder.changed else decoded.decode("utf-8", "replace").encode())  # parts end with whole characters
                     n += len(ids) // 4
                     if with_ids:
                         kept.append(ids)
