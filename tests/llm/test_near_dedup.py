@@ -119,3 +119,33 @@ def test_frequencies_count_texts(spark):
     common = simhash.shingle_hashes(b"a b c d e", 5)
     assert found[simhash.cells_of(common)].tolist() == [2] and found.max() == 2  # three texts: two bits
     assert simhash.shingle_frequencies(texts.limit(0).repartition(2), 5) is None or not simhash.shingle_frequencies(texts.limit(0), 5).any()
+
+
+def test_parts_of_the_repeats_lose_and_repeat_none(spark, monkeypatch):
+    texts = stored(spark.createDataFrame([(i, t) for i, t in template(30)] + [(100 + i, t + " x") for i, t in template(30)], "row long, text string"))
+    known = stored(simhash.first_shingles(texts, 5, 0.8, None))
+    found = {}
+    for cells, parts in ((1 << 14, 1), (1 << 14, 8), (1 << 28, 1)):
+        monkeypatch.setattr(simhash, "REPEAT_CELLS", cells)
+        monkeypatch.setattr(simhash, "REPEAT_PARTS", parts)
+        rows = [tuple(r) for r in simhash.repeated(known).collect()]
+        assert len(rows) == len(set(rows))
+        found[cells, parts] = set(rows)
+    assert found[1 << 28, 1] <= found[1 << 14, 8] < found[1 << 14, 1]
+
+
+def test_two_texts_alone_are_a_pair_at_once(spark):
+    """Pairs of copies that nothing else resembles need no row of a shingle moved again, and what they share counts for pairs met elsewhere."""
+    texts = stored(spark.createDataFrame([(i, t + f" end{i}") for k in (0, 100) for i, t in ((k + i, t) for i, t in template(20))], "row long, text string"))
+    known = stored(simhash.first_shingles(texts, 5, 0.8, simhash.shingle_frequencies(texts, 5)))
+    lists, several = simhash.repeats(known)
+    pairs = {(r["a"], r["b"]) for r in simhash.two_alone(several, 0.8).collect()}
+    assert pairs == {(i, 100 + i) for i in range(20)}
+    alone = {r["s"] for r in several.where("of = 2").collect()}
+    assert alone and not alone & {r["s"] for r in simhash.shared_by(2, lists, several).collect()}
+
+
+def test_words_packed_for_verification_have_the_same_shingles():
+    for text in ("", "  \t ", "A b c\x0bD  e f G", "é" * 50 + " x y z " * 400):
+        words = simhash.unpacked_words(simhash.packed_words(text.encode()))
+        assert simhash.shingle_hashes(words, 5).tolist() == simhash.shingle_hashes(text.encode(), 5).tolist()

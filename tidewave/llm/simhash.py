@@ -1,6 +1,6 @@
 """Near duplicates by SimHash with pivot distance tables.
 
-A pivot table, worked out once, holds each fingerprint's Hamming distance to many reference fingerprints. A pair whose
+A bucket's pivot table holds each fingerprint's Hamming distance to many reference fingerprints. A pair whose
 distances to some reference differ by more than the tolerance can't be within it (the triangle inequality) and is
 discarded; the survivors are verified bit by bit. Two fingerprints at 3 or fewer differing bits agree in at least three
 of six blocks of bits, so they are held against each other in one of twenty tables whose keys are three blocks each.
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import roots
-from .shared import added, documents, drop_shuffles, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
+from .shared import BROADCAST_ROWS, added, documents, drop_shuffles, looked_up, map_batches, numbered, scratch, sent_if_small, stored, without
 
 SEED = 42
 PIVOTS = 16
@@ -31,9 +31,12 @@ PIVOTS = 16
 #: Cells in which texts with a shingle are counted, for the order of shingles.
 FREQUENCY_CELLS = 1 << 24
 
-#: Cells that tell which first shingles may repeat: 32 MB of bits. Beyond some hundred million first shingles more of them move than need to.
+#: Cells that tell which first shingles may repeat: 32 MB of bits. Beyond some thousand million first shingles more of them move than need to.
 REPEAT_CELLS = 1 << 28
 
+#: So many cells for each first shingle, by looking at parts of them one after the other, of which there are at most ``REPEAT_PARTS``.
+CELLS_EACH, REPEAT_PARTS = 8, 8
+
 #: A bucket with more fingerprints than this is dealt anew by the bits that its key leaves free.
 BUCKET_ROWS = 65_536
 SHINGLES_AT_ONCE = 65_536
@@ -99,9 +102,9 @@ def pivots() -> list[int]:
     return [signed(int(x)) for x in np.random.default_rng(SEED).integers(0, 1 << 64, PIVOTS, np.uint64, endpoint=False)]
 
 
-def with_pivots(fps: DataFrame) -> DataFrame:
-    """(fp, distances): the pivot table, a byte for each pivot."""
-    return fps.select("fp", F.array(*[F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))).cast("byte") for p in pivots()]).alias("distances"))
+def pivot_table(fps: np.ndarray) -> np.ndarray:
+    """The distance of each fingerprint to each pivot."""
+    return np.bitwise_count(fps[:, None] ^ np.array(pivots(), np.int64).view(np.uint64)[None, :]).astype(np.int16)
 
 
 def link_bucket(fps: np.ndarray, distances: np.ndarray, tolerance: int) -> list[tuple[int, int]]:
@@ -128,10 +131,11 @@ def link_bucket(fps: np.ndarray, distances: np.ndarray, tolerance: int) -> list[
     return links
 
 
-def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFrame:
-    """(u, v, t) from rows (t, key, fp, distances). u > v is a link; rows of a bucket of more than ``most`` come back as they are, with v null and their t.
+def bucket_links(dealt: DataFrame, masks: list[int], tolerance: int, most: int | None) -> DataFrame:
+    """(u, v, t) from rows (t, fp) and the masks t. u > v is a link; rows of a bucket of more than ``most`` come back as they are, with v null and their t.
 
     The rows of a bucket lie in one task, one after the other. A task holds one bucket of at most ``most`` rows at a time.
+    Its keys and pivot table follow from the fingerprints and don't move.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +146,18 @@ def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFram
             v = pa.concat_arrays([pa.array(ends.min(axis=1, initial=(1 << 63) - 1), pa.int64()), pa.nulls(len(more), pa.int64())])
             return pa.record_batch([pa.array(u, pa.int64()), v, pa.array(np.full(len(u), t, np.int32))], ["u", "v", "t"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []  # the bucket that may go on in the next batch
+        held: list[np.ndarray] = []  # the bucket that may go on in the next batch
         at, passing = None, False  # its (t, key); whether it has turned out too large
 
         def close() -> list[tuple[int, int]]:
-            fps, distances = (np.concatenate(x) for x in zip(*held, strict=True))
-            return link_bucket(fps, distances, tolerance) if len(fps) > 1 else []
+            fps = np.concatenate(held)
+            return link_bucket(fps, pivot_table(fps), tolerance) if len(fps) > 1 else []
 
         for b in batches:
             t, key, fp = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
             if not len(t):
                 continue
-            fp, near = fp.view(np.uint64), b.column("distances").flatten().to_numpy().reshape(-1, PIVOTS).astype(np.int16)
+            fp = fp.view(np.uint64)
             edges = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(t)]])
             links: list[tuple[int, int]] = []
@@ -163,38 +167,36 @@ def bucket_links(dealt: DataFrame, tolerance: int, most: int | None) -> DataFram
                     if held and not passing:
                         links += close()
                     at, held, passing = (t[lo], key[lo]), [], False
-                held.append((fp[lo:hi], near[lo:hi]))
-                if most and sum(len(x) for x, _ in held) > most or passing:
+                held.append(fp[lo:hi])
+                if most and sum(map(len, held)) > most or passing:
                     passing = True
-                    yield out([], [x for x, _ in held], int(t[lo]))
+                    yield out([], held, int(t[lo]))
                     held = []
             yield out(links, [], 0)
         if held and not passing:
             yield out(close(), [], 0)
 
-    return dealt.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(each, "u long, v long, t int")
+    key = F.col("fp").bitwiseAND(F.element_at(F.lit([signed(m) for m in masks]).cast("array<long>"), F.col("t") + 1))
+    return dealt.repartition("t", key).select("t", key.alias("key"), "fp").sortWithinPartitions("t", "key").mapInArrow(each, "u long, v long, t int")
 
 
-def dealt_by(masks: list[int], fps: DataFrame) -> DataFrame:
-    """Each fingerprint under each mask: t (the mask's number), key, fp, distances."""
-    return fps.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(signed(m))) for m in masks])).alias("t", "key"), "fp", "distances")
+def dealt_by(masks: range, fps: DataFrame) -> DataFrame:
+    """Each fingerprint under each mask: t (the mask's number), fp."""
+    return fps.select(F.explode(F.sequence(F.lit(masks.start), F.lit(masks.stop - 1))).alias("t"), "fp")
 
 
 def near_links(fps: DataFrame, tolerance: int, most: int = BUCKET_ROWS) -> DataFrame:
     """(u, v), u > v: links that connect distinct fingerprints as all pairs within ``tolerance`` bits would."""
     full = (1 << 64) - 1
     masks = block_masks(full, tolerance + 3, tolerance)
-    found = stored(bucket_links(dealt_by(masks, stored(with_pivots(fps))), tolerance, most))
+    found = stored(bucket_links(dealt_by(range(len(masks)), fps), masks, tolerance, most))
     links, over = found.where("v is not null"), found.where("v is null")
     if not over.isEmpty():
         # what is left free holds 31 bits or so at 3 of 6 blocks; half of those fixed again leaves at most 2**16 fingerprints a bucket
         again = [sub | m for m in masks for sub in block_masks(full & ~m, tolerance + 3, tolerance)]
         of = len(again) // len(masks)
-        parts = [over.where(F.col("t") == i).select(F.col("u").alias("fp")).transform(lambda x, i=i: dealt_by(again[i * of : i * of + of], with_pivots(x))).withColumn("t", F.col("t") + i * of) for i in range(len(masks))]
-        dealt = parts[0]
-        for x in parts[1:]:
-            dealt = dealt.unionByName(x)
-        links = links.unionByName(bucket_links(dealt, tolerance, None))
+        dealt = over.select((F.col("t") * of).alias("first"), F.col("u").alias("fp")).select(F.explode(F.sequence(F.col("first"), F.col("first") + (of - 1))).alias("t"), "fp")
+        links = links.unionByName(bucket_links(dealt, again, tolerance, None))
     return links.select("u", "v")
 
 
@@ -254,13 +256,13 @@ def shingle_frequencies(docs: DataFrame, shingle: int) -> np.ndarray | None:
             held[at] += n.astype(np.uint32)
         yield held
 
-    found = added(docs.select("text"), counts, summed)
-    if found is None:
-        return None
-    bits = np.zeros(len(found), np.uint8)
-    for k in range(32):
-        bits += found >= 1 << k
-    return bits
+    def bits(found: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(found), np.uint8)
+        for k in range(32):
+            out += found >= 1 << k
+        return out
+
+    return added(docs.select("text"), counts, summed, bits)
 
 
 def first_shingles(docs: DataFrame, shingle: int, similarity: float, frequencies: np.ndarray | None) -> DataFrame:
@@ -309,52 +311,96 @@ def may_be_smaller(x: str, similarity: float) -> Column:
     return reach(x, similarity) >= F.col(f"{x}.n")
 
 
-def met_twice(known: DataFrame) -> np.ndarray | None:
-    """A bit for each cell of first shingles: whether two may lie in it, of different rows. ``REPEAT_CELLS`` bits, whatever the corpus; None without rows."""
+def cell_of(s: np.ndarray, cells: int) -> np.ndarray:
+    return (s >> np.uint64(7)) % np.uint64(cells)
+
 
-    def cells(first: pa.ListArray) -> np.ndarray:
-        return (first.flatten().to_numpy().view(np.uint64) >> np.uint64(7)) % np.uint64(REPEAT_CELLS)
+def in_part(s: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Which of these shingles are in a part of them all, by bits that ``cell_of`` leaves out."""
+    return (s & np.uint64(127)) * np.uint64(parts) >> np.uint64(7) == part
+
+
+def met_twice(known: DataFrame, part: int = 0, parts: int = 1) -> np.ndarray | None:
+    """A bit for each cell of first shingles of a part: whether two may lie in it, of different rows. ``REPEAT_CELLS`` bits, whatever the corpus; None without rows."""
+    cells = REPEAT_CELLS
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        once, twice = np.zeros((2, REPEAT_CELLS >> 3), np.uint8)
+        both = np.zeros((2, cells >> 3), np.uint8)
+        once, twice = both
         for b in batches:
-            at, n = np.unique(cells(b.column("first")), return_counts=True)
+            s = b.column("first").flatten().to_numpy().view(np.uint64)
+            at, n = np.unique(cell_of(s[in_part(s, part, parts)], cells), return_counts=True)
             byte, bit = (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
             again = (n > 1) | ((once[byte] & bit) > 0)
             np.bitwise_or.at(twice, byte[again], bit[again])
             np.bitwise_or.at(once, byte, bit)
-        yield np.stack([once, twice])
+        yield both
 
     def either(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return np.stack([x[0] | y[0], x[1] | y[1] | (x[0] & y[0])])
 
-    found = added(known.select("first"), bits, either)
-    return None if found is None else found[1]
+    return added(known.select("first"), bits, either, lambda x: x[1])
 
 
 def repeated(known: DataFrame) -> DataFrame:
-    """row, n, at, s: the first shingles that other rows may have too, by ``met_twice``, with their places; most others don't leave their task."""
-    sent = known.sparkSession.sparkContext.broadcast(met_twice(known))
+    """row, n, at, s, stored: the first shingles that other rows may have too, by ``met_twice``, with their places; most others don't leave their task."""
+    firsts = known.agg(F.sum(F.size("first")).alias("n")).first()["n"] or 0
+    parts = min(REPEAT_PARTS, max(1, -(-firsts * CELLS_EACH // REPEAT_CELLS)))
+    found = [repeated_part(known, part, parts) for part in range(parts)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def repeated_part(known: DataFrame, part: int, parts: int) -> DataFrame:
+    cells, sent = REPEAT_CELLS, known.sparkSession.sparkContext.broadcast(met_twice(known, part, parts))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             first = b.column("first")
             sizes, s = first.value_lengths().to_numpy(), first.flatten().to_numpy()
-            cell = (s.view(np.uint64) >> np.uint64(7)) % np.uint64(REPEAT_CELLS)
-            keep = (sent.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+            cell = cell_of(s.view(np.uint64), cells)
+            keep = (sent.value[cell >> np.uint64(3)] >> (cell & np.uint64(7)).astype(np.uint8) & 1).astype(bool) & in_part(s.view(np.uint64), part, parts)
             owner = np.repeat(np.arange(len(sizes)), sizes)
             at = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             rows, n = b.column("row").to_numpy(), b.column("n").to_numpy()
             yield pa.record_batch([pa.array(rows[owner[keep]]), pa.array(n[owner[keep]]), pa.array(at[keep].astype(np.int32)), pa.array(s[keep])], ["row", "n", "at", "s"])
 
-    return map_batches(known.select("row", "n", "first"), each, "row long, n int, at int, s long")
+    out = stored(map_batches(known.select("row", "n", "first"), each, "row long, n int, at int, s long"))
+    sent.destroy()
+    return out
+
+
+def repeats(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``repeated``, stored, and of each shingle that several rows have their number ``of``, the least and the greatest of them by size, ``x`` and ``y`` (n, row, at)."""
+    lists = repeated(known)
+    row = F.struct("n", "row", "at")
+    return lists, stored(lists.groupBy("s").agg(F.count("*").alias("of"), F.min(row).alias("x"), F.max(row).alias("y")).where("of > 1"))
 
 
 def sharing(known: DataFrame) -> DataFrame:
     """s, x: each first shingle that several rows have, with each of them (row, n, at), ``at`` being its place."""
-    lists = stored(repeated(known))
-    several = stored(lists.groupBy("s").agg(F.count("*").alias("of")).where("of > 1"))
-    return looked_up(lists, several, ["s"], "of").select("s", F.struct("row", "n", "at").alias("x"))
+    return shared_by(1, *repeats(known))
+
+
+def shared_by(more_than: int, lists: DataFrame, several: DataFrame) -> DataFrame:
+    """``sharing``, of the shingles that more rows have, from ``repeats``."""
+    return looked_up(lists, several.where(F.col("of") > more_than).select("s", "of"), ["s"], "of", few=BROADCAST_ROWS).select("s", F.struct("row", "n", "at").alias("x"))
+
+
+#: What is known of a pair (a, b) by shingles that both have first: how many, their sizes and the last places.
+SIDES = ["n_x", "at_x", "n_y", "at_y"]
+
+
+def two_alone(several: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b, both and ``SIDES``: the pairs that are the only two rows of a shingle, from ``repeats``, and can have the similarity."""
+    return met_by_pair(several.where((F.col("of") == 2) & allows("x", "y", similarity)).select("x", "y"))
+
+
+def met_by_pair(met: DataFrame, *more: DataFrame) -> DataFrame:
+    """(a, b), a < b, both and ``SIDES`` of rows (x, y), x the smaller of two, and of tables of this form."""
+    each = met.select(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b"), F.lit(1).cast("long").alias("both"), *[F.col(f"{s[-1]}.{s[:-2]}").alias(s) for s in SIDES])
+    for x in more:
+        each = each.unionByName(x)
+    return each.groupBy("a", "b").agg(F.sum("both").alias("both"), *[F.max(s).alias(s) for s in SIDES])
 
 
 def with_roots(shared: DataFrame, groups: DataFrame) -> DataFrame:
@@ -394,9 +440,11 @@ def opposed(mixed: DataFrame, similarity: float, long: int = LONG_KEY) -> tuple[
     return mixed.where(may_be_smaller("x", similarity)).withColumn("cell", F.when(F.col("of") > long, cell(n)).otherwise(0)), larger
 
 
-def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float, long: int = LONG_KEY) -> DataFrame:
+def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, similarity: float, long: int = LONG_KEY, *, alone: DataFrame | None = None) -> DataFrame:
     """(a, b), a < b: all rows of different groups (row, root) that share a first shingle and can have the similarity.
 
+    ``alone`` has the pairs of shingles that ``shared`` lacks (``two_alone``); they count, and some of them come out too.
+
     One of two rows of different groups isn't in the shingle's largest group, so its members never meet each other.
     Sketches are compared in the join itself, so that texts which share much and resemble each other little give few rows.
     """
@@ -412,8 +460,7 @@ def sharing_pairs(shared: DataFrame, sketches: DataFrame, groups: DataFrame, sim
     met = smaller.where("aside").join(larger, ["s", "cell"]).where(fits).select("x", "y")
     met = met.unionByName(smaller.where("not aside").join(larger.where("aside_y"), ["s", "cell"]).where(fits).select("x", "y"))
     # what two sets share is these shingles, and what lies behind the last of them
-    sides = [F.max(f"{side}.{c}").alias(f"{c}_{side}") for side in "xy" for c in ("n", "at")]
-    pairs = met.groupBy(F.least("x.row", "y.row").alias("a"), F.greatest("x.row", "y.row").alias("b")).agg(F.count("*").alias("both"), *sides)
+    pairs = met_by_pair(met, *[] if alone is None else [alone])
     most = F.col("both") + F.least(F.col("n_x") - F.col("at_x"), F.col("n_y") - F.col("at_y")) - 1
     return pairs.where(most * (1 + similarity) >= similarity * (F.col("n_x") + F.col("n_y")) - 1e-6).select("a", "b")
 
@@ -424,20 +471,39 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, similarity: float) ->
     return pairs.join(sides[0], "a").join(sides[1], "b").where(differ_little("x", "y", similarity)).select("a", "b")
 
 
+def packed_words(text: bytes) -> bytes:
+    """The words of a text, compressed: a third of what their hashes take."""
+    words = b" ".join(text.lower().split())
+    return len(words).to_bytes(8, "little") + pa.compress(words, codec="zstd", asbytes=True) if words else b""
+
+
+def unpacked_words(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if packed else b""
+
+
 def similar_pairs(docs: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts' sets of shingles have a Jaccard similarity of at least ``similarity``, worked out in full."""
     named = sent_if_small(stored(pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column("row"), pa.array([packed_words(bytes_of(t)) for t in b.column("text")], pa.binary())], ["row", "words"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, y = None, None  # rows of one b follow each other
         for b in batches:
-            own = [np.unique(shingle_hashes(bytes_of(t), shingle)).view(np.int64) for t in b.column("text")]
-            yield pa.record_batch([b.column("row"), pa.array(own, pa.list_(pa.int64()))], ["row", "shingles"])
+            similar = []
+            for row, one, other in zip(b.column("b").to_pylist(), b.column("x"), b.column("y"), strict=True):
+                if row != last:
+                    last, y = row, np.unique(shingle_hashes(unpacked_words(bytes_of(other)), shingle))
+                x = np.unique(shingle_hashes(unpacked_words(bytes_of(one)), shingle))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                similar.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    known = stored(map_batches(docs.join(named, "row", "left_semi").select("row", "text"), sets, "row long, shingles array<long>"))
-    left, right = known.select(F.col("row").alias("a"), F.col("shingles").alias("x")), known.select(F.col("row").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))  # in the JVM, row by row: two sets of a very long text are large
-    compared = pairs.join(left, "a").join(right, "b").select("a", "b", both.alias("both"), (F.size("x") + F.size("y")).alias("sum"))
-    return compared.where(F.col("both") >= similarity * (F.col("sum") - F.col("both"))).select("a", "b")
+    known = stored(map_batches(docs.join(named, "row", "left_semi").select("row", "text"), packed, "row long, words binary"))
+    left, right = known.select(F.col("row").alias("a"), F.col("words").alias("x")), known.select(F.col("row").alias("b"), F.col("words").alias("y"))
+    return map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), compared, "a long, b long")
 
 
 def fingerprint_pairs(known: DataFrame, tolerance: int = 3) -> DataFrame:
@@ -454,9 +520,9 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
 
     All pairs of that similarity or more are linked, and no others; every link is verified on the whole sets of
     shingles. Equal sets are linked by their digest, near ones by their fingerprints and the pivot table. What is left
-    are pairs of different groups: two such texts share one of their first shingles. So that many copies of a text don't
-    bring all their pairs together, the rows of a shingle are held against the first of them; then all pairs of rows
-    that aren't in one group by then. Texts without words are similar to each other.
+    are pairs of different groups: two such texts share one of their first shingles. Where two texts are the only ones of
+    a shingle, as most are, they are a pair at once. So that many copies of a text don't bring all their pairs together,
+    the rows of other shingles are held against the first of them; then all pairs of rows that aren't in one group by then. Texts without words are similar to each other.
     """
     rows = numbered(docs)
     with scratch(docs.sparkSession) as kept:
@@ -478,12 +544,13 @@ def similar_groups(texts: DataFrame, shingle: int, similarity: float) -> DataFra
     def groups(links: DataFrame) -> DataFrame:
         return roots(links).select(F.col("u").alias("row"), F.col("v").alias("root"))
 
-    shared = stored(sharing(single))
+    lists, several = repeats(single)
+    alone, shared = stored(two_alone(several, similarity)), stored(shared_by(2, lists, several))
     drop_shuffles(texts.sparkSession)
-    tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).distinct())
+    tried = stored(fingerprint_pairs(single).unionByName(led_pairs(shared, similarity)).unionByName(alone.select("a", "b")).distinct())
     links = stored(verified(tried))
     drop_shuffles(texts.sparkSession)
-    rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = stored(sharing_pairs(shared, known.select("row", "sketch"), groups(links), similarity, alone=alone).join(tried, ["a", "b"], "left_anti"))
     drop_shuffles(texts.sparkSession)
     return groups(stored(links.unionByName(verified(rest)).unionByName(equal)))
 
