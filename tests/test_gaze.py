@@ -72,3 +72,26 @@ def test_small_slices_have_no_call_each(spark):
     df = slices.framed(spark.createDataFrame([(k, float(i), float(i % 3)) for k in range(300) for i in range(5)], "k long, t double, x double"), ["k"], "t", ["t"], 4.0)
     found = gaze.resampled(df, ["k"], ["x"], 1, 2, 2)
     assert "InPandas" not in found._jdf.queryExecution().toString() and found.count() == 900
+
+
+def test_slices_resampled_together_equal_direct_convolution():
+    rng = np.random.default_rng(3)
+    series = [rng.normal(size=n) for n in (90, 41, 3)]
+    for up, down in ((1, 2), (3, 2), (2, 7)):
+        taps, size = gaze.low_pass_taps(up, down), 16
+        around = len(taps) // 2 // up + 1
+        x, starts, first, low, high = [], [], [], [], []
+        for own in series:
+            for at in range(0, len(own), size):
+                starts.append(sum(map(len, x)))
+                first.append(max(0, at - around))
+                x.append(own[first[-1] : at + size + around])
+                low.append(-(-at * up // down))
+                high.append(-(-min(at + size, len(own)) * up // down))
+        x[0] = np.where(np.arange(len(x[0])) == 0, np.nan, x[0])  # of the first slice's samples, those that hear it are missing, and no others
+        lengths, places, (found,) = gaze.resampled_parts([np.concatenate(x)], *map(np.array, (starts, first, low, high)), taps, up, down)
+        assert lengths.tolist() == [b - a for a, b in zip(low, high, strict=True)]
+        assert places.tolist() == [p for a, b in zip(low, high, strict=True) for p in range(a, b)]
+        expected = np.concatenate([plain_resample(own, up, down) for own in series])
+        missing = np.isnan(found)
+        assert missing[0] and not missing[lengths[0] :].any() and np.allclose(found[~missing], expected[~missing])

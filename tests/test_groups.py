@@ -24,6 +24,24 @@ def test_groups_are_whole_whatever_the_batches(spark):
     assert groups.applied(df.limit(0), ["a"], ["v"], lambda v, b, c: [[1]], {"n": "long"}).count() == 0
 
 
+def test_whole_groups_are_worked_on_together(spark):
+    df = spark.createDataFrame([(f"k{k}", i, float(k * i)) for k in range(300) for i in range(k % 5 + 1)], "k string, i long, v double").repartition(6)
+
+    def each(rows, starts):
+        v = rows.column("v").to_numpy()
+        return np.ones(len(starts), int), [np.add.reduceat(v, starts), np.diff(np.append(starts, len(v))), np.full(len(starts), len(starts))]
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = groups.together(df, ["k"], ["i"], each, {"s": "double", "n": "long", "at_once": "long"}).collect()
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        assert sorted((r["k"], r["s"], r["n"]) for r in found) == sorted((f"k{k}", float(k * sum(range(k % 5 + 1))), k % 5 + 1) for k in range(300))
+    assert max(r["at_once"] for r in found) > 10
+
+
 def test_fixations_have_no_call_a_group(spark):
     df = spark.createDataFrame([(k, float(i), 0.0, 0.0) for k in range(400) for i in range(2)], "k long, t double, x double, y double")
     found = matching.fixations(df, ["k"], "t", "x", "y", 1.0, 0.5)

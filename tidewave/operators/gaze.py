@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +18,22 @@ def low_pass_taps(up: int, down: int, reach: int = 10, beta: float = 5.0) -> np.
     return taps / taps.sum() * up
 
 
-def resampled_part(x: np.ndarray, first: int, places: np.ndarray, taps: np.ndarray, up: int, down: int) -> np.ndarray:
-    """Samples at ``places`` of the new rate, from ``x``, whose first value is sample ``first`` of the old; what lies beyond x counts as zero."""
-    half = len(taps) // 2
-    low = -(-(places * down - half) // up)  # the first old sample that a new one hears
-    near = low[:, None] + np.arange(2 * half // up + 1)[None, :]
-    tap = places[:, None] * down - near * up + half
-    heard = (near >= first) & (near < first + len(x)) & (tap >= 0) & (tap < len(taps))
-    return (np.where(heard, x[np.clip(near - first, 0, len(x) - 1)], 0.0) * np.where(heard, taps[np.clip(tap, 0, len(taps) - 1)], 0.0)).sum(axis=1)
+def resampled_parts(columns: list[np.ndarray], starts: np.ndarray, first: np.ndarray, low: np.ndarray, high: np.ndarray, taps: np.ndarray, up: int, down: int) -> tuple:
+    """The number of samples, their places and values, of the new rate from place ``low`` to before ``high`` in each slice.
+
+    Slices stand one after the other in ``columns``, at ``starts``; their first values are samples ``first`` of the old
+    rate. What lies beyond a slice counts as zero.
+    """
+    half, lengths = len(taps) // 2, high - low
+    own = np.repeat(np.arange(len(starts)), lengths)
+    places = np.arange(len(own)) + (low - np.cumsum(lengths) + lengths)[own]
+    heard_first = -(-(places * down - half) // up)  # the first old sample that a new one hears
+    tap = (places * down - heard_first * up + half)[:, None] - np.arange(2 * half // up + 1)[None, :] * up
+    at = (heard_first - first[own] + starts[own])[:, None] + np.arange(2 * half // up + 1)[None, :]
+    ends = np.append(starts[1:], len(columns[0]))
+    heard = (at >= starts[own][:, None]) & (at < ends[own][:, None]) & (tap >= 0)
+    at, weight = np.where(heard, at, 0), np.where(heard, taps[np.maximum(tap, 0)], 0.0)
+    return lengths, places, [(np.where(heard, x[at], 0.0) * weight).sum(axis=1) for x in columns]
 
 
 def resampled(df: DataFrame, recording: list[str], columns: list[str], up: int, down: int, size: int = slices.SLICE_ROWS) -> DataFrame:
@@ -32,21 +41,24 @@ def resampled(df: DataFrame, recording: list[str], columns: list[str], up: int,
 
     The signal is low-passed for the slower rate and taken at frame * down / up; beyond its ends it counts as zero, a
     sample that hears a missing value is NULL. A recording is cut into slices that know what their samples hear, so a
-    task holds one slice, and slices give what the whole recording gives.
+    task holds one slice, or a batch of small ones, and slices give what the whole recording gives.
     """
     taps = low_pass_taps(up, down)
     around = len(taps) // 2 // up + 1
+    values = [f"x{i}" for i in range(len(columns))]
 
-    def part(own: np.ndarray, frame: np.ndarray, frames: np.ndarray, **x: np.ndarray) -> list:
-        end = min((int(own[0]) + 1) * size, int(frames[0]))
-        places = np.arange(-(-int(own[0]) * size * up // down), -(-end * up // down))
-        return [places, *[resampled_part(x[f"x{i}"], int(frame[0]), places, taps, up, down) for i in range(len(columns))]]
+    def parts(rows: pa.RecordBatch, starts: np.ndarray) -> tuple:
+        own, frame, frames, *x = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("__slice", "frame", "frames", *values))
+        begin = own[starts] * size
+        end = np.minimum(begin + size, frames[starts])
+        lengths, places, found = resampled_parts(x, starts, frame[starts], -(-begin * up // down), -(-end * up // down), taps, up, down)
+        return lengths, [places, *found]
 
     first = F.greatest(F.lit(0), slices.slice_of(F.col("frame") - around, size))
     last = F.least(slices.slice_of(F.col("frame") + around, size), slices.slice_of(F.col("frames") - 1, size))
-    dealt = df.select(*recording, "frame", "frames", *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)]).withColumn("own", F.explode(F.sequence(first, last)))
-    found = groups.applied(dealt.withColumn("__slice", F.col("own")), [*recording, "__slice"], ["frame"], part, {"__place": "long", **dict.fromkeys((f"x{i}" for i in range(len(columns))), "double")})
-    return found.select(*recording, F.col("__place").alias("frame"), *[F.when(~F.isnan(f"x{i}"), F.col(f"x{i}")).alias(c) for i, c in enumerate(columns)])
+    dealt = df.select(*recording, "frame", "frames", *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values, strict=True)]).withColumn("__slice", F.explode(F.sequence(first, last)))
+    found = groups.together(dealt, [*recording, "__slice"], ["frame"], parts, {"__place": "long", **dict.fromkeys(values, "double")})
+    return found.select(*recording, F.col("__place").alias("frame"), *[F.when(~F.isnan(v), F.col(v)).alias(c) for c, v in zip(columns, values, strict=True)])
 
 
 class _Block:

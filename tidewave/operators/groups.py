@@ -2,6 +2,7 @@
 
 ``applyInPandas`` builds a table for each group, some milliseconds each, which is most of the work where groups are
 windows of a few rows. Here a task gets its groups sorted, one after the other, and cuts batches of rows where keys change.
+``applied`` calls a function for each group; ``together`` gives it all groups of a batch at once.
 """
 
 from __future__ import annotations
@@ -32,24 +33,17 @@ def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[..., list], found: dict[str, str], tasks: int | None = None) -> DataFrame:
-    """keys and the columns ``found`` (name: type): what ``each`` makes of the rows with equal ``keys``, in ``order``.
+def together(df: DataFrame, keys: list[str], order: list[str], each: Callable[[pa.RecordBatch, np.ndarray], tuple], found: dict[str, str], tasks: int | None = None) -> DataFrame:
+    """keys and the columns ``found`` (name: type): what ``each`` makes of whole groups of equal ``keys``, many at once, in ``order``.
 
-    ``each`` gets all other columns by name, as arrays, and gives a list of columns, one for each of ``found``. A task
-    holds one group and one batch of rows. ``tasks`` is their number where groups are few and long to work on.
+    ``each`` gets rows of one or more groups and where each begins, and gives how many rows each group has in what it
+    made, and a list of columns, one for each of ``found``. A task holds one group and one batch of rows.
     """
-    names = [c for c in df.columns if c not in keys]
 
     def of(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
-        columns = [rows.column(c).to_numpy(zero_copy_only=False) for c in names]
-        lengths, out = [], [[] for _ in found]
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
-            made = each(**{c: v[a:b] for c, v in zip(names, columns, strict=True)})
-            lengths.append(len(made[0]))
-            for own, column in zip(out, made, strict=True):
-                own.extend(column)
+        lengths, made = each(rows, starts)
         at = pa.array(np.repeat(starts, lengths))
-        return pa.record_batch([*[rows.column(k).take(at) for k in keys], *[pa.array(v, ARROW[t]) for v, t in zip(out, found.values(), strict=True)]], [*keys, *found])
+        return pa.record_batch([*[rows.column(k).take(at) for k in keys], *[pa.array(v, ARROW[t]) for v, t in zip(made, found.values(), strict=True)]], [*keys, *found])
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.RecordBatch] = []  # of the group that may go on
@@ -75,3 +69,24 @@ def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[...
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + "".join(f", `{c}` {t}" for c, t in found.items())
     dealt = df.repartition(tasks, *keys) if tasks else df.repartition(*keys)
     return dealt.sortWithinPartitions(*keys, *order).mapInArrow(parts, schema)
+
+
+def applied(df: DataFrame, keys: list[str], order: list[str], each: Callable[..., list], found: dict[str, str], tasks: int | None = None) -> DataFrame:
+    """keys and the columns ``found`` (name: type): what ``each`` makes of the rows with equal ``keys``, in ``order``.
+
+    ``each`` gets all other columns by name, as arrays, and gives a list of columns, one for each of ``found``. A task
+    holds one group and one batch of rows. ``tasks`` is their number where groups are few and long to work on.
+    """
+    names = [c for c in df.columns if c not in keys]
+
+    def one_by_one(rows: pa.RecordBatch, starts: np.ndarray) -> tuple:
+        columns = [rows.column(c).to_numpy(zero_copy_only=False) for c in names]
+        lengths, out = [], [[] for _ in found]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows], strict=True):
+            made = each(**{c: v[a:b] for c, v in zip(names, columns, strict=True)})
+            lengths.append(len(made[0]))
+            for own, column in zip(out, made, strict=True):
+                own.extend(column)
+        return lengths, out
+
+    return together(df, keys, order, one_by_one, found, tasks)
