@@ -95,3 +95,29 @@ def test_slices_resampled_together_equal_direct_convolution():
         expected = np.concatenate([plain_resample(own, up, down) for own in series])
         missing = np.isnan(found)
         assert missing[0] and not missing[lengths[0] :].any() and np.allclose(found[~missing], expected[~missing])
+
+
+def test_slices_are_dealt_as_pieces_of_many_samples(spark):
+    rng = np.random.default_rng(5)
+    series = {"a": rng.normal(size=537), "b": rng.normal(size=3), None: rng.normal(size=130)}
+    df = spark.createDataFrame([(k, float(i), float(v) if i != 50 else None) for k, x in series.items() for i, v in enumerate(x)], "k string, t double, x double").repartition(4)
+    framed = slices.framed(df, ["k"], "t", ["t"], 40.0)
+    for up, down, size in ((1, 2, 100), (3, 2, 17), (2, 7, 65_536)):
+        resampled = gaze.resampled(framed, ["k"], ["x"], up, down, size)
+        plan = resampled._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.find("Generate explode") < plan.find("collect_list")  # rows are copied to slices after they are collected
+        found = resampled.toPandas().sort_values("frame")
+        for k, x in series.items():
+            own = found[found.k.isna() if k is None else found.k == k]
+            far = np.abs(np.arange(len(own)) * down / up - 50) > 10 * max(up, down) / up
+            assert own.frame.tolist() == list(range(-(-len(x) * up // down))) and own.x[far | (len(x) < 50)].notna().all()
+            assert own.x.isna().any() == (len(x) > 50) and np.allclose(own.x[far], plain_resample(x, up, down)[far])
+
+
+def test_sums_are_taken_in_steps(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, taps = rng.normal(size=400), gaze.low_pass_taps(3, 2)
+    for terms in (1, 1000, 1 << 20):
+        monkeypatch.setattr(gaze, "TERMS", terms)
+        _, places, (found,) = gaze.resampled_parts([x], np.array([0]), np.array([0]), np.array([0]), np.array([600]), taps, 3, 2)
+        assert places.tolist() == list(range(600)) and np.allclose(found, plain_resample(x, 3, 2))

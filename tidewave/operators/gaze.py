@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from . import groups, slices, windows
 
+#: Samples that are dealt as one row, and products that are summed at a time, at most.
+PIECE, TERMS = 64, 1 << 20
+
 
 def low_pass_taps(up: int, down: int, reach: int = 10, beta: float = 5.0) -> np.ndarray:
     """A sinc that passes what both rates can hold, ``reach`` turns to both sides under a Kaiser window; its sum is ``up``."""
@@ -24,16 +27,21 @@ def resampled_parts(columns: list[np.ndarray], starts: np.ndarray, first: np.nda
     Slices stand one after the other in ``columns``, at ``starts``; their first values are samples ``first`` of the old
     rate. What lies beyond a slice counts as zero.
     """
-    half, lengths = len(taps) // 2, high - low
-    own = np.repeat(np.arange(len(starts)), lengths)
-    places = np.arange(len(own)) + (low - np.cumsum(lengths) + lengths)[own]
-    heard_first = -(-(places * down - half) // up)  # the first old sample that a new one hears
-    tap = (places * down - heard_first * up + half)[:, None] - np.arange(2 * half // up + 1)[None, :] * up
-    at = (heard_first - first[own] + starts[own])[:, None] + np.arange(2 * half // up + 1)[None, :]
-    ends = np.append(starts[1:], len(columns[0]))
-    heard = (at >= starts[own][:, None]) & (at < ends[own][:, None]) & (tap >= 0)
-    at, weight = np.where(heard, at, 0), np.where(heard, taps[np.maximum(tap, 0)], 0.0)
-    return lengths, places, [(np.where(heard, x[at], 0.0) * weight).sum(axis=1) for x in columns]
+    half, lengths, ends = len(taps) // 2, high - low, np.append(starts[1:], len(columns[0]))
+    whose = np.repeat(np.arange(len(starts)), lengths)
+    places = np.arange(len(whose)) + (low - np.cumsum(lengths) + lengths)[whose]
+    step, found = np.arange(2 * half // up + 1)[None, :], [np.empty(len(places)) for _ in columns]
+    most = max(1, TERMS // step.size)
+    for i in range(0, len(places), most):
+        own, place = whose[i : i + most], places[i : i + most]
+        near = -(-(place * down - half) // up)  # the first old sample that a new one hears
+        tap = (place * down - near * up + half)[:, None] - step * up
+        at = (near - first[own] + starts[own])[:, None] + step
+        heard = (at >= starts[own][:, None]) & (at < ends[own][:, None]) & (tap >= 0)
+        at, weight = np.where(heard, at, 0), np.where(heard, taps[np.maximum(tap, 0)], 0.0)
+        for x, y in zip(columns, found, strict=True):
+            y[i : i + most] = (np.where(heard, x[at], 0.0) * weight).sum(axis=1)
+    return lengths, places, found
 
 
 def resampled(df: DataFrame, recording: list[str], columns: list[str], up: int, down: int, size: int = slices.SLICE_ROWS) -> DataFrame:
@@ -48,15 +56,26 @@ def resampled(df: DataFrame, recording: list[str], columns: list[str], up: int,
     values = [f"x{i}" for i in range(len(columns))]
 
     def parts(rows: pa.RecordBatch, starts: np.ndarray) -> tuple:
-        own, frame, frames, *x = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("__slice", "frame", "frames", *values))
-        begin = own[starts] * size
-        end = np.minimum(begin + size, frames[starts])
-        lengths, places, found = resampled_parts(x, starts, frame[starts], -(-begin * up // down), -(-end * up // down), taps, up, down)
+        own, frame, frames = (rows.column(c).to_numpy(zero_copy_only=False)[starts] for c in ("__slice", "frame", "frames"))
+        ends = np.cumsum(rows.column(values[0]).value_lengths().to_numpy(zero_copy_only=False))
+        x = [rows.column(v).flatten().to_numpy(zero_copy_only=False) for v in values]
+        begin = own * size
+        end = np.minimum(begin + size, frames)
+        lengths, places, found = resampled_parts(x, np.append(0, ends)[starts], frame, -(-begin * up // down), -(-end * up // down), taps, up, down)
         return lengths, [places, *found]
 
-    first = F.greatest(F.lit(0), slices.slice_of(F.col("frame") - around, size))
-    last = F.least(slices.slice_of(F.col("frame") + around, size), slices.slice_of(F.col("frames") - 1, size))
-    dealt = df.select(*recording, "frame", "frames", *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values, strict=True)]).withColumn("__slice", F.explode(F.sequence(first, last)))
+    # pieces of a recording are rows, of which each slice gets what it hears: far fewer rows to deal than one for each sample and slice
+    piece = min(size, PIECE)
+    sample = F.struct("frame", *[F.col(c).cast("double").alias(v) for c, v in zip(columns, values, strict=True)])
+    whole = df.select(*recording, "frames", slices.slice_of("frame", piece).alias("__piece"), sample.alias("sample")).groupBy(*recording, "__piece").agg(F.max("frames").alias("frames"), F.sort_array(F.collect_list("sample")).alias("samples"))
+    begin, n = F.col("__piece") * piece, F.size("samples")
+    first = F.greatest(F.lit(0), slices.slice_of(begin - around, size))
+    last = F.least(slices.slice_of(begin + n - 1 + around, size), slices.slice_of(F.col("frames") - 1, size))
+    dealt = whole.withColumn("__slice", F.explode(F.sequence(first, last)))
+    low = F.greatest(begin, F.col("__slice") * size - around)
+    high = F.least(begin + n, (F.col("__slice") + 1) * size + around)
+    heard = F.slice("samples", (low - begin + 1).cast("int"), (high - low).cast("int"))
+    dealt = dealt.select(*recording, "__slice", low.alias("frame"), "frames", heard.alias("h")).select(*recording, "__slice", "frame", "frames", *[F.col("h")[v].alias(v) for v in values])
     found = groups.together(dealt, [*recording, "__slice"], ["frame"], parts, {"__place": "long", **dict.fromkeys(values, "double")})
     return found.select(*recording, F.col("__place").alias("frame"), *[F.when(~F.isnan(v), F.col(v)).alias(c) for c, v in zip(columns, values, strict=True)])
 
